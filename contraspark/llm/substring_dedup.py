@@ -6,7 +6,8 @@ period there is one shift below the period that brings both into the cover. So o
 positions (3 of 7) are hashed and shuffled in the first step; anchors of one document alone are
 dropped. Then matches are extended: where a document has a shared anchor, the full windows around it
 are hashed with 96 bits and compared, and a window counts as repeated when it also starts in a
-document with a smaller id.
+document with a smaller id. Texts whose whole word sequence (128-bit digest) a smaller id has too lose
+all their words at once and are left out of these steps.
 
 Words are the maximal runs of characters other than ASCII space and \\t \\n \\v \\f \\r, unchanged. Windows
 are judged on the input. No pairs of documents are made: each step looks up the smallest id of an
@@ -28,8 +29,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from contraspark.llm.common import list_array, slices
-from contraspark.llm.words import Words, run_starts, runs, split_words
+from contraspark.llm.common import attach_stats, list_array, slices
+from contraspark.llm.words import Words, mix, run_starts, runs, split_words
 
 WINDOW = 13
 PERIOD, COVER = 7, (1, 2, 4)
@@ -68,11 +69,45 @@ def _windows(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return starts, offsets, one, two
 
 
+def _digests(words: Words) -> np.ndarray:
+    """One 64-bit digest of each text's whole word sequence; the order counts."""
+    place = (np.arange(len(words.hash)) - np.repeat(words.first[:-1], np.diff(words.first))).astype(np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words.hash ^ mix(place + np.uint64(1))))])
+    return mix(sums[words.first[1:]] - sums[words.first[:-1]])
+
+
+def _emit_digests(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            words = split_words(batch.column(1))
+            n = np.diff(words.first)
+            starts = np.minimum(words.first[:-1], max(len(words.hash) - 1, 0))
+            head = words.hash[starts] if len(words.hash) else np.zeros(len(n), np.uint64)
+            out = pa.record_batch([batch.column(0), pa.array(_digests(words).astype(np.int64)), pa.array(mix(head ^ n.astype(np.uint64)).astype(np.int64))], ["id", "d1", "d2"])
+            yield out.filter(pa.array(n >= window))
+
+    return run
+
+
+def _is_copy(words: Words, known: pa.Array) -> np.ndarray:
+    """Rows whose digest is among the digests of their id's rows that copy a smaller id."""
+    out = np.zeros(len(known), bool)
+    some = np.flatnonzero(known.is_valid().to_numpy(zero_copy_only=False))
+    if len(some):
+        digest = _digests(words).astype(np.int64)
+        for i in some.tolist():
+            out[i] = digest[i] in known[i].as_py()
+    return out
+
+
 def _emit_anchors(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            doc, _, anchor = _anchors(split_words(batch.column(1)), window)
-            doc, anchor = _distinct(doc, anchor)
+            words = split_words(batch.column(1))
+            skip = _is_copy(words, batch.column(2)) | ~batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            doc, _, anchor = _anchors(words, window)
+            own = ~skip[doc]
+            doc, anchor = _distinct(doc[own], anchor[own])
             yield pa.record_batch([batch.column(0), list_array(anchor, _offsets(doc, batch.num_rows))], ["id", "anchors"])
 
     return run
@@ -128,8 +163,9 @@ def _remove(window: int):
                     first = starts[lo + at]
                     np.add.at(cover, first, 1)
                     np.add.at(cover, first + window, -1)
-            gone = np.cumsum(cover[:-1]) > 0
             doc = words.document()
+            copy = _is_copy(words, batch.column(names.index("_copied")))
+            gone = (np.cumsum(cover[:-1]) > 0) | copy[doc]
             n_words, n_removed = np.diff(words.first), np.bincount(doc[gone], minlength=n)
             # Kept words, each followed by a space; the last space of a text is cut off.
             keep = np.flatnonzero(~gone)
@@ -146,7 +182,7 @@ def _remove(window: int):
                 a, b = words.first[i], words.first[i + 1]
                 own = np.diff(gone[a:b].astype(np.int8), prepend=0, append=0)
                 spans[i] = [{"start": s, "end": e} for s, e in zip(np.flatnonzero(own == 1).tolist(), np.flatnonzero(own == -1).tolist(), strict=True)]
-            kept = [c for c in names if c not in ("_text", "_hits")]
+            kept = [c for c in names if c not in ("_text", "_hits", "_copied")]
             made = [pa.array(texts, pa.string()), pa.array(n_words.astype(np.int64)), pa.array(n_removed.astype(np.int64)), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
             yield pa.RecordBatch.from_arrays([*[batch.column(names.index(c)) for c in kept], *made], [*kept, *RESULTS])
 
@@ -159,21 +195,26 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError(f"windows of {PERIOD} words at least")
     docs = docs.drop(*RESULTS)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    anchors = texts.where("id is not null").mapInArrow(_emit_anchors(window), "id long, anchors array<long>").select("id", F.explode("anchors").alias("a"))
+    # Exact copies of a smaller id's words are settled as a whole: they lose all words and are no source.
+    whole = texts.where("id is not null").mapInArrow(_emit_digests(window), "id long, d1 long, d2 long")
+    copies = attach_stats(whole, ["d1", "d2"], [F.min("id").alias("lo"), F.max("id").alias("hi")], F.col("id"), having=F.col("lo") < F.col("hi"))
+    copies = copies.where("lo < id").groupBy("id").agg(F.collect_set("d1").alias("_copied"))
+    # All steps below join the texts by id; left joins on the same columns share one shuffle of the texts.
+    anchors = texts.join(copies, "id", "left").select("id", "text", "_copied").mapInArrow(_emit_anchors(window), "id long, anchors array<long>")
+    anchors = anchors.select("id", F.explode("anchors").alias("a"))
     by_anchor = Window.partitionBy("a")
     shared = (
         anchors.select("id", "a", F.min("id").over(by_anchor).alias("lo"), F.max("id").over(by_anchor).alias("hi"))
         .where("lo < hi").groupBy("id").agg(F.collect_list("a").alias("anchors"))
     )
-    # Both steps below join the texts by id; left joins on the same columns share one shuffle of the texts.
     around = texts.join(shared, "id", "left").select("id", "text", "anchors").mapInArrow(_emit_windows(window), "id long, w1 array<long>, w2 array<int>")
     windows = around.select("id", F.explode(F.arrays_zip("w1", "w2")).alias("w")).select("id", "w.w1", "w.w2")
     repeated = windows.select("id", "w1", "w2", F.min("id").over(Window.partitionBy("w1", "w2")).alias("lo")).where("lo < id")
     hits = repeated.groupBy("id").agg(F.collect_list(F.struct("w1", "w2")).alias("_hits"))
     others = [c for c in docs.columns if c not in (id_col, text_col)]
     left = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(f"`{c}`") for c in others])
-    joined = left.join(hits, "id", "left").select(
-        *[F.col("id").alias(c) if c == id_col else F.col("text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], F.col("text").alias("_text"), "_hits",
+    joined = left.join(hits, "id", "left").join(copies, "id", "left").select(
+        *[F.col("id").alias(c) if c == id_col else F.col("text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], F.col("text").alias("_text"), "_hits", "_copied",
     )
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     kinds = [T.StringType(), T.LongType(), T.LongType(), span]
