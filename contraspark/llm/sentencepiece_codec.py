@@ -34,15 +34,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from contraspark.llm.common import list_array, slices
-from contraspark.llm.words import mix
 
 MARK = "▁"
 _NORMAL, _UNKNOWN, _BYTE = 1, 2, 6
 #: Distinct words whose ids a Python worker remembers between batches.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 #: Text bytes encoded at once.
-ENCODE_BYTES = 8 << 20
+ENCODE_BYTES = 4 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_SLOT_BITS = 22
 
 
 @dataclass
@@ -55,6 +55,8 @@ class Model:
     chars: np.ndarray  # code points of single-character pieces, sorted
     char_piece: np.ndarray
     keys: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # per length: sorted hashes, pieces, code points
+    seen: np.ndarray  # slots that a piece's hash falls into: most substrings need no probe
+    pair_seen: np.ndarray
     pair_keys: np.ndarray  # sorted first * n + second of pairs that merge
     pair_piece: np.ndarray
     left: np.ndarray  # halves of a piece's last merge; a character is its own
@@ -108,13 +110,17 @@ def build_model(pieces: list[tuple[str, float, int]], bpe: bool, dummy_prefix: b
                 halves = _merge(p, number, stop=k)
                 left[k], right[k] = (number[h] for h in halves) if len(halves) == 2 else (k, k)
     pair_keys = np.array(sorted(pairs), np.int64)
+    seen, pair_seen = np.zeros(1 << _SLOT_BITS, bool), np.zeros(1 << _SLOT_BITS, bool)
+    for hashes, _, _ in keys:
+        seen[_slot(hashes)] = True
+    pair_seen[_slot(pair_keys.astype(np.uint64))] = True
     chars = sorted((ord(p), k) for p, k in number.items() if len(p) == 1)
     by_id = {p: i for i, (p, _, kind) in enumerate(pieces) if kind == _BYTE}
     text_of = []
     for p, _, kind in pieces:
         text_of.append(bytes([int(p[1:-1], 16)]) if kind == _BYTE else p.encode() if kind in (_NORMAL, 4) else " ⁇ ".encode() if kind == _UNKNOWN else b"")
     return Model(
-        bpe, np.array([i for _, _, i in normal], np.int32), np.array([s for _, s, _ in normal]), np.array([c for c, _ in chars], np.int32), np.array([k for _, k in chars], np.int32), keys,
+        bpe, np.array([i for _, _, i in normal], np.int32), np.array([s for _, s, _ in normal]), np.array([c for c, _ in chars], np.int32), np.array([k for _, k in chars], np.int32), keys, seen, pair_seen,
         pair_keys, np.array([pairs[k] for k in pair_keys.tolist()], np.int64), left, right,
         np.array([by_id[f"<0x{b:02X}>"] for b in range(256)], np.int32) if len(by_id) == 256 else None,
         next((i for i, (_, _, kind) in enumerate(pieces) if kind == _UNKNOWN), 0), dummy_prefix, text_of, number,
@@ -144,6 +150,10 @@ def _merge(word: str, rank: dict[str, int], stop: int = -1) -> list[str]:
     return [p for p in parts if p is not None]
 
 
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+
+
 def _substring_hashes(codes: np.ndarray, length: int, shorter: np.ndarray | None = None) -> np.ndarray:
     """Unmixed running hashes of all substrings of ``length`` characters, from those one shorter."""
     x = codes.astype(np.uint64)
@@ -162,8 +172,12 @@ def _consistent(model: Model, first: np.ndarray, second: np.ndarray) -> np.ndarr
     limit = np.full(len(first), 1 << 40)
     while len(at):
         key = a * n + b
-        place = np.minimum(np.searchsorted(model.pair_keys, key), max(len(model.pair_keys) - 1, 0))
-        whole = np.where(model.pair_keys[place] == key, model.pair_piece[place], 1 << 41) if len(model.pair_keys) else np.full(len(a), 1 << 41)
+        whole = np.full(len(a), 1 << 41)
+        maybe = np.flatnonzero(model.pair_seen[_slot(key.astype(np.uint64))])
+        if len(maybe):
+            place = np.minimum(np.searchsorted(model.pair_keys, key[maybe]), len(model.pair_keys) - 1)
+            hit = model.pair_keys[place] == key[maybe]
+            whole[maybe[hit]] = model.pair_piece[place[hit]]
         bad = whole < limit
         ok[at[bad]] = False
         # Undo the later of the two pieces' last merges and look at the pair that then meets at the border.
@@ -190,10 +204,11 @@ def _viterbi(model: Model, codes: np.ndarray) -> np.ndarray:
         sorted_hashes, pieces, points = model.keys[size - 1]
         if not len(pieces):
             continue
-        mixed = np.minimum(np.searchsorted(sorted_hashes, hashes), len(pieces) - 1)
-        hit = sorted_hashes[mixed] == hashes
-        word, start = np.nonzero(hit)
-        piece = mixed[word, start]
+        word, start = np.nonzero(model.seen[_slot(hashes)])
+        probed = hashes[word, start]
+        piece = np.minimum(np.searchsorted(sorted_hashes, probed), len(pieces) - 1)
+        hit = sorted_hashes[piece] == probed
+        word, start, piece = word[hit], start[hit], piece[hit]
         same = np.ones(len(word), bool)
         for k in range(size):
             same &= codes[word, start + k] == points[piece, k]
