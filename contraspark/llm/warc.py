@@ -96,6 +96,8 @@ def write_warc(rows: DataFrame, path: str, compress: bool = True, level: int = 6
 _VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
 _START = re.compile(rb"WARC/1\.[01]\r?\n|\x1f\x8b\x08")
 
+_MANDATORY = ("warc-type", "warc-record-id", "warc-date", "content-length")
+
 
 class _Damaged(Exception):
     pass
@@ -127,6 +129,8 @@ def _parse(data: bytes, at: int) -> tuple[dict, bytes, int]:
         if not colon:
             raise _Damaged("a header line without a colon")
         fields[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+    if missing := [f for f in _MANDATORY if f not in fields]:
+        raise _Damaged(f"no {missing[0]}")
     if not re.fullmatch(r"\d+", size := fields.get("content-length", "")):
         raise _Damaged("no valid Content-Length")
     end = head + 4 + int(size)
@@ -207,7 +211,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
     """(id, payload_bytes, payload_digest, record_type, refers_to), revisits with their response's payload figures."""
-    number = lambda c: F.col(c).cast("long")
+    number = lambda c: F.col(c).try_cast("long")
     rows = records.where("gap_reason is null").select(
         number("record_id").alias("id"), number("refers_to").alias("refers_to"), "record_type", "payload_bytes", "payload_digest",
     ).withColumn("_of", F.coalesce("refers_to", "id"))
