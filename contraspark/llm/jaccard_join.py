@@ -221,7 +221,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = attach_stats(members, ["component"], [F.count("*").alias("m"), F.sum("n").alias("total")], F.col("id"))
     members = members.select(*_KEY, "id", "copies", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
     members = materialise(members, "members")
-    fetched = texts.join(members, "id").select("id", "text", *_KEY, "copies", "component", "blocks", "block").mapInArrow(
+    # Always shuffled, small or large: what is read of the members grows with the texts.
+    fetched = texts.hint("merge").join(members, "id").select("id", "text", *_KEY, "copies", "component", "blocks", "block").mapInArrow(
         _sets(size), "id long, s1 long, s2 long, n int, copies long, component long, blocks int, block int, shingles binary",
     ).dropDuplicates(["id"])
     dealt = fetched.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
