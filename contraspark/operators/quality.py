@@ -85,10 +85,10 @@ def complement_folds(folds: DataFrame, cells: DataFrame) -> DataFrame:
     return counted.where(F.coalesce("held_out", F.lit(0)) != 1)
 
 
-def pair_symmetry(counts: DataFrame) -> DataFrame:
-    """Directions whose opposite does not have wins and losses swapped."""
-    back = counts.select(F.col("source").alias("target"), F.col("target").alias("source"), F.col("wins").alias("back_losses"), F.col("losses").alias("back_wins"))
-    return counts.join(back, ["source", "target"]).where((F.col("wins") != F.col("back_wins")) | (F.col("losses") != F.col("back_losses")))
+def pair_symmetry(counts: DataFrame, key: list[str]) -> DataFrame:
+    """Directions (within each key) whose opposite does not have wins and losses swapped."""
+    back = counts.select(*key, F.col("source").alias("target"), F.col("target").alias("source"), F.col("wins").alias("back_losses"), F.col("losses").alias("back_wins"))
+    return counts.join(back, [*key, "source", "target"]).where((F.col("wins") != F.col("back_wins")) | (F.col("losses") != F.col("back_losses")))
 
 
 def table_equivalence(a: DataFrame, b: DataFrame, keys: list[str], value: str, atol: float = 1e-12, rtol: float = 0.0) -> DataFrame:
