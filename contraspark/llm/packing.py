@@ -19,6 +19,7 @@ repeated or null doc_ids are separate documents. An empty table gives no rows.
 
 from __future__ import annotations
 
+import os
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -34,6 +35,8 @@ MAX_OPEN = 1024
 CACHE_WORDS = 1_000_000
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _PARTITION_BITS = 40
+#: ASCII marks that may follow a word; the apostrophe is left out, as it may start a part of its own.
+_MARKS = ".,;:!?()[]{}*#%&$@+=/\\|~^_-\""
 
 
 class Packer:
@@ -142,15 +145,46 @@ class _Tokens:
     """Ids of texts by a tokenizer file, word by word; words are remembered between batches.
 
     The tokenizer must treat white space as a border and drop it, so that the ids of a text are those
-    of its parts between ASCII blanks.
+    of its parts between ASCII blanks; it must split letters from marks and lower-case its input.
     """
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_str(definition)
         self.place, self.ids, self.starts = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
+    def _add(self, words: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        self.place.update(zip(words, range(len(self.starts) - 1, len(self.starts) - 1 + len(words)), strict=True))
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(size, dtype=np.int64)])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode new words. Letters followed by marks are always two parts to the tokenizer, and ASCII case does not count, so a letter part is encoded once for all its words."""
+        parts, single = {}, {}
+        for word in words:
+            stem = word.rstrip(_MARKS)
+            if stem.isalpha():
+                tail = word[len(stem) :]
+                stem = stem.lower() if stem.isascii() else stem
+                if tail or stem != word:
+                    parts[word] = (stem, tail)
+                    single[stem] = None
+                    if tail:
+                        single[tail] = None
+                    continue
+            single[word] = None
+        fresh = [w for w in single if w not in self.place]
+        coded = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
+        self._add(fresh, np.array([i for x in coded for i in x], np.uint32), np.array([len(x) for x in coded], np.int64))
+        if parts:
+            pair = np.fromiter((self.place[x] if x else -1 for both in parts.values() for x in both), np.int64, 2 * len(parts))
+            size = np.where(pair >= 0, self.starts[pair + 1] - self.starts[pair], 0)
+            ends = np.cumsum(size)
+            ids = self.ids[np.arange(ends[-1]) + np.repeat(self.starts[pair] - (ends - size), size)]
+            self._add(list(parts), ids, size.reshape(-1, 2).sum(1))
+
     def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by the end id, and their offsets."""
         words, counts = [], []
@@ -162,10 +196,7 @@ class _Tokens:
             self.place, self.ids, self.starts = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
         new = [w for w in dict.fromkeys(words) if w not in self.place]
         if new:
-            coded = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            self.place.update(zip(new, range(len(self.starts) - 1, len(self.starts) - 1 + len(new)), strict=True))
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(x) for x in coded])])
-            self.ids = np.concatenate([self.ids, np.array([i for x in coded for i in x], np.uint32)])
+            self._learn(new)
         which = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
         size = self.starts[which + 1] - self.starts[which]
         ends = np.concatenate([[0], np.cumsum(size)])
