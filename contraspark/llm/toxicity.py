@@ -89,18 +89,34 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _blocks(n: int, size: int = 1 << 20) -> Iterator[slice]:
+    """Whole-length index arrays would take several times the features' own memory, so the driver works block by block."""
+    return (slice(at, min(n, at + size)) for at in range(0, n, size))
+
+
 def inverse_frequency(data: Features, bits: int, least: int = LEAST_TEXTS) -> np.ndarray:
     """Scale of each place: log of texts over texts with the place; 0 for places in under ``least`` texts."""
-    found, texts = np.bincount(data.place, minlength=1 << bits), len(data.start) - 1
+    found, texts = np.zeros(1 << bits, np.int64), len(data.start) - 1
+    for part in _blocks(len(data.place)):
+        found += np.bincount(data.place[part], minlength=1 << bits)
     return np.where(found >= min(least, max(2, texts // 50)), np.log((texts + 1) / (found + 1)), 0.0)
 
 
+def _scaled(data: Features, scale: np.ndarray) -> Features:
+    """The entries at learnt places, times their scale."""
+    keep = (scale != 0)[data.place]
+    start = np.append(np.zeros(1, np.int32), np.cumsum(keep, dtype=np.int32))[data.start].astype(np.int64)
+    place, value = data.place[keep], data.value[keep]
+    for part in _blocks(len(place)):
+        value[part] = value[part] * scale[place[part]]
+    return Features(place, value, start)
+
+
 def fit_nnpu(data: Features, positive: np.ndarray, prior: float, bits: int = BITS, epochs: int = 16, batch: int = 1024, rate: float = 0.3, decay: float = 1e-5, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights and bias by Adam on the clipped risk, averaged over the later half of the steps."""
     rng = np.random.default_rng(seed)
     scale = inverse_frequency(data, bits)
-    keep = np.flatnonzero(scale[data.place])
-    data = Features(data.place[keep], (data.value[keep] * scale[data.place[keep]]).astype(np.float32), np.searchsorted(keep, data.start))
+    data = _scaled(data, scale)
     pos, unl = np.flatnonzero(positive), np.flatnonzero(~positive)
     weight = np.append(np.zeros(1 << bits), np.log(prior / (1 - prior)))  # the bias comes last
     first, second, total = np.zeros(len(weight)), np.zeros(len(weight)), np.zeros(len(weight))
@@ -128,8 +144,10 @@ def fit_nnpu(data: Features, positive: np.ndarray, prior: float, bits: int = BIT
     if len(unl):
         # Score 0.5 lies where recall**4 / share called toxic is largest: an F score leaning to recall, as far as
         # positives (recall) and unlabelled texts, which stand for all (share), tell it.
-        place, value, of = data.take(np.concatenate([pos, unl]))
-        out = np.bincount(of, weight[place] * value, len(pos) + len(unl))
+        rows, out = np.concatenate([pos, unl]), np.zeros(len(pos) + len(unl))
+        for part in _blocks(len(rows), 512):
+            place, value, of = data.take(rows[part])
+            out[part] = np.bincount(of, weight[place] * value, part.stop - part.start)
         of_pos, of_unl = np.sort(out[: len(pos)]), np.sort(out[len(pos) :])
         cuts = np.unique(of_unl)
         recall = 1 - np.searchsorted(of_pos, cuts) / len(pos)
@@ -146,6 +164,28 @@ def _sample(docs: DataFrame, labels: DataFrame, max_positive: int, max_unlabelle
     return first(ids.join(toxic, "doc_id", "left_semi"), max_positive), first(ids, max_unlabelled)
 
 
+def _in_order(batches: list[pa.RecordBatch]) -> tuple[Features, np.ndarray]:
+    """One table of all rows, positives first, then by content: rows come in any order, a fixed one makes the fit the same each time."""
+    lengths, sums, positive = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+    for batch in batches:
+        n = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+        place = batch.column(1).flatten().to_numpy().astype(np.int64) * 2654435761 % (1 << 31)
+        lengths.append(n)
+        sums.append(np.add.reduceat(np.append(place, 0), np.minimum(np.cumsum(n) - n, len(place))) * (n > 0) if len(n) else n)
+        positive.append(batch.column(0).to_numpy(zero_copy_only=False).astype(bool))
+    size, key, positive = np.concatenate(lengths), np.concatenate(sums), np.concatenate(positive)
+    order = np.lexsort((size, key, ~positive))
+    start = np.concatenate([[0], np.cumsum(size[order])])
+    to = np.empty(len(order), np.int64)
+    to[order] = start[:-1]
+    place, value, row = np.empty(start[-1], np.int32), np.empty(start[-1], np.float32), 0
+    for batch, n in zip(batches, lengths[1:], strict=True):
+        at = np.repeat(to[row : row + len(n)] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        place[at], value[at] = batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
+        row += len(n)
+    return Features(place, value, start), positive[order]
+
+
 def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, bits: int = BITS) -> tuple[np.ndarray, float]:
     """Fit on ``docs`` (doc_id, text) with the confirmed cases in ``labels`` (doc_id, toxic).
 
@@ -166,20 +206,10 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, max_po
                 [batch.column(batch.schema.get_field_index("positive")), list_array(found.place, found.start), list_array(found.value, found.start)], ["positive", "place", "value"],
             )
 
-    table = rows.mapInArrow(extract, "positive boolean, place array<int>, value array<float>").toArrow().combine_chunks()
-    positive = np.array(table.column("positive").to_pylist(), bool)
+    data, positive = _in_order(rows.mapInArrow(extract, "positive boolean, place array<int>, value array<float>").toArrow().to_batches())
     if not positive.any():
         return np.zeros(1 << bits, np.float32), -np.inf
-    place = table.column("place").combine_chunks()
-    value = table.column("value").combine_chunks()
-    lengths = pc.list_value_length(place).to_numpy(zero_copy_only=False)
-    # Rows come in any order; a fixed order makes the fit the same each time.
-    data = Features(place.flatten().to_numpy(), value.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lengths)]))
-    sums = np.add.reduceat(np.append(data.place.astype(np.int64) * 2654435761 % (1 << 31), 0), np.minimum(data.start[:-1], len(data.place))) * (lengths > 0)
-    order = np.lexsort((lengths, sums, ~positive))
-    p, v, of = data.take(order)
-    data = Features(p, v, np.searchsorted(of, np.arange(len(order) + 1)))
-    return fit_nnpu(data, positive[order], prior, bits)
+    return fit_nnpu(data, positive, prior, bits)
 
 
 def score(docs: DataFrame, weights: tuple[np.ndarray, float], text_col: str = "text", out_col: str = "score") -> DataFrame:
