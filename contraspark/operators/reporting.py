@@ -64,3 +64,31 @@ def matching_leaders(sums: DataFrame, key: list[str], item: str, value: str, tau
 def leader_class(leaders: DataFrame, item: str) -> DataFrame:
     g = leaders.groupBy(item).agg(F.bool_and("leads").alias("always"), F.bool_or("leads").alias("ever"), F.count_if("leads").alias("times"))
     return g.select(item, "times", F.when(F.col("always"), "necessary").when(F.col("ever"), "possible").otherwise("impossible").alias("leader_class"))
+
+
+def candidate_edges(samples: DataFrame, key: list[str], first: str, last: str) -> DataFrame:
+    """Keys whose first-day and last-day samples both have the role EVAL; keys that training used are left out."""
+    at = lambda day: samples.where((F.col("day") == day) & (F.col("role") == "EVAL")).select(*key).distinct()
+    return at(first).join(at(last), key, "left_semi").join(samples.where("role = 'TRAIN'").select(*key).distinct(), key, "left_anti")
+
+
+def rejection_class(adjusted: DataFrame, pair: list[str], family_size: int, alpha: float) -> DataFrame:
+    """Is a pair's rejection the same under every matching: invariant, impossible, possible_not_necessary or unresolved."""
+    g = adjusted.groupBy(*pair).agg(F.min("p").alias("best"), F.max("p").alias("worst"), F.bool_or(F.col("adjusted") <= alpha).alias("some"))
+    kind = F.when(F.col("worst") * family_size <= alpha, "invariant").when(F.col("best") > alpha, "impossible").when(F.col("some"), "possible_not_necessary").otherwise("unresolved")
+    return g.select(*pair, kind.alias("class"))
+
+
+def role_losses(pairs: DataFrame, treated: DataFrame, scales: DataFrame) -> DataFrame:
+    """task, i, o, loss: mean squared standardized error of the effect on input rows i against the target on observation rows o, which share no row."""
+    x = pairs.where("i <> o").join(F.broadcast(scales), "gene").join(treated, "gene")
+    e = (F.col("effect") - (F.col("y") - F.col("ref"))) / F.col("s")
+    return x.groupBy("task", "i", "o").agg(F.avg(e * e).alias("loss"))
+
+
+def displacement(states: DataFrame, key: list[str], block: str, scales: DataFrame) -> DataFrame:
+    """Root mean square standardized distance of a model's states over pairs of input blocks."""
+    a, b = states.alias("a"), states.alias("b")
+    j = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*key, "gene"]] + [F.col(f"a.{block}") < F.col(f"b.{block}")])
+    x = j.select(*[F.col(f"a.{c}").alias(c) for c in [*key, "gene"]], (F.col("a.v") - F.col("b.v")).alias("d")).join(F.broadcast(scales), "gene")
+    return x.groupBy(*key).agg(F.sqrt(F.avg(F.col("d") * F.col("d") / (F.col("s") * F.col("s")))).alias("displacement"))

@@ -3,16 +3,17 @@
 import math
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
-from contraspark.operators import allocation, comparison, inference, organizer, quality, scoring
+from contraspark.operators import allocation, comparison, inference, organizer, quality, regression, resampling, scoring
 from contraspark.plans import registry
 from contraspark.sources import storage
 
 SF = "/root/testdata/sf0.01"
-CHECKED = ["table_fingerprint", "dq_equal_support", "gene_panel_topk_variance", "allocate_blocks", "crossing_classification", "winner_selection", "policy_summary", "unit_macro_risk_curve", "holm_adjust", "unit_bootstrap_means"]
+CHECKED = ["table_fingerprint", "dq_equal_support", "gene_panel_topk_variance", "allocate_blocks", "crossing_classification", "winner_selection", "policy_summary", "unit_macro_risk_curve", "holm_adjust", "unit_bootstrap_means", "max_t_bootstrap", "structural_zero_max_t", "reference_action_plan", "recompute_check"]
 
 
 def rows(df):
@@ -85,3 +86,40 @@ def test_publish_once_refuses_to_overwrite(spark):
 
 def test_entry(spark):
     assert entry_module.entry(spark).count() > 0 and set(entry_module.oracle_sql()) <= set(entry_module.queries())
+
+
+def test_clopper_pearson_against_sums(spark):
+    got = {(r.x, r.n): (r.lower, r.upper) for r in resampling.clopper_pearson(spark.createDataFrame([(0, 10), (3, 10), (10, 10), (40, 200)], "x long, n long"), "x", "n").collect()}
+    tail = lambda x, n, p: sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(x, n + 1))
+    for (x, n), (lo, hi) in got.items():
+        assert lo == 0 if x == 0 else abs(tail(x, n, lo) - 0.025) < 1e-4
+        assert hi == 1 if x == n else abs(1 - tail(x + 1, n, hi) - 0.025) < 1e-4
+
+
+def test_ridge_against_numpy(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 2))
+    y = x @ [1.0, -2.0] + 3 + rng.normal(size=60)
+    df = spark.createDataFrame([(i % 3, float(a), float(b), float(c)) for i, ((a, b), c) in enumerate(zip(x, y, strict=True))], "fold int, a double, b double, y double")
+
+    def solve(x, y, penalty):
+        c = x - x.mean(0)
+        beta = np.linalg.solve(c.T @ c + penalty * np.eye(2), c.T @ (y - y.mean()))
+        return beta, y.mean() - x.mean(0) @ beta
+
+    beta, intercept = regression.ridge_fit(df, ["a", "b"], ["y"], 1.0)["y"]
+    want, at = solve(x, y, 1.0)
+    assert np.allclose(beta, want) and np.isclose(intercept, at)
+    fold = np.arange(60) % 3
+    for r in regression.ridge_cv(df, "fold", ["a", "b"], ["y"], (0.1, 10.0), 1e-9).collect():
+        fits = [solve(x[fold != f], y[fold != f], r.penalty) for f in range(3)]
+        assert np.isclose(r.mse, np.mean([(y[i] - x[i] @ fits[fold[i]][0] - fits[fold[i]][1]) ** 2 for i in range(60)]))
+
+
+def test_pca_against_numpy(spark):
+    x = np.random.default_rng(5).normal(size=(40, 4)) * [4, 3, 2, 1]
+    got = {r.id: r.scores for r in regression.pca_project(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>"), "id", "v", 2).collect()}
+    c = x - x.mean(0)
+    axes = np.linalg.svd(c, full_matrices=False)[2][:2]
+    axes *= np.sign(axes[np.arange(2), np.abs(axes).argmax(1)])[:, None]
+    assert np.allclose([got[i] for i in range(40)], c @ axes.T)
