@@ -46,10 +46,12 @@ def smallest_k(m: Column, alpha: float) -> Column:
     return F.ceil(F.log2(m / F.lit(alpha)) - 1e-12).cast("int")
 
 
-def directional(df: DataFrame, alpha: float, family_size: int) -> DataFrame:
-    least = smallest_k(F.lit(float(family_size)), alpha)
+def directional(df: DataFrame, alpha: float, family: list[str]) -> DataFrame:
+    """Decision of each hypothesis; the family's size is its number of rows."""
+    df = df.withColumn("_m", F.count("*").over(Window.partitionBy(*family)).cast("double"))
+    least = smallest_k(F.col("_m"), alpha)
     decision = F.when(F.col("k") < least, "WITHHELD").when(F.col("adjusted") <= alpha, "DIRECTION").otherwise("NO_DIRECTION")
-    return df.withColumn("least_k", least).withColumn("decision", decision)
+    return df.withColumn("least_k", least).withColumn("decision", decision).drop("_m")
 
 
 @lru_cache(256)

@@ -72,10 +72,11 @@ def candidate_edges(samples: DataFrame, key: list[str], first: str, last: str) -
     return at(first).join(at(last), key, "left_semi").join(samples.where("role = 'TRAIN'").select(*key).distinct(), key, "left_anti")
 
 
-def rejection_class(adjusted: DataFrame, pair: list[str], family_size: int, alpha: float) -> DataFrame:
-    """Is a pair's rejection the same under every matching: invariant, impossible, possible_not_necessary or unresolved."""
-    g = adjusted.groupBy(*pair).agg(F.min("p").alias("best"), F.max("p").alias("worst"), F.bool_or(F.col("adjusted") <= alpha).alias("some"))
-    kind = F.when(F.col("worst") * family_size <= alpha, "invariant").when(F.col("best") > alpha, "impossible").when(F.col("some"), "possible_not_necessary").otherwise("unresolved")
+def rejection_class(adjusted: DataFrame, pair: list[str], family: list[str], alpha: float) -> DataFrame:
+    """Is a pair's rejection the same under every matching: invariant, impossible, possible_not_necessary or unresolved.
+    The size of a matching's family is its number of rows; the largest one counts."""
+    g = adjusted.withColumn("_m", F.count("*").over(Window.partitionBy(*family))).groupBy(*pair).agg(F.min("p").alias("best"), F.max("p").alias("worst"), F.bool_or(F.col("adjusted") <= alpha).alias("some"), F.max("_m").alias("size"))
+    kind = F.when(F.col("worst") * F.col("size") <= alpha, "invariant").when(F.col("best") > alpha, "impossible").when(F.col("some"), "possible_not_necessary").otherwise("unresolved")
     return g.select(*pair, kind.alias("class"))
 
 

@@ -24,7 +24,11 @@ def _(spark, d):
 
 @query("read_cells_wide_to_long", w("cells", "lcells") + "SELECT cell_id, stratum, 'g' || gene AS gene, value FROM lcells WHERE gene < 16", ("value",))
 def _(spark, d):
-    wide = dm.cells(spark, d).select("cell_id", "stratum", *[F.get("profile", F.lit(i)).alias(f"g{i}") for i in range(16)])
+    return _long_cells(spark, d, 16)
+
+
+def _long_cells(spark, d, width):
+    wide = dm.cells(spark, d).select("cell_id", "stratum", *[F.get("profile", F.lit(i)).alias(f"g{i}") for i in range(width)])
     return st.wide_to_long(wide, ["cell_id", "stratum"])
 
 

@@ -217,7 +217,7 @@ def _(spark, d):
 
 @query("directional_decisions", U + "SELECT allocation_id, source, target, k, CASE WHEN k < 9 THEN 'WITHHELD' WHEN adjusted <= 0.05 THEN 'DIRECTION' ELSE 'NO_DIRECTION' END AS decision FROM hm")
 def _(spark, d):
-    return inf.directional(_holm(spark, d), 0.05, 20).select("allocation_id", "source", "target", "k", "decision")
+    return inf.directional(_holm(spark, d), 0.05, ["allocation_id"]).select("allocation_id", "source", "target", "k", "decision")
 
 
 _US = ", us AS (SELECT allocation_id, method_id, avg(utility) AS mean, median(utility) AS median, min(utility) AS least, max(utility) AS most FROM util GROUP BY ALL)\n"
@@ -318,9 +318,12 @@ def _(spark, d):
 _WP = ", wp AS (SELECT unit, case_id, realization, max(score) FILTER (budget = 'A') AS sl, max(score) FILTER (budget = 'R') AS rl, case_id::DOUBLE + 1 AS wt FROM scores WHERE model = 'BUILDING' GROUP BY ALL)\n"
 
 
-def _wp(spark, d):
+def _wp(spark, d, models=("BUILDING",)):
+    """Losses of each case and realization under budgets A and R; of all models where none is named."""
     at = lambda b: F.max(F.when(F.col("budget") == b, F.col("score")))
-    return dm.scores(spark, d).where("model = 'BUILDING'").groupBy("unit", "case_id", "realization").agg(at("A").alias("sl"), at("R").alias("rl")).withColumn("wt", F.col("case_id").cast("double") + 1)
+    s = dm.scores(spark, d)
+    s = s.where(F.col("model").isin(*models)) if models else s
+    return s.groupBy("model", "unit", "case_id", "realization").agg(at("A").alias("sl"), at("R").alias("rl")).withColumn("wt", F.col("case_id").cast("double") + 1)
 
 
 @query("cluster_paired_summary", with_("scores") + _WP + """, m AS (SELECT realization, sum((sl - rl) * wt) / sum(wt) AS mean, sum(wt) AS total, sum(rl * wt) / sum(sl * wt) AS ratio FROM wp GROUP BY realization), c AS (SELECT realization, unit, sum(wt * (sl - rl - mean) / total) AS u FROM wp JOIN m USING (realization) GROUP BY ALL)

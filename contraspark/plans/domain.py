@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +14,18 @@ from contraspark.plans.registry import table
 
 DEPTHS, ALLOCATIONS, SEED = (4, 8, 12), 2, "s1"
 CONTROLS = "label < 4"
+BRANDS = ("Brand#11", "Brand#12", "Brand#13", "Brand#21", "Brand#22")
+_WHOLE: ContextVar[bool] = ContextVar("whole", default=False)
+
+
+@contextmanager
+def whole_tables() -> Iterator[None]:
+    """Queries built inside take all brands, not only those of ``BRANDS``."""
+    token = _WHOLE.set(True)
+    try:
+        yield
+    finally:
+        _WHOLE.reset(token)
 
 
 def scores(spark: SparkSession, d: str) -> DataFrame:
@@ -31,9 +47,10 @@ def assessment(spark: SparkSession, d: str) -> DataFrame:
 
 
 def utilities(spark: SparkSession, d: str) -> DataFrame:
-    """dataset_id, allocation_id, unit_id, method_id, utility: mean quantity by supplier nation and brand."""
+    """dataset_id, allocation_id, unit_id, method_id, utility: mean quantity by supplier nation and brand, of five brands outside ``whole_tables``."""
     j = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag", "l_quantity").join(table(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    j = j.join(table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey")).where(F.col("p_brand").isin("Brand#11", "Brand#12", "Brand#13", "Brand#21", "Brand#22"))
+    j = j.join(table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    j = j if _WHOLE.get() else j.where(F.col("p_brand").isin(*BRANDS))
     key = [F.lit("d1").alias("dataset_id"), F.col("l_returnflag").alias("allocation_id"), F.col("s_nationkey").cast("string").alias("unit_id"), F.col("p_brand").alias("method_id")]
     return j.groupBy(*key).agg(F.avg(F.col("l_quantity").cast("double")).alias("utility"))
 
@@ -130,6 +147,7 @@ SQL = {
     "vdist": """vdist AS (SELECT allocation, depth, avg(v) AS v FROM (SELECT a.allocation, a.depth, a.block AS i, b.block AS j, avg(pow((a.value - b.value) / s, 2)) AS v
   FROM lblocks a JOIN lblocks b ON a.allocation = b.allocation AND a.depth = b.depth AND a.gene = b.gene AND a.block <> b.block JOIN lcontrol c ON a.gene = c.gene GROUP BY ALL) GROUP BY ALL)""",
 }
+SQL["util_whole"] = SQL["util"].replace(" WHERE p_brand IN ('Brand#11', 'Brand#12', 'Brand#13', 'Brand#21', 'Brand#22')", "")
 SQL["pairs"] = """pairs AS (SELECT x.task, x.allocation, x.depth, x.model AS model_a, y.model AS model_b, x.kind AS kind_a, y.kind AS kind_b, max(CASE WHEN x.pattern = 'S' THEN y.mse - x.mse END) AS d_s, max(CASE WHEN x.pattern = 'D' THEN y.mse - x.mse END) AS d_d
   FROM patterns x JOIN patterns y ON x.task = y.task AND x.allocation = y.allocation AND x.depth = y.depth AND x.pattern = y.pattern AND ((x.kind = 'effect' AND y.kind = 'state') OR (x.kind = y.kind AND x.model < y.model)) GROUP BY ALL)"""
 ROLE = ["cells", "lcells", "halves", "ranked", "depths", "member", "lblocks", "ltargets", "lcontrol", "ltrain", "lpred", "tuples", "patterns", "vdist", "pairs"]

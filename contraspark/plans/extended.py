@@ -71,7 +71,7 @@ def _(spark, d):
 g AS (SELECT count, 10 AS total, count / 10 AS coverage FROM c GROUP BY count HAVING count(DISTINCT allocation_id) = 3) SELECT 'd1' AS dataset_id, *, coalesce(count = max(count) FILTER (coverage <= 0.5) OVER (), false) AS primary FROM g""", ("coverage",))
 def _(spark, d):
     b = rp.tie_blocks(_candidates(spark, d).withColumn("s", F.abs("estimate")), ["allocation_id"], "s", ["model_a", "model_b"], 0.3)
-    return rs.common_coverage(b.select(F.lit("d1").alias("dataset_id"), "allocation_id", "count", F.lit(10).alias("total")), ["dataset_id"], "allocation_id", "count", "total", 3)
+    return rs.common_coverage(b.select(F.lit("d1").alias("dataset_id"), "allocation_id", "count", F.sum("rows").over(Window.partitionBy("allocation_id")).cast("int").alias("total")), ["dataset_id"], "allocation_id", "count", "total", 3)
 
 
 @query("paired_rule_bounds", with_("util") + _UM + _PC + _IV + """, x AS (SELECT p.model_a, p.model_b, p.direction AS d1, q.direction AS d2, unnest(CASE WHEN p.lower > 0 THEN ['a'] WHEN p.upper < 0 THEN ['b'] ELSE ['a', 'b'] END) AS sign FROM dj p JOIN dj q ON p.model_a = q.model_a AND p.model_b = q.model_b AND p.allocation_id = 'A' AND q.allocation_id = 'R'),
@@ -122,7 +122,7 @@ def _(spark, d):
 
 @query("matching_rejection_class", U + ", f AS (SELECT source, target, min(p) AS best, max(p) AS worst, bool_or(adjusted <= 0.3) AS once FROM hm GROUP BY ALL) SELECT source, target, CASE WHEN worst * 20 <= 0.3 THEN 'invariant' WHEN best > 0.3 THEN 'impossible' WHEN once THEN 'possible_not_necessary' ELSE 'unresolved' END AS class FROM f")
 def _(spark, d):
-    return rp.rejection_class(_holm(spark, d), ["source", "target"], 20, 0.3)
+    return rp.rejection_class(_holm(spark, d), ["source", "target"], ["allocation_id"], 0.3)
 
 
 @query("recompute_check", "SELECT 'net' AS column, count(*) AS rows, 0::BIGINT AS missing, count(*) FILTER (o_orderkey % 7 = 0) AS different FROM orders")

@@ -1,0 +1,83 @@
+"""Queries over whole tables: each NAME_whole is the query NAME without its subset (five brands, one model, 16 genes)."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from contraspark.operators import inference as inf
+from contraspark.plans import base, decisions, extended, registry, reports  # noqa: F401  registers the queries
+from contraspark.plans import domain as dm
+from contraspark.plans.domain import with_
+from contraspark.plans.registry import rounded
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+#: Family sizes that the SQL of the five brands has as literals.
+_COUNTED = {
+    "directional_decisions": [("k < 9", "k < ceil(log2(m / 0.05) - 1e-12)")],
+    "matching_rejection_class": [("bool_or(adjusted <= 0.3) AS once", "bool_or(adjusted <= 0.3) AS once, max(m) AS size"), ("worst * 20", "worst * size")],
+    "common_coverage": [
+        ("SELECT allocation_id, (sum(rows) OVER (PARTITION BY allocation_id ORDER BY block ROWS UNBOUNDED PRECEDING))::BIGINT AS count FROM b", "SELECT allocation_id, (sum(rows) OVER (PARTITION BY allocation_id ORDER BY block ROWS UNBOUNDED PRECEDING))::BIGINT AS count, (sum(rows) OVER (PARTITION BY allocation_id))::INT AS n FROM b"),
+        ("10 AS total, count / 10 AS coverage", "max(n) AS total, count / max(n) AS coverage"),
+    ],
+}
+#: Their SQL takes eight units; the sign vectors of more are drawn otherwise.
+_FLIPS = ("sign_flip_max_t", "structural_zero_max_t")
+
+
+def _brands(name: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with dm.whole_tables():
+            return registry.QUERIES[name](spark, sf_dir)
+
+    sql = registry.ORACLE_SQL[name].replace(dm.SQL["util"], dm.SQL["util_whole"])
+    for old, new in _COUNTED.get(name, []):
+        if old not in sql:
+            raise ValueError(f"{name}: {old}")
+        sql = sql.replace(old, new)
+    QUERIES[f"{name}_whole"], ORACLE_SQL[f"{name}_whole"] = run, sql
+
+
+for _name, _sql in registry.ORACLE_SQL.items():
+    if dm.SQL["util"] in _sql and _name not in _FLIPS:
+        _brands(_name)
+
+
+def _query(name: str, sql: str, doubles: tuple[str, ...]):
+    def put(fn):
+        QUERIES[name] = lambda spark, sf_dir: rounded(fn(spark, sf_dir))
+        ORACLE_SQL[name] = f"SELECT * REPLACE ({', '.join(f'round({c}, 9) + 0.0 AS {c}' for c in doubles)}) FROM ({sql})"
+        return fn
+
+    return put
+
+
+@_query("read_cells_wide_to_long_whole", with_("cells", "lcells") + "SELECT cell_id, stratum, 'g' || gene AS gene, value FROM lcells", ("value",))
+def _(spark, d):
+    return base._long_cells(spark, d, dm.cells(spark, d).agg(F.max(F.size("profile"))).first()[0] or 0)
+
+
+_WP = ", wp AS (SELECT model, unit, case_id, realization, max(score) FILTER (budget = 'A') AS sl, max(score) FILTER (budget = 'R') AS rl, case_id::DOUBLE + 1 AS wt FROM scores GROUP BY ALL)\n"
+
+
+@_query("cluster_paired_summary_whole", with_("scores") + _WP + """, m AS (SELECT model, realization, sum((sl - rl) * wt) / sum(wt) AS mean, sum(wt) AS total, sum(rl * wt) / sum(sl * wt) AS ratio FROM wp GROUP BY ALL), c AS (SELECT model, realization, unit, sum(wt * (sl - rl - mean) / total) AS u FROM wp JOIN m USING (model, realization) GROUP BY ALL)
+SELECT model, realization, any_value(mean) AS mean, any_value(ratio) AS ratio, count(*) AS clusters, sqrt(sum(u * u) * count(*) / (count(*) - 1)) AS se FROM c JOIN m USING (model, realization) GROUP BY ALL""", ("mean", "ratio", "se"))
+def _(spark, d):
+    return inf.weighted_pairs(decisions._wp(spark, d, None), ["model", "realization"], "sl", "rl", "wt", "unit")
+
+
+@_query("donor_weights_whole", with_("scores") + _WP + "SELECT model, unit, case_id, realization, wt / sum(wt) OVER (PARTITION BY model, unit) AS weight FROM wp", ("weight",))
+def _(spark, d):
+    return decisions._wp(spark, d, None).select("model", "unit", "case_id", "realization", (F.col("wt") / F.sum("wt").over(Window.partitionBy("model", "unit"))).alias("weight"))
+
+
+@_query("leave_one_unit_out_whole", with_("scores") + _WP + ", u AS (SELECT model, unit, sum((sl - rl) * wt) AS x, sum(wt) AS wt FROM wp GROUP BY ALL) SELECT model, unit, (sum(x) OVER w - x) / (sum(wt) OVER w - wt) AS mean_without, wt / sum(wt) OVER w AS share, pow(sum(wt) OVER w, 2) / sum(wt * wt) OVER w AS effective FROM u WINDOW w AS (PARTITION BY model)", ("mean_without", "share", "effective"))
+def _(spark, d):
+    u = decisions._wp(spark, d, None).groupBy("model", "unit").agg(F.sum((F.col("sl") - F.col("rl")) * F.col("wt")).alias("x"), F.sum("wt").alias("wt"))
+    t = u.groupBy("model").agg(F.sum("x").alias("tx"), F.sum("wt").alias("tw"), F.sum(F.col("wt") * F.col("wt")).alias("tww"))
+    j = u.join(F.broadcast(t), "model")
+    return j.select("model", "unit", ((F.col("tx") - F.col("x")) / (F.col("tw") - F.col("wt"))).alias("mean_without"), (F.col("wt") / F.col("tw")).alias("share"), (F.col("tw") * F.col("tw") / F.col("tww")).alias("effective"))

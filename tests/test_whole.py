@@ -1,0 +1,38 @@
+"""Whole-table queries against their SQL, and sizes that the subsets cannot have."""
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry_module
+from contraspark.operators import inference, reporting
+
+SF = "/root/testdata/sf0.01"
+WHOLE = {"directional_decisions_whole": 1800, "matching_rejection_class_whole": 600, "common_coverage_whole": None, "cluster_paired_summary_whole": None, "leave_one_unit_out_whole": 25, "donor_weights_whole": None, "read_cells_wide_to_long_whole": 500 * 64}
+
+
+def same(spark, name, sf=SF):
+    con = duckdb.connect()
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    got = entry_module.queries()[name](spark, sf)
+    names = sorted(got.columns)
+    want = con.execute(entry_module.oracle_sql()[name]).fetchdf()
+    assert names == sorted(want.columns)
+    fix = lambda v: "None" if v is None or v != v else str(round(float(v), 9) + 0.0) if isinstance(v, float) else str(v)
+    rows = sorted(tuple(fix(v) for v in r) for r in got.select(*names).collect())
+    assert rows == sorted(tuple(fix(v) for v in r) for r in want[names].astype(object).itertuples(index=False))
+    return len(rows)
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_whole_matches_sql(spark, name):
+    n = same(spark, name)
+    assert n == (WHOLE[name] or n)
+
+
+def test_family_size_is_counted(spark):
+    df = spark.range(600).select(F.lit("f").alias("fam"), F.col("id").alias("pair"), F.lit(12).alias("k"), F.lit(2.0**-12).alias("p"), F.lit(0.01).alias("adjusted"))
+    # 600 hypotheses need 14 units, and 600 * 2**-12 exceeds 0.05.
+    assert {r["least_k"] for r in inference.directional(df, 0.05, ["fam"]).collect()} == {14}
+    assert {r["class"] for r in reporting.rejection_class(df, ["pair"], ["fam"], 0.05).collect()} == {"possible_not_necessary"}
