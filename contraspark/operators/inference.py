@@ -97,13 +97,40 @@ def bootstrap_means(df: DataFrame, key: list[str], unit: str, value: str, reps:
     return df.join(F.broadcast(times), unit).groupBy(*key, "rep").agg((F.sum(F.col(value) * F.col("times")) / F.sum("times")).alias("mean"))
 
 
-def sign_flips(df: DataFrame, key: list[str], unit_no: str, value: str, n: int) -> DataFrame:
-    """|T| of each key under all 2**n sign vectors of the n units' deviations from the mean, re-studentized."""
+ALL_FLIPS, DRAWN_FLIPS = 12, 4096
+
+
+def flip_count(n: int) -> int:
+    """Sign vectors of n units: all 2**n up to 12 units, 4096 antithetic ones beyond."""
+    return 1 << n if n <= ALL_FLIPS else DRAWN_FLIPS
+
+
+def unit_numbers(df: DataFrame, unit: str) -> DataFrame:
+    """Each unit with its place n from 0."""
+    return df.select(unit).distinct().withColumn("n", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(unit)) - 1)  # units: a small roster
+
+
+def sign_flips(df: DataFrame, key: list[str], unit_no: str, value: str, n: int, seed: str = "f1") -> DataFrame:
+    """|T| of each key under sign vectors of the n units' deviations from the mean, re-studentized.
+
+    Up to 12 units all 2**n vectors are taken. Beyond, 2048 vectors and their negatives: unit 0 keeps its sign, units 1 to 11 take
+    all 2**11 combinations, so no two vectors are equal or opposite, and the others' signs are hash bits.
+    A vector and its negative have the same |T|, which is computed once for both.
+    """
     dev = df.withColumn("dev", F.col(value) - F.avg(value).over(Window.partitionBy(*key)))
-    flips = F.broadcast(df.sparkSession.range(1 << n).select(F.col("id").cast("int").alias("flip")))  # 2**n rows, n <= 12
-    x = dev.crossJoin(flips).select(*key, "flip", F.when(F.expr(f"(flip >> {unit_no}) & 1") == 1, -F.col("dev")).otherwise(F.col("dev")).alias("x"))
+    drawn = n > ALL_FLIPS
+    base = df.sparkSession.range(flip_count(n) // 2 if drawn else 1 << n).select(F.col("id").cast("int").alias("flip"))  # 4096 rows at most
+    if drawn:
+        u = df.sparkSession.range(n).select(F.col("id").cast("int").alias("_u"))
+        bit = F.when(F.col("_u") == 0, 0).when(F.col("_u") < ALL_FLIPS, F.expr("(flip >> (_u - 1)) & 1")).otherwise(hash_int(seed, F.col("flip").cast("string"), F.col("_u").cast("string")) % 2)
+        signs = F.broadcast(base.crossJoin(F.broadcast(u)).select("_u", "flip", bit.alias("_minus")))  # 2048 rows for each unit
+        j = dev.join(signs, F.col(unit_no) == F.col("_u"))
+    else:
+        j = dev.crossJoin(F.broadcast(base)).withColumn("_minus", F.expr(f"(flip >> {unit_no}) & 1"))
+    x = j.select(*key, "flip", F.when(F.col("_minus") == 1, -F.col("dev")).otherwise(F.col("dev")).alias("x"))
     g = x.groupBy(*key, "flip").agg(F.avg("x").alias("m"), (F.stddev_samp("x") / F.sqrt(F.count("*"))).alias("se"))
-    return g.withColumn("t", F.when(F.col("se") > 0, F.abs("m") / F.col("se")).when(F.abs("m") <= 1e-15, 0.0).otherwise(float("inf")))
+    t = g.withColumn("t", F.when(F.col("se") > 0, F.abs("m") / F.col("se")).when(F.abs("m") <= 1e-15, 0.0).otherwise(float("inf")))
+    return t.withColumn("flip", F.explode(F.array(F.col("flip"), DRAWN_FLIPS - 1 - F.col("flip")))) if drawn else t
 
 
 def closure(edges: DataFrame, key: list[str], rounds: int) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contraspark.operators.inference import hash_int, sign_flips
+from contraspark.operators.inference import flip_count, hash_int, sign_flips
 
 
 def studentized_draws(df: DataFrame, key: list[str], unit: str, value: str, reps: int, seed: str) -> DataFrame:
@@ -51,7 +51,7 @@ def structural_zero_intervals(df: DataFrame, family: list[str], member: list[str
     x = df.withColumn("structural", zero)
     flips = sign_flips(x.where("not structural"), [*family, *member], unit_no, value, n).groupBy(*family, "flip").agg(F.max("t").alias("t"))
     r = F.row_number().over(Window.partitionBy(*family).orderBy("t"))
-    critical = flips.withColumn("r", r).where(F.col("r") == int(np.ceil(level * (1 << n)))).select(*family, "t")
+    critical = flips.withColumn("r", r).where(F.col("r") == int(np.ceil(level * flip_count(n)))).select(*family, "t")
     g = x.groupBy(*family, *member, "structural").agg(F.avg(value).alias("m"), (F.stddev_samp(value) / F.sqrt(F.count("*"))).alias("se"))
     g = g.withColumn("broken", F.bool_or(~F.col("structural") & ~(F.col("se") > 0)).over(Window.partitionBy(*family))).join(F.broadcast(critical), family, "left")
     half = F.when(F.col("structural"), 0.0).when(F.col("broken"), float("inf")).otherwise(F.col("t") * F.col("se"))

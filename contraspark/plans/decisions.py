@@ -294,11 +294,14 @@ _SF = ", ux AS (SELECT *, unit_id::INT AS n FROM um WHERE unit_id::INT < 8), dv
 
 @query("sign_flip_max_t", with_("util") + _UM + _SF + "SELECT allocation_id, t AS critical FROM (SELECT *, row_number() OVER (PARTITION BY allocation_id ORDER BY t) AS r FROM mx) WHERE r = ceil(0.95 * 256)", ("critical",))
 def _(spark, d):
-    x = _um(spark, d).where("int(unit_id) < 8").withColumn("n", F.col("unit_id").cast("int"))
-    t = inf.sign_flips(x, ["allocation_id", "model_a", "model_b"], "n", "margin", 8)
+    return _flip_critical(_um(spark, d).where("int(unit_id) < 8").withColumn("n", F.col("unit_id").cast("int")), 8)
+
+
+def _flip_critical(x, n):
+    t = inf.sign_flips(x, ["allocation_id", "model_a", "model_b"], "n", "margin", n)
     mx = t.groupBy("allocation_id", "flip").agg(F.max("t").alias("t"))
     r = F.row_number().over(Window.partitionBy("allocation_id").orderBy("t"))
-    return mx.withColumn("r", r).where(F.col("r") == F.ceil(F.lit(0.95 * 256))).select("allocation_id", F.col("t").alias("critical"))
+    return mx.withColumn("r", r).where(F.col("r") == F.ceil(F.lit(0.95 * inf.flip_count(n)))).select("allocation_id", F.col("t").alias("critical"))
 
 
 _ED = ", ed AS (SELECT DISTINCT allocation_id, source, target FROM tl WHERE p <= 0.3)\n"

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from contraspark.operators import inference as inf
+from contraspark.operators import resampling as rs
 from contraspark.plans import base, decisions, extended, registry, reports  # noqa: F401  registers the queries
 from contraspark.plans import domain as dm
 from contraspark.plans.domain import with_
@@ -25,7 +26,7 @@ _COUNTED = {
         ("10 AS total, count / 10 AS coverage", "max(n) AS total, count / max(n) AS coverage"),
     ],
 }
-#: Their SQL takes eight units; the sign vectors of more are drawn otherwise.
+#: Their SQL takes eight units; the sign vectors of more are drawn otherwise (below).
 _FLIPS = ("sign_flip_max_t", "structural_zero_max_t")
 
 
@@ -56,6 +57,38 @@ def _query(name: str, sql: str, doubles: tuple[str, ...]):
     return put
 
 
+# ---- sign flips of all units: every vector up to 12 units, 4096 antithetic ones beyond ---------------
+
+_FL = """, uu AS (SELECT unit_id, row_number() OVER (ORDER BY unit_id) - 1 AS n FROM (SELECT DISTINCT unit_id FROM um)), nu AS (SELECT count(*) AS units FROM uu), ux AS (SELECT um.*, n, model_a[:7] = model_b[:7] AS structural FROM um JOIN uu USING (unit_id)),
+sg AS (SELECT flip, n, CASE WHEN units <= 12 THEN (flip >> n) & 1 WHEN n = 0 THEN (flip >= 2048)::BIGINT ELSE ((flip >= 2048)::BIGINT + CASE WHEN n < 12 THEN (b >> (n - 1)) & 1 ELSE ('0x' || md5('f1|' || b || '|' || n)[1:8])::BIGINT % 2 END) % 2 END AS minus
+ FROM (SELECT flip, CASE WHEN flip < 2048 THEN flip ELSE 4095 - flip END AS b FROM (SELECT unnest(range(4096)) AS flip)), uu, nu WHERE units > 12 OR flip < (1::BIGINT << units)),
+dv AS (SELECT *, margin - avg(margin) OVER (PARTITION BY allocation_id, model_a, model_b) AS dev FROM ux{where}),
+fl AS (SELECT allocation_id, model_a, model_b, flip, abs(avg(x)) / (stddev_samp(x) / sqrt(count(*))) AS t FROM (SELECT allocation_id, model_a, model_b, flip, CASE WHEN minus = 1 THEN -dev ELSE dev END AS x FROM dv JOIN sg USING (n)) GROUP BY ALL),
+cr AS (SELECT allocation_id, t FROM (SELECT *, row_number() OVER (PARTITION BY allocation_id ORDER BY t) AS r, count(*) OVER (PARTITION BY allocation_id) AS flips FROM (SELECT allocation_id, flip, max(t) AS t FROM fl GROUP BY ALL)) WHERE r = ceil(0.95 * flips)),
+gs AS (SELECT allocation_id, model_a, model_b, structural, avg(margin) AS m, stddev_samp(margin) / sqrt(count(*)) AS se FROM ux GROUP BY ALL)
+"""
+
+
+def _units(spark, d):
+    """Margins of all brands with their unit's place n, and the number of units."""
+    with dm.whole_tables():
+        m = decisions._um(spark, d)
+    units = inf.unit_numbers(m, "unit_id")
+    return m.join(F.broadcast(units), "unit_id"), units.count()
+
+
+@_query("sign_flip_max_t_whole", with_("util_whole") + decisions._UM + _FL.format(where="") + "SELECT allocation_id, t AS critical FROM cr", ("critical",))
+def _(spark, d):
+    return decisions._flip_critical(*_units(spark, d))
+
+
+@_query("structural_zero_max_t_whole", with_("util_whole") + decisions._UM + _FL.format(where=" WHERE NOT structural") + "SELECT allocation_id, model_a, model_b, structural, CASE WHEN structural THEN 0 ELSE m END AS mean, CASE WHEN structural THEN 0 ELSE m - t * se END AS lower, CASE WHEN structural THEN 0 ELSE m + t * se END AS upper FROM gs JOIN cr USING (allocation_id)", ("mean", "lower", "upper"))
+def _(spark, d):
+    x, n = _units(spark, d)
+    zero = F.substring("model_a", 1, 7) == F.substring("model_b", 1, 7)
+    return rs.structural_zero_intervals(x, ["allocation_id"], ["model_a", "model_b"], "n", "margin", zero, n, 0.95)
+
+
 @_query("read_cells_wide_to_long_whole", with_("cells", "lcells") + "SELECT cell_id, stratum, 'g' || gene AS gene, value FROM lcells", ("value",))
 def _(spark, d):
     return base._long_cells(spark, d, dm.cells(spark, d).agg(F.max(F.size("profile"))).first()[0] or 0)

@@ -8,7 +8,7 @@ import __spark_entry__ as entry_module
 from contraspark.operators import inference, reporting
 
 SF = "/root/testdata/sf0.01"
-WHOLE = {"directional_decisions_whole": 1800, "matching_rejection_class_whole": 600, "common_coverage_whole": None, "cluster_paired_summary_whole": None, "leave_one_unit_out_whole": 25, "donor_weights_whole": None, "read_cells_wide_to_long_whole": 500 * 64}
+WHOLE = {"directional_decisions_whole": 1800, "matching_rejection_class_whole": 600, "common_coverage_whole": None, "cluster_paired_summary_whole": None, "leave_one_unit_out_whole": 25, "sign_flip_max_t_whole": 3, "structural_zero_max_t_whole": 900, "donor_weights_whole": None, "read_cells_wide_to_long_whole": 500 * 64}
 
 
 def same(spark, name, sf=SF):
@@ -31,6 +31,15 @@ def test_whole_matches_sql(spark, name):
     assert n == (WHOLE[name] or n)
 
 
+def test_sign_flips_beyond_twelve_units(spark):
+    # 13 units, one with a deviation of its own: every unit counts, and the 4096 vectors are as many distinct ones with their negatives.
+    x = spark.range(13).select(F.lit("k").alias("k"), F.col("id").cast("int").alias("n"), F.pow(F.lit(2.0), "id").alias("v"))
+    t = inference.sign_flips(x, ["k"], "n", "v", 13)
+    rows = t.select("flip", F.round("m", 6).alias("m"), "t").collect()
+    assert len(rows) == len({r["flip"] for r in rows}) == 4096 and len({abs(r["m"]) for r in rows}) == 2048
+    assert inference.flip_count(12) == inference.sign_flips(x.where("n < 12"), ["k"], "n", "v", 12).count() == 4096
+
+
 def test_family_size_is_counted(spark):
     df = spark.range(600).select(F.lit("f").alias("fam"), F.col("id").alias("pair"), F.lit(12).alias("k"), F.lit(2.0**-12).alias("p"), F.lit(0.01).alias("adjusted"))
     # 600 hypotheses need 14 units, and 600 * 2**-12 exceeds 0.05.
