@@ -27,10 +27,19 @@ def _tails() -> list[tuple[int, int, float]]:
 
 
 def sign_tails(counts: DataFrame) -> DataFrame:
-    """p of each direction: P[Bin(wins + losses, 1/2) >= wins], from a table of exact integer sums (at most 110 trials)."""
+    """p of each direction: P[Bin(wins + losses, 1/2) >= wins], up to 110 trials from a table of exact integer sums, beyond from sums of doubles."""
     table = F.broadcast(counts.sparkSession.createDataFrame(_tails(), "trials int, w int, p double"))  # 6,216 rows
     k = (F.col("wins") + F.col("losses")).cast("int")
-    return counts.withColumn("k", k).join(table, (F.col("k") == F.col("trials")) & (F.col("wins") == F.col("w"))).drop("trials", "w")
+    j = counts.withColumn("k", k).join(table, (F.col("k") == F.col("trials")) & (F.col("wins") == F.col("w")), "left").drop("trials", "w")
+    return j.withColumn("p", F.when(F.col("k") > MAX_EXACT, large_tail(F.col("k"), F.col("wins").cast("int"))).otherwise(F.col("p")))
+
+
+def large_tail(k: Column, wins: Column) -> Column:
+    """P[Bin(k, 1/2) >= wins] in doubles: the logarithm of the first term as a sum, then each term from the one before."""
+    first = F.aggregate(F.sequence(F.lit(1), wins), -k * math.log(2), lambda s, i: s + F.log((k - wins + i) / i))
+    state = F.struct(F.lit(0.0).alias("p"), first.alias("term"))
+    step = lambda s, i: F.struct((s["p"] + F.exp(s["term"])).alias("p"), F.when(i < k, s["term"] + F.log((k - i) / (i + 1))).otherwise(s["term"]).alias("term"))
+    return F.when(wins == 0, 1.0).otherwise(F.least(F.lit(1.0), F.aggregate(F.sequence(wins, k), state, step)["p"]))
 
 
 def holm(df: DataFrame, family: list[str], p: str, order: list[str]) -> DataFrame:
