@@ -8,6 +8,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from contraspark.sources.storage import publish_once, work_path
+
 MAX_EXACT = 110
 
 
@@ -142,14 +144,19 @@ def sign_flips(df: DataFrame, key: list[str], unit_no: str, value: str, n: int,
     return t.withColumn("flip", F.explode(F.array(F.col("flip"), DRAWN_FLIPS - 1 - F.col("flip")))) if drawn else t
 
 
-def closure(edges: DataFrame, key: list[str], rounds: int) -> DataFrame:
-    """All (source, target) reachable by directed edges; ``rounds`` doublings reach paths of 2**rounds edges."""
-    reach = edges.select(*key, "source", "target").distinct()
-    for _ in range(rounds):
+def closure(edges: DataFrame, key: list[str]) -> DataFrame:
+    """All (source, target) reachable by directed edges. Each round doubles the paths' length, to the fixpoint, and is written to shared storage."""
+    keep = lambda df: publish_once(df, work_path(df.sparkSession, "closure"))
+    reach = keep(edges.select(*key, "source", "target").distinct())
+    before = reach.count()
+    while True:
         a, b = reach.alias("a"), reach.alias("b")
         more = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in key] + [F.col("a.target") == F.col("b.source")]).select(*[f"a.{c}" for c in key], "a.source", "b.target")
-        reach = reach.union(more).distinct()
-    return reach
+        reach = keep(reach.union(more).distinct())
+        now = reach.count()
+        if now == before:
+            return reach
+        before = now
 
 
 def weighted_pairs(df: DataFrame, key: list[str], shared: str, rule: str, weight: str, cluster: str) -> DataFrame:

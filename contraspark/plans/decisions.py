@@ -309,7 +309,7 @@ _ED = ", ed AS (SELECT DISTINCT allocation_id, source, target FROM tl WHERE p <=
 
 @query("decision_sets", U + _ED + ", cl AS (WITH RECURSIVE c AS (SELECT * FROM ed UNION SELECT c.allocation_id, c.source, e.target FROM c JOIN ed e ON c.allocation_id = e.allocation_id AND c.target = e.source) SELECT * FROM c) SELECT allocation_id, source, target FROM cl")
 def _(spark, d):
-    return inf.closure(_tails(spark, d).where("p <= 0.3"), ["allocation_id"], 3)
+    return inf.closure(_tails(spark, d).where("p <= 0.3"), ["allocation_id"])
 
 
 @query("reported_graph", U + _ED + "SELECT allocation_id, m AS method, count(*) FILTER (s = m) AS beats, count(*) FILTER (t = m) AS beaten_by FROM (SELECT allocation_id, source AS s, target AS t, unnest([source, target]) AS m FROM ed) GROUP BY ALL")

@@ -29,3 +29,11 @@ def test_clopper_pearson_of_many_trials(spark):
     big = resampling.clopper_pearson(spark.createDataFrame([(300_000_000, 1_000_000_000)], "x long, n long"), "x", "n").first()
     width = 2 * 1.959963984540054 * math.sqrt(0.3 * 0.7 / 1e9)
     assert abs((big["upper"] - big["lower"]) / width - 1) < 1e-3
+
+
+def test_closure_reaches_the_fixpoint(spark):
+    # A path of 24 edges: 3 doublings end at 8 edges. And a cycle, whose nodes reach themselves.
+    edges = [("p", str(i), str(i + 1)) for i in range(24)] + [("c", "x", "y"), ("c", "y", "x")]
+    got = inference.closure(spark.createDataFrame(edges, "fam string, source string, target string"), ["fam"]).collect()
+    assert sum(r["fam"] == "p" for r in got) == 25 * 24 // 2
+    assert {(r["source"], r["target"]) for r in got if r["fam"] == "c"} == {(a, b) for a in "xy" for b in "xy"}

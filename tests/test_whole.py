@@ -8,7 +8,7 @@ import __spark_entry__ as entry_module
 from contraspark.operators import inference, reporting
 
 SF = "/root/testdata/sf0.01"
-WHOLE = {"directional_decisions_whole": 1800, "matching_rejection_class_whole": 600, "common_coverage_whole": None, "cluster_paired_summary_whole": None, "leave_one_unit_out_whole": 25, "sign_flip_max_t_whole": 3, "structural_zero_max_t_whole": 900, "donor_weights_whole": None, "read_cells_wide_to_long_whole": 500 * 64}
+WHOLE = {"directional_decisions_whole": 1800, "matching_rejection_class_whole": 600, "common_coverage_whole": None, "decision_sets_whole": None, "cluster_paired_summary_whole": None, "leave_one_unit_out_whole": 25, "sign_flip_max_t_whole": 3, "structural_zero_max_t_whole": 900, "donor_weights_whole": None, "read_cells_wide_to_long_whole": 500 * 64}
 
 
 def same(spark, name, sf=SF):
