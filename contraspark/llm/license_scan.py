@@ -14,7 +14,7 @@ Several licenses and repeated ones in a text are all returned.
 Words are ASCII-lower-cased and cut at ASCII characters that are no letters or digits.
 
 Defined cases: null and empty texts have no licenses. Of hits that share words, the one with more
-matched words is kept (the first template by name of equals). Repeated rows and null ids are kept as
+matched words is kept (of equals the one of larger coverage, then the first template by name). Repeated rows and null ids are kept as
 they are. An empty table gives an empty one.
 """
 
@@ -37,6 +37,37 @@ LEAST_COVERAGE = 0.8
 #: A window for the search is so many template lengths long.
 REACH = 2
 
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+    "are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution. "
+)
+_BSD_ENDORSE = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+    "software without specific prior written permission. "
+)
+_BSD_DISCLAIMER = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT '
+    "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT "
+    "HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT "
+    "LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY "
+    "THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF "
+    "THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_MIT_DISCLAIMER = (
+    ' THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
+    "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY "
+    "CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
+    "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_ISC_DISCLAIMER = (
+    ' THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF '
+    "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES "
+    "WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF "
+    "OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+)
+
 TEMPLATES = {
     "Apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-notice": (
@@ -72,6 +103,19 @@ TEMPLATES = {
         "of the Software."
     ),
     "MIT-line": "Released under the MIT License.",
+    "MPL-2.0-notice": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
+        "file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    ),
+}
+_GNU = TEMPLATES["GPL-3.0-notice"]
+TEMPLATES |= {
+    "AGPL-3.0-notice": _GNU.replace("GNU General", "GNU Affero General"),
+    "BSD-2-Clause-text": _BSD + _BSD_DISCLAIMER,
+    "BSD-3-Clause-text": _BSD + _BSD_ENDORSE + _BSD_DISCLAIMER,
+    "ISC-text": TEMPLATES["ISC"] + _ISC_DISCLAIMER,
+    "LGPL-3.0-notice": _GNU.replace("GNU General", "GNU Lesser General"),
+    "MIT-text": TEMPLATES["MIT"] + _MIT_DISCLAIMER,
 }
 
 
@@ -154,7 +198,7 @@ class Scanner:
                 else:
                     lo += 1
         taken, kept = [], []
-        for hit in sorted(found, key=lambda h: (-h[4], h[0], h[2])):
+        for hit in sorted(found, key=lambda h: (-h[4], -h[1], h[0], h[2])):
             if all(hit[3] <= a or hit[2] >= b for a, b in taken):
                 taken.append(hit[2:4])
                 kept.append(hit)

@@ -48,9 +48,10 @@ def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = license_scan.license_scan(_table(spark, sf_dir, "documents"))
+    # The columns beside the array are those of the license of largest coverage.
     best = F.element_at(F.array_sort("licenses", lambda a, b: F.when(a["coverage"] > b["coverage"], -1).when(a["coverage"] < b["coverage"], 1).otherwise(0)), 1)
-    return out.select("doc_id", F.size("licenses").alias("n_licenses"), F.when(F.size("licenses") > 0, best).alias("best")).select(
-        "doc_id", "n_licenses", F.col("best.license").alias("license"), F.col("best.coverage").alias("coverage"), F.col("best.first_word").alias("first_word"), F.col("best.end_word").alias("end_word"),
+    return out.select("doc_id", "licenses", F.size("licenses").alias("n_licenses"), F.when(F.size("licenses") > 0, best).alias("best")).select(
+        "doc_id", "n_licenses", F.col("best.license").alias("license"), F.col("best.coverage").alias("coverage"), F.col("best.first_word").alias("first_word"), F.col("best.end_word").alias("end_word"), "licenses",
     )
 
 
