@@ -18,7 +18,10 @@ their order is not decided by scores; such chunks are merged pair by pair instea
 Defined cases: null and empty texts give no ids. Characters without a piece become their UTF-8 bytes
 (models with byte pieces) or the unknown id, which decodes to " \\u2047 ". A literal space mark counts
 as a space, as in the library. Texts are taken as they are (identity normalisation); models with
-another normaliser are refused. Rows and their other columns are kept as they are.
+another normaliser are refused. Texts are encoded as a whole, whatever their length. Of unigram
+segmentations with equal sums of scores the one whose last piece is shorter is taken, at each position.
+Repeated rows stay repeated, an empty table gives an empty one, and other columns are kept as they are
+(one that has the name of the result is replaced).
 """
 
 from __future__ import annotations
@@ -29,20 +32,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from contraspark.llm.common import list_array, slices
+from contraspark.llm.common import list_array, slices, text_bytes
+from contraspark.llm.remembered import Remembered
 
 MARK = "▁"
 _NORMAL, _UNKNOWN, _BYTE = 1, 2, 6
 #: Distinct words whose ids a Python worker remembers between batches.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 #: Text bytes encoded at once.
 ENCODE_BYTES = 4 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SLOT_BITS = 22
+#: 1 for ASCII letters, 2 for other characters of ASCII but the space, 4 for all else.
+_KIND = np.array([4 if i >= 128 or i == 32 else 1 if chr(i).isalpha() else 2 for i in range(256)], np.int8)
 
 
 @dataclass
@@ -250,8 +256,11 @@ class Encoder:
     """Ids of words, remembered between batches of a Python worker."""
 
     def __init__(self, model: Model):
-        self.model, self.place, self.known = model, {}, {chr(c) for c in model.chars.tolist()}
-        self.ids, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.model, self.alone = model, {chr(c) for c in model.chars.tolist()}
+        self.known = Remembered(np.int32, CACHE_WORDS)
+        # Where no piece holds an ASCII letter beside an ASCII mark or digit, words may be cut there as well.
+        kinds = [_KIND[np.frombuffer(p.encode(), np.uint8)] for p in model.pieces]
+        self.cuts = not any((k[1:] + k[:-1] == 3).any() for k in kinds)
 
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words made of known characters only, one word after the other, and their counts; equal lengths advance together."""
@@ -279,7 +288,7 @@ class Encoder:
             return [int(model.ids[model.pieces[p]]) if p in model.pieces else p for p in _merge(word, model.pieces)]
         cut, held = [], ""
         for c in word:
-            if c in self.known:
+            if c in self.alone:
                 held += c
             else:
                 cut += [(held,)] if held else []
@@ -293,7 +302,7 @@ class Encoder:
         parts: dict[str, int] = {}
         whole = np.full(len(words), -1, np.int64)  # word -> its part, if it is one
         for i, word in enumerate(words):
-            if self.known.issuperset(word) and not (model.bpe and word.startswith(MARK + MARK)):
+            if self.alone.issuperset(word) and not (model.bpe and word.startswith(MARK + MARK)):
                 whole[i] = parts.setdefault(word, len(parts))
             else:
                 odd[i] = self._cut(word)
@@ -323,110 +332,156 @@ class Encoder:
         total = int(ends[-1]) if len(ends) else 0
         return np.concatenate(extra)[np.arange(total) + np.repeat(begin - (ends - size), size)], size
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after the other, and the offsets of each text's."""
-        chunks, counts = [], np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            if text:
-                parts = _chunks(text, self.model.dummy_prefix)
-                counts[i] = len(parts)
-                chunks += parts
-        if len(self.place) > CACHE_WORDS:
-            self.place, self.ids, self.starts = {}, np.zeros(0, np.int32), np.zeros(1, np.int64)
-        new = [w for w in dict.fromkeys(chunks) if w not in self.place]
-        if new:
-            ids, size = self.encode_words(new)
-            self.place.update(zip(new, range(len(self.starts) - 1, len(self.starts) - 1 + len(new)), strict=True))
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(size)])
-            self.ids = np.concatenate([self.ids, ids])
-        starts = self.starts
-        which = np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
-        size = starts[which + 1] - starts[which]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        out = self.ids[np.arange(total) + np.repeat(starts[which] - (ends - size), size)]
-        offsets = np.concatenate([[0], np.cumsum(counts)])
-        return out, np.concatenate([[0], ends])[offsets]
-
-
-def _chunks(text: str, dummy_prefix: bool) -> list[str]:
-    """The text cut in front of each run of spaces, spaces written as marks."""
-    if MARK in text:
-        text = text.replace(MARK, " ")
-    parts = text.split(" ")
-    head = MARK if dummy_prefix else ""
-    if all(parts):
-        return [head + parts[0], *[MARK + p for p in parts[1:]]]
-    out, marks = [], head
-    for k, part in enumerate(parts):
-        marks += MARK if k else ""
-        if part:
-            out.append(marks + part)
-            marks = ""
-    return [*out, marks] if marks else out
-
-
-_encoders: dict[int, Encoder] = {}
-
-
-def _encoder(broadcast) -> Encoder:
-    key = id(broadcast.value)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(broadcast.value)
-    return _encoders[key]
-
-
-def _with_column(df: DataFrame, field: T.StructField, fn) -> DataFrame:
-    """``df`` with one more column, made by fn from each slice of Arrow batches."""
-    schema = T.StructType([*df.schema.fields, field])
-    return df.mapInArrow(fn, schema)
+    def _learn(self, words: list[str]) -> None:
+        self.known.add(words, *self.encode_words([w.replace(" ", MARK) for w in words]))
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after the other, and the offsets of each text's.
+
+        A text is cut in front of each run of spaces (and inside words, where no piece can lie across);
+        Arrow numbers the distinct words of the slice.
+        """
+        raw, offsets = text_bytes(pc.replace_substring(column, MARK, " "))
+        if self.model.dummy_prefix:  # one more space in front of each text that has characters
+            full = np.diff(offsets) > 0
+            raw = np.insert(raw, offsets[:-1][full], 32)
+            offsets = offsets + np.concatenate([[0], np.cumsum(full)])
+        start = raw == 32
+        start[1:] &= raw[:-1] != 32
+        start[offsets[:-1][offsets[:-1] < len(raw)]] = True
+        if self.cuts:
+            kind = _KIND[raw]
+            start[1:] |= kind[1:] + kind[:-1] == 3
+        at = np.flatnonzero(start)
+        if not len(at):
+            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
+        words = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.append(at, len(raw))), pa.py_buffer(raw)).dictionary_encode()
+        ids, ends = self.known.gather(self.known.places(words.dictionary.to_pylist(), self._learn)[words.indices.to_numpy()])
+        return ids, ends[np.searchsorted(at, offsets)]
+
+
+class Decoder:
+    """Texts of arrays of ids, a whole slice at once."""
+
+    def __init__(self, text_of: list[bytes], prefix: bool):
+        mark = MARK.encode()
+        spaced = [x.replace(mark, b" ") for x in text_of]
+        self.text_of, self.prefix = text_of, prefix
+        self.table = np.frombuffer(b"".join(spaced), np.uint8)
+        self.starts = np.concatenate([[0], np.cumsum([len(x) for x in spaced])])
+        # Pieces that are no UTF-8 by themselves, as single bytes are: their texts are decoded one by one.
+        self.partial = np.array([not _is_utf8(x) for x in text_of])
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.text_of)):
+            raise ValueError("an id outside the vocabulary")
+        begin = self.starts[ids]
+        size = self.starts[ids + 1] - begin
+        odd = np.unique(np.searchsorted(offsets, np.flatnonzero(self.partial[ids]), "right") - 1)
+        texts = [b"".join([self.text_of[k] for k in ids[offsets[i] : offsets[i + 1]].tolist()]).decode("utf-8", "replace").replace(MARK, " ") for i in odd.tolist()]
+        # Leave these texts out, then the space in front of each other one.
+        size[np.repeat(np.isin(np.arange(len(offsets) - 1), odd), np.diff(offsets))] = 0
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
+        raw = self.table[np.arange(ends[-1]) + np.repeat(begin - ends[:-1], size)]
+        edges = ends[offsets]
+        if self.prefix:
+            texts = [t.removeprefix(" ") for t in texts]
+            heads = edges[:-1][np.diff(edges) > 0]
+            cut = np.zeros(len(raw), bool)
+            cut[heads] = raw[heads] == 32
+            raw, edges = raw[~cut], edges - np.concatenate([[0], np.cumsum(cut)])[edges]
+        out = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(edges), pa.py_buffer(raw)).cast(pa.string())
+        return pc.replace_with_mask(out, pa.array(np.isin(np.arange(len(out)), odd)), pa.array(texts, pa.string())) if texts else out
+
+
+def _is_utf8(data: bytes) -> bool:
+    try:
+        data.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+_kept: dict[tuple[type, int], object] = {}
+
+
+def _worker(kind: type, broadcast, *parts):
+    """The encoder or decoder of this Python worker."""
+    key = (kind, id(broadcast.value))
+    if key not in _kept:
+        for old in [k for k in _kept if k[0] is kind]:
+            del _kept[old]
+        _kept[key] = kind(*parts)
+    return _kept[key]
+
+
+def _replaced(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
+    """The batch with one more column in the last place; a column of that name goes."""
+    kept = [c for c in batch.schema.names if c != name]
+    return pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in kept], values], [*kept, name])
+
+
+def _with_column(df: DataFrame, name: str, kind: T.DataType, fn) -> DataFrame:
+    """``df`` with one more column (instead of one of that name), made by fn from each Arrow batch."""
+    return df.mapInArrow(fn, T.StructType([*[f for f in df.schema.fields if f.name != name], T.StructField(name, kind)]))
 
 
 def encode(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    """``docs`` with the ids of each text as array<int>."""
+    """``docs`` with the ids of each text as array<int>; a column named ``out_col`` is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _worker(Encoder, shared, shared.value)
         for batch in slices(batches, text_col, ENCODE_BYTES):
-            ids, offsets = _encoder(shared).encode(batch.column(batch.schema.get_field_index(text_col)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, list_array(ids, offsets)], [*batch.schema.names, out_col])
+            ids, offsets = encoder.encode(batch.column(batch.schema.get_field_index(text_col)))
+            yield _replaced(batch, out_col, list_array(ids, offsets))
+
+    return _with_column(docs, out_col, T.ArrayType(T.IntegerType()), run)
+
 
-    return _with_column(docs, T.StructField(out_col, T.ArrayType(T.IntegerType())), run)
+def _ids_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids without null entries, and their offsets; a null array has none."""
+    size = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = column.flatten()
+    here = values.is_valid().to_numpy(zero_copy_only=False)
+    left = np.concatenate([[0], np.cumsum(here)])
+    return values.drop_null().to_numpy().astype(np.int64), left[np.concatenate([[0], np.cumsum(size)])]
 
 
 def decode(rows: DataFrame, model: Model, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``rows`` with the text of each array of ids; ids outside the vocabulary raise an error.
 
     Bytes that are no UTF-8 become U+FFFD. Null arrays give an empty text, null entries are left out.
+    A column named ``out_col`` is replaced.
     """
     shared = rows.sparkSession.sparkContext.broadcast((model.text_of, model.dummy_prefix))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text_of, prefix = shared.value
-        table = np.frombuffer(b"".join(text_of), np.uint8)
-        starts = np.concatenate([[0], np.cumsum([len(x) for x in text_of])])
+        decoder = _worker(Decoder, shared, *shared.value)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                column = batch.column(batch.schema.get_field_index(ids_col))
-                texts = []
-                for value in column:
-                    ids = value.values.drop_null().to_numpy() if value.is_valid else np.zeros(0, np.int64)
-                    if len(ids) and (ids.min() < 0 or ids.max() >= len(text_of)):
-                        raise ValueError("an id outside the vocabulary")
-                    size = starts[ids + 1] - starts[ids]
-                    ends = np.cumsum(size)
-                    raw = table[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[ids] - (ends - size), size)]
-                    text = raw.tobytes().decode("utf-8", "replace").replace(MARK, " ")
-                    texts.append(text[1:] if prefix and text.startswith(" ") else text)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out_col])
-
-    return _with_column(rows, T.StructField(out_col, T.StringType()), run)
+                yield _replaced(batch, out_col, decoder.decode(*_ids_of(batch.column(batch.schema.get_field_index(ids_col)))))
+
+    return _with_column(rows, out_col, T.StringType(), run)
 
 
 def codec_report(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_ids, ids, and whether decoding the ids gives the text again."""
-    text = F.translate(F.coalesce("text", F.lit("")), MARK, " ")
-    coded = decode(encode(docs.select("doc_id", "text"), model), model)
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", (F.col("decoded") == text).alias("round_trip"))
+    """doc_id, n_ids, ids, and whether decoding the ids gives the text again (round_trip).
+
+    Encoder and decoder run in one pass, so neither texts nor decoded texts come back to the JVM.
+    """
+    rows = docs.select("doc_id", "text")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    id_kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _worker(Encoder, shared, shared.value)
+        decoder = _worker(Decoder, shared, shared.value.text_of, shared.value.dummy_prefix)
+        for batch in slices(batches, "text", ENCODE_BYTES):
+            ids, offsets = encoder.encode(batch.column(1))
+            wanted = pc.replace_substring(batch.column(1).fill_null(""), MARK, " ")
+            same = pc.equal(decoder.decode(ids, offsets), wanted.cast(pa.string()))
+            yield pa.record_batch([batch.column(0), pa.array(np.diff(offsets)), list_array(ids, offsets), same], ["doc_id", "n_ids", "ids", "round_trip"])
+
+    return rows.mapInArrow(run, f"doc_id {id_kind}, n_ids long, ids array<int>, round_trip boolean")
