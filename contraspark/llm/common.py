@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +16,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes handled at once inside a task; bounds a task's memory whatever the Arrow batch holds.
 SLICE_BYTES = 2 << 20
-#: How many ways the rows of one key may be spread when a statistic of the key is joined back.
-SALTS = 16
+#: Keys of more rows than this, if also of more than one in HOT_KEYS of all rows, are spread when a table is joined to them.
+HOT_ROWS, HOT_KEYS = 200_000, 4096
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -32,35 +34,79 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders of the tables that ``materialise`` wrote in this process, by the frame that reads them.
+_written: dict[str, SparkSession] = {}
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to shared storage and read it back: what follows has no lineage to lose."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
+    _written[path] = df.sparkSession
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def attach(df: DataFrame, table: DataFrame, keys: list[str], spread: Column, how: str = "inner", salts: int = SALTS) -> DataFrame:
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing reads any more (all that was made of them has been written itself)."""
+    for table in tables:
+        for path in {re.sub(r"/part-[^/]*$", "", f) for f in table.inputFiles()}:
+            for known in [w for w in _written if w.rsplit("/", 1)[-1] == path.rsplit("/", 1)[-1]]:
+                _delete(known)
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Delete all tables still kept on shared storage, after the results that rest on them have been read. Returns their number."""
+    mine = [p for p, s in _written.items() if s is spark]
+    for path in mine:
+        _delete(path)
+    return len(mine)
+
+
+def _delete(path: str) -> None:
+    spark = _written.pop(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def attach(df: DataFrame, table: DataFrame, keys: list[str], spread: Column, how: str = "inner", rows: str | None = None) -> DataFrame:
     """Join ``table``, which has one row for each key, to the rows of ``df`` by null-safe equality of ``keys``.
 
-    Each row of the table is repeated ``salts`` times and the rows of a key are dealt over as many
-    places by ``spread``, so a key that holds a third of all rows is not gathered in one task.
+    ``rows`` names a column of the table with the number of rows of ``df`` that have the key (it is not
+    joined). Keys of more than ``HOT_ROWS`` rows and of more than one in ``HOT_KEYS`` of all, so fewer
+    than ``HOT_KEYS`` ones, are hot: their rows are dealt over one place for each such number of rows
+    by ``spread``, and their row of the table is repeated as often, so that a key that holds a third of
+    all rows is not gathered in one task. The table should be materialised, as it is read twice.
     """
-    names = [c for c in table.columns if c not in keys]
-    table = table.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *names,
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_s2"),
-    )
-    left = df.withColumn("_s1", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    on = F.col("_s1") == F.col("_s2")
-    for i, k in enumerate(keys):
-        on = on & left[k].eqNullSafe(F.col(f"_k{i}"))
-    return left.join(table, on, how).select(*df.columns, *names)
+    names = [c for c in table.columns if c not in keys and c != rows]
+    key = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    same = lambda left, first="_k": [left[k].eqNullSafe(F.col(f"{first}{i}")) for i, k in enumerate(keys)]
+    total = table.agg(F.sum(rows)).first()[0] or 0 if rows else 0
+    most = max(HOT_ROWS, total // HOT_KEYS)
+    if total <= most or table.where(F.col(rows) > most).isEmpty():
+        joined = df.join(table.select(*key, *names), reduce(lambda a, b: a & b, same(df)), how)
+        return joined.select(*df.columns, *names)
+    places = F.ceil(F.col(rows) / F.lit(most)).cast("int")
+    # Fewer than HOT_KEYS rows, whatever the table's size.
+    hot = F.broadcast(table.where(F.col(rows) > most).select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)], places.alias("_places")))
+    left = df.join(hot, reduce(lambda a, b: a & b, same(df, "_h")), "left")
+    left = left.select(*df.columns, F.pmod(F.xxhash64(spread), F.coalesce("_places", F.lit(1))).cast("int").alias("_s1"))
+    right = table.select(*key, *names, F.explode(F.sequence(F.lit(0), F.when(F.col(rows) > most, places).otherwise(1) - 1)).alias("_s2"))
+    on = reduce(lambda a, b: a & b, same(left)) & (F.col("_s1") == F.col("_s2"))
+    return left.join(right, on, how).select(*df.columns, *names)
 
 
 def attach_stats(df: DataFrame, keys: list[str], aggs: list[Column], spread: Column, having: Column | None = None) -> DataFrame:
     """Join statistics of each key's rows, aggregated before their shuffle, back to the rows (see ``attach``)."""
-    stats = df.groupBy(*keys).agg(*aggs)
-    return attach(df, stats if having is None else stats.where(having), keys, spread)
+    stats = df.groupBy(*keys).agg(*aggs, F.count("*").alias("_rows"))
+    return attach(df, materialise(stats if having is None else stats.where(having), "statistics"), keys, spread, rows="_rows")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` has it (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

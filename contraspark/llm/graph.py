@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contraspark.llm.common import attach_stats, materialise
+from contraspark.llm.common import attach_stats, discard, materialise
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -31,7 +31,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     digest = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     before = digest(edges)
     while True:
-        edges = materialise(_star(_star(edges, large=True), large=False), "edges")
+        old, edges = edges, materialise(_star(_star(edges, large=True), large=False), "edges")
+        discard(old)
         now = digest(edges)
         if now == before:
             break
