@@ -9,16 +9,27 @@ so that toxic texts among the unlabelled ones do not count as clean, and a negat
 fall below zero, a sign of overfitting, is clipped there.
 
 Training is on a bounded sample: at most ``max_positive`` and ``max_unlabelled`` texts, those with the
-smallest hashes of their ids (only their word counts go to the driver). Scoring covers every row and
-the whole text, inside the tasks, with the weights broadcast (``2**bits`` floats).
+smallest hashes of their ids. Their features stay on the executors: Spark counts the texts of each
+place, and the ``max_places`` places whose shares among positive and unlabelled texts differ most
+(largest two-sample z, of equals the smaller place) are learnt. Only values at learnt places go to the
+driver, 12 bytes each, so at most 12 * max_places * (max_positive + max_unlabelled) bytes, however
+long the texts are. Scoring covers every row and the whole text, inside the tasks, with the weights
+broadcast (``2**bits`` floats).
 
 Features of a text are its words (ASCII-lower-cased, cut at every ASCII character that is no letter
 or digit) and their grams of five bytes, hashed to ``2**bits`` places; the value is the count divided
-by the number of words, times the place's inverse document frequency in the sample. Labels, language, source and id are no features.
-
-Defined cases: null texts count as empty, an empty text gets the score of the bias alone. Rows whose
-label is null are unlabelled. Repeated rows get equal scores. Without any confirmed toxic text there
-is nothing to learn from and all scores are 0. An empty table gives no rows.
+by the number of words, times the place's inverse document frequency in the sample. Labels, language,
+source and id are no features.
+
+Score 0.5 lies at the cut that makes the same risk with the 0/1 loss smallest on the sample,
+p * (share of positives below) + max(0, share of unlabelled above - p * share of positives above);
+of equal cuts the smallest is taken, so more texts are found.
+
+Defined cases: null texts count as empty, an empty text gets the score of the bias alone; texts of any
+length are scored as a whole. Rows whose label is null are unlabelled. Repeated rows get equal scores;
+of rows that share an id the smallest text is the sampled one. Without any confirmed toxic text there
+is nothing to learn from and all scores are 0. An empty table gives no rows. A column that has the
+name of the score is replaced, other columns are kept.
 """
 
 from __future__ import annotations
@@ -33,15 +44,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from contraspark.llm.common import list_array, slices, text_bytes
+from contraspark.llm.common import list_array, materialise, slices, text_bytes
 from contraspark.llm.words import LOWER, PUNCTUATION, mix, split_words
 
 BITS = 17
 #: Bytes of a gram; a word's border counts as one.
 GRAM = 5
 MAX_POSITIVE, MAX_UNLABELLED = 3000, 9000
-#: Places found in fewer sampled texts are not learnt (in a fiftieth of the texts, if the sample is small).
-LEAST_TEXTS = 30
+#: Hashed places that get a weight.
+MAX_PLACES = 2048
 
 
 @dataclass
@@ -89,36 +100,21 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _blocks(n: int, size: int = 1 << 20) -> Iterator[slice]:
-    """Whole-length index arrays would take several times the features' own memory, so the driver works block by block."""
-    return (slice(at, min(n, at + size)) for at in range(0, n, size))
-
-
-def inverse_frequency(data: Features, bits: int, least: int = LEAST_TEXTS) -> np.ndarray:
-    """Scale of each place: log of texts over texts with the place; 0 for places in under ``least`` texts."""
-    found, texts = np.zeros(1 << bits, np.int64), len(data.start) - 1
-    for part in _blocks(len(data.place)):
-        found += np.bincount(data.place[part], minlength=1 << bits)
-    return np.where(found >= min(least, max(2, texts // 50)), np.log((texts + 1) / (found + 1)), 0.0)
-
+def _least_risk(out: np.ndarray, positive: np.ndarray, prior: float) -> float:
+    """The cut of least risk with the 0/1 loss (see above): texts at or above it are called toxic."""
+    of_pos, of_unl = np.sort(out[positive]), np.sort(out[~positive])
+    cuts = np.unique(out)
+    found = 1 - np.searchsorted(of_pos, cuts) / max(1, len(of_pos))
+    called = 1 - np.searchsorted(of_unl, cuts) / max(1, len(of_unl))
+    risk = prior * (1 - found) + np.maximum(0, called - prior * found)
+    return float(cuts[np.argmin(risk)])
 
-def _scaled(data: Features, scale: np.ndarray) -> Features:
-    """The entries at learnt places, times their scale."""
-    keep = (scale != 0)[data.place]
-    start = np.append(np.zeros(1, np.int32), np.cumsum(keep, dtype=np.int32))[data.start].astype(np.int64)
-    place, value = data.place[keep], data.value[keep]
-    for part in _blocks(len(place)):
-        value[part] = value[part] * scale[place[part]]
-    return Features(place, value, start)
 
-
-def fit_nnpu(data: Features, positive: np.ndarray, prior: float, bits: int = BITS, epochs: int = 16, batch: int = 1024, rate: float = 0.3, decay: float = 1e-5, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Weights and bias by Adam on the clipped risk, averaged over the later half of the steps."""
+def fit_nnpu(data: Features, positive: np.ndarray, prior: float, places: int, epochs: int = 16, batch: int = 1024, rate: float = 0.3, decay: float = 1e-5, seed: int = 7) -> tuple[np.ndarray, float]:
+    """Weights of ``places`` places and bias by Adam on the clipped risk, averaged over the later half of the steps."""
     rng = np.random.default_rng(seed)
-    scale = inverse_frequency(data, bits)
-    data = _scaled(data, scale)
     pos, unl = np.flatnonzero(positive), np.flatnonzero(~positive)
-    weight = np.append(np.zeros(1 << bits), np.log(prior / (1 - prior)))  # the bias comes last
+    weight = np.append(np.zeros(places), np.log(prior / (1 - prior)))  # the bias comes last
     first, second, total = np.zeros(len(weight)), np.zeros(len(weight)), np.zeros(len(weight))
     step = averaged = 0
     for epoch in range(epochs if len(unl) else 0):
@@ -133,7 +129,7 @@ def fit_nnpu(data: Features, positive: np.ndarray, prior: float, bits: int = BIT
             grad = np.where(is_p, prior * (prob - 1) / len(p), 0.0)  # of the positive part
             if loss[~is_p].mean() - prior * loss[is_p].mean() >= 0:  # else the negative part is clipped at zero
                 grad += np.where(is_p, -prior * prob / len(p), prob / len(u))
-            whole = np.append(np.bincount(place, grad[of] * value, len(weight) - 1) + decay * weight[:-1], grad.sum())
+            whole = np.append(np.bincount(place, grad[of] * value, places) + decay * weight[:-1], grad.sum())
             step += 1
             first = 0.9 * first + 0.1 * whole
             second = 0.999 * second + 0.001 * whole * whole
@@ -142,18 +138,9 @@ def fit_nnpu(data: Features, positive: np.ndarray, prior: float, bits: int = BIT
                 total, averaged = total + weight, averaged + 1
     weight = total / averaged if averaged else weight
     if len(unl):
-        # Score 0.5 lies where recall**4 / share called toxic is largest: an F score leaning to recall, as far as
-        # positives (recall) and unlabelled texts, which stand for all (share), tell it.
-        rows, out = np.concatenate([pos, unl]), np.zeros(len(pos) + len(unl))
-        for part in _blocks(len(rows), 512):
-            place, value, of = data.take(rows[part])
-            out[part] = np.bincount(of, weight[place] * value, part.stop - part.start)
-        of_pos, of_unl = np.sort(out[: len(pos)]), np.sort(out[len(pos) :])
-        cuts = np.unique(of_unl)
-        recall = 1 - np.searchsorted(of_pos, cuts) / len(pos)
-        share = 1 - np.searchsorted(of_unl, cuts) / len(unl)
-        weight[-1] = -cuts[np.argmax(recall**4 / np.maximum(share, prior / 2))]
-    return (weight[:-1] * scale).astype(np.float32), float(weight[-1])
+        place, value, of = data.take(np.arange(len(positive)))
+        weight[-1] = -_least_risk(np.bincount(of, weight[place] * value, len(positive)), positive, prior)
+    return weight[:-1], float(weight[-1])
 
 
 def _sample(docs: DataFrame, labels: DataFrame, max_positive: int, max_unlabelled: int) -> tuple[DataFrame, DataFrame]:
@@ -164,29 +151,21 @@ def _sample(docs: DataFrame, labels: DataFrame, max_positive: int, max_unlabelle
     return first(ids.join(toxic, "doc_id", "left_semi"), max_positive), first(ids, max_unlabelled)
 
 
-def _in_order(batches: list[pa.RecordBatch]) -> tuple[Features, np.ndarray]:
-    """One table of all rows, positives first, then by content: rows come in any order, a fixed one makes the fit the same each time."""
-    lengths, sums, positive = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
-    for batch in batches:
-        n = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
-        place = batch.column(1).flatten().to_numpy().astype(np.int64) * 2654435761 % (1 << 31)
-        lengths.append(n)
-        sums.append(np.add.reduceat(np.append(place, 0), np.minimum(np.cumsum(n) - n, len(place))) * (n > 0) if len(n) else n)
-        positive.append(batch.column(0).to_numpy(zero_copy_only=False).astype(bool))
-    size, key, positive = np.concatenate(lengths), np.concatenate(sums), np.concatenate(positive)
-    order = np.lexsort((size, key, ~positive))
-    start = np.concatenate([[0], np.cumsum(size[order])])
-    to = np.empty(len(order), np.int64)
-    to[order] = start[:-1]
-    place, value, row = np.empty(start[-1], np.int32), np.empty(start[-1], np.float32), 0
-    for batch, n in zip(batches, lengths[1:], strict=True):
-        at = np.repeat(to[row : row + len(n)] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        place[at], value[at] = batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
-        row += len(n)
-    return Features(place, value, start), positive[order]
-
-
-def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, bits: int = BITS) -> tuple[np.ndarray, float]:
+def _telling_places(sample: DataFrame, texts: dict[bool, int], max_places: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places to learn, rising, and their inverse document frequencies; counted in Spark, ``max_places`` rows come back."""
+    counts = sample.select("positive", F.explode("place").alias("place")).groupBy("place").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u"))
+    n, m = texts.get(True, 0), texts.get(False, 0)
+    share = (F.col("p") + F.col("u")) / F.lit(n + m)
+    apart = F.abs(F.col("p") / F.lit(max(n, 1)) - F.col("u") / F.lit(max(m, 1)))
+    z = apart / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)))  # times the same factor for all places
+    rows = counts.where("p + u > 1").select("place", (F.col("p") + F.col("u")).alias("found"), z.alias("z")).orderBy(F.desc("z"), "place").limit(max_places).orderBy("place").collect()
+    place, found = np.array([r["place"] for r in rows], np.int64), np.array([r["found"] for r in rows], np.float64)
+    return place, np.log((n + m + 1) / (found + 1))
+
+
+def train(
+    docs: DataFrame, labels: DataFrame, prior: float | None = None, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, max_places: int = MAX_PLACES, bits: int = BITS,
+) -> tuple[np.ndarray, float]:
     """Fit on ``docs`` (doc_id, text) with the confirmed cases in ``labels`` (doc_id, toxic).
 
     Without a given class prior, the share of toxic among the labelled rows is taken.
@@ -195,25 +174,45 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, max_po
         mean = labels.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
         prior = min(max(mean or 0.0, 0.01), 0.9)
     chosen = _sample(docs, labels, max_positive, max_unlabelled)
-    # Both id lists are bounded by the parameters, so they may be broadcast; no text is shuffled.
+    # Both id lists are bounded by the parameters, so they may be broadcast; only sampled texts are shuffled.
     ids = chosen[0].withColumn("positive", F.lit(True)).union(chosen[1].withColumn("positive", F.lit(False)))
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").drop("doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "positive").agg(F.min("text").alias("text"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            found = features(batch.column(batch.schema.get_field_index("text")), bits)
-            yield pa.record_batch(
-                [batch.column(batch.schema.get_field_index("positive")), list_array(found.place, found.start), list_array(found.value, found.start)], ["positive", "place", "value"],
-            )
-
-    data, positive = _in_order(rows.mapInArrow(extract, "positive boolean, place array<int>, value array<float>").toArrow().to_batches())
-    if not positive.any():
-        return np.zeros(1 << bits, np.float32), -np.inf
-    return fit_nnpu(data, positive, prior, bits)
+            found = features(batch.column(2), bits)
+            yield pa.record_batch([batch.column(0), batch.column(1), list_array(found.place, found.start), list_array(found.value, found.start)], ["doc_id", "positive", "place", "value"])
+
+    id_kind = docs.schema["doc_id"].dataType.simpleString()
+    sample = materialise(rows.mapInArrow(extract, f"doc_id {id_kind}, positive boolean, place array<int>, value array<float>"), "toxic-sample")
+    texts = {r["positive"]: r["count"] for r in sample.groupBy("positive").count().collect()}
+    weights = np.zeros(1 << bits, np.float32)
+    if not texts.get(True):
+        return weights, -np.inf
+    places, scale = _telling_places(sample, texts, max_places)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        column = np.full(1 << bits, -1, np.int32)
+        column[places] = np.arange(len(places))
+        for batch in batches:
+            place, row = column[batch.column(2).flatten().to_numpy()], np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column(2)).to_numpy())
+            own = place >= 0
+            value = batch.column(3).flatten().to_numpy()[own] * scale[place[own]].astype(np.float32)
+            start = np.searchsorted(row[own], np.arange(batch.num_rows + 1))
+            yield pa.record_batch([batch.column(0), batch.column(1), list_array(place[own], start), list_array(value, start)], ["doc_id", "positive", "place", "value"])
+
+    # Rows come in any order; a fixed one makes the fit the same each time.
+    table = sample.mapInArrow(keep, sample.schema).toArrow().sort_by([("positive", "descending"), ("doc_id", "ascending")]).combine_chunks()
+    column = lambda name: table.column(name).combine_chunks()
+    start = np.concatenate([[0], np.cumsum(pc.list_value_length(column("place")).to_numpy())]).astype(np.int64)
+    data = Features(column("place").flatten().to_numpy(), column("value").flatten().to_numpy(), start)
+    weight, bias = fit_nnpu(data, column("positive").to_numpy(zero_copy_only=False), prior, len(places))
+    weights[places] = weight * scale
+    return weights, bias
 
 
 def score(docs: DataFrame, weights: tuple[np.ndarray, float], text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """``docs`` with the score of each text, 0 to 1."""
+    """``docs`` with the score of each text, 0 to 1, in the last column; a column named ``out_col`` is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,10 +221,11 @@ def score(docs: DataFrame, weights: tuple[np.ndarray, float], text_col: str = "t
         for batch in slices(batches, text_col):
             found = features(batch.column(batch.schema.get_field_index(text_col)), bits)
             of = np.repeat(np.arange(batch.num_rows), np.diff(found.start))
-            value = _sigmoid(np.bincount(of, weight[found.place].astype(float) * found.value, batch.num_rows) + max(bias, -1e9)) if np.isfinite(bias) else np.zeros(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value)], [*batch.schema.names, out_col])
+            value = _sigmoid(np.bincount(of, weight[found.place].astype(float) * found.value, batch.num_rows) + bias) if np.isfinite(bias) else np.zeros(batch.num_rows)
+            kept = [c for c in batch.schema.names if c != out_col]
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in kept], pa.array(value)], [*kept, out_col])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out_col, T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*[f for f in docs.schema.fields if f.name != out_col], T.StructField(out_col, T.DoubleType())]))
 
 
 def held_out(doc_id: str = "doc_id"):
