@@ -6,23 +6,28 @@ number. Two texts are equal exactly when they end on the same level with the sam
 rests on a hash being free of collisions. Hashes only say where a block is sorted and looked up, and
 blocks that share a hash are told apart by their bytes.
 
-Numbers come from sorting within ``BUCKETS`` buckets (rank * BUCKETS + bucket), so no task sorts all
-names, and they depend on the set of blocks alone, not on partitions or on the order of rows.
+Numbers come from sorting within hash buckets (rank * buckets + bucket). There is one bucket for every
+``NAMES_PER_BUCKET`` blocks of the table, so no task sorts more than about so many names, and numbers
+depend on the blocks alone, not on partitions or on the order of rows. Numbers are joined back to the
+places of the texts by ``attach``, which spreads a block or pair that a third of all places hold.
 
 Defined cases: a null text counts as empty; all empty texts are equal. Null ids are smaller than any
-id. Rows with the same id and text are equal like any others, one of them stays. An empty table gives
-an empty result. Other columns, whatever their names, are not read.
+id. Texts of any length are named as a whole (one more level for each doubling). Rows with the same id
+and text are equal like any others, one of them stays. An empty table gives an empty result. Other
+columns, whatever their names, are not read; ``drop_exact_duplicates`` keeps them.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contraspark.llm.common import attach_stats, materialise
+from contraspark.llm.common import attach, attach_stats, discard, free_name, materialise
 
 BLOCK_BYTES = 4096
-BUCKETS = 4096
+NAMES_PER_BUCKET = 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -37,12 +42,11 @@ def _blocks(data: Column, size: int) -> Column:
     return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(data, i * size + 1, F.lit(size)))
 
 
-def _numbered(keys: DataFrame) -> DataFrame:
-    """Give each distinct row of ``keys`` a positive integer: its rank among the sorted rows of its bucket."""
-    columns = keys.columns
-    bucket = F.pmod(F.xxhash64(*columns), F.lit(BUCKETS))
+def _numbered(keys: DataFrame, columns: list[str], buckets: int) -> DataFrame:
+    """``keys``, whose ``columns`` are distinct, with a positive integer each: the rank among the sorted rows of its bucket."""
+    bucket = F.pmod(F.xxhash64(*columns), F.lit(buckets))
     rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(*columns))
-    return keys.withColumn("_bucket", bucket).select(*columns, (rank * F.lit(BUCKETS).cast("long") + F.col("_bucket")).alias("name"))
+    return keys.withColumn("_bucket", bucket).withColumn("name", rank * F.lit(buckets).cast("long") + F.col("_bucket")).drop("_bucket")
 
 
 def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, hash_bits: int = 64) -> DataFrame:
@@ -54,8 +58,9 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     data = docs.select("id", F.encode("text", "UTF-8").alias("data"))
     hashed = lambda block: F.shiftrightunsigned(F.xxhash64(block), 64 - hash_bits)
     blocks = data.select(F.explode(_blocks(F.col("data"), block_bytes)).alias("block")).select(hashed(F.col("block")).alias("h"), "block")
-    distinct = blocks.distinct()
-    per_hash = materialise(distinct.groupBy("h").agg(F.count("*").alias("n")), "block-hashes")
+    distinct = blocks.groupBy("h", "block").agg(F.count("*").alias("places"))
+    per_hash = materialise(distinct.groupBy("h").agg(F.count("*").alias("n"), F.sum("places").alias("places")), "block-hashes")
+    buckets = max(64, math.ceil((per_hash.agg(F.sum("places")).first()[0] or 0) / NAMES_PER_BUCKET))
 
     rows = materialise(
         data.select(
@@ -68,13 +73,14 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     shared = per_hash.where("n > 1").select("h")
     if shared.isEmpty():
-        current = placed.join(_numbered(per_hash.select("h")), "h").select("row", "n", "pos", "name")
+        names = materialise(_numbered(per_hash.select("h", "places"), ["h"], buckets), "block-names")
+        current = attach(placed, names, ["h"], F.struct("row", "pos"), rows="places").select("row", "n", "pos", "name")
     else:
         # Blocks that share a hash: number them by content, then find each place's block by content again.
         order = F.row_number().over(Window.partitionBy("h").orderBy("block"))
-        apart = distinct.join(shared, "h", "left_semi").select("h", "block", order.alias("k"))
-        keys = per_hash.where("n = 1").select("h", F.lit(0).alias("k")).union(apart.select("h", "k"))
-        names = _numbered(keys)
+        apart = distinct.join(shared, "h", "left_semi").select("h", "block", order.alias("k"), "places")
+        keys = per_hash.where("n = 1").select("h", F.lit(0).alias("k"), "places").union(apart.select("h", "k", "places"))
+        names = materialise(_numbered(keys, ["h", "k"], buckets), "block-names")
         again = docs.select("id", F.encode("text", "UTF-8").alias("data"), F.unhex(F.sha2("text", 256)).alias("sha"))
         found = (
             again.select("id", "sha", F.posexplode(_blocks(F.col("data"), block_bytes)).alias("pos", "block"))
@@ -83,7 +89,8 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         )
         withid = placed.join(rows.select("row", "id", "text_sha256"), "row")
         k = withid.join(found, withid["id"].eqNullSafe(F.col("_id")) & (F.col("text_sha256") == F.col("sha")) & (F.col("pos") == F.col("_pos")), "left")
-        current = k.select("row", "n", "pos", "h", F.coalesce("k", F.lit(0)).alias("k")).join(names, ["h", "k"]).select("row", "n", "pos", "name")
+        k = k.select("row", "n", "pos", "h", F.coalesce("k", F.lit(0)).alias("k"))
+        current = attach(k, names, ["h", "k"], F.struct("row", "pos"), rows="places").select("row", "n", "pos", "name")
 
     current = materialise(current, "names")
     done = [current.where("n = 1").select("row", F.lit(0).alias("level"), "name")]
@@ -95,7 +102,10 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             current.where("n > 1").groupBy("row", F.floor(F.col("pos") / 2).cast("int").alias("pos"))
             .agg(F.floor((F.first("n") + 1) / 2).cast("int").alias("n"), at(0).alias("a"), at(1).alias("b"))
         )
-        current = materialise(pairs.join(_numbered(pairs.select("a", "b").distinct()), ["a", "b"]).select("row", "n", "pos", "name"), "names")
+        counted = pairs.groupBy("a", "b").agg(F.count("*").alias("places"))
+        names = materialise(_numbered(counted, ["a", "b"], buckets), "pair-names")
+        current = materialise(attach(pairs, names, ["a", "b"], F.struct("row", "pos"), rows="places").select("row", "n", "pos", "name"), "names")
+        discard(names)
         done.append(current.where("n = 1").select("row", F.lit(level).alias("level"), "name"))
     named = done[0]
     for more in done[1:]:
@@ -137,4 +147,5 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         return kept
     several = kept.join(repeated, match(kept, repeated), "left_semi")
     first = F.row_number().over(Window.partitionBy(F.col(id_col), sha).orderBy(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))))
-    return kept.join(repeated, match(kept, repeated), "left_anti").unionByName(several.withColumn("_first", first).where("_first = 1").drop("_first"))
+    rank = free_name(docs, "_first")
+    return kept.join(repeated, match(kept, repeated), "left_anti").unionByName(several.withColumn(rank, first).where(F.col(rank) == 1).drop(rank))
