@@ -2,20 +2,24 @@
 
 1. Each text becomes its set of five-word shingles (64-bit hashes; ASCII-lower-cased words between
    ASCII blanks; a text of one to four words is one shingle). Texts with equal sets (128-bit digest and
-   size) are one class, represented by its smallest id.
+   size) are one class with a number of its own.
 2. ``bands`` x ``rows`` MinHash values per class. ``choose_bands`` takes the fewest bands that reach
    the target recall for a pair at exactly the threshold. Classes are shuffled on their band hashes;
-   a bucket links its members to its smallest one, never all pairs.
+   a bucket links its members to its first one, never all pairs.
 3. Connected candidates form groups. Large groups are dealt into blocks by hash, and the tasks get
    pairs of blocks, so that no task holds more than two blocks of sets. In there all pairs are verified
    on the full sets, by counting common shingles; links are counted, not returned one by one.
 
 The result has one row per document: its class (the smallest id of the documents connected by links)
-and its number of links, that is of other documents with similarity >= threshold. Since groups are
-verified completely, links beyond those that share a band are found too.
+and its number of links, that is of other documents of its group of candidates with similarity >=
+threshold, copies counted one by one. Since groups are verified completely, links beyond those that
+share a band are found too.
 
 Defined cases: rows without words, and rows with a null id, have no links (class: their own id).
-Repeated rows are documents of their own and link to each other. An empty table gives an empty one.
+Repeated rows are documents of their own and link to each other; so do rows of one id with other texts,
+whose classes are kept apart. Whole texts count, whatever their length; a similarity of exactly the
+threshold is a link (integers are compared, so nothing is rounded). An empty table gives an empty one.
+Columns other than id and text are not read; ``drop_near_duplicates`` keeps them.
 """
 
 from __future__ import annotations
@@ -41,6 +45,8 @@ BAND_ROWS = 5
 BLOCK_CLASSES, BLOCK_SHINGLES = 1024, 1 << 20
 #: Shingles held by more classes of a block pair than this are counted by matrix products.
 DENSE_FROM = 24
+#: Pairs of sets listed at once while common shingles are counted.
+PAIRS_AT_ONCE = 1 << 21
 _KEY = ["s1", "s2", "n"]
 
 
@@ -96,9 +102,8 @@ def _signatures(bands: int, rows: int, size: int):
                 out[:, band] = held
             one, two = _digest(value, offsets)
             at = np.concatenate([[0], np.cumsum((count > 0) * bands)])
-            yield pa.record_batch(
-                [batch.column(0), pa.array(count, pa.int32()), pa.array(one), pa.array(two), list_array(out.astype(np.int64).ravel(), at)], ["id", "n", "s1", "s2", "bands"],
-            )
+            columns = [batch.column(0), batch.column(2), pa.array(count, pa.int32()), pa.array(one), pa.array(two), list_array(out.astype(np.int64).ravel(), at)]
+            yield pa.record_batch(columns, ["id", "h", "n", "s1", "s2", "bands"])
 
     return run
 
@@ -129,10 +134,10 @@ def _common(value: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, n
     size = np.diff(np.append(edge, len(value)))
     keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for m in range(2, min(DENSE_FROM, int(size.max(initial=0))) + 1):
-        own = edge[size == m]
-        if len(own):
-            held = owner[own[:, None] + np.arange(m)]
-            i, j = np.triu_indices(m, 1)
+        own, (i, j) = edge[size == m], np.triu_indices(m, 1)
+        step = max(1, PAIRS_AT_ONCE // len(i))
+        for at in range(0, len(own), step):
+            held = owner[own[at : at + step, None] + np.arange(m)]
             key, count = np.unique(held[:, i].astype(np.int64) * n + held[:, j], return_counts=True)
             keys.append(key)
             counts.append(count)
@@ -157,7 +162,7 @@ def _verified(threshold: float):
     share = Fraction(str(threshold))
 
     def group(rows: list[tuple]) -> list[tuple]:
-        # Rows: id, copies, block, shingles. Pairs within one block count only where the group is (i, i).
+        # Rows: class, copies, block, shingles. Pairs within one block count only where the group is (i, i).
         ids = np.array([r[0] for r in rows])
         order = np.argsort(ids)
         rows, ids = [rows[k] for k in order], ids[order]
@@ -179,14 +184,14 @@ def _verified(threshold: float):
         return list(zip(ids.tolist(), ids[root].tolist(), links.astype(np.int64).tolist(), strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds, names = (pa.int64(), pa.int64(), pa.int64()), ["id", "root", "links"]
+        kinds, names = (pa.int64(), pa.int64(), pa.int64()), ["class", "root", "links"]
         key, held, done = None, [], []
 
         def out() -> pa.RecordBatch:
             return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*done, strict=True), kinds, strict=True)], names)
 
         for batch in batches:
-            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("component", "i", "j", "id", "copies", "block", "shingles")]
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("component", "i", "j", "class", "copies", "block", "shingles")]
             for c, i, j, *row in zip(*columns, strict=True):
                 if (c, i, j) != key:
                     if len(held) > 1:
@@ -204,50 +209,55 @@ def _verified(threshold: float):
     return run
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, rows: int = BAND_ROWS, size: int = SHINGLE) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id, n_links, group_size (documents of the class)."""
+def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = BAND_ROWS, size: int = SHINGLE) -> DataFrame:
+    """id, h (hash of the text), class_id, n_links, group_size of each row."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     bands = choose_bands(threshold, recall, rows)
-    signed = materialise(texts.mapInArrow(_signatures(bands, rows, size), "id long, n int, s1 long, s2 long, bands array<long>"), "minhash")
+    hashed = texts.withColumn("h", F.xxhash64("text"))
+    signed = materialise(hashed.mapInArrow(_signatures(bands, rows, size), "id long, h long, n int, s1 long, s2 long, bands array<long>"), "minhash")
     usable = signed.where("id is not null and n > 0")
-    copies = materialise(usable.groupBy(*_KEY).agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "classes")
+    copies = usable.groupBy(*_KEY).agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    copies = materialise(copies.withColumn("class", F.monotonically_increasing_id()), "classes")
 
-    placed = copies.select("id", F.explode("bands").alias("band"))
-    met = attach_stats(placed, ["band"], [F.min("id").alias("lo"), F.count("*").alias("c")], F.col("id"), having=F.col("c") > 1)
-    candidates = connected_components(met.where("lo < id").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct())
+    placed = copies.select("class", F.explode("bands").alias("band"))
+    met = attach_stats(placed, ["band"], [F.min("class").alias("lo"), F.count("*").alias("c")], F.col("class"), having=F.col("c") > 1)
+    candidates = connected_components(met.where("lo < class").select(F.col("lo").alias("a"), F.col("class").alias("b")).distinct())
 
     blocks = F.ceil(F.greatest(F.col("m") / BLOCK_CLASSES, F.col("total") / BLOCK_SHINGLES)).cast("int")
-    members = candidates.join(copies.drop("bands"), candidates["node"] == copies["id"]).drop("node")
-    members = attach_stats(members, ["component"], [F.count("*").alias("m"), F.sum("n").alias("total")], F.col("id"))
-    members = members.select(*_KEY, "id", "copies", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
+    members = materialise(candidates.join(copies.drop("bands"), candidates["node"] == copies["class"]).drop("node"), "candidates")
+    members = attach_stats(members, ["component"], [F.count("*").alias("m"), F.sum("n").alias("total")], F.col("class"))
+    members = members.select(*_KEY, "id", "class", "copies", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("class"), blocks).cast("int").alias("block"))
     members = materialise(members, "members")
     # Always shuffled, small or large: what is read of the members grows with the texts.
-    fetched = texts.hint("merge").join(members, "id").select("id", "text", *_KEY, "copies", "component", "blocks", "block").mapInArrow(
-        _sets(size), "id long, s1 long, s2 long, n int, copies long, component long, blocks int, block int, shingles binary",
-    ).dropDuplicates(["id"])
+    fetched = texts.hint("merge").join(members, "id").select("class", "text", *_KEY, "copies", "component", "blocks", "block").mapInArrow(
+        _sets(size), "class long, s1 long, s2 long, n int, copies long, component long, blocks int, block int, shingles binary",
+    ).dropDuplicates(["class"])
     dealt = fetched.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "copies", "block", "shingles",
+        "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "class", "copies", "block", "shingles",
     )
     verified = (
         dealt.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
-        .mapInArrow(_verified(threshold), "id long, root long, links long")
+        .mapInArrow(_verified(threshold), "class long, root long, links long")
     )
     verified = materialise(verified, "verified")
 
-    joined = connected_components(verified.where("root <> id").select(F.col("root").alias("a"), F.col("id").alias("b")).distinct())
-    links = verified.groupBy("id").agg(F.sum("links").alias("links"))
-    table = (
-        copies.drop("bands").join(links, "id", "left").join(joined, F.col("id") == F.col("node"), "left")
-        .select(*_KEY, F.coalesce("component", "id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
-    )
-    table = attach_stats(table, ["class_id"], [F.sum("copies").alias("group_size")], F.col("s1")).drop("copies")
-    keyed = signed.select("id", *[F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col(k)).alias(k) for k in _KEY])
-    out = attach(keyed, table, _KEY, F.col("id"), how="left")
-    return out.select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("group_size", F.lit(1)).alias("group_size"))
+    joined = connected_components(verified.where("root <> class").select(F.col("root").alias("a"), F.col("class").alias("b")).distinct())
+    links = verified.groupBy("class").agg(F.sum("links").alias("links"))
+    table = copies.drop("bands").join(links, "class", "left").join(joined, F.col("class") == F.col("node"), "left")
+    table = table.select(*_KEY, F.coalesce("component", "class").alias("group"), "id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
+    table = attach_stats(materialise(table, "links"), ["group"], [F.min("id").alias("class_id"), F.sum("copies").alias("group_size")], F.col("s1")).drop("group", "id")
+    out = attach(usable.drop("bands"), materialise(table, "groups"), _KEY, F.col("id"), rows="copies").select("id", "h", "class_id", "n_links", "group_size")
+    alone = signed.where("id is null or n = 0").select("id", "h", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("group_size"))
+    return out.union(alone)
+
+
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
+    """One row per row of ``docs``: doc_id, class_id, n_links, group_size (documents of the class)."""
+    return _classes(docs, id_col, text_col, **params).select(F.col("id").alias("doc_id"), "class_id", "n_links", "group_size")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their class; rows with a null id stay."""
-    decided = jaccard_classes(docs, id_col, text_col, **params)
-    gone = materialise(decided.where("class_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "near-duplicates")
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    """The rows of ``docs`` whose id is the smallest of their class; rows with a null id stay, as do all rows that share the smallest id."""
+    decided = _classes(docs, id_col, text_col, **params)
+    gone = materialise(decided.where("class_id <> id").select(F.col("id").alias("_gone"), "h").distinct(), "near-duplicates")
+    return docs.join(gone, (docs[id_col] == gone["_gone"]) & (F.xxhash64(docs[text_col]) == gone["h"]), "left_anti")
