@@ -5,9 +5,10 @@ Two places that share ``window`` words share, whatever their positions, an ancho
 period there is one shift below the period that brings both into the cover. So only windows at cover
 positions (3 of 7) are hashed and shuffled in the first step; anchors of one document alone are
 dropped. Then matches are extended: where a document has a shared anchor, the full windows around it
-are hashed with 96 bits and compared, and a window counts as repeated when it also starts in a
-document with a smaller id. Texts whose whole word sequence (128-bit digest) a smaller id has too lose
-all their words at once and are left out of these steps.
+are hashed and compared, and a window counts as repeated when it also starts in a document with a
+smaller id. Texts whose whole word sequence a smaller id has too lose all their words at once and are
+left out of these steps. Every word has two independent 64-bit hashes; windows are compared by 96 bits
+made of both, whole sequences by 128.
 
 Words are the maximal runs of characters other than ASCII space and \\t \\n \\v \\f \\r, unchanged. Windows
 are judged on the input. No pairs of documents are made: each step looks up the smallest id of an
@@ -15,8 +16,9 @@ anchor's or window's documents, so a passage that thousands of documents share c
 
 Defined cases: null texts have no words; texts shorter than the window lose nothing. Rows with a null
 id lose nothing and are no source; rows with the same id are one document as a source and do not
-remove each other's words. Columns named like the results (kept_text, n_words, n_removed,
-removed_spans) are replaced, all others kept. An empty table gives an empty one.
+remove each other's words. Repeated rows lose the same words. Texts of any length are read as a whole.
+Columns named like the results (kept_text, n_words, n_removed, removed_spans) are replaced, all others
+kept, whatever their names. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -34,7 +36,6 @@ from contraspark.llm.words import Words, mix, run_starts, runs, split_words
 
 WINDOW = 13
 PERIOD, COVER = 7, (1, 2, 4)
-_SECOND = 0x1B873593CC9E2D51
 RESULTS = ["kept_text", "n_words", "n_removed", "removed_spans"]
 
 
@@ -65,45 +66,46 @@ def _windows(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     """Starts (in all words), their offsets by document, and the two hashes of all windows."""
     starts, offsets = run_starts(words.first, window)
     one = runs(words.hash, window)[starts].astype(np.int64)
-    two = (runs(words.hash, window, _SECOND)[starts] >> np.uint64(32)).astype(np.int32)
+    two = (runs(words.second, window)[starts] >> np.uint64(32)).astype(np.int32)
     return starts, offsets, one, two
 
 
-def _digests(words: Words) -> np.ndarray:
-    """One 64-bit digest of each text's whole word sequence; the order counts."""
-    place = (np.arange(len(words.hash)) - np.repeat(words.first[:-1], np.diff(words.first))).astype(np.uint64)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words.hash ^ mix(place + np.uint64(1))))])
-    return mix(sums[words.first[1:]] - sums[words.first[:-1]])
+def _digests(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit digests of each text's whole word sequence; the order counts."""
+    place = mix((np.arange(len(words.hash)) - np.repeat(words.first[:-1], np.diff(words.first))).astype(np.uint64) + np.uint64(1))
+    out = []
+    for hashes in (words.hash, words.second):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes ^ place))])
+        out.append(mix(sums[words.first[1:]] - sums[words.first[:-1]]).astype(np.int64))
+    return out[0], out[1]
 
 
 def _emit_digests(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            words = split_words(batch.column(1))
-            n = np.diff(words.first)
-            starts = np.minimum(words.first[:-1], max(len(words.hash) - 1, 0))
-            head = words.hash[starts] if len(words.hash) else np.zeros(len(n), np.uint64)
-            out = pa.record_batch([batch.column(0), pa.array(_digests(words).astype(np.int64)), pa.array(mix(head ^ n.astype(np.uint64)).astype(np.int64))], ["id", "d1", "d2"])
-            yield out.filter(pa.array(n >= window))
+            words = split_words(batch.column(1), two=True)
+            one, two = _digests(words)
+            out = pa.record_batch([batch.column(0), pa.array(one), pa.array(two)], ["id", "d1", "d2"])
+            yield out.filter(pa.array(np.diff(words.first) >= window))
 
     return run
 
 
 def _is_copy(words: Words, known: pa.Array) -> np.ndarray:
-    """Rows whose digest is among the digests of their id's rows that copy a smaller id."""
+    """Rows whose digests are among those of their id's rows that copy a smaller id."""
     out = np.zeros(len(known), bool)
     some = np.flatnonzero(known.is_valid().to_numpy(zero_copy_only=False))
     if len(some):
-        digest = _digests(words).astype(np.int64)
+        one, two = _digests(words)
         for i in some.tolist():
-            out[i] = digest[i] in known[i].as_py()
+            out[i] = {"d1": one[i], "d2": two[i]} in known[i].as_py()
     return out
 
 
 def _emit_anchors(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            words = split_words(batch.column(1))
+            words = split_words(batch.column(1), two=True)
             skip = _is_copy(words, batch.column(2)) | ~batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             doc, _, anchor = _anchors(words, window)
             own = ~skip[doc]
@@ -117,7 +119,7 @@ def _emit_windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices([whole.filter(whole.column(2).is_valid())], "text"):
-                n, words, shared = batch.num_rows, split_words(batch.column(1)), batch.column(2)
+                n, words, shared = batch.num_rows, split_words(batch.column(1), two=True), batch.column(2)
                 doc, pos, anchor = _anchors(words, window)
                 bounds, have = shared.offsets.to_numpy(), shared.values.to_numpy()
                 hit = np.zeros(len(doc), bool)
@@ -143,11 +145,11 @@ def _emit_windows(window: int):
     return run
 
 
-def _remove(window: int):
+def _remove(window: int, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, text_col):
             n, names = batch.num_rows, batch.schema.names
-            words = split_words(batch.column(names.index("_text")))
+            words = split_words(batch.column(names.index(text_col)), two=True)
             hits = batch.column(names.index("_hits"))
             starts, offsets, one, two = _windows(words, window)
             cover = np.zeros(len(words.start) + 1, np.int64)
@@ -182,7 +184,7 @@ def _remove(window: int):
                 a, b = words.first[i], words.first[i + 1]
                 own = np.diff(gone[a:b].astype(np.int8), prepend=0, append=0)
                 spans[i] = [{"start": s, "end": e} for s, e in zip(np.flatnonzero(own == 1).tolist(), np.flatnonzero(own == -1).tolist(), strict=True)]
-            kept = [c for c in names if c not in ("_text", "_hits", "_copied")]
+            kept = [c for c in names if c not in ("_hits", "_copied")]
             made = [pa.array(texts, pa.string()), pa.array(n_words.astype(np.int64)), pa.array(n_removed.astype(np.int64)), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
             yield pa.RecordBatch.from_arrays([*[batch.column(names.index(c)) for c in kept], *made], [*kept, *RESULTS])
 
@@ -198,7 +200,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Exact copies of a smaller id's words are settled as a whole: they lose all words and are no source.
     whole = texts.where("id is not null").mapInArrow(_emit_digests(window), "id long, d1 long, d2 long")
     copies = attach_stats(whole, ["d1", "d2"], [F.min("id").alias("lo"), F.max("id").alias("hi")], F.col("id"), having=F.col("lo") < F.col("hi"))
-    copies = copies.where("lo < id").groupBy("id").agg(F.collect_set("d1").alias("_copied"))
+    copies = copies.where("lo < id").groupBy("id").agg(F.collect_set(F.struct("d1", "d2")).alias("_copied"))
     # All steps below join the texts by id; left joins on the same columns share one shuffle of the texts.
     anchors = texts.join(copies, "id", "left").select("id", "text", "_copied").mapInArrow(_emit_anchors(window), "id long, anchors array<long>")
     anchors = anchors.select("id", F.explode("anchors").alias("a"))
@@ -211,11 +213,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     windows = around.select("id", F.explode(F.arrays_zip("w1", "w2")).alias("w")).select("id", "w.w1", "w.w2")
     repeated = windows.select("id", "w1", "w2", F.min("id").over(Window.partitionBy("w1", "w2")).alias("lo")).where("lo < id")
     hits = repeated.groupBy("id").agg(F.collect_list(F.struct("w1", "w2")).alias("_hits"))
-    others = [c for c in docs.columns if c not in (id_col, text_col)]
-    left = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(f"`{c}`") for c in others])
-    joined = left.join(hits, "id", "left").join(copies, "id", "left").select(
-        *[F.col("id").alias(c) if c == id_col else F.col("text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], F.col("text").alias("_text"), "_hits", "_copied",
-    )
+    # Columns go by their number inside, so that no name of the table can clash with one of these.
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    own, text = f"c{docs.columns.index(id_col)}", f"c{docs.columns.index(text_col)}"
+    joined = plain.join(hits.withColumnRenamed("id", "_of"), F.col(own) == F.col("_of"), "left").drop("_of")
+    joined = joined.join(copies.withColumnRenamed("id", "_of"), F.col(own) == F.col("_of"), "left").select(*plain.columns, "_hits", "_copied")
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     kinds = [T.StringType(), T.LongType(), T.LongType(), span]
-    return joined.mapInArrow(_remove(window), T.StructType([*docs.schema.fields, *[T.StructField(c, k) for c, k in zip(RESULTS, kinds, strict=True)]]))
+    schema = T.StructType([*plain.schema.fields, *[T.StructField(c, k) for c, k in zip(RESULTS, kinds, strict=True)]])
+    return joined.mapInArrow(_remove(window, text), schema).toDF(*docs.columns, *RESULTS)

@@ -14,9 +14,9 @@ import pyarrow as pa
 
 from contraspark.llm.common import text_bytes
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_CODES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64)
+#: Two hash functions of words, with bases and byte codes of their own.
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_CODES = tuple(np.random.Generator(np.random.PCG64(seed)).integers(1, 1 << 63, 256, dtype=np.uint64) for seed in (20240229, 20240301))
 #: ASCII space and \t \n \v \f \r separate words.
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -57,12 +57,20 @@ class Words:
     end: np.ndarray
     first: np.ndarray  # first[i]:first[i + 1] are the words of text i
     hash: np.ndarray  # uint64, mixed
+    second: np.ndarray | None = None  # another hash, independent of the first
 
     def document(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def split_words(column: pa.Array, lower: bool = False, separators: np.ndarray = SPACE) -> Words:
+def _hashes(body: np.ndarray, start: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
+    base, sums = _BASES[which], np.zeros(len(body) + 1, np.uint64)
+    np.cumsum(_CODES[which][body] * _power(base, len(body)), out=sums[1:])
+    return mix((sums[end] - sums[start]) * _power(pow(base, -1, 1 << 64), len(body) + 1)[start] + (end - start).astype(np.uint64))
+
+
+def split_words(column: pa.Array, lower: bool = False, separators: np.ndarray = SPACE, two: bool = False) -> Words:
+    """The words of all texts; with ``two`` also their second hashes."""
     raw, offsets = text_bytes(column)
     body = LOWER[raw] if lower else raw
     inside = np.zeros(len(raw) + 2, bool)
@@ -75,10 +83,7 @@ def split_words(column: pa.Array, lower: bool = False, separators: np.ndarray =
     is_start[touching] = True
     is_end[touching] = True
     start, end = np.flatnonzero(is_start), np.flatnonzero(is_end)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_CODES[body] * _power(_BASE, len(raw)), out=sums[1:])
-    hashed = (sums[end] - sums[start]) * _power(_INVERSE, len(raw) + 1)[start]
-    return Words(raw, start, end, np.searchsorted(start, offsets), mix(hashed + (end - start).astype(np.uint64)))
+    return Words(raw, start, end, np.searchsorted(start, offsets), _hashes(body, start, end, 0), _hashes(body, start, end, 1) if two else None)
 
 
 def runs(hashes: np.ndarray, n: int, seed: int = 0x2545F4914F6CDD1D) -> np.ndarray:
