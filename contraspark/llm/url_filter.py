@@ -12,11 +12,15 @@ Rules decide the urls they fit and label them. For the other urls each host's pa
   host's share, which is smoothed likewise with the share among all labels. Templates whose smoothed
   share is a half or more are rejected.
 
-Statistics are aggregated before their shuffle and joined back with salts, so one host may hold any
-part of the rows. Each level is written to shared storage, small columns only.
+The tree is made of the distinct paths of a host; urls are joined to their path once, at the end.
+Statistics are aggregated before their shuffle and joined back with keys of many rows split, so one
+host may hold any part of the rows. Each level is written to shared storage, small columns only. A
+host without any labelled url gets one verdict for all its urls, that of the share among all labels.
 
 Defined cases: a null url, or one without "://", has an empty host and path, and is judged as the
-template of the empty host. Null page_ids and repeated rows are kept. An empty table gives no rows.
+template of the empty host. Urls of any length are read as a whole. Of rules that are equally long the
+first listed one counts; a share of exactly a half is rejected. Null page_ids and repeated rows are
+kept. Columns other than page_id and url are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contraspark.llm.common import attach, attach_stats, materialise
+from contraspark.llm.common import attach, attach_stats, discard, materialise
 from contraspark.llm.exact_dedup import normalised
 
 #: (host, path, verdict); a rule fits its host and all subdomains where the url's path starts with the rule's.
@@ -55,27 +59,28 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, ma
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     segments = F.split(F.regexp_replace("path", "^/", ""), "/", depth + 1)
     general = F.transform(segments, lambda s: F.when(s.rlike("[0-9]"), "*").otherwise(s))
-    rows = materialise(rows.select(
-        F.monotonically_increasing_id().alias("row"), "page_id", "host", "path", rule.alias("rule"), verdict.alias("given"),
-        general.alias("segments"), F.lit("").alias("template"), F.lit("").alias("shape"),
-    ), "urls")
+    rows = materialise(rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("given"), general.alias("segments")), "urls")
     total = rows.agg(F.max(F.size("segments")), F.count("given"), F.count(F.when(F.col("given") == "block", 1))).first()
 
+    # The tree is made of the distinct paths of a host, digits already generalised; rows are joined back once.
+    labels, blocked = F.count("given"), F.count(F.when(F.col("given") == "block", 1))
+    paths = rows.groupBy("host", "segments").agg(F.count("*").alias("urls"), labels.alias("n"), blocked.alias("b"))
+    paths = materialise(paths.withColumn("template", F.lit("")).withColumn("shape", F.lit("")), "paths")
     for level in range(total[0] or 0):
         segment = F.get("segments", F.lit(level))
-        children = rows.where(segment.isNotNull()).select("host", "template", segment.alias("segment")).groupBy("host", "template", "segment").agg(F.lit(1).alias("one"))
+        nodes = paths.groupBy("host", "template").agg(F.count("*").alias("paths"))
+        children = paths.where(segment.isNotNull()).select("host", "template", segment.alias("segment")).distinct()
         crowded = children.groupBy("host", "template").agg(F.count("*").alias("children")).where(F.col("children") > max_branch)
-        known = attach(rows, crowded, ["host", "template"], F.col("row"), how="left")
+        crowded = materialise(crowded.join(nodes, ["host", "template"]), "crowded")
+        known = attach(paths, crowded, ["host", "template"], F.col("segments"), how="left", rows="paths")
         token = F.when(F.col("children").isNotNull(), "*").otherwise(segment)
         # The shape has "+" for the template's first literal segment: branches of one node share it.
         literal = (token != "*") & ~F.col("shape").contains("+")
         step = lambda column, value: F.when(segment.isNull(), F.col(column)).otherwise(F.concat(column, F.lit("/"), value)).alias(column)
-        rows = materialise(known.select(
-            "row", "page_id", "host", "path", "rule", "given", "segments", step("template", token), step("shape", F.when(literal, "+").otherwise(token)),
-        ), "urls")
+        old, paths = paths, materialise(known.select("host", "segments", "urls", "n", "b", step("template", token), step("shape", F.when(literal, "+").otherwise(token))), "paths")
+        discard(old, crowded)
 
-    labels, blocked = F.count("given"), F.count(F.when(F.col("given") == "block", 1))
-    templates = rows.groupBy("host", "shape", "template").agg(labels.alias("n"), blocked.alias("b"))
+    templates = paths.groupBy("host", "shape", "template").agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.count("*").alias("paths"))
     templates = attach_stats(templates, ["host", "shape"], [F.sum("n").alias("nn"), F.sum("b").alias("bb")], F.col("template"))
     d = lambda c: F.col(c).cast("double")
     apart = d("b") * d("nn") - d("bb") * d("n")
@@ -87,8 +92,9 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, ma
     at_host = (d("hb") + F.lit(alpha * prior)) / (d("hn") + F.lit(alpha))
     pick = lambda merged, single: F.when(F.col("similar"), d(merged)).otherwise(d(single))
     share = (pick("sb", "b") + F.lit(alpha) * at_host) / (pick("sn", "n") + F.lit(alpha))
-    judged = templates.select("host", "template", share.alias("blocked_share"))
-    out = attach(rows, judged, ["host", "template"], F.col("row"))
+    judged = materialise(templates.select("host", "template", share.alias("blocked_share"), "paths"), "judged")
+    judged = attach(paths, judged, ["host", "template"], F.col("segments"), rows="paths").select("host", "segments", "template", "blocked_share", "urls")
+    out = attach(rows, materialise(judged, "judged-paths"), ["host", "segments"], F.col("page_id"), rows="urls")
     return out.select(
         "page_id", "host", "path", "rule", F.coalesce("given", F.when(F.col("blocked_share") >= 0.5, "block").otherwise("allow")).alias("verdict"), "template", "blocked_share",
     )
