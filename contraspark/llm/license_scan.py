@@ -5,17 +5,17 @@ subsequence of their places is kept, and the gaps between the anchors are aligne
 Gaps without such words are aligned on all equal words by the same subsequence method. Coverage is the
 share of the template's words that are matched in order.
 
-Before any alignment a text is cut to regions that can reach the least coverage at all: windows of
-twice the template's length in which enough words of the template occur (counted with their
-multiplicity in the template, an upper bound of coverage). So nothing is missed within windows of that
-length, every text is read as a whole, and texts without license words cost one lookup per word.
+A hit lies within ``reach`` template lengths, foreign words in between included. Before any alignment a
+text is cut to windows of that length in which enough words of the template occur (counted with their
+multiplicity in the template, an upper bound of coverage; the count slides along the text). So no hit
+is missed, every text is read as a whole, and texts without license words cost one lookup per word.
 Several licenses and repeated ones in a text are all returned.
 
 Words are ASCII-lower-cased and cut at ASCII characters that are no letters or digits.
 
-Defined cases: null and empty texts have no licenses. Of hits that share words, the one with more
+Defined cases: null and empty texts have no licenses. Texts of any length are scanned as a whole. Of hits that share words, the one with more
 matched words is kept (of equals the one of larger coverage, then the first template by name). Repeated rows and null ids are kept as
-they are. An empty table gives an empty one.
+they are. Other columns, whatever their names, are not read. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from contraspark.llm.common import slices
 from contraspark.llm.words import PUNCTUATION, split_words
 
 LEAST_COVERAGE = 0.8
-#: A window for the search is so many template lengths long.
+#: A hit is at most so many template lengths long.
 REACH = 2
 
 _BSD = (
@@ -165,9 +165,27 @@ def align(text: list, template: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def windows(at: list[int], kind: list[int], counts: list[int], reach: int, need: float) -> Iterator[tuple[int, int]]:
+    """Windows lo:hi of at most ``reach`` places in which words of the template occur ``need`` times, each counted up to its number in the template.
+
+    Send the place to go on at, or nothing for the next one.
+    """
+    inside, overlap, lo, hi = [0] * len(counts), 0, 0, 0
+    while lo < len(at):
+        while hi < len(at) and at[hi] < at[lo] + reach:
+            inside[kind[hi]] += 1
+            overlap += inside[kind[hi]] <= counts[kind[hi]]
+            hi += 1
+        to = (yield lo, hi) if overlap >= need else None
+        for _ in range(max(1, (to or 0) - lo)):
+            overlap -= inside[kind[lo]] <= counts[kind[lo]]
+            inside[kind[lo]] -= 1
+            lo += 1
+
+
 class Scanner:
-    def __init__(self, templates: dict[str, str], least: float):
-        self.names, self.least = sorted(templates), least
+    def __init__(self, templates: dict[str, str], least: float, reach: int = REACH):
+        self.names, self.least, self.reach = sorted(templates), least, reach
         hashed = [split_words(pa.array([templates[n]]), lower=True, separators=PUNCTUATION).hash for n in self.names]
         self.vocabulary = np.unique(np.concatenate(hashed))
         self.words = [np.searchsorted(self.vocabulary, h).tolist() for h in hashed]
@@ -182,21 +200,18 @@ class Scanner:
         for k in np.flatnonzero(bound >= self.least * self.counts.sum(1)).tolist():
             words, counts = self.words[k], self.counts[k]
             own = counts[kinds] > 0
-            at, kind = places[own], kinds[own].tolist()
-            need, reach, lo = self.least * len(words), REACH * len(words), 0
-            while lo < len(at):
-                hi = int(np.searchsorted(at, at[lo] + reach))
-                if hi - lo < need or np.minimum(np.bincount(kind[lo:hi], minlength=len(counts)), counts).sum() < need:
-                    lo += 1
-                    continue
+            at, kind, need = places[own].tolist(), kinds[own].tolist(), self.least * len(words)
+            search, to = windows(at, kind, counts.tolist(), self.reach * len(words), need), None
+            while True:
+                try:
+                    lo, hi = search.send(to)
+                except StopIteration:
+                    break
                 # The first window that can do it starts at its first possible word; later starts may match as much.
-                matched = align(kind[lo:hi], words)
+                matched, to = align(kind[lo:hi], words), None
                 if len(matched) >= need:
-                    first, end = int(at[lo + matched[0][0]]), int(at[lo + matched[-1][0]]) + 1
-                    found.append((self.names[k], len(matched) / len(words), first, end, len(matched)))
-                    lo += matched[-1][0] + 1
-                else:
-                    lo += 1
+                    found.append((self.names[k], len(matched) / len(words), at[lo + matched[0][0]], at[lo + matched[-1][0]] + 1, len(matched)))
+                    to = lo + matched[-1][0] + 1
         taken, kept = [], []
         for hit in sorted(found, key=lambda h: (-h[4], -h[1], h[0], h[2])):
             if all(hit[3] <= a or hit[2] >= b for a, b in taken):
@@ -206,20 +221,20 @@ class Scanner:
 
 
 @lru_cache(2)
-def _scanner(templates: tuple[tuple[str, str], ...], least: float) -> Scanner:
-    return Scanner(dict(templates), least)
+def _scanner(templates: tuple[tuple[str, str], ...], least: float, reach: int) -> Scanner:
+    return Scanner(dict(templates), least, reach)
 
 
 SPAN = "license string, coverage double, first_word int, end_word int"
 
 
-def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES, least_coverage: float = LEAST_COVERAGE) -> DataFrame:
+def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES, least_coverage: float = LEAST_COVERAGE, reach: int = REACH) -> DataFrame:
     """doc_id and licenses (array of license, coverage, first_word, end_word by place) of each row of ``docs``."""
     items = tuple(sorted(templates.items()))
     kind = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("first_word", pa.int32()), ("end_word", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = _scanner(items, least_coverage)
+        scanner = _scanner(items, least_coverage, reach)
         for batch in slices(batches, "text"):
             words = split_words(batch.column(1), lower=True, separators=PUNCTUATION)
             place = np.minimum(np.searchsorted(scanner.vocabulary, words.hash), len(scanner.vocabulary) - 1)
