@@ -9,14 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contraspark.llm import exact_dedup, jaccard_join, packing, substring_dedup, toxicity
-from contraspark.llm.common import materialise
+from contraspark.llm.common import free_name, materialise
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more go; the classifier learns from the labels of the rows that are not held out."""
     labels, fold = toxicity.read_labels(spark, sf_dir), ~toxicity.held_out()
     weights = toxicity.train(docs.where(fold), labels.where(fold))
-    return toxicity.score(docs, weights, out_col="_toxicity").where("_toxicity < 0.5").drop("_toxicity")
+    column = free_name(docs, "_toxicity")
+    return toxicity.score(docs, weights, out_col=column).where(F.col(column) < 0.5).drop(column)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,11 +31,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of passages that a document with a smaller doc_id holds too are cut; texts without such words stay as they are."""
-    out = substring_dedup.substring_dedup(docs)
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    out = out.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+    """Words of passages that a document with a smaller doc_id holds too are cut; texts without such words stay as they are.
+
+    A document that loses all its words goes on with an empty text. Columns that have the names of the
+    operator's results are kept as they were.
+    """
+    own = docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
+    place = {c: f"_{i}" for i, c in enumerate(docs.columns)}
+    out = substring_dedup.substring_dedup(own, place["doc_id"], place["text"])
+    cut = F.col("n_removed") > 0
+    text = F.when(cut, F.col("kept_text")).otherwise(F.col(place["text"]))
+    made = {"text": text}
+    if "n_chars" in place:
+        made["n_chars"] = F.when(cut, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(place["n_chars"]))
+    return out.select(*[made.get(c, F.col(p)).alias(c) for c, p in place.items()])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
