@@ -26,11 +26,16 @@ def hash_folds(df: DataFrame, key: str, folds: int, seed: str, group: str | None
     return df.withColumn("fold", rank % folds)
 
 
-def ranked(cells: DataFrame, allocations: int, seed: str) -> DataFrame:
-    """One row per cell and allocation with r, its rank in the stratum from 0."""
+def ranked(cells: DataFrame, allocations: int, seed: str, most: int | None = None) -> DataFrame:
+    """One row per cell and allocation with r, its rank in the stratum from 0.
+
+    With ``most`` only the first ranks are returned; the filter is on the rank itself, so tasks drop
+    other cells before their shuffle.
+    """
     each = cells.select("cell_id", "stratum", F.explode(F.array(*[F.lit(str(a)) for a in range(allocations)])).alias("allocation"))
     w = Window.partitionBy("allocation", "stratum").orderBy(hash_rank(seed, "allocation", "cell_id"), "cell_id")
-    return each.withColumn("r", F.row_number().over(w) - 1)
+    each = each.withColumn("n", F.row_number().over(w))
+    return (each if most is None else each.where(F.col("n") <= most)).withColumn("r", F.col("n") - 1).drop("n")
 
 
 def _at_depths(df: DataFrame, depths: tuple[int, ...], within: str) -> DataFrame:
@@ -39,15 +44,20 @@ def _at_depths(df: DataFrame, depths: tuple[int, ...], within: str) -> DataFrame
 
 
 def allocate_blocks(cells: DataFrame, k: int, depths: tuple[int, ...], allocations: int, seed: str) -> DataFrame:
-    """allocation, depth, cell_id, stratum, block, within_block_index: rank r goes to block r mod k."""
-    df = ranked(cells, allocations, seed).withColumn("within_block_index", F.floor(F.col("r") / k).cast("int"))
+    """allocation, depth, cell_id, stratum, block, within_block_index: rank r goes to block r mod k.
+
+    A stratum with too few cells for k blocks of the largest depth is an error (``short_strata`` lists them).
+    """
+    refuse_short(cells, k, max(depths))
+    df = ranked(cells, allocations, seed, k * max(depths)).withColumn("within_block_index", F.floor(F.col("r") / k).cast("int"))
     return _at_depths(df, depths, "within_block_index").select("allocation", "depth", "cell_id", "stratum", F.concat(F.lit("B"), F.col("r") % k + 1).alias("block"), "within_block_index")
 
 
 def allocate_contiguous(cells: DataFrame, k: int, depths: tuple[int, ...], allocations: int, seed: str) -> DataFrame:
     """Blocks of max(depths) consecutive ranks; smaller depths are prefixes."""
     most = max(depths)
-    df = ranked(cells, allocations, seed).where(F.col("r") < k * most).withColumn("within_block_index", F.col("r") % most)
+    refuse_short(cells, k, most)
+    df = ranked(cells, allocations, seed, k * most).withColumn("within_block_index", F.col("r") % most)
     return _at_depths(df, depths, "within_block_index").select("allocation", "depth", "cell_id", "stratum", F.concat(F.lit("B"), F.floor(F.col("r") / most) + 1).alias("block"), "within_block_index")
 
 
@@ -56,6 +66,12 @@ def short_strata(cells: DataFrame, k: int, depth: int) -> DataFrame:
     return cells.groupBy("stratum").agg(F.count("*").alias("cells")).where(F.col("cells") < k * depth)
 
 
+def refuse_short(cells: DataFrame, k: int, depth: int) -> None:
+    short = short_strata(cells, k, depth).orderBy("stratum").limit(5).collect()
+    if short:
+        raise ValueError(f"too few cells for {k} blocks of depth {depth}: {[(r['stratum'], r['cells']) for r in short]}")
+
+
 def scheme_membership(members: DataFrame) -> DataFrame:
     """scheme, rotation, allocation, depth, role, cell_id for shared (all blocks), split and three cross-fit rotations."""
     role = ["observation", "prediction", "input"]
@@ -65,16 +81,23 @@ def scheme_membership(members: DataFrame) -> DataFrame:
 
 
 def rule_partitions(spark, budget: int) -> DataFrame:
-    """rule, direction, role, row for a budget that is a multiple of four: a plan of the rows 0..budget-1."""
+    """rule, direction, role, row: a plan of the rows 0..budget-1.
+
+    O_x gives the fraction x to the input and the rest to the observed reference; cross-fitting observes
+    one fold at a time and gives the others to the input. The two overlap rules observe all rows while
+    the input is that of O_half or one half at a time.
+    """
+    if budget < 4 or budget % 4:
+        raise ValueError("the budget must be a positive multiple of four")
     b, q = budget, budget // 4
-    plan = [("shared_all", 0, "input", 0, b), ("shared_all", 0, "observation", 0, b)]
+    plan = [("shared_all_B", 0, "input", 0, b), ("shared_all_B", 0, "observation", 0, b)]
     for name, parts in (("O_quarter", 1), ("O_half", 2), ("O_three_quarters", 3)):
-        plan += [(name, 0, "input", 0, b - parts * q), (name, 0, "observation", b - parts * q, b)]
+        plan += [(name, 0, "input", 0, parts * q), (name, 0, "observation", parts * q, b)]
     for name, folds in (("crossfit_2", 2), ("crossfit_4", 4)):
         for f in range(folds):
             lo, hi = f * b // folds, (f + 1) * b // folds
             plan += [(name, f, "observation", lo, hi), (name, f, "input", 0, lo), (name, f, "input", hi, b)]
-    plan += [("overlap_half", 0, "input", 0, 3 * q), ("overlap_half", 0, "observation", q, b)]
+    plan += [("overlap_half", 0, "input", 0, 2 * q), ("overlap_half", 0, "observation", 0, b)]
     for f in range(2):
         plan += [("crossfit2_overlap_all", f, "input", f * b // 2, (f + 1) * b // 2), ("crossfit2_overlap_all", f, "observation", 0, b)]
     df = spark.createDataFrame(plan, "rule string, direction int, role string, lo int, hi int").where("hi > lo")
@@ -82,10 +105,11 @@ def rule_partitions(spark, budget: int) -> DataFrame:
 
 
 def rule_cost(partitions: DataFrame) -> DataFrame:
-    """Input rows passed forward in all directions, unique ones, and their ratio to the shared rule."""
-    cost = partitions.where("role = 'input'").groupBy("rule").agg(F.count("*").alias("forwards"), F.count_distinct("row").alias("unique_rows"))
-    base = cost.where("rule = 'shared_all'").select(F.col("forwards").alias("base"))
-    return cost.crossJoin(F.broadcast(base)).select("rule", "forwards", "unique_rows", (F.col("forwards") / F.col("base")).alias("ratio"))
+    """Input rows passed forward in all directions, unique ones (what a cache needs), all rows of the rule, and both ratios to these."""
+    row = F.when(F.col("role") == "input", F.col("row"))
+    cost = partitions.groupBy("rule").agg(F.count(row).alias("forwards"), F.count_distinct(row).alias("unique_rows"), F.count_distinct("row").alias("physical_rows"))
+    ratio = lambda c: F.col(c) / F.col("physical_rows")
+    return cost.withColumn("uncached_ratio", ratio("forwards")).withColumn("cached_ratio", ratio("unique_rows"))
 
 
 def role_overlap(pools: DataFrame) -> DataFrame:

@@ -13,8 +13,9 @@ def unique_key(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def functional_dependency(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Keys with several values."""
-    return df.groupBy(key).agg(F.min(value).alias("least"), F.max(value).alias("most")).where("least <> most")
+    """Keys with several values; null is a value of its own."""
+    own = df.groupBy(key).agg(F.min(value).alias("least"), F.max(value).alias("most"), F.count(value).alias("known"), F.count("*").alias("n"))
+    return own.where("least <> most or (known > 0 and known < n)").select(key, "least", "most")
 
 
 def complete_support(df: DataFrame, dims: list[str]) -> DataFrame:
@@ -64,13 +65,22 @@ def membership(members: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def role_pools(pools: DataFrame) -> DataFrame:
-    """Per scheme, allocation and depth: cells each pair of roles shares, and whether the scheme allows it."""
-    a, b = pools.alias("a"), pools.alias("b")
-    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("scheme", "allocation", "depth", "cell_id")] + [F.col("a.role") < F.col("b.role")]
-    shared = a.join(b, on, "inner").groupBy("a.scheme", "a.allocation", "a.depth", F.col("a.role").alias("role_a"), F.col("b.role").alias("role_b")).agg(F.count("*").alias("shared"))
-    size = pools.where("role = 'input'").groupBy("scheme", "allocation", "depth").agg(F.count("*").alias("pool"))
-    ok = F.when(F.col("scheme") == "shared", F.col("shared") == F.col("pool")).otherwise(F.lit(False))
-    return shared.join(size, ["scheme", "allocation", "depth"]).withColumn("allowed", ok)
+    """One row per scheme, rotation, allocation, depth and pair of its roles: cells of each, shared ones, and whether that is allowed.
+
+    Shared roles must hold the same cells, roles of the other schemes none in common. A pair without any
+    common cell has a row too.
+    """
+    key = ["scheme", "rotation", "allocation", "depth"]
+    cells = pools.groupBy(*key, "cell_id").agg(F.collect_set("role").alias("roles"))  # as many as a scheme has roles
+    size = pools.groupBy(*key, "role").agg(F.count_distinct("cell_id").alias("pool"))
+    a, b = size.alias("a"), size.alias("b")
+    pairs = a.join(b, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in key] + [F.col("a.role") < F.col("b.role")])
+    pairs = pairs.select(*[f"a.{c}" for c in key], F.col("a.role").alias("role_a"), F.col("b.role").alias("role_b"), F.col("a.pool").alias("pool_a"), F.col("b.pool").alias("pool_b"))
+    both = cells.select(*key, F.explode("roles").alias("role_a"), "roles").select(*key, "role_a", F.explode("roles").alias("role_b")).where("role_a < role_b")
+    shared = both.groupBy(*key, "role_a", "role_b").agg(F.count("*").alias("shared"))
+    j = pairs.join(shared, [*key, "role_a", "role_b"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+    same = (F.col("shared") == F.col("pool_a")) & (F.col("shared") == F.col("pool_b"))
+    return j.withColumn("allowed", F.when(F.col("scheme") == "shared", same).otherwise(F.col("shared") == 0))
 
 
 def constant_columns(df: DataFrame, required: dict[str, object]) -> DataFrame:
@@ -86,15 +96,17 @@ def complement_folds(folds: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def pair_symmetry(counts: DataFrame, key: list[str]) -> DataFrame:
-    """Directions (within each key) whose opposite does not have wins and losses swapped."""
+    """Directions (within each key) whose opposite is absent or does not have wins and losses swapped."""
     back = counts.select(*key, F.col("source").alias("target"), F.col("target").alias("source"), F.col("wins").alias("back_losses"), F.col("losses").alias("back_wins"))
-    return counts.join(back, [*key, "source", "target"]).where((F.col("wins") != F.col("back_wins")) | (F.col("losses") != F.col("back_losses")))
+    same = F.col("wins").eqNullSafe(F.col("back_wins")) & F.col("losses").eqNullSafe(F.col("back_losses"))
+    return counts.join(back, [*key, "source", "target"], "left").where(~same)
 
 
 def table_equivalence(a: DataFrame, b: DataFrame, keys: list[str], value: str, atol: float = 1e-12, rtol: float = 0.0) -> DataFrame:
     """Keys of one table alone, and values further apart than atol + rtol * |b|."""
     b = b.select(*keys, F.col(value).alias("other"), F.lit(1).alias("in_b"))
     j = a.select(*keys, value, F.lit(1).alias("in_a")).join(b, keys, "full")
-    far = F.abs(F.col(value) - F.col("other")) > atol + rtol * F.abs("other")
+    # A null equals a null alone.
+    far = F.coalesce(F.abs(F.col(value) - F.col("other")) > atol + rtol * F.abs("other"), F.col(value).isNull() != F.col("other").isNull())
     reason = F.when(F.col("in_a").isNull(), "only second").when(F.col("in_b").isNull(), "only first").when(far, "value")
     return j.withColumn("reason", reason).where("reason is not null").select(*keys, value, "other", "reason")

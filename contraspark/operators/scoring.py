@@ -5,6 +5,9 @@ Profiles are arrays on one gene axis, and residuals are array expressions, so no
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import permutations, product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,30 +32,43 @@ def minus(a: Column | str, b: Column | str) -> Column:
     return F.zip_with(a, b, lambda x, y: x - y)
 
 
-def role_tuple_mse(targets: DataFrame, blocks: DataFrame, predictions: DataFrame, scales: DataFrame) -> DataFrame:
-    """task, allocation, depth, model, kind, observation, prediction, input, mse for all role tuples.
+TUPLE = ["task", "allocation", "depth", "model", "kind", "conditioned"]
+
+
+def role_tuple_mse(targets: DataFrame, blocks: DataFrame, predictions: DataFrame, scales: DataFrame, conditioned: DataFrame | None = None) -> DataFrame:
+    """task, allocation, depth, model, kind, conditioned, observation, prediction, input, mse for all role tuples.
 
-    State residual (p - y) + (b_o - b_p); effect residual p - (y - b_o). Fixed predictions do not use
-    the input block, so scores are made for (o, p) or (o) and repeated for the other roles.
+    State residual (p - y) + (b_o - b_p); effect residual p - (y - b_o). ``predictions`` are fixed, so
+    their scores are made for (o, p) or (o) and repeated for the other roles; ``conditioned`` ones (with
+    allocation, depth and input) are one profile for each input block.
     """
     key = ["allocation", "depth"]
     o = blocks.select(*key, F.col("block").alias("observation"), F.col("profile").alias("bo"))
     p = blocks.select(*key, F.col("block").alias("prediction"), F.col("profile").alias("bp"))
-    model = targets.join(predictions.withColumnRenamed("prediction", "f"), "task").crossJoin(F.broadcast(scales))  # one row of scales
-    effect = model.where("kind = 'effect'").crossJoin(F.broadcast(o))  # one row for each allocation, depth and block
-    effect = effect.withColumn("mse", mean_square(minus("f", minus("treated", "bo")), F.col("scale"))).drop("bo", "f", "treated", "scale")
-    effect = effect.join(F.broadcast(p.drop("bp")), key)
+    each = o.select(*key, F.col("observation").alias("input"))
     both = o.join(p, key).select(*key, "observation", "prediction", minus("bo", "bp").alias("shift"))
-    state = model.where("kind = 'state'").crossJoin(F.broadcast(both))
-    state = state.withColumn("mse", mean_square(F.zip_with(minus("f", "treated"), "shift", lambda x, y: x + y), F.col("scale")))
-    cols = ["task", *key, "model", "kind", "observation", "prediction", "mse"]
-    both = effect.select(*cols).union(state.select(*cols))
-    return both.join(F.broadcast(o.select(*key, F.col("observation").alias("input"))), key).select("task", *key, "model", "kind", "observation", "prediction", "input", "mse")
+    cols = ["task", *key, "model", "kind", "observation", "prediction", "input", "mse"]
+
+    def losses(models: DataFrame, on: list[str]) -> DataFrame:
+        """Effects meet observation blocks, states pairs of blocks; ``on`` are the keys that models and blocks share."""
+        meet = lambda x, y: x.join(y, on) if on else x.crossJoin(F.broadcast(y))  # noqa: E731  few blocks
+        effect = meet(models.where("kind = 'effect'"), o).withColumn("mse", mean_square(minus("f", minus("treated", "bo")), F.col("scale"))).drop("bo", "f", "treated", "scale")
+        effect = effect.join(p.drop("bp"), key)
+        state = meet(models.where("kind = 'state'"), both)
+        state = state.withColumn("mse", mean_square(F.zip_with(minus("f", "treated"), "shift", lambda x, y: x + y), F.col("scale")))
+        own = [c for c in cols if c in effect.columns]
+        return effect.select(*own).union(state.select(*own))
+
+    model = lambda df: targets.join(df.withColumnRenamed("prediction", "f"), "task").crossJoin(F.broadcast(scales))  # noqa: E731  one row of scales
+    out = losses(model(predictions), []).join(each, key).select(*cols, F.lit(False).alias("conditioned"))
+    if conditioned is not None:
+        out = out.union(losses(model(conditioned), key).select(*cols, F.lit(True).alias("conditioned")))
+    return out.select(*TUPLE, "observation", "prediction", "input", "mse")
 
 
 def pattern_mse(tuples: DataFrame) -> DataFrame:
     """Mean score of each role-sharing pattern: score first, then average."""
-    return tuples.groupBy("task", "allocation", "depth", "model", "kind", F.expr(PATTERN).alias("pattern")).agg(F.avg("mse").alias("mse"), F.count("*").alias("tuples"))
+    return tuples.groupBy(*TUPLE, F.expr(PATTERN).alias("pattern")).agg(F.avg("mse").alias("mse"), F.count("*").alias("tuples"))
 
 
 def reference_distance(blocks: DataFrame, scales: DataFrame) -> DataFrame:
@@ -64,31 +80,40 @@ def reference_distance(blocks: DataFrame, scales: DataFrame) -> DataFrame:
 
 
 def pair_margins(patterns: DataFrame) -> DataFrame:
-    """All model pairs with margins d_s and d_d (loss of b minus loss of a); a is the effect in mixed pairs."""
+    """All model pairs with margins d_s and d_d (loss of b minus loss of a); a is the effect in mixed pairs.
+
+    applicable: no model of the pair is an effect conditioned on the input, for which margins have no identity.
+    """
     key = ["task", "allocation", "depth"]
-    wide = patterns.groupBy(*key, "model", "kind").agg(*[F.max(F.when(F.col("pattern") == x, F.col("mse"))).alias(x) for x in ("S", "D")])
+    wide = patterns.groupBy(*TUPLE).agg(*[F.max(F.when(F.col("pattern") == x, F.col("mse"))).alias(x) for x in ("S", "D")])
+    wide = wide.withColumn("free", ~(F.col("conditioned") & (F.col("kind") == "effect")))
     a, b = wide.alias("a"), wide.alias("b")
     order = ((F.col("a.kind") == "effect") & (F.col("b.kind") == "state")) | ((F.col("a.kind") == F.col("b.kind")) & (F.col("a.model") < F.col("b.model")))
     j = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in key]).where(order)
     return j.select(
         *[f"a.{c}" for c in key], F.col("a.model").alias("model_a"), F.col("b.model").alias("model_b"), F.col("a.kind").alias("kind_a"), F.col("b.kind").alias("kind_b"),
-        (F.col("b.S") - F.col("a.S")).alias("d_s"), (F.col("b.D") - F.col("a.D")).alias("d_d"),
+        (F.col("b.S") - F.col("a.S")).alias("d_s"), (F.col("b.D") - F.col("a.D")).alias("d_d"), (F.col("a.free") & F.col("b.free")).alias("applicable"),
     )
 
 
 def identity_check(pairs: DataFrame, distance: DataFrame, atol: float = 1e-9, rtol: float = 1e-9) -> DataFrame:
-    """d_d = d_s + v for an effect against a state, d_d = d_s for two of a kind."""
-    expected = F.col("d_s") + F.when(F.col("kind_a") != F.col("kind_b"), F.col("v")).otherwise(0.0)
-    j = pairs.join(F.broadcast(distance), ["allocation", "depth"])
-    return j.withColumn("holds", F.abs(F.col("d_d") - expected) <= atol + rtol * F.greatest(F.abs("d_d"), F.abs("d_s"), "v")).select("task", "allocation", "depth", "model_a", "model_b", "d_s", "d_d", "v", "holds")
+    """d_d = d_s + v for an effect against a state, d_d = d_s for two of a kind; null where it is not applicable."""
+    moved = F.when(F.col("kind_a") != F.col("kind_b"), F.col("v")).otherwise(0.0)
+    j = pairs.join(distance, ["allocation", "depth"])
+    holds = F.abs(F.col("d_d") - (F.col("d_s") + moved)) <= atol + rtol * F.greatest(F.abs("d_d"), F.abs("d_s"), moved)
+    return j.withColumn("holds", F.when(F.col("applicable"), holds)).select("task", "allocation", "depth", "model_a", "model_b", "d_s", "d_d", "v", "applicable", "holds")
 
 
 def crossing(pairs: DataFrame, tau: float = 1e-12) -> DataFrame:
     """Label of each pair by its preferred model under shared and disjoint roles."""
     s, d, mixed = F.col("d_s"), F.col("d_d"), F.col("kind_a") != F.col("kind_b")
+    named = mixed & F.col("applicable")  # reversals have a direction of their own where the identity holds
     label = (
-        F.when((F.abs(s) <= tau) | (F.abs(d) <= tau), "numerical_tie").when(mixed & (s < 0) & (d > 0), "state_to_effect").when((s > 0) != (d > 0), F.when(mixed, "unexpected_reversal").otherwise("ranking_reversal"))
-        .when(s > 0, F.concat("kind_a", F.lit("_preferred_both"))).otherwise(F.concat("kind_b", F.lit("_preferred_both")))
+        F.when((F.abs(s) <= tau) | (F.abs(d) <= tau), "numerical_tie")
+        .when((s < 0) & (d > 0), F.when(named, "state_to_effect").otherwise("ranking_reversal"))
+        .when((s > 0) & (d < 0), F.when(named, "unexpected_reversal").otherwise("ranking_reversal"))
+        .when(s > 0, F.when(mixed, "effect_preferred_both").otherwise("a_preferred_both"))
+        .otherwise(F.when(mixed, "state_preferred_both").otherwise("b_preferred_both"))
     )
     return pairs.withColumn("label", label)
 
@@ -109,31 +134,49 @@ def primary_scores(tuples: DataFrame) -> DataFrame:
     return tuples.where("input = 'B1'").withColumn("target", target).where("target is not null").select("task", "allocation", "depth", "model", "target", "mse")
 
 
+ROLES, BLOCKS = ("observation", "prediction", "input"), ("B1", "B2", "B3")
+
+
+def _wide(tuples: DataFrame) -> tuple[DataFrame, object]:
+    """One row per task, allocation, depth and model with the 27 scores, and the column of a tuple given as {role: block}."""
+    cell = lambda at: "x" + "".join(at[r] for r in ROLES)
+    every = [dict(zip(ROLES, x, strict=True)) for x in product(BLOCKS, repeat=3)]
+    of = lambda at: F.max(F.when(reduce(lambda p, q: p & q, [F.col(r) == b for r, b in at.items()]), F.col("mse"))).alias(cell(at))
+    return tuples.groupBy("task", "allocation", "depth", "model").agg(*[of(at) for at in every]), lambda at: F.col(cell(at))
+
+
 def single_role_contrasts(tuples: DataFrame) -> DataFrame:
     """Per changed role: mean absolute and extreme differences over all directed changes with the other two roles fixed."""
-    key, out = ["task", "allocation", "depth", "model"], None
-    for role in ("observation", "prediction", "input"):
-        fixed = [r for r in ("observation", "prediction", "input") if r != role]
-        a, b = tuples.alias("a"), tuples.alias("b")
-        j = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in key + fixed]).where(F.col(f"a.{role}") != F.col(f"b.{role}"))
-        diff = F.col("b.mse") - F.col("a.mse")
-        one = j.groupBy(*[f"a.{c}" for c in key], F.lit(role).alias("role")).agg(F.count("*").alias("n"), F.avg(F.abs(diff)).alias("mean_abs"), F.min(diff).alias("least"), F.max(diff).alias("most"))
-        out = one if out is None else out.union(one)
-    return out
+    wide, at = _wide(tuples)
+    rows = []
+    for role in ROLES:
+        other = [r for r in ROLES if r != role]
+        changes = [
+            at(dict(zip(other, fixed, strict=True)) | {role: to}) - at(dict(zip(other, fixed, strict=True)) | {role: start})
+            for fixed in product(BLOCKS, repeat=2) for start, to in permutations(BLOCKS, 2)
+        ]
+        rows.append(F.struct(F.lit(role).alias("role"), F.array(*changes).alias("x")))
+    x = F.filter("r.x", lambda v: v.isNotNull())
+    total = F.aggregate(x, F.lit(0.0), lambda acc, v: acc + F.abs(v))
+    long = wide.select("task", "allocation", "depth", "model", F.explode(F.array(*rows)).alias("r"))
+    return long.where(F.size(x) > 0).select("task", "allocation", "depth", "model", "r.role", F.size(x).cast("long").alias("n"), (total / F.size(x)).alias("mean_abs"), F.array_min(x).alias("least"), F.array_max(x).alias("most"))
 
 
 def role_interactions(tuples: DataFrame) -> DataFrame:
     """S11 - S10 - S01 + S00 over two roles, the third fixed: count and mean absolute value of the 108."""
-    key, out = ["task", "allocation", "depth", "model"], None
-    for r1, r2, fixed in (("observation", "prediction", "input"), ("observation", "input", "prediction"), ("prediction", "input", "observation")):
-        wide = tuples.select(*key, F.col(fixed).alias("f"), F.col(r1).alias("r1"), F.col(r2).alias("r2"), "mse")
-        a = wide.alias("a")
-        on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*key, "f", "r1"]]
-        row = a.join(wide.alias("b"), on).where("a.r2 <> b.r2").select(*[f"a.{c}" for c in key], "a.f", "a.r1", F.col("a.r2").alias("p"), F.col("b.r2").alias("q"), (F.col("a.mse") - F.col("b.mse")).alias("x"))
-        j = row.alias("u").join(row.alias("v"), [F.col(f"u.{c}") == F.col(f"v.{c}") for c in [*key, "f", "p", "q"]]).where("u.r1 <> v.r1")
-        one = j.groupBy(*[f"u.{c}" for c in key], F.lit(f"{r1}*{r2}").alias("roles")).agg(F.count("*").alias("n"), F.avg(F.abs(F.col("u.x") - F.col("v.x"))).alias("mean_abs"))
-        out = one if out is None else out.union(one)
-    return out
+    wide, at = _wide(tuples)
+    rows = []
+    for first, second, fixed in (("observation", "prediction", "input"), ("observation", "input", "prediction"), ("prediction", "input", "observation")):
+        corner = lambda x, y, z, n=(first, second, fixed): at(dict(zip(n, (x, y, z), strict=True)))
+        values = [
+            (corner(x, y, z) - corner(x, v, z)) - (corner(u, y, z) - corner(u, v, z))
+            for z in BLOCKS for x, u in permutations(BLOCKS, 2) for y, v in permutations(BLOCKS, 2)
+        ]
+        rows.append(F.struct(F.lit(f"{first}*{second}").alias("roles"), F.array(*values).alias("x")))
+    x = F.filter("r.x", lambda v: v.isNotNull())
+    total = F.aggregate(x, F.lit(0.0), lambda acc, v: acc + F.abs(v))
+    long = wide.select("task", "allocation", "depth", "model", F.explode(F.array(*rows)).alias("r"))
+    return long.where(F.size(x) > 0).select("task", "allocation", "depth", "model", "r.roles", F.size(x).cast("long").alias("n"), (total / F.size(x)).alias("mean_abs"))
 
 
 OPERATIONS = [("anchor_O", "B1", "B1", "B2"), ("input_only", "B3", "B1", "B2"), ("rescore_only", "B1", "B1", "B3"), ("matched_O_new_input", "B3", "B3", "B2"), ("shared_S", "B1", "B1", "B1")]
@@ -149,11 +192,11 @@ def operation_scores(tuples: DataFrame) -> DataFrame:
 
 
 def pattern_identities(patterns: DataFrame, distance: DataFrame) -> DataFrame:
-    """Largest deviations from M = S and D = (P + O) / 2 for fixed predictions, in losses."""
-    wide = patterns.groupBy("task", "allocation", "depth", "model", "kind").agg(*[F.max(F.when(F.col("pattern") == x, F.col("mse"))).alias(x) for x in "SMPOD"])
-    j = wide.join(F.broadcast(distance), ["allocation", "depth"])
+    """Largest deviations from M = S and D = (P + O) / 2, and the mean shift of D, in losses; the first two hold for fixed predictions."""
+    wide = patterns.groupBy(*TUPLE).agg(*[F.max(F.when(F.col("pattern") == x, F.col("mse"))).alias(x) for x in "SMPOD"])
+    j = wide.join(distance, ["allocation", "depth"])
     shift = F.when(F.col("kind") == "state", F.col("D") - F.col("S") - F.col("v")).otherwise(F.col("D") - F.col("S"))
-    return j.groupBy("kind").agg(F.count("*").alias("n"), F.max(F.abs(F.col("M") - F.col("S"))).alias("m_minus_s"), F.max(F.abs(F.col("D") - (F.col("P") + F.col("O")) / 2)).alias("d_minus_po"), F.avg(shift).alias("mean_shift"))
+    return j.groupBy("kind", "conditioned").agg(F.count("*").alias("n"), F.max(F.abs(F.col("M") - F.col("S"))).alias("m_minus_s"), F.max(F.abs(F.col("D") - (F.col("P") + F.col("O")) / 2)).alias("d_minus_po"), F.avg(shift).alias("mean_shift"))
 
 
 def profile_metrics(observed: DataFrame, predicted: DataFrame) -> DataFrame:

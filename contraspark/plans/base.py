@@ -59,10 +59,12 @@ def _(spark, d):
     return st.publish_once(dm.counts(spark, d), st.work_path(spark, "counts"))
 
 
-_FP = "SELECT count(*) AS n_rows, sum(('0x' || h[1:8])::BIGINT)::BIGINT AS digest_sum, min(h) AS digest_min, max(h) AS digest_max FROM (SELECT sha256(concat_ws('|', {})) AS h FROM {})"
+_FP_TEXT = " || ".join(f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("o_orderkey", "o_custkey", "o_orderpriority"))
+_FP_SUMS = " || ',' || ".join(f"sum(('0x' || h[{8 * i + 1}:{8 * i + 8}])::BIGINT)::VARCHAR" for i in range(8))
+_FP = f"SELECT count(*) AS n_rows, {_FP_SUMS} AS digest_sums, min(h) AS digest_min, max(h) AS digest_max FROM (SELECT sha256({_FP_TEXT}) AS h FROM orders)"
 
 
-@query("table_fingerprint", _FP.format("o_orderkey, o_custkey, coalesce(o_orderpriority, '')", "orders"))
+@query("table_fingerprint", _FP)
 def _(spark, d):
     return st.table_fingerprint(table(spark, d, "orders"), ["o_orderkey", "o_custkey", "o_orderpriority"])
 
@@ -86,7 +88,7 @@ def _(spark, d):
     return dq.unique_key(table(spark, d, "orders"), ["o_custkey", "o_orderdate"])
 
 
-@query("dq_functional_dependency", "SELECT c_nationkey, min(c_mktsegment) AS least, max(c_mktsegment) AS most FROM customer GROUP BY c_nationkey HAVING min(c_mktsegment) <> max(c_mktsegment)")
+@query("dq_functional_dependency", "SELECT c_nationkey, min(c_mktsegment) AS least, max(c_mktsegment) AS most FROM customer GROUP BY c_nationkey HAVING min(c_mktsegment) <> max(c_mktsegment) OR (count(c_mktsegment) > 0 AND count(c_mktsegment) < count(*))")
 def _(spark, d):
     return dq.functional_dependency(table(spark, d, "customer"), "c_nationkey", "c_mktsegment")
 
@@ -138,11 +140,11 @@ pools AS (SELECT scheme, rotation, allocation, depth, role, cell_id FROM member
 """
 
 
-@query("dq_role_pools", w("alloc") + _POOLS + """, q AS (SELECT * FROM pools WHERE scheme = 'shared'), s AS (SELECT a.scheme, a.allocation, a.depth, a.role AS role_a, b.role AS role_b, count(*) AS shared FROM q a JOIN q b
-ON a.allocation = b.allocation AND a.depth = b.depth AND a.cell_id = b.cell_id AND a.role < b.role GROUP BY ALL), n AS (SELECT allocation, depth, count(*) AS pool FROM q WHERE role = 'input' GROUP BY ALL)
-SELECT s.*, pool, shared = pool AS allowed FROM s JOIN n USING (allocation, depth)""")
+@query("dq_role_pools", w("alloc") + _POOLS + """, n AS (SELECT scheme, rotation, allocation, depth, role, count(*) AS pool FROM pools GROUP BY ALL)
+SELECT a.scheme, a.rotation, a.allocation, a.depth, a.role AS role_a, b.role AS role_b, a.pool AS pool_a, b.pool AS pool_b, CASE WHEN a.scheme = 'shared' THEN a.pool ELSE 0 END AS shared, true AS allowed
+FROM n a JOIN n b ON a.scheme = b.scheme AND a.rotation = b.rotation AND a.allocation = b.allocation AND a.depth = b.depth AND a.role < b.role""")
 def _(spark, d):
-    return dq.role_pools(al.scheme_membership(dm.membership(spark, d)).where("scheme <> 'crossfit'"))
+    return dq.role_pools(al.scheme_membership(dm.membership(spark, d)))
 
 
 @query("dq_constant_columns", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IS DISTINCT FROM 'F'")
@@ -269,11 +271,14 @@ def _(spark, d):
     return al.scheme_membership(dm.membership(spark, d))
 
 
-_PLAN = """WITH plan(rule, direction, role, lo, hi) AS (VALUES ('shared_all', 0, 'input', 0, 8), ('shared_all', 0, 'observation', 0, 8), ('O_quarter', 0, 'input', 0, 6), ('O_quarter', 0, 'observation', 6, 8), ('O_half', 0, 'input', 0, 4), ('O_half', 0, 'observation', 4, 8),
- ('O_three_quarters', 0, 'input', 0, 2), ('O_three_quarters', 0, 'observation', 2, 8), ('crossfit_2', 0, 'observation', 0, 4), ('crossfit_2', 0, 'input', 4, 8), ('crossfit_2', 1, 'observation', 4, 8), ('crossfit_2', 1, 'input', 0, 4),
- ('crossfit_4', 0, 'observation', 0, 2), ('crossfit_4', 0, 'input', 2, 8), ('crossfit_4', 1, 'observation', 2, 4), ('crossfit_4', 1, 'input', 0, 2), ('crossfit_4', 1, 'input', 4, 8), ('crossfit_4', 2, 'observation', 4, 6), ('crossfit_4', 2, 'input', 0, 4),
- ('crossfit_4', 2, 'input', 6, 8), ('crossfit_4', 3, 'observation', 6, 8), ('crossfit_4', 3, 'input', 0, 6), ('overlap_half', 0, 'input', 0, 6), ('overlap_half', 0, 'observation', 2, 8), ('crossfit2_overlap_all', 0, 'input', 0, 4),
- ('crossfit2_overlap_all', 0, 'observation', 0, 8), ('crossfit2_overlap_all', 1, 'input', 4, 8), ('crossfit2_overlap_all', 1, 'observation', 0, 8)), parts AS (SELECT rule, direction, role, unnest(range(lo, hi)) AS row FROM plan)\n"""
+_PLAN = """WITH plan(rule, direction, role, lo, hi) AS (VALUES ('shared_all_B', 0, 'input', 0, 8), ('shared_all_B', 0, 'observation', 0, 8), ('O_quarter', 0, 'input', 0, 2), ('O_quarter', 0, 'observation', 2, 8),
+ ('O_half', 0, 'input', 0, 4), ('O_half', 0, 'observation', 4, 8), ('O_three_quarters', 0, 'input', 0, 6), ('O_three_quarters', 0, 'observation', 6, 8),
+ ('crossfit_2', 0, 'observation', 0, 4), ('crossfit_2', 0, 'input', 4, 8), ('crossfit_2', 1, 'observation', 4, 8), ('crossfit_2', 1, 'input', 0, 4),
+ ('crossfit_4', 0, 'observation', 0, 2), ('crossfit_4', 0, 'input', 2, 8), ('crossfit_4', 1, 'observation', 2, 4), ('crossfit_4', 1, 'input', 0, 2),
+ ('crossfit_4', 1, 'input', 4, 8), ('crossfit_4', 2, 'observation', 4, 6), ('crossfit_4', 2, 'input', 0, 4), ('crossfit_4', 2, 'input', 6, 8),
+ ('crossfit_4', 3, 'observation', 6, 8), ('crossfit_4', 3, 'input', 0, 6), ('overlap_half', 0, 'input', 0, 4), ('overlap_half', 0, 'observation', 0, 8),
+ ('crossfit2_overlap_all', 0, 'input', 0, 4), ('crossfit2_overlap_all', 0, 'observation', 0, 8), ('crossfit2_overlap_all', 1, 'input', 4, 8), ('crossfit2_overlap_all', 1, 'observation', 0, 8)),
+parts AS (SELECT rule, direction, role, unnest(range(lo, hi)) AS row FROM plan)\n"""
 _RULE_CELLS = _PLAN + ", cells AS (SELECT vec_id::VARCHAR AS cell_id, label AS stratum FROM embeddings WHERE label < 4), rk AS (SELECT cell_id, stratum, row_number() OVER (PARTITION BY stratum ORDER BY sha256('s1|0|' || cell_id), cell_id) - 1 AS r FROM cells), rp AS (SELECT rule, direction, role, stratum, cell_id FROM rk JOIN parts ON r = row)\n"
 
 
@@ -287,7 +292,8 @@ def _(spark, d):
     return _rule_cells(spark, d)
 
 
-@query("rule_cost", _RULE_CELLS + "SELECT rule, count(*) AS forwards, count(DISTINCT cell_id) AS unique_rows, count(*)::DOUBLE / (SELECT count(*) FROM rp WHERE rule = 'shared_all' AND role = 'input') AS ratio FROM rp WHERE role = 'input' GROUP BY rule", ("ratio",))
+@query("rule_cost", _RULE_CELLS + """SELECT rule, forwards, unique_rows, physical_rows, forwards::DOUBLE / physical_rows AS uncached_ratio, unique_rows::DOUBLE / physical_rows AS cached_ratio FROM
+(SELECT rule, count(*) FILTER (role = 'input') AS forwards, count(DISTINCT cell_id) FILTER (role = 'input') AS unique_rows, count(DISTINCT cell_id) AS physical_rows FROM rp GROUP BY rule)""", ("uncached_ratio", "cached_ratio"))
 def _(spark, d):
     return al.rule_cost(_rule_cells(spark, d).withColumnRenamed("cell_id", "row"))
 

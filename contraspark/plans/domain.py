@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from contraspark.operators import allocation, scoring
 from contraspark.plans.registry import table
+from contraspark.sources.storage import publish_once, work_path
 
 DEPTHS, ALLOCATIONS, SEED = (4, 8, 12), 2, "s1"
 CONTROLS = "label < 4"
@@ -35,7 +36,8 @@ def scores(spark: SparkSession, d: str) -> DataFrame:
     j = j.join(table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
     j = j.join(table(spark, d, "nation").select("n_nationkey", "n_regionkey"), F.col("c_nationkey") == F.col("n_nationkey"))
     key = [F.col("c_nationkey").cast("string").alias("case_id"), F.col("n_regionkey").cast("string").alias("unit"), F.col("l_returnflag").alias("budget"), F.col("l_linenumber").cast("string").alias("realization"), F.col("c_mktsegment").alias("model")]
-    return j.groupBy(*key).agg(F.avg(F.col("l_quantity").cast("double")).alias("score"))
+    # A few thousand rows behind a join of all order lines: made once for a query, however often it needs them.
+    return kept(j.groupBy(*key).agg(F.avg(F.col("l_quantity").cast("double")).alias("score")), "scores")
 
 
 def development(spark: SparkSession, d: str) -> DataFrame:
@@ -112,8 +114,24 @@ def counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("cell_id"), (F.col("l_partkey") % 50).alias("gene")).agg(F.sum("l_quantity").cast("long").alias("cnt"))
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """A small table that a query reads several times, written once to shared storage."""
+    return publish_once(df, work_path(df.sparkSession, name))
+
+
+def conditioned(train: DataFrame, blocks: DataFrame) -> DataFrame:
+    """task, allocation, depth, input, model, kind, prediction: a state and an effect that depend on the input block."""
+    j = train.crossJoin(F.broadcast(blocks.withColumnRenamed("block", "input")))  # few blocks
+    make = lambda name, kind, f: F.struct(F.lit(name).alias("model"), F.lit(kind).alias("kind"), F.zip_with("t", "profile", f).alias("prediction"))
+    models = F.array(make("block_effect", "effect", lambda t, b: t - b), make("block_state", "state", lambda t, b: 0.5 * t + 0.5 * b))
+    return j.select("task", "allocation", "depth", "input", F.explode(models).alias("m")).select("task", "allocation", "depth", "input", "m.*")
+
+
 def tuple_scores(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.role_tuple_mse(targets(spark, d), blocks(spark, d), predictions(spark, d), scales(spark, d))
+    b, p = kept(blocks(spark, d), "blocks"), kept(predictions(spark, d), "predictions")
+    train = p.where("model = 'train_state'").select("task", F.col("prediction").alias("t"))
+    scores = scoring.role_tuple_mse(kept(targets(spark, d), "targets"), b, p, kept(scales(spark, d), "scales"), conditioned(train, b))
+    return kept(scores, "tuples")
 
 
 SQL = {
@@ -138,19 +156,24 @@ SQL = {
     "lpred": """lpred AS (SELECT task, gene, 'shrunk_state' AS model, 'state' AS kind, 0.5 * t + 0.5 * c AS p FROM ltrain JOIN lcontrol USING (gene) UNION ALL
   SELECT task, gene, 'train_effect', 'effect', t - c FROM ltrain JOIN lcontrol USING (gene) UNION ALL SELECT task, gene, 'train_state', 'state', t FROM ltrain UNION ALL SELECT task, gene, 'zero_effect', 'effect', 0.0 FROM ltrain)""",
     "counts": "counts AS (SELECT l_orderkey AS cell_id, l_partkey % 50 AS gene, sum(l_quantity)::BIGINT AS cnt FROM lineitem GROUP BY ALL)",
-    "tuples": """tuples AS (SELECT task, bo.allocation, bo.depth, model, kind, bo.block AS observation, bp.block AS prediction, bi.block AS input,
+    "lcond": """lcond AS (SELECT task, gene, allocation, depth, block AS input, 'block_effect' AS model, 'effect' AS kind, t - value AS p FROM ltrain JOIN lblocks USING (gene) UNION ALL
+  SELECT task, gene, allocation, depth, block, 'block_state', 'state', 0.5 * t + 0.5 * value FROM ltrain JOIN lblocks USING (gene))""",
+    "tuples": """tuples AS (SELECT task, bo.allocation, bo.depth, model, kind, false AS conditioned, bo.block AS observation, bp.block AS prediction, bi.block AS input,
     avg(pow(CASE WHEN kind = 'effect' THEN p - (y - bo.value) ELSE (p - y) + (bo.value - bp.value) END / s, 2)) AS mse
   FROM ltargets JOIN lpred USING (task, gene) JOIN lcontrol USING (gene) JOIN lblocks bo USING (gene) JOIN lblocks bp ON bp.gene = bo.gene AND bp.allocation = bo.allocation AND bp.depth = bo.depth
-  JOIN (SELECT DISTINCT allocation, depth, block FROM member) bi ON bi.allocation = bo.allocation AND bi.depth = bo.depth GROUP BY ALL)""",
-    "patterns": """patterns AS (SELECT task, allocation, depth, model, kind, CASE WHEN observation = prediction AND prediction = input THEN 'S' WHEN observation = prediction THEN 'M' WHEN observation = input THEN 'P'
+  JOIN (SELECT DISTINCT allocation, depth, block FROM member) bi ON bi.allocation = bo.allocation AND bi.depth = bo.depth GROUP BY ALL
+  UNION ALL SELECT task, bo.allocation, bo.depth, model, kind, true, bo.block, bp.block, lcond.input, avg(pow(CASE WHEN kind = 'effect' THEN p - (y - bo.value) ELSE (p - y) + (bo.value - bp.value) END / s, 2))
+  FROM ltargets JOIN lcond USING (task, gene) JOIN lcontrol USING (gene) JOIN lblocks bo ON bo.gene = lcond.gene AND bo.allocation = lcond.allocation AND bo.depth = lcond.depth
+  JOIN lblocks bp ON bp.gene = bo.gene AND bp.allocation = bo.allocation AND bp.depth = bo.depth GROUP BY ALL)""",
+    "patterns": """patterns AS (SELECT task, allocation, depth, model, kind, conditioned, CASE WHEN observation = prediction AND prediction = input THEN 'S' WHEN observation = prediction THEN 'M' WHEN observation = input THEN 'P'
     WHEN prediction = input THEN 'O' ELSE 'D' END AS pattern, avg(mse) AS mse, count(*) AS tuples FROM tuples GROUP BY ALL)""",
     "vdist": """vdist AS (SELECT allocation, depth, avg(v) AS v FROM (SELECT a.allocation, a.depth, a.block AS i, b.block AS j, avg(pow((a.value - b.value) / s, 2)) AS v
   FROM lblocks a JOIN lblocks b ON a.allocation = b.allocation AND a.depth = b.depth AND a.gene = b.gene AND a.block <> b.block JOIN lcontrol c ON a.gene = c.gene GROUP BY ALL) GROUP BY ALL)""",
 }
 SQL["util_whole"] = SQL["util"].replace(" WHERE p_brand IN ('Brand#11', 'Brand#12', 'Brand#13', 'Brand#21', 'Brand#22')", "")
-SQL["pairs"] = """pairs AS (SELECT x.task, x.allocation, x.depth, x.model AS model_a, y.model AS model_b, x.kind AS kind_a, y.kind AS kind_b, max(CASE WHEN x.pattern = 'S' THEN y.mse - x.mse END) AS d_s, max(CASE WHEN x.pattern = 'D' THEN y.mse - x.mse END) AS d_d
+SQL["pairs"] = """pairs AS (SELECT x.task, x.allocation, x.depth, x.model AS model_a, y.model AS model_b, x.kind AS kind_a, y.kind AS kind_b, max(CASE WHEN x.pattern = 'S' THEN y.mse - x.mse END) AS d_s, max(CASE WHEN x.pattern = 'D' THEN y.mse - x.mse END) AS d_d, NOT bool_or((x.kind = 'effect' AND x.conditioned) OR (y.kind = 'effect' AND y.conditioned)) AS applicable
   FROM patterns x JOIN patterns y ON x.task = y.task AND x.allocation = y.allocation AND x.depth = y.depth AND x.pattern = y.pattern AND ((x.kind = 'effect' AND y.kind = 'state') OR (x.kind = y.kind AND x.model < y.model)) GROUP BY ALL)"""
-ROLE = ["cells", "lcells", "halves", "ranked", "depths", "member", "lblocks", "ltargets", "lcontrol", "ltrain", "lpred", "tuples", "patterns", "vdist", "pairs"]
+ROLE = ["cells", "lcells", "halves", "ranked", "depths", "member", "lblocks", "ltargets", "lcontrol", "ltrain", "lpred", "lcond", "tuples", "patterns", "vdist", "pairs"]
 
 
 def with_(*names: str) -> str:

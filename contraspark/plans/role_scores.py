@@ -45,14 +45,15 @@ def _(spark, d):
     return _pairs(spark, d)
 
 
-@query("identity_check", R + """SELECT task, allocation, depth, model_a, model_b, d_s, d_d, v, abs(d_d - (d_s + CASE WHEN kind_a <> kind_b THEN v ELSE 0 END)) <= 1e-9 + 1e-9 * greatest(abs(d_d), abs(d_s), v) AS holds
+@query("identity_check", R + """SELECT task, allocation, depth, model_a, model_b, d_s, d_d, v, applicable, CASE WHEN applicable THEN abs(d_d - (d_s + CASE WHEN kind_a <> kind_b THEN v ELSE 0 END)) <= 1e-9 + 1e-9 * greatest(abs(d_d), abs(d_s), CASE WHEN kind_a <> kind_b THEN v ELSE 0 END) END AS holds
 FROM pairs JOIN vdist USING (allocation, depth)""", ("d_s", "d_d", "v"))
 def _(spark, d):
     return sc.identity_check(_pairs(spark, d), _distance(spark, d))
 
 
-@query("crossing_classification", R + """SELECT *, CASE WHEN abs(d_s) <= 1e-12 OR abs(d_d) <= 1e-12 THEN 'numerical_tie' WHEN kind_a <> kind_b AND d_s < 0 AND d_d > 0 THEN 'state_to_effect'
-WHEN (d_s > 0) <> (d_d > 0) THEN CASE WHEN kind_a <> kind_b THEN 'unexpected_reversal' ELSE 'ranking_reversal' END WHEN d_s > 0 THEN kind_a || '_preferred_both' ELSE kind_b || '_preferred_both' END AS label FROM pairs""", ("d_s", "d_d"))
+@query("crossing_classification", R + """SELECT *, CASE WHEN abs(d_s) <= 1e-12 OR abs(d_d) <= 1e-12 THEN 'numerical_tie' WHEN d_s > 0 AND d_d > 0 THEN CASE WHEN kind_a = 'effect' AND kind_b = 'state' THEN 'effect_preferred_both' ELSE 'a_preferred_both' END
+WHEN d_s < 0 AND d_d < 0 THEN CASE WHEN kind_a = 'effect' AND kind_b = 'state' THEN 'state_preferred_both' ELSE 'b_preferred_both' END
+WHEN kind_a = kind_b OR NOT applicable THEN 'ranking_reversal' WHEN d_s < 0 THEN 'state_to_effect' ELSE 'unexpected_reversal' END AS label FROM pairs""", ("d_s", "d_d"))
 def _(spark, d):
     return sc.crossing(_pairs(spark, d))
 
@@ -149,8 +150,8 @@ def _(spark, d):
     return sc.role_interactions(dm.tuple_scores(spark, d))
 
 
-@query("pattern_identities", R + """, wide AS (SELECT task, allocation, depth, model, kind, max(mse) FILTER (pattern = 'S') AS s, max(mse) FILTER (pattern = 'M') AS m, max(mse) FILTER (pattern = 'P') AS p, max(mse) FILTER (pattern = 'O') AS o, max(mse) FILTER (pattern = 'D') AS d FROM patterns GROUP BY ALL)
-SELECT kind, count(*) AS n, max(abs(m - s)) AS m_minus_s, max(abs(d - (p + o) / 2)) AS d_minus_po, avg(CASE WHEN kind = 'state' THEN d - s - v ELSE d - s END) AS mean_shift FROM wide JOIN vdist USING (allocation, depth) GROUP BY kind""", ("m_minus_s", "d_minus_po", "mean_shift"))
+@query("pattern_identities", R + """, wide AS (SELECT task, allocation, depth, model, kind, conditioned, max(mse) FILTER (pattern = 'S') AS s, max(mse) FILTER (pattern = 'M') AS m, max(mse) FILTER (pattern = 'P') AS p, max(mse) FILTER (pattern = 'O') AS o, max(mse) FILTER (pattern = 'D') AS d FROM patterns GROUP BY ALL)
+SELECT kind, conditioned, count(*) AS n, max(abs(m - s)) AS m_minus_s, max(abs(d - (p + o) / 2)) AS d_minus_po, avg(CASE WHEN kind = 'state' THEN d - s - v ELSE d - s END) AS mean_shift FROM wide JOIN vdist USING (allocation, depth) GROUP BY ALL""", ("m_minus_s", "d_minus_po", "mean_shift"))
 def _(spark, d):
     return sc.pattern_identities(_patterns(spark, d), _distance(spark, d))
 
@@ -203,6 +204,6 @@ def _(spark, d):
 @query("pattern_displacement", R + """SELECT a.model, a.depth, a.pattern, sqrt(avg(pow(a.mse - s.mse, 2))) AS rms_change, avg(a.mse - s.mse) AS mean_change FROM patterns a JOIN patterns s USING (task, allocation, depth, model)
 WHERE s.pattern = 'S' AND a.pattern <> 'S' GROUP BY ALL""", ("rms_change", "mean_change"))
 def _(spark, d):
-    c = cm.against_base(_patterns(spark, d).drop("tuples", "kind"), ["task", "allocation", "depth", "model"], "pattern", "S", "mse")
+    c = cm.against_base(_patterns(spark, d).drop("tuples", "kind", "conditioned"), ["task", "allocation", "depth", "model"], "pattern", "S", "mse")
     change = F.col("after") - F.col("before")
     return c.groupBy("model", "depth", "pattern").agg(F.sqrt(F.avg(change * change)).alias("rms_change"), F.avg(change).alias("mean_change"))

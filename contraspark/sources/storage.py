@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,10 +14,13 @@ SCORES = T.StructType([*[T.StructField(c, T.StringType()) for c in ("case_id", "
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that executors and driver share (spark.checkpoint.dir)."""
+    """A new path in the folder that executors and driver share (spark.checkpoint.dir); only a local master may lack it and gets a folder of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -53,10 +58,15 @@ def count_triples(df: DataFrame, keys: list[str], count: str) -> DataFrame:
 
 
 def table_fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Digest of the rows that does not depend on their order."""
-    row = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256)
-    first = F.conv(F.substring("h", 1, 8), 16, 10).cast("long")
-    return df.select(row.alias("h")).agg(F.count("*").alias("n_rows"), F.sum(first).alias("digest_sum"), F.min("h").alias("digest_min"), F.max("h").alias("digest_max"))
+    """Digest of the rows that does not depend on their order: all 256 bits of each row's hash are summed, in eight parts.
+
+    A value is written as its length, a colon and its text, null as "-", so no two rows share a text.
+    """
+    text = lambda c: F.coalesce(F.concat(F.length(F.col(c).cast("string")), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
+    row = F.sha2(F.concat(*[text(c) for c in columns]), 256)
+    part = lambda i: F.sum(F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("long")).cast("string")
+    sums = F.concat_ws(",", *[part(i) for i in range(8)])
+    return df.select(row.alias("h")).agg(F.count("*").alias("n_rows"), sums.alias("digest_sums"), F.min("h").alias("digest_min"), F.max("h").alias("digest_max"))
 
 
 def membership_digest(df: DataFrame, group: list[str], member: str) -> DataFrame:
