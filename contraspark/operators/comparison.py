@@ -78,3 +78,12 @@ def weighted_summary(df: DataFrame, key: list[str], rule: str, base: str, value:
     m = df.groupBy(*key, rule).agg((F.sum(F.col(value) * F.col(weight)) / F.sum(weight)).alias("mean"))
     b = m.where(F.col(rule) == base).select(*key, F.col("mean").alias("base"))
     return m.join(b, key).select(*key, rule, "mean", F.when(F.col("base") != 0, 1 - F.col("mean") / F.col("base")).alias("reduction"))
+
+
+def fixed_argmin(losses: DataFrame, key: list[str], item: str, loss: str, tau: float = 1e-12, order: list[str] | None = None) -> DataFrame:
+    """Per key the item of least loss with its loss; of items within ``tau`` the first in ``order`` (by name without one), in column ``family``."""
+    best = losses.groupBy(*key).agg(F.min(loss).alias("_best"))
+    near = losses.join(best, key).where(F.col(loss) <= F.col("_best") + tau)
+    place = F.col(item) if order is None else F.array_position(F.array(*[F.lit(x) for x in order]), F.col(item))
+    first = near.groupBy(*key).agg(F.min(F.struct(place.alias("place"), F.col(item).alias("family"), F.col(loss).alias("loss"))).alias("x"))
+    return first.select(*key, "x.family", F.col("x.loss").alias(loss))

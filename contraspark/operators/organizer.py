@@ -10,40 +10,66 @@ from contraspark.operators.comparison import margins
 PAIR = ["budget", "model_a", "model_b"]
 
 
-def oriented(scores: DataFrame) -> DataFrame:
-    """Margins of all pairs in each case, unit, budget and realization; lower scores are better."""
-    return margins(scores, ["case_id", "unit", "budget", "realization"], "model", "score")
+def oriented(scores: DataFrame, lower_is_better: bool = True) -> DataFrame:
+    """Margins of all pairs in each case, unit, budget and realization; positive where model_a is better."""
+    m = margins(scores, ["case_id", "unit", "budget", "realization"], "model", "score")
+    return m if lower_is_better else m.withColumn("margin", -F.col("margin"))
 
 
-def shifts(scores: DataFrame, anchor: str = "1") -> DataFrame:
+def shifts(scores: DataFrame, anchor: str = "1", lower_is_better: bool = True) -> DataFrame:
     """Per case and pair: the anchor margin and the largest move of another realization away from it."""
-    m = oriented(scores)
-    a = m.where(F.col("realization") == anchor).select("case_id", *PAIR, F.col("margin").alias("anchor"))
-    return m.join(a, ["case_id", *PAIR]).groupBy("case_id", "unit", *PAIR).agg(F.max("anchor").alias("anchor"), F.max(F.abs(F.col("margin") - F.col("anchor"))).alias("shift"))
+    m = oriented(scores, lower_is_better)
+    at = F.max(F.when(F.col("realization") == anchor, F.col("margin")))
+    g = m.groupBy("case_id", "unit", *PAIR).agg(at.alias("anchor"), F.max("margin").alias("top"), F.min("margin").alias("bottom")).where("anchor is not null")
+    return g.select("case_id", "unit", *PAIR, "anchor", F.greatest(F.col("top") - F.col("anchor"), F.col("anchor") - F.col("bottom")).alias("shift"))
 
 
-def calibrate_shift(development: DataFrame) -> DataFrame:
-    return shifts(development).groupBy(*PAIR).agg(F.max("shift").alias("bound"))
+def calibrate_shift(development: DataFrame, lower_is_better: bool = True) -> DataFrame:
+    return shifts(development, lower_is_better=lower_is_better).groupBy(*PAIR).agg(F.max("shift").alias("bound"))
 
 
-def calibrate_geometry(development: DataFrame, geometry: DataFrame, tolerance: float = 1e-12, tau: float = 1e-12) -> DataFrame:
-    """Largest shift over geometry; unavailable when a case without geometry shifts, or no case has geometry."""
-    j = shifts(development).join(geometry.select("case_id", "budget", "geometry"), ["case_id", "budget"])
-    zero = F.col("geometry") <= tolerance
-    g = j.groupBy(*PAIR).agg(F.max(F.when(~zero, F.col("shift") / F.col("geometry"))).alias("factor"), F.count_if(zero & (F.col("shift") > tau)).alias("unexplained"))
-    reason = F.when(F.col("unexplained") > 0, "shift without geometry").when(F.col("factor").isNull(), "no geometry").otherwise("ok")
-    return g.withColumn("reason", reason).withColumn("factor", F.when(F.col("reason") == "ok", F.col("factor")))
+def calibrate_geometry(development: DataFrame, geometry: DataFrame, tolerance: float = 1e-12, tau: float = 1e-12, lower_is_better: bool = True) -> DataFrame:
+    """Largest shift over geometry, with the reason where it is not available.
 
-
-def release_decisions(anchors: DataFrame, shift: DataFrame, geometry_factor: DataFrame, geometry: DataFrame, gap: float, tau: float = 1e-12) -> DataFrame:
-    """Each anchor margin under three policies: released iff |margin| > bound + gap + tau."""
-    m = oriented(anchors).join(shift, PAIR).join(geometry_factor.select(*PAIR, "factor"), PAIR).join(geometry.select("case_id", "budget", "geometry"), ["case_id", "budget"])
-    policy = lambda name, bound: F.struct(F.lit(name).alias("policy"), bound.alias("limit"))
-    policies = F.array(policy("single_split", F.lit(0.0)), policy("repeated_primary", F.col("bound")), policy("geometry_scaled", F.col("factor") * F.col("geometry")))
+    A case without geometry that shifts makes it unavailable; so does the lack of any case with positive
+    geometry, or a development case whose geometry is not given at all.
+    """
+    j = shifts(development, lower_is_better=lower_is_better).join(geometry.select("case_id", "budget", "geometry"), ["case_id", "budget"], "left")
+    zero, lacking = F.col("geometry") <= tolerance, F.col("geometry").isNull()
+    g = j.groupBy(*PAIR).agg(
+        F.max(F.when(~zero, F.col("shift") / F.col("geometry"))).alias("factor"), F.count_if(zero & (F.col("shift") > tau)).alias("unexplained"), F.count_if(lacking).alias("lacking"),
+    )
+    reason = (
+        F.when(F.col("lacking") > 0, "geometry_not_supplied").when(F.col("unexplained") > 0, "development_zero_geometry_shift")
+        .when(F.col("factor").isNull(), "no_positive_development_geometry").otherwise("available")
+    )
+    return g.withColumn("reason", reason).withColumn("factor", F.when(F.col("reason") == "available", F.col("factor"))).drop("lacking")
+
+
+def release_decisions(
+    anchors: DataFrame, shift: DataFrame, geometry_factor: DataFrame, geometry: DataFrame, gap: float, tau: float = 1e-12, tolerance: float = 1e-12, lower_is_better: bool = True,
+) -> DataFrame:
+    """Each anchor margin under three policies: released iff |margin| > limit + gap + tau, held with a reason otherwise.
+
+    Every anchor margin has a row for each policy: one without a bound, factor or geometry is held, and
+    the geometry-scaled limit is not available where the case's geometry is at or below ``tolerance``.
+    """
+    m = oriented(anchors, lower_is_better).join(shift, PAIR, "left").join(geometry_factor.select(*PAIR, "factor", F.col("reason").alias("why")), PAIR, "left")
+    m = m.join(geometry.select("case_id", "budget", "geometry"), ["case_id", "budget"], "left")
+    lacking = (
+        F.when(F.col("why") != "available", F.col("why")).when(F.col("factor").isNull() | F.col("geometry").isNull(), "geometry_not_supplied")
+        .when(F.col("geometry") <= tolerance, "assessment_geometry_at_or_below_tolerance")
+    )
+    policy = lambda name, bound, held: F.struct(F.lit(name).alias("policy"), F.when(held.isNull(), bound).alias("limit"), held.alias("held"))
+    no_bound = F.when(F.col("bound").isNull(), "no_development_bound")
+    policies = F.array(
+        policy("single_split", F.lit(0.0), F.lit(None).cast("string")), policy("repeated_primary", F.col("bound"), no_bound), policy("geometry_scaled", F.col("factor") * F.col("geometry"), lacking),
+    )
     d = m.select("case_id", "unit", *PAIR, "margin", F.explode(policies).alias("p")).select("case_id", "unit", *PAIR, "margin", "p.*")
     released = F.coalesce(F.abs("margin") > F.col("limit") + gap + tau, F.lit(False))
-    reason = F.when(F.col("limit").isNull(), "no bound").when(F.col("released"), "released").otherwise("within bound")
-    return d.withColumn("released", released).withColumn("reason", reason).withColumn("favoured", F.when(F.col("margin") > 0, F.col("model_a")).when(F.col("margin") < 0, F.col("model_b")))
+    reason = F.coalesce("held", F.when(F.col("released"), "margin_exceeds_range_and_gap").otherwise("margin_within_range_or_gap"))
+    favoured = F.when(F.col("margin") > tau, F.col("model_a")).when(F.col("margin") < -tau, F.col("model_b"))
+    return d.withColumn("released", released).withColumn("reason", reason).withColumn("favoured", favoured).drop("held")
 
 
 def assess(decisions: DataFrame, assessment: DataFrame, gap: float, tau: float = 1e-12) -> DataFrame:
@@ -64,10 +90,11 @@ def policy_summary(assessed: DataFrame) -> DataFrame:
 
 
 def budget_recommendation(decisions: DataFrame, models: int, order: list[str]) -> DataFrame:
-    """Per case and policy: the first budget where one model is released as favoured against all others."""
+    """Per case and policy: the first budget where one model is released as favoured against all others; held (nulls) without one."""
     won = decisions.where("released").groupBy("case_id", "policy", "budget", "favoured").agg(F.count("*").alias("wins")).where(F.col("wins") == models - 1)
     place = F.array_position(F.array(*[F.lit(b) for b in order]), F.col("budget"))
-    return won.groupBy("case_id", "policy").agg(F.min(F.struct(place.alias("p"), "budget", "favoured")).alias("x")).select("case_id", "policy", "x.budget", F.col("x.favoured").alias("winner"))
+    first = won.groupBy("case_id", "policy").agg(F.min(F.struct(place.alias("p"), "budget", "favoured")).alias("x")).select("case_id", "policy", "x.budget", F.col("x.favoured").alias("winner"))
+    return decisions.select("case_id", "policy").distinct().join(first, ["case_id", "policy"], "left")
 
 
 def risk_coverage(rows: DataFrame, key: list[str], priority: str, bad: str, ties: list[str]) -> DataFrame:

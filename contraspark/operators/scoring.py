@@ -241,3 +241,23 @@ def complement_scores(targets: DataFrame, blocks: DataFrame, predictions: DataFr
     j = targets.join(predictions.where("kind = 'effect'"), "task").crossJoin(F.broadcast(other)).crossJoin(F.broadcast(scales))  # few blocks, one row
     mse = mean_square(minus("prediction", minus("treated", "profile")), F.col("scale"))
     return j.select("task", "model", "allocation", "depth", mse.alias("mse")).groupBy("task", "model", "depth").agg(F.avg("mse").alias("mse"), F.count("*").alias("n"))
+
+
+def refuse_overlap(cells: DataFrame) -> None:
+    """Raise when a cell has several roles, or one role twice, in a direction of a rule (rule, direction, role, cell_id)."""
+    twice = cells.groupBy("rule", "direction", "cell_id").agg(F.count("*").alias("n")).where("n > 1").limit(5).collect()
+    if twice:
+        raise ValueError(f"input and observation rows overlap or repeat: {[tuple(r)[:3] for r in twice]}")
+
+
+def partition_losses(cells: DataFrame, controls: DataFrame, factor: float, targets: DataFrame, scales: DataFrame) -> DataFrame:
+    """task, rule, direction, loss of a model whose state is ``factor`` times a control's profile, weighted over genes.
+
+    The effect is the mean state minus the mean of the input cells; the target is the treated mean minus
+    that of the observation cells. ``scales`` has gene, s and w (weights that sum to one).
+    """
+    long = cells.join(controls.select("cell_id", "profile"), "cell_id").select("rule", "direction", "role", F.posexplode("profile").alias("gene", "v"))
+    of = lambda role: F.avg(F.when(F.col("role") == role, F.col("v")))
+    means = long.groupBy("rule", "direction", "gene").agg(of("input").alias("given"), of("observation").alias("ref"))
+    e = ((factor - 1) * F.col("given") - (F.col("y") - F.col("ref"))) / F.col("s")
+    return means.join(scales, "gene").join(targets, "gene").groupBy("task", "rule", "direction").agg(F.sum(F.col("w") * e * e).alias("loss"))

@@ -17,11 +17,12 @@ _MG = "{n} AS (SELECT a.case_id, a.unit, a.budget, a.realization, a.model AS mod
 _BASE = with_("scores", "dev", "asm") + ", " + _MG.format(n="dmg", t="dev") + ", " + _MG.format(n="amg", t="asm") + """,
 sh AS (SELECT m.case_id, m.unit, m.budget, m.model_a, m.model_b, max(a.margin) AS anchor, max(abs(m.margin - a.margin)) AS shift FROM dmg m JOIN dmg a USING (case_id, budget, model_a, model_b) WHERE a.realization = '1' GROUP BY ALL),
 bd AS (SELECT budget, model_a, model_b, max(shift) AS bound FROM sh GROUP BY ALL),
-geo AS (SELECT case_id, budget, CASE WHEN case_id::INT % 6 = 0 THEN 0.0 ELSE max(score) - min(score) END::DOUBLE AS geometry FROM scores WHERE realization = '1' GROUP BY case_id, budget),
+geo AS (SELECT case_id, budget, CASE WHEN case_id::INT % 7 = 3 AND (budget = 'R' OR (budget = 'N' AND case_id::INT % 2 = 1)) THEN 0.0 ELSE max(score) - min(score) END::DOUBLE AS geometry FROM scores WHERE realization = '1' GROUP BY case_id, budget),
 gf0 AS (SELECT budget, model_a, model_b, max(CASE WHEN geometry > 1e-12 THEN shift / geometry END) AS factor, count(*) FILTER (geometry <= 1e-12 AND shift > 1e-12) AS unexplained FROM sh JOIN geo USING (case_id, budget) GROUP BY ALL),
-gf AS (SELECT budget, model_a, model_b, CASE WHEN unexplained = 0 THEN factor END AS factor, unexplained, CASE WHEN unexplained > 0 THEN 'shift without geometry' WHEN factor IS NULL THEN 'no geometry' ELSE 'ok' END AS reason FROM gf0),
-dec0 AS (SELECT m.case_id, m.unit, budget, model_a, model_b, margin, unnest(['single_split', 'repeated_primary', 'geometry_scaled']) AS policy, unnest([0.0::DOUBLE, bound, factor * geometry]) AS "limit" FROM amg m JOIN bd USING (budget, model_a, model_b) JOIN gf USING (budget, model_a, model_b) JOIN geo USING (case_id, budget) WHERE m.realization = '1'),
-dec AS (SELECT *, coalesce(abs(margin) > "limit" + 0.5 + 1e-12, false) AS released, CASE WHEN margin > 0 THEN model_a WHEN margin < 0 THEN model_b END AS favoured FROM dec0),
+gf AS (SELECT budget, model_a, model_b, CASE WHEN unexplained = 0 THEN factor END AS factor, unexplained, CASE WHEN unexplained > 0 THEN 'development_zero_geometry_shift' WHEN factor IS NULL THEN 'no_positive_development_geometry' ELSE 'available' END AS reason FROM gf0),
+dec0 AS (SELECT m.case_id, m.unit, budget, model_a, model_b, margin, unnest(['single_split', 'repeated_primary', 'geometry_scaled']) AS policy, unnest([0.0::DOUBLE, bound, CASE WHEN geometry > 1e-12 THEN factor * geometry END]) AS "limit",
+ unnest([NULL, NULL, CASE WHEN gf.reason <> 'available' THEN gf.reason WHEN geometry <= 1e-12 THEN 'assessment_geometry_at_or_below_tolerance' END]) AS held FROM amg m JOIN bd USING (budget, model_a, model_b) JOIN gf USING (budget, model_a, model_b) JOIN geo USING (case_id, budget) WHERE m.realization = '1'),
+dec AS (SELECT *, coalesce(abs(margin) > "limit" + 0.5 + 1e-12, false) AS released, CASE WHEN margin > 1e-12 THEN model_a WHEN margin < -1e-12 THEN model_b END AS favoured FROM dec0),
 ass AS (SELECT d.case_id, d.unit, budget, model_a, model_b, policy, d.margin, d."limit", released, favoured, bool_and(sign(d.margin) * m.margin > 0.5 + 1e-12) AS supported, bool_or(sign(d.margin) * m.margin < -1e-12) AS reversal, bool_or(abs(m.margin * sign(d.margin)) <= 1e-12) AS tie,
  bool_or(sign(d.margin) * m.margin > 1e-12 AND sign(d.margin) * m.margin <= 0.5 + 1e-12) AS within_gap FROM dec d JOIN amg m USING (case_id, budget, model_a, model_b) GROUP BY ALL)
 """
@@ -29,7 +30,7 @@ ass AS (SELECT d.case_id, d.unit, budget, model_a, model_b, policy, d.margin, d.
 
 def _geometry(spark, d):
     g = dm.scores(spark, d).where("realization = '1'").groupBy("case_id", "budget").agg((F.max("score") - F.min("score")).alias("geometry"))
-    return g.withColumn("geometry", F.when(F.expr("int(case_id) % 6 = 0"), 0.0).otherwise(F.col("geometry")))
+    return g.withColumn("geometry", F.when(F.expr("int(case_id) % 7 = 3 and (budget = 'R' or (budget = 'N' and int(case_id) % 2 = 1))"), 0.0).otherwise(F.col("geometry")))
 
 
 def _decided(spark, d):
@@ -52,7 +53,7 @@ def _(spark, d):
     return og.calibrate_geometry(dm.development(spark, d), _geometry(spark, d))
 
 
-@query("release_decisions", _BASE + """SELECT *, CASE WHEN "limit" IS NULL THEN 'no bound' WHEN released THEN 'released' ELSE 'within bound' END AS reason FROM dec""", ("margin", '"limit"'))
+@query("release_decisions", _BASE + """SELECT * EXCLUDE (held), CASE WHEN held IS NOT NULL THEN held WHEN released THEN 'margin_exceeds_range_and_gap' ELSE 'margin_within_range_or_gap' END AS reason FROM dec""", ("margin", '"limit"'))
 def _(spark, d):
     return _decided(spark, d)
 
@@ -79,7 +80,7 @@ def _(spark, d):
     return g.join(r, F.col("g.budget") == F.col("r.budget")).select("g.budget", F.expr("case when g.n_released = 0 or r.n_released = 0 then 'insufficient' when g.n_released > r.n_released and g.unsupported <= r.unsupported then 'strict_gain' when g.n_released = r.n_released and g.unsupported = r.unsupported then 'parity' else 'no_gain' end").alias("verdict"))
 
 
-_REC = ", won AS (SELECT case_id, policy, budget, favoured, count(*) AS wins FROM dec WHERE released GROUP BY ALL HAVING count(*) = 4), rec AS (SELECT case_id, policy, min(budget) AS budget, arg_min(favoured, budget) AS winner FROM won GROUP BY ALL)\n"
+_REC = ", won AS (SELECT case_id, policy, budget, favoured, count(*) AS wins FROM dec WHERE released GROUP BY ALL HAVING count(*) = 4), rec AS (SELECT c.case_id, c.policy, min(budget) AS budget, arg_min(favoured, budget) AS winner FROM (SELECT DISTINCT case_id, policy FROM dec) c LEFT JOIN won w ON c.case_id = w.case_id AND c.policy = w.policy GROUP BY ALL)\n"
 
 
 @query("budget_recommendation", _BASE + _REC + "SELECT * FROM rec")

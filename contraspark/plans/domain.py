@@ -89,6 +89,11 @@ def targets(spark: SparkSession, d: str) -> DataFrame:
     return scoring.mean_profile(halves(spark, d).where("half = 'target'"), ["stratum"]).select(F.col("stratum").alias("task"), F.col("profile").alias("treated"))
 
 
+def targets_of_all(spark: SparkSession, d: str) -> DataFrame:
+    """task, gene, y: mean of all treated cells."""
+    return long_cells(spark, d).where("stratum >= 4").groupBy(F.col("stratum").alias("task"), "gene").agg(F.avg("value").alias("y"))
+
+
 def predictions(spark: SparkSession, d: str) -> DataFrame:
     """task, model, kind, prediction: fixed effects and states from the train half and all controls."""
     train = scoring.mean_profile(halves(spark, d).where("half = 'train'"), ["stratum"]).select(F.col("stratum").alias("task"), F.col("profile").alias("t"))
