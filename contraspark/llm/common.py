@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes handled at once inside a task; bounds a task's memory whatever the Arrow batch holds.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Keys of more rows than this, if also of more than one in HOT_KEYS of all rows, are spread when a table is joined to them.
 HOT_ROWS, HOT_KEYS = 200_000, 4096
 
@@ -109,20 +110,31 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def give_back() -> None:
+    """Return freed memory, which Arrow and the C library would keep, to the system: a worker stays for the tasks of later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the texts of a piece hold ``limit`` bytes at most (one longer text stands alone)."""
     for batch in batches:
-        column = batch.column(batch.schema.get_field_index(text))
-        if not len(column):
-            continue
-        size = np.zeros(len(column) + 1, np.int64)
-        lengths = pc.binary_length(column).fill_null(0)
-        np.cumsum(lengths.to_numpy(zero_copy_only=False), out=size[1:])
-        at = 0
-        while at < len(column):
-            to = max(at + 1, int(np.searchsorted(size, size[at] + limit, "right")) - 1)
-            yield batch.slice(at, to - at)
-            at = to
+        yield from _pieces(batch, text, limit)
+        del batch
+        give_back()
+
+
+def _pieces(batch: pa.RecordBatch, text: str, limit: int) -> Iterator[pa.RecordBatch]:
+    column = batch.column(batch.schema.get_field_index(text))
+    size = np.zeros(len(column) + 1, np.int64)
+    np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False), out=size[1:])
+    at = 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(size, size[at] + limit, "right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -37,9 +37,9 @@ from contraspark.llm.words import LOWER, SPACE
 
 WINDOW = 4096
 #: Distinct words whose ids a Python worker remembers between batches.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 #: Text bytes encoded at once.
-ENCODE_BYTES = 4 << 20
+ENCODE_BYTES = 2 << 20
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _PARTITION_BITS = 40
 #: New units encoded in one call.
@@ -168,6 +168,9 @@ class _Tokens:
         if suffix:
             self.ends_part[[i for piece, i in self.tokenizer.get_vocab(False).items() if piece.endswith(suffix)]] = True
 
+    def forget(self) -> None:
+        self.known = Remembered(np.uint32, CACHE_WORDS)
+
     def _units(self, column: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """All units, one text's after the other's, and their offsets by text."""
         raw, offsets = text_bytes(column)
@@ -242,6 +245,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = WI
                 done += packer.place((doc_id, hi - lo), ids[lo:hi])
             yield from _batches(done)
             packer.own_ids()
+        tokens.forget()  # the worker stays for other stages, where the units would only take memory
         yield from _batches(packer.finish())
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
