@@ -96,9 +96,14 @@ def attach(df: DataFrame, table: DataFrame, keys: list[str], spread: Column, how
     return left.join(right, on, how).select(*df.columns, *names)
 
 
-def attach_stats(df: DataFrame, keys: list[str], aggs: list[Column], spread: Column, having: Column | None = None) -> DataFrame:
-    """Join statistics of each key's rows, aggregated before their shuffle, back to the rows (see ``attach``)."""
+def attach_stats(df: DataFrame, keys: list[str], aggs: list[Column], spread: Column, having: Column | None = None, most: int | None = None) -> DataFrame:
+    """Join statistics of each key's rows, aggregated before their shuffle, back to the rows (see ``attach``).
+
+    ``most`` is a known bound of the rows of ``df``: below HOT_ROWS no key is hot, and nothing needs to be counted.
+    """
     stats = df.groupBy(*keys).agg(*aggs, F.count("*").alias("_rows"))
+    if most is not None and most <= HOT_ROWS:
+        return attach(df, (stats if having is None else stats.where(having)).drop("_rows"), keys, spread)
     return attach(df, materialise(stats if having is None else stats.where(having), "statistics"), keys, spread, rows="_rows")
 
 
