@@ -80,9 +80,9 @@ def _digests(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def _emit_digests(window: int):
+def _emit_digests(window: int, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, text_col):
             words = split_words(batch.column(1), two=True)
             one, two = _digests(words)
             out = pa.record_batch([batch.column(0), pa.array(one), pa.array(two)], ["id", "d1", "d2"])
@@ -102,9 +102,9 @@ def _is_copy(words: Words, known: pa.Array) -> np.ndarray:
     return out
 
 
-def _emit_anchors(window: int):
+def _emit_anchors(window: int, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, text_col):
             words = split_words(batch.column(1), two=True)
             skip = _is_copy(words, batch.column(2)) | ~batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             doc, _, anchor = _anchors(words, window)
@@ -115,10 +115,10 @@ def _emit_anchors(window: int):
     return run
 
 
-def _emit_windows(window: int):
+def _emit_windows(window: int, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices([whole.filter(whole.column(2).is_valid())], "text"):
+            for batch in slices([whole.filter(whole.column(2).is_valid())], text_col):
                 n, words, shared = batch.num_rows, split_words(batch.column(1), two=True), batch.column(2)
                 doc, pos, anchor = _anchors(words, window)
                 bounds, have = shared.offsets.to_numpy(), shared.values.to_numpy()
@@ -196,27 +196,29 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if window < PERIOD:
         raise ValueError(f"windows of {PERIOD} words at least")
     docs = docs.drop(*RESULTS)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # Columns go by their number inside, so that no name of the table can clash with one of these.
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    own, text = f"c{docs.columns.index(id_col)}", f"c{docs.columns.index(text_col)}"
     # Exact copies of a smaller id's words are settled as a whole: they lose all words and are no source.
-    whole = texts.where("id is not null").mapInArrow(_emit_digests(window), "id long, d1 long, d2 long")
+    whole = plain.where(F.col(own).isNotNull()).select(own, text).mapInArrow(_emit_digests(window, text), "id long, d1 long, d2 long")
     copies = attach_stats(whole, ["d1", "d2"], [F.min("id").alias("lo"), F.max("id").alias("hi")], F.col("id"), having=F.col("lo") < F.col("hi"))
     copies = copies.where("lo < id").groupBy("id").agg(F.collect_set(F.struct("d1", "d2")).alias("_copied"))
-    # All steps below join the texts by id; left joins on the same columns share one shuffle of the texts.
-    anchors = texts.join(copies, "id", "left").select("id", "text", "_copied").mapInArrow(_emit_anchors(window), "id long, anchors array<long>")
+
+    # Whole rows are joined in each step, though the first two need the texts alone: so all share one shuffle of the table.
+    rest = [c for c in plain.columns if c not in (own, text)]
+    beside = lambda found: plain.join(found.withColumnRenamed("id", "_of"), F.col(own) == F.col("_of"), "left").drop("_of")
+    anchors = beside(copies).select(own, text, "_copied", *rest).mapInArrow(_emit_anchors(window, text), "id long, anchors array<long>")
     anchors = anchors.select("id", F.explode("anchors").alias("a"))
     by_anchor = Window.partitionBy("a")
     shared = (
         anchors.select("id", "a", F.min("id").over(by_anchor).alias("lo"), F.max("id").over(by_anchor).alias("hi"))
         .where("lo < hi").groupBy("id").agg(F.collect_list("a").alias("anchors"))
     )
-    around = texts.join(shared, "id", "left").select("id", "text", "anchors").mapInArrow(_emit_windows(window), "id long, w1 array<long>, w2 array<int>")
+    around = beside(shared).select(own, text, "anchors", *rest).mapInArrow(_emit_windows(window, text), "id long, w1 array<long>, w2 array<int>")
     windows = around.select("id", F.explode(F.arrays_zip("w1", "w2")).alias("w")).select("id", "w.w1", "w.w2")
     repeated = windows.select("id", "w1", "w2", F.min("id").over(Window.partitionBy("w1", "w2")).alias("lo")).where("lo < id")
     hits = repeated.groupBy("id").agg(F.collect_list(F.struct("w1", "w2")).alias("_hits"))
-    # Columns go by their number inside, so that no name of the table can clash with one of these.
-    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    own, text = f"c{docs.columns.index(id_col)}", f"c{docs.columns.index(text_col)}"
-    joined = plain.join(hits.withColumnRenamed("id", "_of"), F.col(own) == F.col("_of"), "left").drop("_of")
+    joined = beside(hits)
     joined = joined.join(copies.withColumnRenamed("id", "_of"), F.col(own) == F.col("_of"), "left").select(*plain.columns, "_hits", "_copied")
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     kinds = [T.StringType(), T.LongType(), T.LongType(), span]
