@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -159,6 +159,37 @@ def closure(edges: DataFrame, key: list[str]) -> DataFrame:
         before = now
 
 
+#: The three decisions on a reported graph.
+CYCLIC, ONE_SOURCE, MANY_SOURCES = "ABSTAIN_CYCLIC_REPORTED_GRAPH", "SUPPORTED_SINGLETON_REPORTED_GRAPH_SOURCE", "ABSTAIN_NON_SINGLETON_REPORTED_GRAPH_SOURCE"
+
+
+def reported_graph(edges: DataFrame, methods: DataFrame, key: list[str]) -> DataFrame:
+    """Each method's place in the graph of reported directions (source beats target), methods without edges included.
+
+    beats and beaten_by count direct edges; is_source: beaten by none; condorcet: beats all others directly;
+    component: the least name of the methods on a common cycle, null off cycles. lower and upper bound the
+    position by all methods above and below; they are null where the graph has a cycle. status is the graph's.
+    """
+    edges = publish_once(edges.select(*key, "source", "target").distinct(), work_path(edges.sparkSession, "edges"))
+    reach = closure(edges, key)
+    back = reach.select(*key, F.col("target").alias("source"), F.col("source").alias("target"))
+    row = lambda df, method, what, other="target": df.select(*key, F.col(method).alias("method"), F.lit(what).alias("what"), F.col(other).alias("other"))
+    parts = [
+        row(methods.select(*key, "method").distinct(), "method", "roster", "method"), row(edges, "source", "beats"), row(edges, "target", "beaten_by"),
+        row(reach, "source", "below"), row(reach, "target", "above"), row(reach.join(back, [*key, "source", "target"]), "source", "cycle"),
+    ]
+    is_a = lambda what: F.col("what") == what
+    counts = [F.count_if(is_a(what)).alias(what) for what in ("beats", "beaten_by", "below", "above")]
+    g = reduce(DataFrame.union, parts).groupBy(*key, "method").agg(*counts, F.min(F.when(is_a("cycle"), F.col("other"))).alias("component"))
+    graph = Window.partitionBy(*key)
+    n, cyclic = F.count("*").over(graph), F.count("component").over(graph) > 0
+    status = F.when(cyclic, CYCLIC).when(F.count_if(F.col("beaten_by") == 0).over(graph) == 1, ONE_SOURCE).otherwise(MANY_SOURCES)
+    return g.select(
+        *key, "method", "beats", "beaten_by", (F.col("beaten_by") == 0).alias("is_source"), (F.col("beats") == n - 1).alias("condorcet"), "component",
+        F.when(~cyclic, F.col("above") + 1).alias("lower"), F.when(~cyclic, n - F.col("below")).alias("upper"), status.alias("status"),
+    )
+
+
 def weighted_pairs(df: DataFrame, key: list[str], shared: str, rule: str, weight: str, cluster: str) -> DataFrame:
     """Weighted mean improvement of the rule over the shared loss, with the CR1 cluster error and the clusters' number."""
     x = df.withColumn("d", F.col(shared) - F.col(rule))

@@ -308,15 +308,32 @@ def _flip_critical(x, n):
 _ED = ", ed AS (SELECT DISTINCT allocation_id, source, target FROM tl WHERE p <= 0.3)\n"
 
 
-@query("decision_sets", U + _ED + ", cl AS (WITH RECURSIVE c AS (SELECT * FROM ed UNION SELECT c.allocation_id, c.source, e.target FROM c JOIN ed e ON c.allocation_id = e.allocation_id AND c.target = e.source) SELECT * FROM c) SELECT allocation_id, source, target FROM cl")
+_CL = """, cl AS (WITH RECURSIVE c AS (SELECT * FROM ed UNION SELECT c.allocation_id, c.source, e.target FROM c JOIN ed e ON c.allocation_id = e.allocation_id AND c.target = e.source) SELECT * FROM c)
+"""
+
+
+@query("decision_sets", U + _ED + _CL + "SELECT allocation_id, source, target FROM cl")
 def _(spark, d):
     return inf.closure(_tails(spark, d).where("p <= 0.3"), ["allocation_id"])
 
 
-@query("reported_graph", U + _ED + "SELECT allocation_id, m AS method, count(*) FILTER (s = m) AS beats, count(*) FILTER (t = m) AS beaten_by FROM (SELECT allocation_id, source AS s, target AS t, unnest([source, target]) AS m FROM ed) GROUP BY ALL")
+_RG = """, ro AS (SELECT DISTINCT allocation_id, method_id AS method FROM util),
+g AS (SELECT r.allocation_id, r.method,
+ (SELECT count(*) FROM ed e WHERE e.allocation_id = r.allocation_id AND e.source = r.method) AS beats,
+ (SELECT count(*) FROM ed e WHERE e.allocation_id = r.allocation_id AND e.target = r.method) AS beaten_by,
+ (SELECT count(*) FROM cl c WHERE c.allocation_id = r.allocation_id AND c.source = r.method) AS below,
+ (SELECT count(*) FROM cl c WHERE c.allocation_id = r.allocation_id AND c.target = r.method) AS above,
+ (SELECT min(c.target) FROM cl c JOIN cl b ON b.allocation_id = c.allocation_id AND b.source = c.target AND b.target = c.source WHERE c.allocation_id = r.allocation_id AND c.source = r.method) AS component,
+ (SELECT count(*) FROM cl c WHERE c.allocation_id = r.allocation_id AND c.source = c.target) > 0 AS cyclic FROM ro r),
+h AS (SELECT *, count(*) OVER (PARTITION BY allocation_id) AS n, count(*) FILTER (beaten_by = 0) OVER (PARTITION BY allocation_id) AS sources FROM g)
+SELECT allocation_id, method, beats, beaten_by, beaten_by = 0 AS is_source, beats = n - 1 AS condorcet, component, CASE WHEN NOT cyclic THEN above + 1 END AS lower, CASE WHEN NOT cyclic THEN n - below END AS upper,
+ CASE WHEN cyclic THEN 'ABSTAIN_CYCLIC_REPORTED_GRAPH' WHEN sources = 1 THEN 'SUPPORTED_SINGLETON_REPORTED_GRAPH_SOURCE' ELSE 'ABSTAIN_NON_SINGLETON_REPORTED_GRAPH_SOURCE' END AS status FROM h"""
+
+
+@query("reported_graph", U + _ED + _CL + _RG)
 def _(spark, d):
-    e = _tails(spark, d).where("p <= 0.3").select("allocation_id", "source", "target", F.explode(F.array("source", "target")).alias("method"))
-    return e.groupBy("allocation_id", "method").agg(F.count_if(F.col("source") == F.col("method")).alias("beats"), F.count_if(F.col("target") == F.col("method")).alias("beaten_by"))
+    methods = dm.utilities(spark, d).select("allocation_id", F.col("method_id").alias("method"))
+    return inf.reported_graph(_tails(spark, d).where("p <= 0.3"), methods, ["allocation_id"])
 
 
 _WP = ", wp AS (SELECT unit, case_id, realization, max(score) FILTER (budget = 'A') AS sl, max(score) FILTER (budget = 'R') AS rl, case_id::DOUBLE + 1 AS wt FROM scores WHERE model = 'BUILDING' GROUP BY ALL)\n"

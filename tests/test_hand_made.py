@@ -125,3 +125,19 @@ def test_large_families_keep_their_pairs(spark):
     counts = spark.createDataFrame([("d", "x", "a", "b", 150, 50, 0)], "dataset_id string, allocation_id string, source string, target string, wins long, losses long, ties long")
     got = inference.sign_tails(counts).collect()
     assert len(got) == 1 and 0 < got[0]["p"] < 1e-11
+
+
+def test_graph_of_reported_directions(spark):
+    """a chain with a lone method, a cycle, a winner over all, and no edge at all."""
+    edges = spark.createDataFrame([("chain", *e) for e in ("ab", "bc")] + [("cycle", *e) for e in ("ab", "bc", "ca", "cd")] + [("winner", *e) for e in ("ba", "bc", "bd")], "g string, source string, target string")
+    methods = spark.createDataFrame([(g, m) for g in ("chain", "cycle", "winner", "none") for m in "abcd"], "g string, method string")
+    got = {(r["g"], r["method"]): r for r in inference.reported_graph(edges, methods, ["g"]).collect()}
+    assert len(got) == 16
+    bounds = lambda g: [(got[g, m]["lower"], got[g, m]["upper"]) for m in "abcd"]
+    assert bounds("chain") == [(1, 2), (2, 3), (3, 4), (1, 4)] and bounds("none") == [(1, 4)] * 4
+    assert bounds("winner") == [(2, 4), (1, 1), (2, 4), (2, 4)] and bounds("cycle") == [(None, None)] * 4
+    assert [got["cycle", m]["component"] for m in "abcd"] == ["a", "a", "a", None]
+    assert [m for m in "abcd" if got["chain", m]["is_source"]] == ["a", "d"] and [k for k, r in got.items() if r["condorcet"]] == [("winner", "b")]
+    assert {g: got[g, "a"]["status"] for g in ("chain", "cycle", "winner", "none")} == {
+        "chain": inference.MANY_SOURCES, "none": inference.MANY_SOURCES, "cycle": inference.CYCLIC, "winner": inference.ONE_SOURCE,
+    }
