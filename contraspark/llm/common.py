@@ -55,9 +55,14 @@ def discard(*tables: DataFrame) -> None:
                 _delete(known)
 
 
-def clean_up(spark: SparkSession) -> int:
-    """Delete all tables still kept on shared storage, after the results that rest on them have been read. Returns their number."""
-    mine = [p for p, s in _written.items() if s is spark]
+def written() -> set[str]:
+    """The tables on shared storage so far (see ``clean_up``)."""
+    return set(_written)
+
+
+def clean_up(spark: SparkSession, besides: set[str] = frozenset()) -> int:
+    """Delete the tables still kept on shared storage, but for ``besides``, after the results that rest on them have been read. Returns their number."""
+    mine = [p for p, s in _written.items() if s is spark and p not in besides]
     for path in mine:
         _delete(path)
     return len(mine)
