@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from contraspark.operators.prefix import running
+
 SCHEMES = [("shared", "SHARED", None), ("split", "SPLIT", 0), ("crossfit", "ROT0", 0), ("crossfit", "ROT1", 1), ("crossfit", "ROT2", 2)]
 
 
@@ -14,16 +16,14 @@ def hash_rank(seed, *parts) -> object:
 
 def hash_split(df: DataFrame, group: str, key: str, seed: str) -> DataFrame:
     """half: train for the first floor(n / 2) by rank of each group, else target."""
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(hash_rank(f"{seed}|split", key), key))
-    n = F.count("*").over(Window.partitionBy(group))
-    return df.withColumn("half", F.when(rank <= F.floor(n / 2), "train").otherwise("target"))
+    r = running(df, [group], [hash_rank(f"{seed}|split", key), key], rank="_rank", total="_n")
+    return r.withColumn("half", F.when(F.col("_rank") <= F.floor(F.col("_n") / 2), "train").otherwise("target")).drop("_rank", "_n")
 
 
 def hash_folds(df: DataFrame, key: str, folds: int, seed: str, group: str | None = None) -> DataFrame:
-    """fold: rank mod n. Ranks are taken within the group; without one, within 1/64 parts of the keys' hashes."""
-    part = F.col(group) if group else F.pmod(F.conv(F.substring(F.sha2(F.col(key), 256), 1, 4), 16, 10).cast("int"), F.lit(64))
-    rank = F.row_number().over(Window.partitionBy(part).orderBy(hash_rank(f"{seed}|fold", key), key)) - 1
-    return df.withColumn("fold", rank % folds)
+    """fold: rank mod n. Ranks are taken within the group; without one, over all rows."""
+    r = running(df, [group] if group else [], [hash_rank(f"{seed}|fold", key), key], rank="_rank")
+    return r.withColumn("fold", ((F.col("_rank") - 1) % folds).cast("int")).drop("_rank")
 
 
 def ranked(cells: DataFrame, allocations: int, seed: str, most: int | None = None) -> DataFrame:

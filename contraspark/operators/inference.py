@@ -8,19 +8,30 @@ from functools import lru_cache, reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contraspark.sources.storage import publish_once, work_path
+from contraspark.operators.prefix import numbered
+from contraspark.operators.student import binomial_tail, with_t_quantile
+from contraspark.sources.storage import keep
 
 MAX_EXACT = 110
 
 
 def sign_counts(utilities: DataFrame) -> DataFrame:
-    """Wins, losses and ties of each ordered method pair over units; an exact zero is a tie."""
+    """Wins, losses and ties of each ordered method pair over units; an exact zero is a tie.
+
+    ``missing`` counts the units of the dataset and allocation for which a method of the pair has no
+    utility (null, not a number, or no row). One order of each pair is compared and mirrored.
+    """
     key = ["dataset_id", "allocation_id"]
     a, b = utilities.alias("a"), utilities.alias("b")
-    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*key, "unit_id"]] + [F.col("a.method_id") != F.col("b.method_id")]
+    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*key, "unit_id"]] + [F.col("a.method_id") < F.col("b.method_id")]
     d = F.col("a.utility") - F.col("b.utility")
-    j = a.join(b, on)
-    return j.groupBy(*[f"a.{c}" for c in key], F.col("a.method_id").alias("source"), F.col("b.method_id").alias("target")).agg(F.count_if(d > 0).alias("wins"), F.count_if(d < 0).alias("losses"), F.count_if(d == 0).alias("ties"))
+    d = F.when(~F.isnan(d), d)
+    half = a.join(b, on).groupBy(*[f"a.{c}" for c in key], F.col("a.method_id").alias("source"), F.col("b.method_id").alias("target")).agg(F.count_if(d > 0).alias("wins"), F.count_if(d < 0).alias("losses"), F.count_if(d == 0).alias("ties"))
+    both = half.select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("_turn"))
+    turned = lambda x, y: F.when(F.col("_turn"), F.col(y)).otherwise(F.col(x)).alias(x)
+    both = both.select(*key, turned("source", "target"), turned("target", "source"), turned("wins", "losses"), turned("losses", "wins"), "ties")
+    units = utilities.groupBy(*key).agg(F.count_distinct("unit_id").alias("_units"))
+    return both.join(units, key).withColumn("missing", F.col("_units") - F.col("wins") - F.col("losses") - F.col("ties")).drop("_units")
 
 
 @lru_cache(1)
@@ -29,27 +40,23 @@ def _tails() -> list[tuple[int, int, float]]:
 
 
 def sign_tails(counts: DataFrame) -> DataFrame:
-    """p of each direction: P[Bin(wins + losses, 1/2) >= wins], up to 110 trials from a table of exact integer sums, beyond from sums of doubles."""
+    """p of each direction: P[Bin(wins + losses, 1/2) >= wins], up to 110 trials from a table of exact integer sums, beyond by the
+    incomplete beta function in doubles. A comparison with missing units has no p."""
     table = F.broadcast(counts.sparkSession.createDataFrame(_tails(), "trials int, w int, p double"))  # 6,216 rows
     k = (F.col("wins") + F.col("losses")).cast("int")
     j = counts.withColumn("k", k).join(table, (F.col("k") == F.col("trials")) & (F.col("wins") == F.col("w")), "left").drop("trials", "w")
-    return j.withColumn("p", F.when(F.col("k") > MAX_EXACT, large_tail(F.col("k"), F.col("wins").cast("int"))).otherwise(F.col("p")))
-
-
-def large_tail(k: Column, wins: Column) -> Column:
-    """P[Bin(k, 1/2) >= wins] in doubles: the logarithm of the first term as a sum, then each term from the one before."""
-    first = F.aggregate(F.sequence(F.lit(1), wins), -k * math.log(2), lambda s, i: s + F.log((k - wins + i) / i))
-    state = F.struct(F.lit(0.0).alias("p"), first.alias("term"))
-    step = lambda s, i: F.struct((s["p"] + F.exp(s["term"])).alias("p"), F.when(i < k, s["term"] + F.log((k - i) / (i + 1))).otherwise(s["term"]).alias("term"))
-    return F.when(wins == 0, 1.0).otherwise(F.least(F.lit(1.0), F.aggregate(F.sequence(wins, k), state, step)["p"]))
+    p = F.when(F.col("k") > MAX_EXACT, binomial_tail(F.col("k"), F.col("wins"))).otherwise(F.col("p"))
+    return j.withColumn("p", F.when(F.col("missing") == 0, p) if "missing" in counts.columns else p)
 
 
 def holm(df: DataFrame, family: list[str], p: str, order: list[str]) -> DataFrame:
-    """Step-down adjusted p: running maximum of p * (m - rank + 1), at most 1."""
+    """Step-down adjusted p: running maximum of p * (m - rank + 1), at most 1. A row without p stays in its family, as if p were 1, and has none."""
     w = Window.partitionBy(*family)
-    by = w.orderBy(p, *order)
-    step = df.withColumn("holm_rank", F.row_number().over(by)).withColumn("raw", F.col(p) * (F.count("*").over(w) - F.col("holm_rank") + 1))
-    return step.withColumn("adjusted", F.least(F.lit(1.0), F.max("raw").over(by.rowsBetween(Window.unboundedPreceding, 0)))).drop("raw")
+    filled = F.coalesce(F.col(p), F.lit(1.0))
+    by = w.orderBy(filled, *order)
+    step = df.withColumn("holm_rank", F.row_number().over(by)).withColumn("_raw", filled * (F.count("*").over(w) - F.col("holm_rank") + 1))
+    adjusted = F.least(F.lit(1.0), F.max("_raw").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    return step.withColumn("adjusted", F.when(F.col(p).isNotNull(), adjusted)).drop("_raw")
 
 
 def smallest_k(m: Column, alpha: float) -> Column:
@@ -58,39 +65,30 @@ def smallest_k(m: Column, alpha: float) -> Column:
 
 
 def directional(df: DataFrame, alpha: float, family: list[str]) -> DataFrame:
-    """Decision of each hypothesis; the family's size is its number of rows."""
+    """Decision of each hypothesis, with the reason where it is withheld; the family's size is its number of rows."""
     df = df.withColumn("_m", F.count("*").over(Window.partitionBy(*family)).cast("double"))
     least = smallest_k(F.col("_m"), alpha)
-    decision = F.when(F.col("k") < least, "WITHHELD").when(F.col("adjusted") <= alpha, "DIRECTION").otherwise("NO_DIRECTION")
-    return df.withColumn("least_k", least).withColumn("decision", decision).drop("_m")
-
+    reason = F.when(F.col("adjusted").isNull(), "missing_units").when(F.col("k") < least, "too_few_untied_units")
+    decision = F.when(reason.isNotNull(), "WITHHELD").when(F.col("adjusted") <= alpha, "DIRECTION").otherwise("NO_DIRECTION")
+    return df.withColumn("least_k", least).withColumn("decision", decision).withColumn("reason", reason).drop("_m")
 
-@lru_cache(256)
-def t_quantile(p: float, df: int) -> float:
-    """Student t quantile by bisection on the density's integral over the substituted angle (a scalar for the driver)."""
-    c = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi)
 
-    def cdf(t: float) -> float:
-        n, top = 2000, math.atan(t / math.sqrt(df))
-        h = top / n
-        f = lambda x: math.cos(x) ** (df - 1)
-        s = f(0) + f(top) + 4 * sum(f(h * i) for i in range(1, n, 2)) + 2 * sum(f(h * i) for i in range(2, n, 2))
-        return 0.5 + c * math.sqrt(df) * s * h / 3
+def t_intervals(df: DataFrame, key: list[str], value: str, confidence: float = 0.95, family: list[str] | None = None, quantile: float | None = None) -> DataFrame:
+    """mean +- t * sd / sqrt(n), with t of each row's n - 1 degrees; unassessable with a null value, one unit, or a zero error.
 
-    lo, hi = 0.0, 1.0
-    while cdf(hi) < p:
-        hi *= 2
-    for _ in range(60):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if cdf(mid) < p else (lo, mid)
-    return (lo + hi) / 2
-
-
-def t_intervals(df: DataFrame, key: list[str], value: str, quantile: float) -> DataFrame:
-    """mean +- quantile * sd / sqrt(n); unassessable with a null value, one unit, or a zero error."""
+    With ``family`` the intervals of all keys that share these columns hold together (Bonferroni). ``quantile``
+    takes the place of t.
+    """
     g = df.groupBy(*key).agg(F.count("*").alias("n"), F.count(value).alias("filled"), F.avg(value).alias("mean"), (F.stddev_samp(value) / F.sqrt(F.count("*"))).alias("se"))
-    ok = (F.col("n") == F.col("filled")) & (F.col("n") > 1) & (F.col("se") > 0)
-    return g.select(*key, "n", "mean", "se", F.when(ok, F.col("mean") - quantile * F.col("se")).alias("lower"), F.when(ok, F.col("mean") + quantile * F.col("se")).alias("upper"), F.when(ok, "ok").otherwise("unassessable").alias("status"))
+    ok = (F.col("n") == F.col("filled")) & (F.col("n") > 1) & (F.col("se") > 0) & (F.col("se") < float("inf"))
+    if quantile is not None:
+        g = g.withColumn("_t", F.lit(quantile))
+    else:
+        members = F.lit(1) if family is None else F.count("*").over(Window.partitionBy(*family))
+        g = with_t_quantile(g.withColumn("_d", F.col("n") - 1), 1 - (1 - confidence) / 2 / members, "_d", "_t")
+    half = F.col("_t") * F.col("se")
+    status = F.when(F.col("n") != F.col("filled"), "missing_unit").when(F.col("n") < 2, "insufficient_units").when(ok, "ok").otherwise("zero_or_nonfinite_error")
+    return g.select(*key, "n", F.when(F.col("n") == F.col("filled"), F.col("mean")).alias("mean"), F.when(F.col("n") == F.col("filled"), F.col("se")).alias("se"), F.when(ok, F.col("mean") - half).alias("lower"), F.when(ok, F.col("mean") + half).alias("upper"), status.alias("status"))
 
 
 def hash_int(seed: str, *parts: Column) -> Column:
@@ -98,14 +96,31 @@ def hash_int(seed: str, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), *parts)), 1, 8), 16, 10).cast("long")
 
 
+def schedule(units: DataFrame, unit: str, reps: int, seed: str) -> DataFrame:
+    """rep, unit, times: how often each of ``reps`` draws of whole units, with replacement, takes a unit. ``units`` has one row for each."""
+    placed = numbered(units.select(F.col(unit).alias("_unit")), ["_unit"], "_place")
+    n = placed.agg(F.count("*").alias("_units"))
+    slots = placed.select(F.col("_place").alias("_slot")).crossJoin(F.broadcast(n)).select("_slot", "_units", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))  # one row of n
+    drawn = slots.select("rep", (hash_int(seed, F.col("rep").cast("string"), F.col("_slot").cast("string")) % F.col("_units")).alias("_place"))
+    return drawn.groupBy("rep", "_place").agg(F.count("*").alias("times")).join(placed, "_place").select("rep", F.col("_unit").alias(unit), "times")
+
+
+def complete(df: DataFrame, key: list[str], unit: str, value: str) -> DataFrame:
+    """key, units, whole: whether the key has exactly one finite value for each unit of the table."""
+    n = F.broadcast(df.agg(F.count_distinct(unit).alias("units")))  # one row
+    finite = F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
+    g = df.groupBy(*key).agg(F.count("*").alias("_rows"), F.count_distinct(unit).alias("_own"), F.count_if(finite).alias("_fine")).crossJoin(n)
+    return g.select(*key, "units", ((F.col("_rows") == F.col("units")) & (F.col("_own") == F.col("units")) & (F.col("_fine") == F.col("units"))).alias("whole"))
+
+
 def bootstrap_means(df: DataFrame, key: list[str], unit: str, value: str, reps: int, seed: str) -> DataFrame:
-    """key, rep, mean over as many units drawn with replacement; one schedule of draws for all keys."""
-    units = df.select(unit).distinct().withColumn("u", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(unit)) - 1)  # units: a small roster
-    n = df.select(F.count_distinct(unit).alias("units"))
-    slots = units.crossJoin(F.broadcast(n)).select(F.col("u").alias("slot"), "units", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    drawn = slots.select("rep", (hash_int(seed, F.col("rep").cast("string"), F.col("slot").cast("string")) % F.col("units")).alias("u"))
-    times = drawn.groupBy("rep", "u").agg(F.count("*").alias("times")).join(units, "u")
-    return df.join(F.broadcast(times), unit).groupBy(*key, "rep").agg((F.sum(F.col(value) * F.col("times")) / F.sum("times")).alias("mean"))
+    """key, rep, mean over as many units drawn with replacement; one schedule of draws for all keys.
+
+    A key that lacks a unit's value, or has one that is null or not finite, is unassessable: its means are null.
+    """
+    times = schedule(df.select(unit).distinct(), unit, reps, seed)
+    g = df.join(times, unit).groupBy(*key, "rep").agg((F.sum(F.col(value) * F.col("times")) / F.sum("times")).alias("_mean"))
+    return g.join(complete(df, key, unit, value), key).select(*key, "rep", F.when(F.col("whole"), F.col("_mean")).alias("mean"))
 
 
 ALL_FLIPS, DRAWN_FLIPS = 12, 4096
@@ -118,7 +133,7 @@ def flip_count(n: int) -> int:
 
 def unit_numbers(df: DataFrame, unit: str) -> DataFrame:
     """Each unit with its place n from 0."""
-    return df.select(unit).distinct().withColumn("n", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(unit)) - 1)  # units: a small roster
+    return numbered(df.select(unit).distinct(), [unit], "n")
 
 
 def sign_flips(df: DataFrame, key: list[str], unit_no: str, value: str, n: int, seed: str = "f1") -> DataFrame:
@@ -128,31 +143,33 @@ def sign_flips(df: DataFrame, key: list[str], unit_no: str, value: str, n: int,
     all 2**11 combinations, so no two vectors are equal or opposite, and the others' signs are hash bits.
     A vector and its negative have the same |T|, which is computed once for both.
     """
-    dev = df.withColumn("dev", F.col(value) - F.avg(value).over(Window.partitionBy(*key)))
     drawn = n > ALL_FLIPS
-    base = df.sparkSession.range(flip_count(n) // 2 if drawn else 1 << n).select(F.col("id").cast("int").alias("flip"))  # 4096 rows at most
+    own = df.withColumn("_dev", F.col(value) - F.avg(value).over(Window.partitionBy(*key)))
+    own = own.groupBy(*key).agg(F.collect_list(F.struct(F.col(unit_no).cast("int").alias("u"), "_dev")).alias("_x"), F.count("_dev").alias("_n"), F.sum(F.col("_dev") * F.col("_dev")).alias("_q"))  # the units of one key
+    base = df.sparkSession.range(flip_count(n) // 2 if drawn else 1 << n).select(F.col("id").cast("int").alias("flip"))
     if drawn:
-        u = df.sparkSession.range(n).select(F.col("id").cast("int").alias("_u"))
-        bit = F.when(F.col("_u") == 0, 0).when(F.col("_u") < ALL_FLIPS, F.expr("(flip >> (_u - 1)) & 1")).otherwise(hash_int(seed, F.col("flip").cast("string"), F.col("_u").cast("string")) % 2)
-        signs = F.broadcast(base.crossJoin(F.broadcast(u)).select("_u", "flip", bit.alias("_minus")))  # 2048 rows for each unit
-        j = dev.join(signs, F.col(unit_no) == F.col("_u"))
+        bit = lambda u: F.when(u == 0, 0).when(u < ALL_FLIPS, F.call_function("shiftright", F.col("flip"), u - 1).bitwiseAND(F.lit(1))).otherwise(hash_int(seed, F.col("flip").cast("string"), u.cast("string")) % 2)
     else:
-        j = dev.crossJoin(F.broadcast(base)).withColumn("_minus", F.expr(f"(flip >> {unit_no}) & 1"))
-    x = j.select(*key, "flip", F.when(F.col("_minus") == 1, -F.col("dev")).otherwise(F.col("dev")).alias("x"))
-    g = x.groupBy(*key, "flip").agg(F.avg("x").alias("m"), (F.stddev_samp("x") / F.sqrt(F.count("*"))).alias("se"))
-    t = g.withColumn("t", F.when(F.col("se") > 0, F.abs("m") / F.col("se")).when(F.abs("m") <= 1e-15, 0.0).otherwise(float("inf")))
+        bit = lambda u: F.call_function("shiftright", F.col("flip"), u).bitwiseAND(F.lit(1))
+    signs = base.select("flip", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda u: F.when(bit(u) == 1, -1.0).otherwise(1.0)).alias("_signs"))  # 4096 arrays of n at most
+    j = own.crossJoin(F.broadcast(signs) if n <= 4096 else signs)
+    total = F.aggregate("_x", F.lit(0.0), lambda s, e: s + F.coalesce(e["_dev"] * F.get("_signs", e["u"]), F.lit(0.0)))
+    m = total / F.col("_n")
+    # Signs do not change squares, so each vector's spread follows from its mean.
+    t = j.select(*key, "flip", "_n", "_q", m.alias("_m")).withColumn("_v", (F.col("_q") - F.col("_n") * F.col("_m") * F.col("_m")) / (F.col("_n") - 1))
+    spread = F.col("_v") > 1e-14 * F.col("_q")
+    t = t.select(*key, "flip", F.when(spread, F.abs("_m") / F.sqrt(F.col("_v") / F.col("_n"))).when(F.abs("_m") <= 1e-15, 0.0).otherwise(float("inf")).alias("t"))
     return t.withColumn("flip", F.explode(F.array(F.col("flip"), DRAWN_FLIPS - 1 - F.col("flip")))) if drawn else t
 
 
 def closure(edges: DataFrame, key: list[str]) -> DataFrame:
     """All (source, target) reachable by directed edges. Each round doubles the paths' length, to the fixpoint, and is written to shared storage."""
-    keep = lambda df: publish_once(df, work_path(df.sparkSession, "closure"))
-    reach = keep(edges.select(*key, "source", "target").distinct())
+    reach = keep(edges.select(*key, "source", "target").distinct(), "closure")
     before = reach.count()
     while True:
         a, b = reach.alias("a"), reach.alias("b")
         more = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in key] + [F.col("a.target") == F.col("b.source")]).select(*[f"a.{c}" for c in key], "a.source", "b.target")
-        reach = keep(reach.union(more).distinct())
+        reach = keep(reach.union(more).distinct(), "closure")
         now = reach.count()
         if now == before:
             return reach
@@ -170,7 +187,7 @@ def reported_graph(edges: DataFrame, methods: DataFrame, key: list[str]) -> Data
     component: the least name of the methods on a common cycle, null off cycles. lower and upper bound the
     position by all methods above and below; they are null where the graph has a cycle. status is the graph's.
     """
-    edges = publish_once(edges.select(*key, "source", "target").distinct(), work_path(edges.sparkSession, "edges"))
+    edges = keep(edges.select(*key, "source", "target").distinct(), "edges")
     reach = closure(edges, key)
     back = reach.select(*key, F.col("target").alias("source"), F.col("source").alias("target"))
     row = lambda df, method, what, other="target": df.select(*key, F.col(method).alias("method"), F.lit(what).alias("what"), F.col(other).alias("other"))
@@ -188,12 +205,3 @@ def reported_graph(edges: DataFrame, methods: DataFrame, key: list[str]) -> Data
         *key, "method", "beats", "beaten_by", (F.col("beaten_by") == 0).alias("is_source"), (F.col("beats") == n - 1).alias("condorcet"), "component",
         F.when(~cyclic, F.col("above") + 1).alias("lower"), F.when(~cyclic, n - F.col("below")).alias("upper"), status.alias("status"),
     )
-
-
-def weighted_pairs(df: DataFrame, key: list[str], shared: str, rule: str, weight: str, cluster: str) -> DataFrame:
-    """Weighted mean improvement of the rule over the shared loss, with the CR1 cluster error and the clusters' number."""
-    x = df.withColumn("d", F.col(shared) - F.col(rule))
-    m = x.groupBy(*key).agg((F.sum(F.col("d") * F.col(weight)) / F.sum(weight)).alias("mean"), F.sum(weight).alias("total"), (F.sum(F.col(rule) * F.col(weight)) / F.sum(F.col(shared) * F.col(weight))).alias("ratio"))
-    c = x.join(F.broadcast(m), key).groupBy(*key, cluster).agg(F.sum(F.col(weight) * (F.col("d") - F.col("mean")) / F.col("total")).alias("u"))
-    v = c.groupBy(*key).agg(F.count("*").alias("clusters"), F.sum(F.col("u") * F.col("u")).alias("uu"))
-    return m.join(v, key).select(*key, "mean", "ratio", "clusters", F.sqrt(F.col("uu") * F.col("clusters") / (F.col("clusters") - 1)).alias("se"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contraspark.operators.comparison import margins
+from contraspark.operators.prefix import running
 
 PAIR = ["budget", "model_a", "model_b"]
 
@@ -73,19 +74,26 @@ def release_decisions(
 
 
 def assess(decisions: DataFrame, assessment: DataFrame, gap: float, tau: float = 1e-12) -> DataFrame:
-    """Decisions with the anchor-oriented margins of all realizations: supported, strict reversal, tie, within gap."""
-    a = oriented(assessment).select("case_id", *PAIR, F.col("margin").alias("m"))
-    j = decisions.join(a, ["case_id", *PAIR])
+    """Decisions with the anchor-oriented margins of all realizations: supported, strict reversal, tie, within gap.
+
+    A decision without assessment margins, or with a null one, stays, with realizations as counted and no flags.
+    """
+    a = oriented(assessment).select("case_id", *PAIR, F.col("margin").alias("m"), F.lit(1).alias("_here"))
+    j = decisions.join(a, ["case_id", *PAIR], "left")
     o = F.signum("margin") * F.col("m")
     key = ["case_id", "unit", *PAIR, "policy", "margin", "limit", "released", "favoured"]
+    whole = (F.count("_here") > 0) & (F.count("_here") == F.count("m"))
+    flag = lambda c: F.when(whole, c)
     return j.groupBy(*key).agg(
-        F.bool_and(o > gap + tau).alias("supported"), F.bool_or(o < -tau).alias("reversal"), F.bool_or(F.abs(o) <= tau).alias("tie"), F.bool_or((o > tau) & (o <= gap + tau)).alias("within_gap"),
+        F.count("_here").alias("realizations"), flag(F.bool_and(o > gap + tau)).alias("supported"), flag(F.bool_or(o < -tau)).alias("reversal"), flag(F.bool_or(F.abs(o) <= tau)).alias("tie"),
+        flag(F.bool_or((o > tau) & (o <= gap + tau))).alias("within_gap"),
     )
 
 
 def policy_summary(assessed: DataFrame) -> DataFrame:
+    """Counts and shares of each budget and policy; a release that could not be assessed is not supported."""
     r = F.col("released")
-    g = assessed.groupBy("budget", "policy").agg(F.count("*").alias("comparisons"), F.count_if(r).alias("n_released"), F.count_if(r & ~F.col("supported")).alias("unsupported"), F.count_if(r & F.col("reversal")).alias("reversals"))
+    g = assessed.groupBy("budget", "policy").agg(F.count("*").alias("comparisons"), F.count_if(r).alias("n_released"), F.count_if(r & ~F.coalesce("supported", F.lit(False))).alias("unsupported"), F.count_if(r & F.col("reversal")).alias("reversals"))
     return g.withColumn("coverage", F.col("n_released") / F.col("comparisons")).withColumn("unsupported_share", F.when(F.col("n_released") > 0, F.col("unsupported") / F.col("n_released")))
 
 
@@ -97,23 +105,28 @@ def budget_recommendation(decisions: DataFrame, models: int, order: list[str]) -
     return decisions.select("case_id", "policy").distinct().join(first, ["case_id", "policy"], "left")
 
 
-def risk_coverage(rows: DataFrame, key: list[str], priority: str, bad: str, ties: list[str]) -> DataFrame:
-    """For each prefix by falling priority: rank, coverage, risk, and how many rows share the cut-off priority."""
-    w = Window.partitionBy(*key)
-    run = w.orderBy(F.desc(priority), *ties).rowsBetween(Window.unboundedPreceding, 0)
-    k = F.row_number().over(w.orderBy(F.desc(priority), *ties))
-    n = F.count("*").over(w)
-    risk = F.sum(F.col(bad).cast("long")).over(run) / k
-    return rows.withColumn("k", k).withColumn("coverage", k / n).withColumn("risk", risk).withColumn("tied", F.count("*").over(Window.partitionBy(*key, priority)))
+def risk_coverage(rows: DataFrame, key: list[str], priority: str, bad: str, ties: list[str], strict: str | None = None) -> DataFrame:
+    """For each prefix by falling priority: rank, coverage, risk, with ``strict`` also the share of strictly wrong rows, and how many rows share the cut-off priority."""
+    count = lambda c: F.coalesce(F.col(c), F.lit(False)).cast("long")
+    sums = {"_bad": count(bad)} | ({"_strict": count(strict)} if strict else {})
+    out = running(rows, key, [F.desc(priority), *ties], sums, total="_n")
+    share = rows.groupBy(*key, F.col(priority).alias("_p")).agg(F.count("*").alias("tied")).select(*[F.col(c).alias(f"_k_{c}") for c in key], "_p", "tied")
+    out = out.join(share, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in key] + [F.col(priority).eqNullSafe(F.col("_p"))])
+    risks = {"risk": F.col("_bad") / F.col("k")} | ({"strict_risk": F.col("_strict") / F.col("k")} if strict else {})
+    return out.select(*rows.columns, "k", (F.col("k") / F.col("_n")).alias("coverage"), *[c.alias(name) for name, c in risks.items()], "tied")
 
 
 def unit_macro_curve(rows: DataFrame, key: list[str], unit: str, priority: str, bad: str, ties: list[str]) -> DataFrame:
-    """For each prefix the mean over its units of the unit's error share: running sum of the changes a row makes to its unit's share."""
+    """For each prefix the mean over its units of the unit's error share, and the mean over all units of the unit's covered share.
+
+    Both are running sums of the changes that a row makes to its unit's shares.
+    """
     order = [F.desc(priority), *ties]
-    own = Window.partitionBy(*key, unit).orderBy(*order)
-    upto = own.rowsBetween(Window.unboundedPreceding, 0)
-    now = F.sum(F.col(bad).cast("long")).over(upto) / F.count("*").over(upto)
-    d = rows.withColumn("now", now).withColumn("was", F.coalesce(F.lag("now").over(own), F.lit(0.0))).withColumn("first", F.when(F.row_number().over(own) == 1, 1).otherwise(0))
-    run = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    units = F.sum("first").over(run)
-    return d.withColumn("units", units).withColumn("macro_risk", F.sum(F.col("now") - F.col("was")).over(run) / F.col("units"))
+    wrong = F.coalesce(F.col(bad), F.lit(False)).cast("long")
+    own = running(rows, [*key, unit], order, {"_e": wrong}, rank="_r", total="_t")
+    was = F.when(F.col("_r") == 1, 0.0).otherwise((F.col("_e") - wrong) / (F.col("_r") - 1))
+    own = own.withColumn("_move", F.col("_e") / F.col("_r") - was)
+    out = running(own, key, order, {"_risk": F.col("_move"), "units": F.when(F.col("_r") == 1, 1).otherwise(0), "_cov": 1 / F.col("_t")})
+    every = rows.groupBy(*key).agg(F.count_distinct(unit).alias("_units")).select(*[F.col(c).alias(f"_k_{c}") for c in key], "_units")
+    out = out.join(every, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in key])
+    return out.select(*rows.columns, "k", "units", (F.col("_risk") / F.col("units")).alias("macro_risk"), (F.col("_cov") / F.col("_units")).alias("macro_coverage"))

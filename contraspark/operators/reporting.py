@@ -5,32 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def lower_quantile(value: str, q: float):
-    """The element floor((n - 1) * q) of the sorted values."""
-    v = F.sort_array(F.collect_list(value))
-    return F.element_at(v, F.floor((F.size(v) - 1) * q).cast("int") + 1)
+from contraspark.operators.prefix import running
 
 
 def tie_blocks(df: DataFrame, key: list[str], score: str, order: list[str], tau: float) -> DataFrame:
     """Rows by falling score; a gap of at most tau to the one before chains a row into its block. count: rows up to the block's end."""
-    w = Window.partitionBy(*key).orderBy(F.desc(score), *order)
-    new = F.when(F.lag(score).over(w) - F.col(score) <= tau, 0).otherwise(1)
-    b = df.withColumn("new", new).withColumn("block", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return b.groupBy(*key, "block").agg(F.count("*").alias("rows"), F.max(score).alias("top"), F.min(score).alias("bottom")).withColumn("count", F.sum("rows").over(Window.partitionBy(*key).orderBy("block").rowsBetween(Window.unboundedPreceding, 0)))
+    by = [F.desc(score), *order]
+    linked = running(df, key, by, before={"_above": F.col(score)}, rank="_k")
+    b = running(linked.withColumn("_new", F.when(F.col("_above") - F.col(score) <= tau, 0).otherwise(1)), key, by, sums={"block": F.col("_new")}, rank="_k")
+    return b.groupBy(*key, "block").agg(F.count("*").alias("rows"), F.max(score).alias("top"), F.min(score).alias("bottom"), F.max("_k").alias("count"))
 
 
 def classify_directions(directions: DataFrame, intervals: DataFrame, pair: list[str]) -> DataFrame:
-    """supported, reversed, unresolved or hold of each reported direction (a, b or hold)."""
-    j = directions.join(intervals, pair)
+    """supported, reversed, unresolved or hold of each reported direction (a, b or hold). One without an interval is unresolved."""
+    j = directions.join(intervals, pair, "left")
     lo = F.when(F.col("direction") == "a", F.col("lower")).otherwise(-F.col("upper"))
     hi = F.when(F.col("direction") == "a", F.col("upper")).otherwise(-F.col("lower"))
     return j.withColumn("outcome", F.when(F.col("direction") == "hold", "hold").when(lo > 0, "supported").when(hi < 0, "reversed").otherwise("unresolved"))
 
 
 def reversal_bounds(directions: DataFrame, intervals: DataFrame, pair: list[str], by: list[str]) -> DataFrame:
-    """Least and most possible number of reversals, given the signs that each interval allows."""
-    j = directions.join(intervals, pair)
+    """Least and most possible number of reversals, given the signs that each interval allows; one without an interval allows all."""
+    j = directions.join(intervals, pair, "left").withColumn("lower", F.coalesce("lower", F.lit(float("-inf")))).withColumn("upper", F.coalesce("upper", F.lit(float("inf"))))
     against = F.when(F.col("direction") == "a", F.col("lower") < 0).when(F.col("direction") == "b", F.col("upper") > 0).otherwise(False)
     sure = F.when(F.col("direction") == "a", F.col("upper") < 0).when(F.col("direction") == "b", F.col("lower") > 0).otherwise(False)
     return j.groupBy(*by).agg(F.count_if(sure).alias("least"), F.count_if(against).alias("most"), F.count("*").alias("n"))

@@ -9,40 +9,63 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contraspark.operators.inference import flip_count, hash_int, sign_flips
+from contraspark.operators.inference import complete, flip_count, schedule, sign_flips
+from contraspark.operators.student import with_t_quantile
 
 
 def studentized_draws(df: DataFrame, key: list[str], unit: str, value: str, reps: int, seed: str) -> DataFrame:
-    """key, rep, mean0, se0, pivot: (mean of the draw - mean) / error of the draw; 0/0 is 0, x/0 is infinite. All keys share one schedule of draws."""
-    units = df.select(unit).distinct().withColumn("u", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(unit)) - 1)  # units: a small roster
-    n = df.select(F.count_distinct(unit).alias("units"))
-    slots = units.crossJoin(F.broadcast(n)).select(F.col("u").alias("slot"), "units", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    drawn = slots.select("rep", (hash_int(seed, F.col("rep").cast("string"), F.col("slot").cast("string")) % F.col("units")).alias("u"))
-    times = drawn.groupBy("rep", "u").agg(F.count("*").alias("times")).join(units, "u")
-    w = Window.partitionBy(*key)
-    x = df.withColumn("mean0", F.avg(value).over(w)).withColumn("se0", F.stddev_samp(value).over(w) / F.sqrt(F.count("*").over(w)))
-    x = x.withColumn("dev", F.col(value) - F.col("mean0"))
-    t, dev = F.col("times"), F.col("dev")
-    g = x.join(F.broadcast(times), unit).groupBy(*key, "rep", "mean0", "se0").agg(F.sum(t).alias("n"), F.sum(t * dev).alias("s"), F.sum(t * dev * dev).alias("ss"))
+    """key, rep, mean0, se0, pivot: (mean of the draw - mean) / error of the draw; 0/0 is 0, x/0 is infinite. All keys share one schedule of draws.
+
+    Keys without a finite value for every unit have no draws. A draw's error is zero exactly when it takes
+    equal values alone.
+    """
+    times = schedule(df.select(unit).distinct(), unit, reps, seed)
+    fine = complete(df, key, unit, value).where("whole").select(*key)
+    g = df.join(fine, key).groupBy(*key).agg(F.avg(value).alias("mean0"), (F.stddev_samp(value) / F.sqrt(F.count("*"))).alias("se0"))
+    x = df.join(g, key).withColumn("_dev", F.col(value) - F.col("mean0"))
+    t, dev = F.col("times"), F.col("_dev")
+    g = x.join(times, unit).groupBy(*key, "rep", "mean0", "se0").agg(F.sum(t).alias("n"), F.sum(t * dev).alias("s"), F.sum(t * dev * dev).alias("ss"), F.min(dev).alias("lo"), F.max(dev).alias("hi"))
     m = F.col("s") / F.col("n")
     se = F.sqrt(F.greatest(F.col("ss") - F.col("s") * m, F.lit(0.0)) / (F.col("n") - 1) / F.col("n"))
-    g = g.select(*key, "rep", "mean0", "se0", m.alias("m"), se.alias("se"))
-    return g.select(*key, "rep", "mean0", "se0", F.when(F.col("se") > 1e-12, F.col("m") / F.col("se")).when(F.abs("m") <= 1e-12, 0.0).otherwise(F.signum("m") * F.lit(float("inf"))).alias("pivot"))
+    pivot = F.when((F.col("hi") > F.col("lo")) & (se > 0), m / se).when(F.col("hi") == 0, 0.0).otherwise(F.signum("hi") * F.lit(float("inf")))
+    return g.select(*key, "rep", "mean0", "se0", pivot.alias("pivot"))
 
 
 def max_t(draws: DataFrame, family: list[str], reps: int, level: float) -> DataFrame:
     """The element ceil(level * (reps - 1)), counted from 0, of each family's sorted largest absolute pivots."""
     top = draws.groupBy(*family, "rep").agg(F.max(F.abs("pivot")).alias("critical"))
-    r = F.row_number().over(Window.partitionBy(*family).orderBy("critical", "rep"))
+    r = F.row_number().over(Window.partitionBy(*family).orderBy("critical", "rep"))  # the draws of one family
     return top.withColumn("r", r).where(F.col("r") == int(np.ceil(level * (reps - 1))) + 1).select(*family, "critical")
 
 
-def pivot_intervals(draws: DataFrame, key: list[str], reps: int, alpha: float) -> DataFrame:
-    """mean - q(1 - alpha/2) * se to mean - q(alpha/2) * se, with q the inverted distribution function of the pivots."""
-    r = F.row_number().over(Window.partitionBy(*key).orderBy("pivot", "rep"))
-    at = lambda p: F.max(F.when(F.col("r") == int(np.ceil(p * reps)), F.col("pivot")))
-    g = draws.withColumn("r", r).groupBy(*key, "mean0", "se0").agg(at(1 - alpha / 2).alias("hi"), at(alpha / 2).alias("lo"))
-    return g.select(*key, F.col("mean0").alias("mean"), (F.col("mean0") - F.col("hi") * F.col("se0")).alias("lower"), (F.col("mean0") - F.col("lo") * F.col("se0")).alias("upper"))
+def paired_intervals(df: DataFrame, family: list[str], member: list[str], unit: str, value: str, reps: int, seed: str, confidence: float = 0.95, least_units: int = 2) -> DataFrame:
+    """Simultaneous intervals of each member's mean: the envelope of Bonferroni-t and max-T bootstrap intervals.
+
+    The multiplicity is the family's number of members, unassessable ones included; they keep a reason. The
+    maximum runs over the members that can be assessed. An infinite critical value leaves its family without
+    intervals.
+    """
+    key = [*family, *member]
+    fine = complete(df, key, unit, value)
+    g = df.groupBy(*key).agg(F.avg(value).alias("mean"), (F.stddev_samp(value) / F.sqrt(F.count("*"))).alias("se")).join(fine, key)
+    g = g.withColumn("_m", F.count("*").over(Window.partitionBy(*family))).withColumn("_d", F.col("units") - 1)
+    ok = (F.col("se") > 0) & (F.col("se") < float("inf")) & (F.abs("mean") < float("inf"))
+    reason = F.when(~F.col("whole"), "missing_unit_margin").when(F.col("units") < least_units, "insufficient_independent_units").when(F.col("se") == 0, "zero_error_without_structural_identity").when(~F.coalesce(ok, F.lit(False)), "nonfinite_sampling_statistic")
+    g = with_t_quantile(g.withColumn("_why", reason), 1 - (1 - confidence) / 2 / F.col("_m"), "_d", "_t")
+    active = df.join(g.where(F.col("_why").isNull()).select(*key), key)
+    critical = max_t(studentized_draws(active, key, unit, value, reps, seed), family, reps, confidence)
+    g = g.join(critical, family, "left")
+    unbounded = F.col("critical") == float("inf")
+    why = F.coalesce("_why", F.when(unbounded, "unbounded_critical_quantile"))
+    half = lambda t: F.when(F.col("_why").isNull(), F.col(t) * F.col("se"))
+    known = lambda c: F.when(F.col("whole"), F.col(c)).alias(c)
+    t_lo, t_hi = F.col("mean") - half("_t"), F.col("mean") + half("_t")
+    b_lo, b_hi = F.when(~unbounded, F.col("mean") - half("critical")), F.when(~unbounded, F.col("mean") + half("critical"))
+    both = lambda f, x, y: F.when(y.isNotNull(), f(x, y))
+    return g.select(
+        *key, "units", known("mean"), known("se"), t_lo.alias("t_lower"), t_hi.alias("t_upper"), b_lo.alias("boot_lower"), b_hi.alias("boot_upper"),
+        both(F.least, t_lo, b_lo).alias("lower"), both(F.greatest, t_hi, b_hi).alias("upper"), F.when(why.isNull(), "assessable").otherwise("unassessable").alias("status"), why.alias("reason"),
+    )
 
 
 def structural_zero_intervals(df: DataFrame, family: list[str], member: list[str], unit_no: str, value: str, zero: Column, n: int, level: float) -> DataFrame:
@@ -134,13 +157,20 @@ def common_coverage(counts: DataFrame, family: list[str], rule: str, count: str,
 
 
 def paired_rule_bounds(first: DataFrame, second: DataFrame, intervals: DataFrame, pair: list[str]) -> DataFrame:
-    """Bounds of risk(first) - risk(second), where each pair has one true sign for both rules among those that its interval allows."""
-    n = lambda df: F.broadcast(df.agg(F.count_if(F.col("direction") != "hold").alias("n")))  # noqa: E731  one row
-    x = first.select(*pair, F.col("direction").alias("d1")).join(second.select(*pair, F.col("direction").alias("d2")), pair).join(intervals, pair)
-    x = x.crossJoin(n(first).withColumnRenamed("n", "n1")).crossJoin(n(second).withColumnRenamed("n", "n2"))
-    signs = F.when(F.col("lower") > 0, F.array(F.lit("a"))).when(F.col("upper") < 0, F.array(F.lit("b"))).otherwise(F.array(F.lit("a"), F.lit("b")))
-    wrong = lambda d, k: F.when((F.col(d) != "hold") & (F.col(d) != F.col("sign")), 1.0 / F.col(k)).otherwise(0.0)
-    e = x.withColumn("sign", F.explode(signs)).withColumn("diff", wrong("d1", "n1") - wrong("d2", "n2"))
+    """Bounds of risk(first) - risk(second), where each pair has one true sign for both rules among those that its interval allows.
+
+    A pair without an interval, or with a null bound, may have any sign. A pair that one rule does not
+    list counts as held there. Risks are shares of each rule's own publications; a rule that publishes
+    nothing adds no risk.
+    """
+    x = first.select(*pair, F.col("direction").alias("d1")).join(second.select(*pair, F.col("direction").alias("d2")), pair, "full")
+    x = x.withColumn("d1", F.coalesce("d1", F.lit("hold"))).withColumn("d2", F.coalesce("d2", F.lit("hold"))).join(intervals.select(*pair, "lower", "upper"), pair, "left")
+    published = lambda d: F.count_if(F.col(d) != "hold")
+    n = F.broadcast(x.agg(published("d1").alias("n1"), published("d2").alias("n2")))  # one row
+    lo, hi = F.coalesce("lower", F.lit(float("-inf"))), F.coalesce("upper", F.lit(float("inf")))
+    signs = F.array_compact(F.array(F.when(lo < 0, -1), F.when((lo <= 0) & (hi >= 0), 0), F.when(hi > 0, 1)))
+    wrong = lambda d, k: F.when(((F.col(d) == "a") & (F.col("sign") < 0)) | ((F.col(d) == "b") & (F.col("sign") > 0)), 1.0 / F.col(k)).otherwise(0.0)
+    e = x.crossJoin(n).withColumn("sign", F.explode(signs)).withColumn("diff", wrong("d1", "n1") - wrong("d2", "n2"))
     per = e.groupBy(*pair).agg(F.min("diff").alias("lo"), F.max("diff").alias("hi"))
     return per.agg(F.sum("lo").alias("lower"), F.sum("hi").alias("upper"), F.count("*").alias("n"))
 

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from contraspark.operators import comparison as cm
 from contraspark.operators import inference as inf
 from contraspark.operators import organizer as og
+from contraspark.operators import paired as pr
+from contraspark.operators import publication as pu
+from contraspark.operators.prefix import numbered
 from contraspark.plans import domain as dm
 from contraspark.plans.domain import with_
 from contraspark.plans.registry import query, table
@@ -23,7 +26,7 @@ gf AS (SELECT budget, model_a, model_b, CASE WHEN unexplained = 0 THEN factor EN
 dec0 AS (SELECT m.case_id, m.unit, budget, model_a, model_b, margin, unnest(['single_split', 'repeated_primary', 'geometry_scaled']) AS policy, unnest([0.0::DOUBLE, bound, CASE WHEN geometry > 1e-12 THEN factor * geometry END]) AS "limit",
  unnest([NULL, NULL, CASE WHEN gf.reason <> 'available' THEN gf.reason WHEN geometry <= 1e-12 THEN 'assessment_geometry_at_or_below_tolerance' END]) AS held FROM amg m JOIN bd USING (budget, model_a, model_b) JOIN gf USING (budget, model_a, model_b) JOIN geo USING (case_id, budget) WHERE m.realization = '1'),
 dec AS (SELECT *, coalesce(abs(margin) > "limit" + 0.5 + 1e-12, false) AS released, CASE WHEN margin > 1e-12 THEN model_a WHEN margin < -1e-12 THEN model_b END AS favoured FROM dec0),
-ass AS (SELECT d.case_id, d.unit, budget, model_a, model_b, policy, d.margin, d."limit", released, favoured, bool_and(sign(d.margin) * m.margin > 0.5 + 1e-12) AS supported, bool_or(sign(d.margin) * m.margin < -1e-12) AS reversal, bool_or(abs(m.margin * sign(d.margin)) <= 1e-12) AS tie,
+ass AS (SELECT d.case_id, d.unit, budget, model_a, model_b, policy, d.margin, d."limit", released, favoured, count(*) AS realizations, bool_and(sign(d.margin) * m.margin > 0.5 + 1e-12) AS supported, bool_or(sign(d.margin) * m.margin < -1e-12) AS reversal, bool_or(abs(m.margin * sign(d.margin)) <= 1e-12) AS tie,
  bool_or(sign(d.margin) * m.margin > 1e-12 AND sign(d.margin) * m.margin <= 0.5 + 1e-12) AS within_gap FROM dec d JOIN amg m USING (case_id, budget, model_a, model_b) GROUP BY ALL)
 """
 
@@ -116,18 +119,19 @@ def _(spark, d):
     return m.where(F.abs("margin") > F.col("least")).select("rule", "case_id", *og.PAIR)
 
 
-_RC = """, one AS (SELECT * FROM ass WHERE policy = 'single_split'), rc AS (SELECT case_id, unit, budget, model_a, model_b, abs(margin) AS priority, NOT supported AS bad, row_number() OVER w AS k, row_number() OVER w / count(*) OVER (PARTITION BY budget)::DOUBLE AS coverage,
- sum((NOT supported)::INT) OVER (PARTITION BY budget ORDER BY abs(margin) DESC, case_id, model_a, model_b ROWS UNBOUNDED PRECEDING) / (row_number() OVER w)::DOUBLE AS risk, count(*) OVER (PARTITION BY budget, abs(margin)) AS tied FROM one WINDOW w AS (PARTITION BY budget ORDER BY abs(margin) DESC, case_id, model_a, model_b))\n"""
-_RCD = ("priority", "coverage", "risk")
+_RC = """, one AS (SELECT * FROM ass WHERE policy = 'single_split'), rc AS (SELECT case_id, unit, budget, model_a, model_b, abs(margin) AS priority, NOT supported AS bad, reversal AS strict, row_number() OVER w AS k, row_number() OVER w / count(*) OVER (PARTITION BY budget)::DOUBLE AS coverage,
+ sum((NOT supported)::INT) OVER (PARTITION BY budget ORDER BY abs(margin) DESC, case_id, model_a, model_b ROWS UNBOUNDED PRECEDING) / (row_number() OVER w)::DOUBLE AS risk,
+ sum(reversal::INT) OVER (PARTITION BY budget ORDER BY abs(margin) DESC, case_id, model_a, model_b ROWS UNBOUNDED PRECEDING) / (row_number() OVER w)::DOUBLE AS strict_risk, count(*) OVER (PARTITION BY budget, abs(margin)) AS tied FROM one WINDOW w AS (PARTITION BY budget ORDER BY abs(margin) DESC, case_id, model_a, model_b))\n"""
+_RCD = ("priority", "coverage", "risk", "strict_risk")
 
 
 def _curve_rows(spark, d):
-    a = _assessed(spark, d).where("policy = 'single_split'")
-    return a.select("case_id", "unit", *og.PAIR, F.abs("margin").alias("priority"), (~F.col("supported")).alias("bad"))
+    a = dm.kept(_assessed(spark, d), "assessed").where("policy = 'single_split'")
+    return a.select("case_id", "unit", *og.PAIR, F.abs("margin").alias("priority"), (~F.coalesce("supported", F.lit(False))).alias("bad"), F.coalesce("reversal", F.lit(False)).alias("strict"))
 
 
 def _curve(spark, d):
-    return og.risk_coverage(_curve_rows(spark, d), ["budget"], "priority", "bad", ["case_id", "model_a", "model_b"])
+    return og.risk_coverage(_curve_rows(spark, d), ["budget"], "priority", "bad", ["case_id", "model_a", "model_b"], "strict")
 
 
 @query("risk_coverage_curve", _BASE + _RC + "SELECT * FROM rc", _RCD)
@@ -135,12 +139,11 @@ def _(spark, d):
     return _curve(spark, d)
 
 
-@query("unit_macro_risk_curve", _BASE + _RC + """SELECT budget, k, avg(e) AS macro_risk, count(*) AS units FROM (SELECT a.budget, a.k, b.unit, avg(b.bad::INT) AS e FROM rc a JOIN rc b ON a.budget = b.budget AND b.k <= a.k GROUP BY ALL) GROUP BY ALL""", ("macro_risk",))
+@query("unit_macro_risk_curve", _BASE + _RC + """, ut AS (SELECT budget, unit, count(*) AS t FROM rc GROUP BY ALL), un AS (SELECT budget, count(*) AS nu FROM ut GROUP BY budget)
+SELECT budget, k, avg(e) AS macro_risk, count(*) AS units, sum(n / t) / any_value(nu) AS macro_coverage FROM (SELECT a.budget, a.k, b.unit, avg(b.bad::INT) AS e, count(*) AS n FROM rc a JOIN rc b ON a.budget = b.budget AND b.k <= a.k GROUP BY ALL) JOIN ut USING (budget, unit) JOIN un USING (budget) GROUP BY budget, k""", ("macro_risk", "macro_coverage"))
 def _(spark, d):
-    ties = ["case_id", "model_a", "model_b"]
-    c = og.unit_macro_curve(_curve_rows(spark, d), ["budget"], "unit", "priority", "bad", ties)
-    k = F.row_number().over(Window.partitionBy("budget").orderBy(F.desc("priority"), *ties))
-    return c.select("budget", k.alias("k"), "macro_risk", "units")
+    c = og.unit_macro_curve(_curve_rows(spark, d), ["budget"], "unit", "priority", "bad", ["case_id", "model_a", "model_b"])
+    return c.select("budget", "k", "macro_risk", "units", "macro_coverage")
 
 
 @query("aurc", _BASE + _RC + "SELECT budget, avg(risk) AS aurc FROM rc GROUP BY budget", ("aurc",))
@@ -151,8 +154,9 @@ def _(spark, d):
 @query("coverage_grid", _BASE + _RC + "SELECT rc.budget, c, k, risk FROM rc JOIN (SELECT budget, count(*) AS n FROM rc GROUP BY budget) USING (budget), (SELECT unnest([0.1::DOUBLE, 0.25, 0.5, 1.0]) AS c) WHERE k = ceil(c * n)", ("c", "risk"))
 def _(spark, d):
     grid = spark.createDataFrame([(x,) for x in (0.1, 0.25, 0.5, 1.0)], "c double")
-    c = _curve(spark, d).withColumn("n", F.count("*").over(Window.partitionBy("budget")))
-    return c.crossJoin(F.broadcast(grid)).where(F.col("k") == F.ceil(F.col("c") * F.col("n"))).select("budget", "c", "k", "risk")  # four rows
+    c = _curve(spark, d)
+    n = c.groupBy("budget").agg(F.max("k").alias("n"))
+    return c.crossJoin(F.broadcast(grid)).join(n, "budget").where(F.col("k") == F.ceil(F.col("c") * F.col("n"))).select("budget", "c", "k", "risk")  # four rows
 
 
 @query("group_risk_summary", _BASE + _RC + "SELECT budget, unit, model_a, model_b, count(*) AS n, avg(bad::INT) AS risk FROM rc GROUP BY GROUPING SETS ((budget, unit), (budget, model_a, model_b))", ("risk",))
@@ -174,11 +178,13 @@ def _(spark, d):
 
 # ---- unit-level inference ------------------------------------------------------------------------
 
-U = with_("util") + """, sc AS (SELECT a.dataset_id, a.allocation_id, a.method_id AS source, b.method_id AS target, count(*) FILTER (a.utility > b.utility) AS wins, count(*) FILTER (a.utility < b.utility) AS losses, count(*) FILTER (a.utility = b.utility) AS ties
+U = with_("util") + """, nu AS (SELECT allocation_id, count(DISTINCT unit_id) AS units FROM util GROUP BY allocation_id),
+s0 AS (SELECT a.dataset_id, a.allocation_id, a.method_id AS source, b.method_id AS target, count(*) FILTER (a.utility > b.utility) AS wins, count(*) FILTER (a.utility < b.utility) AS losses, count(*) FILTER (a.utility = b.utility) AS ties
  FROM util a JOIN util b ON a.allocation_id = b.allocation_id AND a.unit_id = b.unit_id AND a.method_id <> b.method_id GROUP BY ALL),
-tl AS (SELECT sc.*, (wins + losses)::INT AS k, (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))) FROM (SELECT unnest(range(wins, wins + losses + 1)) AS i, wins + losses AS n)) AS p FROM sc),
-hr AS (SELECT *, row_number() OVER (PARTITION BY allocation_id ORDER BY round(p, 10), source, target) AS holm_rank, count(*) OVER (PARTITION BY allocation_id) AS m FROM tl),
-hm AS (SELECT *, least(1.0, max(p * (m - holm_rank + 1)) OVER (PARTITION BY allocation_id ORDER BY holm_rank ROWS UNBOUNDED PRECEDING)) AS adjusted FROM hr)
+sc AS (SELECT s0.*, units - wins - losses - ties AS missing FROM s0 JOIN nu USING (allocation_id)),
+tl AS (SELECT sc.*, (wins + losses)::INT AS k, CASE WHEN missing = 0 THEN 1 END * (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))) FROM (SELECT unnest(range(wins, wins + losses + 1)) AS i, wins + losses AS n)) AS p FROM sc),
+hr AS (SELECT *, row_number() OVER (PARTITION BY allocation_id ORDER BY round(coalesce(p, 1), 10), source, target) AS holm_rank, count(*) OVER (PARTITION BY allocation_id) AS m FROM tl),
+hm AS (SELECT *, CASE WHEN p IS NOT NULL THEN least(1.0, max(coalesce(p, 1) * (m - holm_rank + 1)) OVER (PARTITION BY allocation_id ORDER BY holm_rank ROWS UNBOUNDED PRECEDING)) END AS adjusted FROM hr)
 """
 
 
@@ -216,9 +222,9 @@ def _(spark, d):
     return inf.sign_counts(dm.utilities(spark, d)).groupBy("allocation_id").agg(F.count("*").alias("m")).withColumn("least_k", inf.smallest_k(F.col("m"), 0.05))
 
 
-@query("directional_decisions", U + "SELECT allocation_id, source, target, k, CASE WHEN k < 9 THEN 'WITHHELD' WHEN adjusted <= 0.05 THEN 'DIRECTION' ELSE 'NO_DIRECTION' END AS decision FROM hm")
+@query("directional_decisions", U + "SELECT allocation_id, source, target, k, CASE WHEN adjusted IS NULL OR k < least_k THEN 'WITHHELD' WHEN adjusted <= 0.05 THEN 'DIRECTION' ELSE 'NO_DIRECTION' END AS decision, CASE WHEN adjusted IS NULL THEN 'missing_units' WHEN k < least_k THEN 'too_few_untied_units' END AS reason FROM (SELECT *, ceil(log2(m / 0.05) - 1e-12) AS least_k FROM hm)")
 def _(spark, d):
-    return inf.directional(_holm(spark, d), 0.05, ["allocation_id"]).select("allocation_id", "source", "target", "k", "decision")
+    return inf.directional(_holm(spark, d), 0.05, ["allocation_id"]).select("allocation_id", "source", "target", "k", "decision", "reason")
 
 
 _US = ", us AS (SELECT allocation_id, method_id, avg(utility) AS mean, median(utility) AS median, min(utility) AS least, max(utility) AS most FROM util GROUP BY ALL)\n"
@@ -236,13 +242,14 @@ def _(spark, d):
     u = dm.utilities(spark, d)
     m = u.select("method_id").distinct()
     p = u.select("allocation_id").distinct().crossJoin(F.broadcast(m.withColumnRenamed("method_id", "source"))).crossJoin(F.broadcast(m.withColumnRenamed("method_id", "target"))).where("source <> target")  # rosters
-    return p.withColumn("ordinal", F.row_number().over(Window.orderBy("allocation_id", "source", "target")))
+    return numbered(p, ["allocation_id", "source", "target"], "ordinal", start=1)
 
 
 @query("unit_audit_geometry", "SELECT s_nationkey AS unit, count(*) AS objects, min(s_suppkey) AS first_object, (SELECT count(DISTINCT t.s_nationkey) FROM supplier s JOIN supplier t ON round(s.s_acctbal / 100) = round(t.s_acctbal / 100) AND s.s_nationkey <> t.s_nationkey WHERE s.s_nationkey = u.s_nationkey) AS neighbours FROM supplier u GROUP BY s_nationkey")
 def _(spark, d):
     s = table(spark, d, "supplier").select("s_nationkey", "s_suppkey", F.round(F.col("s_acctbal") / 100).alias("v"))
-    e = s.alias("s").join(s.alias("t"), (F.col("s.v") == F.col("t.v")) & (F.col("s.s_nationkey") != F.col("t.s_nationkey"))).groupBy(F.col("s.s_nationkey").alias("unit")).agg(F.count_distinct("t.s_nationkey").alias("neighbours"))
+    v = s.select("s_nationkey", "v").distinct()  # a value that many objects share has one row for each unit
+    e = v.alias("s").join(v.alias("t"), (F.col("s.v") == F.col("t.v")) & (F.col("s.s_nationkey") != F.col("t.s_nationkey"))).groupBy(F.col("s.s_nationkey").alias("unit")).agg(F.count_distinct("t.s_nationkey").alias("neighbours"))
     g = s.groupBy(F.col("s_nationkey").alias("unit")).agg(F.count("*").alias("objects"), F.min("s_suppkey").alias("first_object"))
     return g.join(e, "unit", "left").select("unit", "objects", "first_object", F.coalesce("neighbours", F.lit(0)).alias("neighbours"))
 
@@ -254,12 +261,27 @@ def _um(spark, d):
     return cm.margins(dm.utilities(spark, d), ["allocation_id", "unit_id"], "method_id", "utility")
 
 
-_TQ = inf.t_quantile(0.975, 24)
+def sql_t(pairs: str) -> str:
+    """CTE tq(p, df, t) of Student's t for the pairs (p, df) that a query selects: bisection over the substituted angle."""
+    area = "list_sum(list_transform(range(1001), lambda k: (CASE WHEN k IN (0, 1000) THEN 1.0 WHEN k % 2 = 1 THEN 4.0 ELSE 2.0 END) * pow(cos((lo + hi) / 2 * k / 1000), df - 1))) * (lo + hi) / 2 / 3000"
+    return f"""tq AS (WITH RECURSIVE b AS (SELECT p, df, 0.0::DOUBLE AS lo, pi() / 2 AS hi, 0 AS i FROM ({pairs}) WHERE df >= 1 UNION ALL
+  SELECT p, df, CASE WHEN below THEN (lo + hi) / 2 ELSE lo END, CASE WHEN below THEN hi ELSE (lo + hi) / 2 END, i + 1
+  FROM (SELECT *, 0.5 + exp(lgamma((df + 1) / 2.0) - lgamma(df / 2.0)) / sqrt(pi()) * {area} < p AS below FROM b WHERE i < 55))
+  SELECT p, df, sqrt(df) * tan((lo + hi) / 2) AS t FROM b WHERE i = 55)"""
 
 
-@query("t_intervals", with_("util") + _UM + f"SELECT allocation_id, model_a, model_b, count(*) AS n, avg(margin) AS mean, stddev_samp(margin) / sqrt(count(*)) AS se, avg(margin) - {_TQ!r} * stddev_samp(margin) / sqrt(count(*)) AS lower, avg(margin) + {_TQ!r} * stddev_samp(margin) / sqrt(count(*)) AS upper, 'ok' AS status FROM um GROUP BY ALL", ("mean", "se", "lower", "upper"))
+_TI = """, ti AS (SELECT allocation_id, model_a, model_b, count(*) AS n, avg(margin) AS mean, stddev_samp(margin) / sqrt(count(*)) AS se FROM um GROUP BY ALL),
+tm AS (SELECT *, count(*) OVER (PARTITION BY allocation_id) AS members FROM ti)
+"""
+
+
+@query("t_intervals", with_("util") + _UM + _TI + ", " + sql_t("SELECT DISTINCT 0.975::DOUBLE AS p, n - 1 AS df FROM ti UNION SELECT DISTINCT 1 - 0.025::DOUBLE / members, n - 1 FROM tm") + """
+SELECT allocation_id, model_a, model_b, n, mean, se, mean - a.t * se AS lower, mean + a.t * se AS upper, mean - b.t * se AS joint_lower, mean + b.t * se AS joint_upper, 'ok' AS status
+FROM tm JOIN tq a ON a.df = n - 1 AND a.p = 0.975 JOIN tq b ON b.df = n - 1 AND b.p = 1 - 0.025::DOUBLE / members""", ("mean", "se", "lower", "upper", "joint_lower", "joint_upper"))
 def _(spark, d):
-    return inf.t_intervals(_um(spark, d), ["allocation_id", "model_a", "model_b"], "margin", _TQ)
+    m, key = _um(spark, d), ["allocation_id", "model_a", "model_b"]
+    joint = inf.t_intervals(m, key, "margin", family=["allocation_id"]).select(*key, F.col("lower").alias("joint_lower"), F.col("upper").alias("joint_upper"))
+    return inf.t_intervals(m, key, "margin").join(joint, key)
 
 
 @query("stable_mean_se", with_("util") + _UM + "SELECT allocation_id, model_a, model_b, avg(margin) AS mean, stddev_samp(margin) / sqrt(count(*)) AS se FROM um GROUP BY ALL", ("mean", "se"))
@@ -290,18 +312,33 @@ def _(spark, d):
     return _boot(spark, d).join(ob, key).groupBy(*key).agg(((1 + F.count_if(F.col("mean") - F.col("obs") >= F.abs("obs") - 1e-12)) / 201.0).alias("p"))
 
 
-_SF = ", ux AS (SELECT *, unit_id::INT AS n FROM um WHERE unit_id::INT < 8), dv AS (SELECT *, margin - avg(margin) OVER (PARTITION BY allocation_id, model_a, model_b) AS dev FROM ux), fl AS (SELECT allocation_id, model_a, model_b, flip, avg(x) AS m, stddev_samp(x) / sqrt(count(*)) AS se FROM (SELECT allocation_id, model_a, model_b, flip, CASE WHEN (flip >> n) & 1 = 1 THEN -dev ELSE dev END AS x FROM dv, (SELECT unnest(range(256))::INT AS flip)) GROUP BY ALL), mx AS (SELECT allocation_id, flip, max(abs(m) / se) AS t FROM fl GROUP BY ALL)\n"
+#: Sign vectors of all units: every one up to 12 units, 4096 antithetic ones beyond.
+_FL = """, uu AS (SELECT unit_id, row_number() OVER (ORDER BY unit_id) - 1 AS n FROM (SELECT DISTINCT unit_id FROM um)), nu AS (SELECT count(*) AS units FROM uu), ux AS (SELECT um.*, n, model_a[:7] = model_b[:7] AS structural FROM um JOIN uu USING (unit_id)),
+sg AS (SELECT flip, n, CASE WHEN units <= 12 THEN (flip >> n) & 1 WHEN n = 0 THEN (flip >= 2048)::BIGINT ELSE ((flip >= 2048)::BIGINT + CASE WHEN n < 12 THEN (b >> (n - 1)) & 1 ELSE ('0x' || md5('f1|' || b || '|' || n)[1:8])::BIGINT % 2 END) % 2 END AS minus
+ FROM (SELECT flip, CASE WHEN flip < 2048 THEN flip ELSE 4095 - flip END AS b FROM (SELECT unnest(range(4096)) AS flip)), uu, nu WHERE units > 12 OR flip < (1::BIGINT << units)),
+dv AS (SELECT *, margin - avg(margin) OVER (PARTITION BY allocation_id, model_a, model_b) AS dev FROM ux{where}),
+fl AS (SELECT allocation_id, model_a, model_b, flip, abs(avg(x)) / (stddev_samp(x) / sqrt(count(*))) AS t FROM (SELECT allocation_id, model_a, model_b, flip, CASE WHEN minus = 1 THEN -dev ELSE dev END AS x FROM dv JOIN sg USING (n)) GROUP BY ALL),
+cr AS (SELECT allocation_id, t FROM (SELECT *, row_number() OVER (PARTITION BY allocation_id ORDER BY t) AS r, count(*) OVER (PARTITION BY allocation_id) AS flips FROM (SELECT allocation_id, flip, max(t) AS t FROM fl GROUP BY ALL)) WHERE r = ceil(0.95 * flips)),
+gs AS (SELECT allocation_id, model_a, model_b, structural, avg(margin) AS m, stddev_samp(margin) / sqrt(count(*)) AS se FROM ux GROUP BY ALL)
+"""
+
+
+def numbered_units(spark, d):
+    """Margins of all methods with their unit's place n, and the number of units."""
+    m = _um(spark, d)
+    units = dm.kept(inf.unit_numbers(m, "unit_id"), "units")
+    return m.join(units, "unit_id"), units.count()
 
 
-@query("sign_flip_max_t", with_("util") + _UM + _SF + "SELECT allocation_id, t AS critical FROM (SELECT *, row_number() OVER (PARTITION BY allocation_id ORDER BY t) AS r FROM mx) WHERE r = ceil(0.95 * 256)", ("critical",))
+@query("sign_flip_max_t", with_("util") + _UM + _FL.format(where="") + "SELECT allocation_id, t AS critical FROM cr", ("critical",))
 def _(spark, d):
-    return _flip_critical(_um(spark, d).where("int(unit_id) < 8").withColumn("n", F.col("unit_id").cast("int")), 8)
+    return _flip_critical(*numbered_units(spark, d))
 
 
 def _flip_critical(x, n):
     t = inf.sign_flips(x, ["allocation_id", "model_a", "model_b"], "n", "margin", n)
     mx = t.groupBy("allocation_id", "flip").agg(F.max("t").alias("t"))
-    r = F.row_number().over(Window.partitionBy("allocation_id").orderBy("t"))
+    r = F.row_number().over(Window.partitionBy("allocation_id").orderBy("t"))  # 4096 rows at most
     return mx.withColumn("r", r).where(F.col("r") == F.ceil(F.lit(0.95 * inf.flip_count(n)))).select("allocation_id", F.col("t").alias("critical"))
 
 
@@ -312,9 +349,24 @@ _CL = """, cl AS (WITH RECURSIVE c AS (SELECT * FROM ed UNION SELECT c.allocatio
 """
 
 
-@query("decision_sets", U + _ED + _CL + "SELECT allocation_id, source, target FROM cl")
+_DE = """, iv AS (SELECT allocation_id, model_a, model_b, m - t * se AS lower, m + t * se AS upper FROM gs JOIN cr USING (allocation_id)),
+ed AS (SELECT allocation_id, model_a AS source, model_b AS target FROM iv WHERE lower > 0 UNION SELECT allocation_id, model_b, model_a FROM iv WHERE upper < 0)"""
+_DT = """, ro AS (SELECT DISTINCT allocation_id, method_id AS method FROM util), cy AS (SELECT DISTINCT allocation_id FROM cl WHERE source = target),
+k AS (SELECT r.*, (SELECT count(*) FROM cl WHERE cl.allocation_id = r.allocation_id AND cl.target = r.method) AS above, (SELECT count(*) FROM cl WHERE cl.allocation_id = r.allocation_id AND cl.source = r.method) AS below,
+ count(*) OVER (PARTITION BY allocation_id) AS methods, EXISTS (FROM cy WHERE cy.allocation_id = r.allocation_id) AS cyclic FROM ro r)
+SELECT allocation_id, method, cyclic OR above = 0 AS in_best_set, CASE WHEN cyclic THEN 1 ELSE above + 1 END AS rank_lower, CASE WHEN cyclic THEN methods ELSE methods - below END AS rank_upper, CASE WHEN cyclic THEN 'cycle' ELSE 'ranked' END AS status FROM k"""
+
+
+@query("decision_sets", with_("util") + _UM + _FL.format(where="") + _DE + _CL + _DT)
 def _(spark, d):
-    return inf.closure(_tails(spark, d).where("p <= 0.3"), ["allocation_id"])
+    """Best sets and rank bounds from the simultaneous intervals of the sign-flip maximum, per allocation."""
+    x, n = numbered_units(spark, d)
+    key = ["allocation_id", "model_a", "model_b"]
+    critical = _flip_critical(x, n)
+    g = x.groupBy(*key).agg(F.avg("margin").alias("m"), (F.stddev_samp("margin") / F.sqrt(F.count("*"))).alias("se")).join(critical, "allocation_id")
+    half = F.col("critical") * F.col("se")
+    intervals = dm.kept(g.select(*key, (F.col("m") - half).alias("lower"), (F.col("m") + half).alias("upper")), "intervals")
+    return pu.decision_sets(intervals, dm.utilities(spark, d).select("allocation_id", F.col("method_id").alias("method")), ["allocation_id"])
 
 
 _RG = """, ro AS (SELECT DISTINCT allocation_id, method_id AS method FROM util),
@@ -336,31 +388,48 @@ def _(spark, d):
     return inf.reported_graph(_tails(spark, d).where("p <= 0.3"), methods, ["allocation_id"])
 
 
-_WP = ", wp AS (SELECT unit, case_id, realization, max(score) FILTER (budget = 'A') AS sl, max(score) FILTER (budget = 'R') AS rl, case_id::DOUBLE + 1 AS wt FROM scores WHERE model = 'BUILDING' GROUP BY ALL)\n"
+_WP = ", wp AS (SELECT model, unit, case_id, realization, max(score) FILTER (budget = 'A') AS sl, max(score) FILTER (budget = 'R') AS rl, case_id::DOUBLE + 1 AS wt FROM scores GROUP BY ALL)\n"
 
 
-def _wp(spark, d, models=("BUILDING",)):
-    """Losses of each case and realization under budgets A and R; of all models where none is named."""
+def _wp(spark, d):
+    """Losses of each model, case and realization under budgets A (shared) and R (the rule), with weights."""
     at = lambda b: F.max(F.when(F.col("budget") == b, F.col("score")))
-    s = dm.scores(spark, d)
-    s = s.where(F.col("model").isin(*models)) if models else s
-    return s.groupBy("model", "unit", "case_id", "realization").agg(at("A").alias("sl"), at("R").alias("rl")).withColumn("wt", F.col("case_id").cast("double") + 1)
+    return dm.scores(spark, d).groupBy("model", "unit", "case_id", "realization").agg(at("A").alias("sl"), at("R").alias("rl")).withColumn("wt", F.col("case_id").cast("double") + 1)
+
+
+#: Calls of the rule: as many as the realization's number, against one of the shared strategy.
+_PD = """, us AS (SELECT model, realization, unit, count(*) AS rows, sum(wt) AS w, sum(wt * sl) AS ws, sum(wt * (sl - rl)) AS wd FROM wp GROUP BY ALL),
+tt AS (SELECT model, realization, sum(rows)::BIGINT AS observations, sum(w) AS tw, sum(ws) / sum(w) AS ms, sum(wd) / sum(w) AS md, count(*) AS units, sum(w * w) AS ww, max(w) AS wmax FROM us GROUP BY ALL),
+cv AS (SELECT model, realization, any_value(observations) AS observations, any_value(units) AS units, any_value(ms) AS ms, any_value(md) AS md, pow(any_value(tw), 2) / any_value(ww) AS effective_units, any_value(wmax) / any_value(tw) AS largest_share,
+ sum(pow(ws - ms * w, 2)) * any_value(units) / (any_value(units) - 1) / pow(any_value(tw), 2) AS c00, sum((ws - ms * w) * (wd - md * w)) * any_value(units) / (any_value(units) - 1) / pow(any_value(tw), 2) AS c01,
+ sum(pow(wd - md * w, 2)) * any_value(units) / (any_value(units) - 1) / pow(any_value(tw), 2) AS c11 FROM us JOIN tt USING (model, realization) GROUP BY ALL), """ + sql_t("SELECT DISTINCT 0.975::DOUBLE AS p, units - 1 AS df FROM cv") + """,
+q AS (SELECT cv.*, t, ms * ms - t * t * c00 AS a, -2 * (ms * md - t * t * c01) AS b, md * md - t * t * c11 AS c, md - 0.05 * ms AS pc, t * sqrt(greatest(0.0025 * c00 - 0.1 * c01 + c11, 0)) AS ph, t * sqrt(c11) AS zh, realization::DOUBLE AS cost FROM cv JOIN tq ON tq.df = units - 1),
+ps AS (SELECT *, CASE WHEN ms <= 0 THEN 'unavailable' WHEN a <= 0 THEN 'unbounded_or_disjoint' WHEN b * b - 4 * a * c < 0 THEN 'empty_or_numerically_unstable' ELSE 'finite' END AS fs,
+ CASE WHEN ms > 0 AND pc - ph > 0 THEN 'supported' WHEN ms > 0 AND pc + ph < 0 THEN 'insufficient' ELSE 'inconclusive' END AS pb, CASE WHEN md - zh > 0 THEN 'beneficial' WHEN md + zh < 0 THEN 'harmful' ELSE 'inconclusive' END AS ze, CASE WHEN cost <= 4 THEN 'satisfied' ELSE 'exceeded' END AS cc FROM q)
+"""
+_PDD = ("mean_shared", "mean_rule", "improvement", "reduction", "fieller_lower", "fieller_upper", "practical_contrast", "practical_lower", "practical_upper", "zero_lower", "zero_upper", "cost_ratio", "effective_units", "largest_share")
+
+
+def _pairs(spark, d):
+    return _wp(spark, d).withColumn("shared_calls", F.lit(1.0)).withColumn("rule_calls", F.col("realization").cast("double"))
 
 
-@query("cluster_paired_summary", with_("scores") + _WP + """, m AS (SELECT realization, sum((sl - rl) * wt) / sum(wt) AS mean, sum(wt) AS total, sum(rl * wt) / sum(sl * wt) AS ratio FROM wp GROUP BY realization), c AS (SELECT realization, unit, sum(wt * (sl - rl - mean) / total) AS u FROM wp JOIN m USING (realization) GROUP BY ALL)
-SELECT realization, any_value(mean) AS mean, any_value(ratio) AS ratio, count(*) AS clusters, sqrt(sum(u * u) * count(*) / (count(*) - 1)) AS se FROM c JOIN m USING (realization) GROUP BY realization""", ("mean", "ratio", "se"))
+@query("cluster_paired_summary", with_("scores") + _WP + _PD + """SELECT model, realization, observations, units, units - 1 AS degrees, 'approximate' AS interval_status, ms AS mean_shared, ms - md AS mean_rule, md AS improvement, CASE WHEN ms > 0 THEN md / ms END AS reduction,
+CASE WHEN fs = 'finite' THEN (-b - sqrt(b * b - 4 * a * c)) / (2 * a) END AS fieller_lower, CASE WHEN fs = 'finite' THEN (-b + sqrt(b * b - 4 * a * c)) / (2 * a) END AS fieller_upper, fs AS fieller_status,
+pc AS practical_contrast, pc - ph AS practical_lower, pc + ph AS practical_upper, pb AS practical_benefit, md - zh AS zero_lower, md + zh AS zero_upper, ze AS zero_effect, cost AS cost_ratio, cc AS cost_condition,
+CASE WHEN pb = 'supported' AND cc = 'satisfied' THEN 'supported' WHEN pb = 'insufficient' OR cc = 'exceeded' THEN 'not_supported' ELSE 'inconclusive' END AS adoption, effective_units, largest_share,
+array_to_string(list_filter([CASE WHEN units < 10 THEN 'few_units' END, CASE WHEN ms = 0 THEN 'no_shared_loss' END, CASE WHEN largest_share > 0.25 THEN 'one_unit_dominates' END], lambda x: x IS NOT NULL), ',') AS warnings FROM ps""", _PDD)
 def _(spark, d):
-    return inf.weighted_pairs(_wp(spark, d), ["realization"], "sl", "rl", "wt", "unit")
+    return pr.paired_summary(_pairs(spark, d), ["model", "realization"], "sl", "rl", "wt", "unit", shared_calls="shared_calls", rule_calls="rule_calls")
 
 
-@query("donor_weights", with_("scores") + _WP + "SELECT unit, case_id, realization, wt / sum(wt) OVER (PARTITION BY unit) AS weight FROM wp", ("weight",))
+@query("donor_weights", with_("scores") + _WP + "SELECT model, unit, case_id, realization, wt / sum(wt) OVER (PARTITION BY model, unit) AS weight FROM wp", ("weight",))
 def _(spark, d):
-    return _wp(spark, d).select("unit", "case_id", "realization", (F.col("wt") / F.sum("wt").over(Window.partitionBy("unit"))).alias("weight"))
+    return _wp(spark, d).select("model", "unit", "case_id", "realization", (F.col("wt") / F.sum("wt").over(Window.partitionBy("model", "unit"))).alias("weight"))
 
 
-@query("leave_one_unit_out", with_("scores") + _WP + ", u AS (SELECT unit, sum((sl - rl) * wt) AS x, sum(wt) AS wt FROM wp GROUP BY unit) SELECT unit, (sum(x) OVER () - x) / (sum(wt) OVER () - wt) AS mean_without, wt / sum(wt) OVER () AS share, pow(sum(wt) OVER (), 2) / sum(wt * wt) OVER () AS effective FROM u", ("mean_without", "share", "effective"))
+@query("leave_one_unit_out", with_("scores") + _WP + """, u AS (SELECT model, realization, unit, sum((sl - rl) * wt) AS wd, sum(sl * wt) AS ws, sum(wt) AS w FROM wp GROUP BY ALL),
+x AS (SELECT *, (sum(ws) OVER k - ws) / (sum(w) OVER k - w) AS s, (sum(wd) OVER k - wd) / (sum(w) OVER k - w) AS dd, sum(w) OVER k AS tw, sum(w * w) OVER k AS ww FROM u WINDOW k AS (PARTITION BY model, realization))
+SELECT model, realization, unit AS omitted_unit, s AS mean_shared, s - dd AS mean_rule, dd AS improvement, CASE WHEN s > 0 THEN dd / s END AS reduction, dd - 0.05 * s AS practical_contrast, w / tw AS share, tw * tw / ww AS effective_units FROM x""", ("mean_shared", "mean_rule", "improvement", "reduction", "practical_contrast", "share", "effective_units"))
 def _(spark, d):
-    u = _wp(spark, d).groupBy("unit").agg(F.sum((F.col("sl") - F.col("rl")) * F.col("wt")).alias("x"), F.sum("wt").alias("wt"))
-    t = u.agg(F.sum("x").alias("tx"), F.sum("wt").alias("tw"), F.sum(F.col("wt") * F.col("wt")).alias("tww"))
-    j = u.crossJoin(F.broadcast(t))  # one row
-    return j.select("unit", ((F.col("tx") - F.col("x")) / (F.col("tw") - F.col("wt"))).alias("mean_without"), (F.col("wt") / F.col("tw")).alias("share"), (F.col("tw") * F.col("tw") / F.col("tww")).alias("effective"))
+    return pr.leave_one_unit_out(_wp(spark, d), ["model", "realization"], "sl", "rl", "wt", "unit")

@@ -2,42 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-from contextvars import ContextVar
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contraspark.operators import allocation, scoring
-from contraspark.plans.registry import table
-from contraspark.sources.storage import publish_once, work_path
+from contraspark.plans.registry import once, table
+from contraspark.sources.storage import keep
 
 DEPTHS, ALLOCATIONS, SEED = (4, 8, 12), 2, "s1"
 CONTROLS = "label < 4"
-BRANDS = ("Brand#11", "Brand#12", "Brand#13", "Brand#21", "Brand#22")
-_WHOLE: ContextVar[bool] = ContextVar("whole", default=False)
 
 
-@contextmanager
-def whole_tables() -> Iterator[None]:
-    """Queries built inside take all brands, not only those of ``BRANDS``."""
-    token = _WHOLE.set(True)
-    try:
-        yield
-    finally:
-        _WHOLE.reset(token)
+def scores(spark: SparkSession, d: str) -> DataFrame:
+    """case_id, unit, budget, realization, model, score: mean quantity (exact sums, so equal in every engine).
+
+    A few thousand rows behind a join of all order lines: written once for a query, however often it needs them.
+    """
+    return once(("scores", d), lambda: kept(_scores(spark, d), "scores"))
 
 
-def scores(spark: SparkSession, d: str) -> DataFrame:
-    """case_id, unit, budget, realization, model, score: mean quantity (exact sums, so equal in every engine)."""
+def _scores(spark: SparkSession, d: str) -> DataFrame:
     line = table(spark, d, "lineitem").select("l_orderkey", "l_returnflag", "l_linenumber", "l_quantity")
     j = line.join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     j = j.join(table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
     j = j.join(table(spark, d, "nation").select("n_nationkey", "n_regionkey"), F.col("c_nationkey") == F.col("n_nationkey"))
     key = [F.col("c_nationkey").cast("string").alias("case_id"), F.col("n_regionkey").cast("string").alias("unit"), F.col("l_returnflag").alias("budget"), F.col("l_linenumber").cast("string").alias("realization"), F.col("c_mktsegment").alias("model")]
-    # A few thousand rows behind a join of all order lines: made once for a query, however often it needs them.
-    return kept(j.groupBy(*key).agg(F.avg(F.col("l_quantity").cast("double")).alias("score")), "scores")
+    return j.groupBy(*key).agg(F.avg(F.col("l_quantity").cast("double")).alias("score"))
 
 
 def development(spark: SparkSession, d: str) -> DataFrame:
@@ -49,10 +39,13 @@ def assessment(spark: SparkSession, d: str) -> DataFrame:
 
 
 def utilities(spark: SparkSession, d: str) -> DataFrame:
-    """dataset_id, allocation_id, unit_id, method_id, utility: mean quantity by supplier nation and brand, of five brands outside ``whole_tables``."""
+    """dataset_id, allocation_id, unit_id, method_id, utility: mean quantity by supplier nation and brand; written once for a query."""
+    return once(("utilities", d), lambda: kept(_utilities(spark, d), "utilities"))
+
+
+def _utilities(spark: SparkSession, d: str) -> DataFrame:
     j = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag", "l_quantity").join(table(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
     j = j.join(table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-    j = j if _WHOLE.get() else j.where(F.col("p_brand").isin(*BRANDS))
     key = [F.lit("d1").alias("dataset_id"), F.col("l_returnflag").alias("allocation_id"), F.col("s_nationkey").cast("string").alias("unit_id"), F.col("p_brand").alias("method_id")]
     return j.groupBy(*key).agg(F.avg(F.col("l_quantity").cast("double")).alias("utility"))
 
@@ -71,8 +64,8 @@ def long_cells(spark: SparkSession, d: str) -> DataFrame:
 
 
 def halves(spark: SparkSession, d: str) -> DataFrame:
-    """Treated cells with half = train or target, by hash rank within their label."""
-    return allocation.hash_split(cells(spark, d).where("stratum >= 4"), "stratum", "cell_id", SEED)
+    """Treated cells with half = train or target, by hash rank within their label; made once for a query."""
+    return once(("halves", d), lambda: kept(allocation.hash_split(cells(spark, d).where("stratum >= 4"), "stratum", "cell_id", SEED), "halves"))
 
 
 def membership(spark: SparkSession, d: str) -> DataFrame:
@@ -121,7 +114,7 @@ def counts(spark: SparkSession, d: str) -> DataFrame:
 
 def kept(df: DataFrame, name: str) -> DataFrame:
     """A small table that a query reads several times, written once to shared storage."""
-    return publish_once(df, work_path(df.sparkSession, name))
+    return keep(df, name)
 
 
 def conditioned(train: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -133,6 +126,10 @@ def conditioned(train: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def tuple_scores(spark: SparkSession, d: str) -> DataFrame:
+    return once(("tuples", d), lambda: _tuple_scores(spark, d))
+
+
+def _tuple_scores(spark: SparkSession, d: str) -> DataFrame:
     b, p = kept(blocks(spark, d), "blocks"), kept(predictions(spark, d), "predictions")
     train = p.where("model = 'train_state'").select("task", F.col("prediction").alias("t"))
     scores = scoring.role_tuple_mse(kept(targets(spark, d), "targets"), b, p, kept(scales(spark, d), "scales"), conditioned(train, b))
@@ -145,7 +142,7 @@ SQL = {
     "dev": "dev AS (SELECT * FROM scores WHERE case_id::INT % 2 = 0)",
     "asm": "asm AS (SELECT * FROM scores WHERE case_id::INT % 2 = 1)",
     "util": """util AS (SELECT 'd1' AS dataset_id, l_returnflag AS allocation_id, s_nationkey::VARCHAR AS unit_id, p_brand AS method_id, avg(l_quantity::DOUBLE) AS utility
-  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE p_brand IN ('Brand#11', 'Brand#12', 'Brand#13', 'Brand#21', 'Brand#22') GROUP BY ALL)""",
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)""",
     "cells": "cells AS (SELECT vec_id::VARCHAR AS cell_id, label AS stratum, embedding::DOUBLE[] AS profile FROM embeddings)",
     "lcells": "lcells AS (SELECT cell_id, stratum, unnest(range(len(profile))) AS gene, unnest(profile) AS value FROM cells)",
     "halves": """halves AS (SELECT cell_id, stratum, CASE WHEN row_number() OVER (PARTITION BY stratum ORDER BY sha256('s1|split|' || cell_id), cell_id) <= count(*) OVER (PARTITION BY stratum) // 2 THEN 'train' ELSE 'target' END AS half
@@ -175,7 +172,6 @@ SQL = {
     "vdist": """vdist AS (SELECT allocation, depth, avg(v) AS v FROM (SELECT a.allocation, a.depth, a.block AS i, b.block AS j, avg(pow((a.value - b.value) / s, 2)) AS v
   FROM lblocks a JOIN lblocks b ON a.allocation = b.allocation AND a.depth = b.depth AND a.gene = b.gene AND a.block <> b.block JOIN lcontrol c ON a.gene = c.gene GROUP BY ALL) GROUP BY ALL)""",
 }
-SQL["util_whole"] = SQL["util"].replace(" WHERE p_brand IN ('Brand#11', 'Brand#12', 'Brand#13', 'Brand#21', 'Brand#22')", "")
 SQL["pairs"] = """pairs AS (SELECT x.task, x.allocation, x.depth, x.model AS model_a, y.model AS model_b, x.kind AS kind_a, y.kind AS kind_b, max(CASE WHEN x.pattern = 'S' THEN y.mse - x.mse END) AS d_s, max(CASE WHEN x.pattern = 'D' THEN y.mse - x.mse END) AS d_d, NOT bool_or((x.kind = 'effect' AND x.conditioned) OR (y.kind = 'effect' AND y.conditioned)) AS applicable
   FROM patterns x JOIN patterns y ON x.task = y.task AND x.allocation = y.allocation AND x.depth = y.depth AND x.pattern = y.pattern AND ((x.kind = 'effect' AND y.kind = 'state') OR (x.kind = y.kind AND x.model < y.model)) GROUP BY ALL)"""
 ROLE = ["cells", "lcells", "halves", "ranked", "depths", "member", "lblocks", "ltargets", "lcontrol", "ltrain", "lpred", "lcond", "tuples", "patterns", "vdist", "pairs"]

@@ -6,51 +6,61 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from contraspark.operators import contracts as ct
+from contraspark.operators import paired as pr
+from contraspark.operators import publication as pu
 from contraspark.operators import regression as rg
 from contraspark.operators import reporting as rp
 from contraspark.operators import resampling as rs
 from contraspark.plans import domain as dm
-from contraspark.plans.decisions import _UM, U, _holm, _um
+from contraspark.plans.decisions import _FL, _PD, _UM, _WP, U, _holm, _pairs, _um, numbered_units, sql_t
 from contraspark.plans.domain import with_
 from contraspark.plans.registry import query, table
-from contraspark.plans.reports import _IV, _PC, _TB, _candidates, _directions
+from contraspark.plans.reports import _DJ, _PUB, _TB, _blocks, _candidates, _directions
 
 _PAIRS = ["allocation_id", "model_a", "model_b"]
 
 _DR = """, uu AS (SELECT unit_id, row_number() OVER (ORDER BY unit_id) - 1 AS u FROM (SELECT DISTINCT unit_id FROM um)),
 dr AS (SELECT rep, (('0x' || md5('m1|' || rep || '|' || slot)[1:8])::BIGINT % (SELECT count(*) FROM uu)) AS u FROM (SELECT u AS slot FROM uu), (SELECT unnest(range(200)) AS rep)),
-bs AS (SELECT allocation_id, model_a, model_b, avg(margin) AS mean, stddev_samp(margin) / sqrt(count(*)) AS se FROM um GROUP BY ALL),
-pv AS (SELECT allocation_id, model_a, model_b, rep, any_value(mean) AS mean, any_value(se) AS se0, (avg(margin) - any_value(mean)) / (stddev_samp(margin) / sqrt(count(*))) AS pt FROM dr JOIN uu USING (u) JOIN um USING (unit_id) JOIN bs USING (allocation_id, model_a, model_b) GROUP BY ALL)
+b0 AS (SELECT allocation_id, model_a, model_b, avg(margin) AS mean, stddev_samp(margin) / sqrt(count(*)) AS se, count(*) AS own FROM um GROUP BY ALL),
+bs AS (SELECT *, own = (SELECT count(*) FROM uu) AS whole, (SELECT count(*) FROM uu) AS units, count(*) OVER (PARTITION BY allocation_id) AS m FROM b0),
+pv AS (SELECT allocation_id, model_a, model_b, rep, (avg(margin) - any_value(mean)) / (stddev_samp(margin) / sqrt(count(*))) AS pt FROM dr JOIN uu USING (u) JOIN um USING (unit_id) JOIN (FROM bs WHERE whole) USING (allocation_id, model_a, model_b) GROUP BY ALL),
+cr AS (SELECT allocation_id, critical FROM (SELECT *, row_number() OVER (PARTITION BY allocation_id ORDER BY critical) AS r FROM (SELECT allocation_id, rep, max(abs(pt)) AS critical FROM pv GROUP BY ALL)) WHERE r = ceil(0.95 * 199) + 1),
 """
 
 
-def _draws(spark, d):
-    return rs.studentized_draws(_um(spark, d), _PAIRS, "unit_id", "margin", 200, "m1")
-
-
-@query("max_t_bootstrap", with_("util") + _UM + _DR + "SELECT allocation_id, critical FROM (SELECT allocation_id, critical, row_number() OVER (PARTITION BY allocation_id ORDER BY critical) AS r FROM (SELECT allocation_id, rep, max(abs(pt)) AS critical FROM pv GROUP BY ALL)) WHERE r = ceil(0.95 * 199) + 1", ("critical",))
+@query("max_t_bootstrap", with_("util") + _UM + _DR + sql_t("SELECT DISTINCT 1 - 0.025::DOUBLE / m AS p, units - 1 AS df FROM bs") + """,
+x AS (SELECT bs.*, CASE WHEN whole THEN mean - t * se END AS tl, CASE WHEN whole THEN mean + t * se END AS th, CASE WHEN whole THEN mean - critical * se END AS bl, CASE WHEN whole THEN mean + critical * se END AS bh FROM bs JOIN cr USING (allocation_id) JOIN tq ON tq.df = units - 1 AND tq.p = 1 - 0.025::DOUBLE / m)
+SELECT allocation_id, model_a, model_b, units, CASE WHEN whole THEN mean END AS mean, CASE WHEN whole THEN se END AS se, tl AS t_lower, th AS t_upper, bl AS boot_lower, bh AS boot_upper, CASE WHEN whole THEN least(tl, bl) END AS lower, CASE WHEN whole THEN greatest(th, bh) END AS upper,
+CASE WHEN whole THEN 'assessable' ELSE 'unassessable' END AS status, CASE WHEN NOT whole THEN 'missing_unit_margin' END AS reason FROM x""", ("mean", "se", "t_lower", "t_upper", "boot_lower", "boot_upper", "lower", "upper"))
 def _(spark, d):
-    return rs.max_t(_draws(spark, d), ["allocation_id"], 200, 0.95)
+    return rs.paired_intervals(_um(spark, d), ["allocation_id"], ["model_a", "model_b"], "unit_id", "margin", 200, "m1")
+
+
+_SB = """, un AS (SELECT *, row_number() OVER (PARTITION BY model, realization ORDER BY unit) - 1 AS u, wd / w - 0.05 * (ws / w) AS v1, wd / w AS v0 FROM us),
+dr AS (SELECT k.model, k.realization, rep, ('0x' || md5('s1|' || rep || '|' || slot)[1:8])::BIGINT % units AS u FROM cv k, (SELECT unnest(range(400)) AS rep), (SELECT unnest(range(25)) AS slot) WHERE slot < units),
+dw AS (SELECT dr.model, dr.realization, rep, units, w, v1 - pc AS x1, v0 - md AS x0, pc, md FROM dr JOIN un ON un.model = dr.model AND un.realization = dr.realization AND un.u = dr.u JOIN ps ON ps.model = dr.model AND ps.realization = dr.realization),
+dm AS (SELECT model, realization, rep, sum(w * x1) / sum(w) AS m1, sum(w * x0) / sum(w) AS m0, sum(w) AS tw FROM dw GROUP BY ALL),
+ds AS (SELECT model, realization, rep, any_value(m1) AS m1, any_value(m0) AS m0, sqrt(any_value(units) / (any_value(units) - 1) * sum(pow(w * (x1 - m1), 2))) / any_value(tw) AS s1, sqrt(any_value(units) / (any_value(units) - 1) * sum(pow(w * (x0 - m0), 2))) / any_value(tw) AS s0 FROM dw JOIN dm USING (model, realization, rep) GROUP BY ALL),
+dp AS (SELECT model, realization, rep, CASE WHEN s1 > 1e-12 THEN m1 / s1 WHEN m1 > 1e-13 THEN 'inf'::DOUBLE WHEN m1 < -1e-13 THEN '-inf'::DOUBLE ELSE 0 END AS p1, CASE WHEN s0 > 1e-12 THEN m0 / s0 WHEN m0 > 1e-13 THEN 'inf'::DOUBLE WHEN m0 < -1e-13 THEN '-inf'::DOUBLE ELSE 0 END AS p0 FROM ds),
+dk AS (SELECT *, row_number() OVER (PARTITION BY model, realization ORDER BY p1, rep) AS k1, row_number() OVER (PARTITION BY model, realization ORDER BY p0, rep) AS k0 FROM dp),
+dq AS (SELECT model, realization, max(p1) FILTER (k1 = 10) AS l1, max(p1) FILTER (k1 = 390) AS h1, max(p0) FILTER (k0 = 10) AS l0, max(p0) FILTER (k0 = 390) AS h0 FROM dk GROUP BY ALL),
+di AS (SELECT ps.*, CASE WHEN isfinite(l1) AND isfinite(h1) THEN pc - h1 * ph / t END AS bl, CASE WHEN isfinite(l1) AND isfinite(h1) THEN pc - l1 * ph / t END AS bh, CASE WHEN isfinite(l0) AND isfinite(h0) THEN md - h0 * zh / t END AS zl, CASE WHEN isfinite(l0) AND isfinite(h0) THEN md - l0 * zh / t END AS zu FROM ps JOIN dq USING (model, realization)),
+dj AS (SELECT *, CASE WHEN ms > 0 AND bl > 0 THEN 'supported' WHEN ms > 0 AND bh < 0 THEN 'insufficient' ELSE 'inconclusive' END AS bb FROM di)
+"""
 
 
-@query("studentized_bootstrap", with_("util") + _UM + _DR + """SELECT allocation_id, model_a, model_b, any_value(mean) AS mean, any_value(mean) - max(pt) FILTER (r = 195) * any_value(se0) AS lower, any_value(mean) - max(pt) FILTER (r = 5) * any_value(se0) AS upper
-FROM (SELECT *, row_number() OVER (PARTITION BY allocation_id, model_a, model_b ORDER BY pt) AS r FROM pv) GROUP BY ALL""", ("mean", "lower", "upper"))
+@query("studentized_bootstrap", with_("scores") + _WP + _PD + _SB + """SELECT model, realization, units, pc AS practical_contrast, md AS improvement, pc - ph AS practical_lower, pc + ph AS practical_upper, pb AS practical_benefit, bl AS boot_lower, bh AS boot_upper, bb AS boot_benefit, zl AS zero_boot_lower, zu AS zero_boot_upper,
+CASE WHEN zl > 0 THEN 'beneficial' WHEN zu < 0 THEN 'harmful' ELSE 'inconclusive' END AS zero_boot_effect, CASE WHEN bb = pb THEN bb ELSE 'inconclusive' END AS joint_benefit,
+CASE WHEN bb = pb AND bb = 'supported' AND cc = 'satisfied' THEN 'supported' WHEN (bb = pb AND bb = 'insufficient') OR cc = 'exceeded' THEN 'not_supported' ELSE 'inconclusive' END AS joint_adoption FROM dj""", ("practical_contrast", "improvement", "practical_lower", "practical_upper", "boot_lower", "boot_upper", "zero_boot_lower", "zero_boot_upper"))
 def _(spark, d):
-    return rs.pivot_intervals(_draws(spark, d), _PAIRS, 200, 0.05)
-
-
-_SZ = """, ux AS (SELECT *, unit_id::INT AS n, model_a[:7] = model_b[:7] AS structural FROM um WHERE unit_id::INT < 8), dv AS (SELECT *, margin - avg(margin) OVER (PARTITION BY allocation_id, model_a, model_b) AS dev FROM ux WHERE NOT structural),
-fl AS (SELECT allocation_id, model_a, model_b, flip, abs(avg(x)) / (stddev_samp(x) / sqrt(count(*))) AS t FROM (SELECT allocation_id, model_a, model_b, flip, CASE WHEN (flip >> n) & 1 = 1 THEN -dev ELSE dev END AS x FROM dv, (SELECT unnest(range(256))::INT AS flip)) GROUP BY ALL),
-cr AS (SELECT allocation_id, t FROM (SELECT allocation_id, t, row_number() OVER (PARTITION BY allocation_id ORDER BY t) AS r FROM (SELECT allocation_id, flip, max(t) AS t FROM fl GROUP BY ALL)) WHERE r = ceil(0.95 * 256)),
-gs AS (SELECT allocation_id, model_a, model_b, structural, avg(margin) AS m, stddev_samp(margin) / sqrt(count(*)) AS se FROM ux GROUP BY ALL)
-"""
+    return pr.bootstrap_summary(_pairs(spark, d), ["model", "realization"], "sl", "rl", "wt", "unit", 400, "s1", shared_calls="shared_calls", rule_calls="rule_calls")
 
 
-@query("structural_zero_max_t", with_("util") + _UM + _SZ + "SELECT allocation_id, model_a, model_b, structural, CASE WHEN structural THEN 0 ELSE m END AS mean, CASE WHEN structural THEN 0 ELSE m - t * se END AS lower, CASE WHEN structural THEN 0 ELSE m + t * se END AS upper FROM gs JOIN cr USING (allocation_id)", ("mean", "lower", "upper"))
+@query("structural_zero_max_t", with_("util") + _UM + _FL.format(where=" WHERE NOT structural") + "SELECT allocation_id, model_a, model_b, structural, CASE WHEN structural THEN 0 ELSE m END AS mean, CASE WHEN structural THEN 0 ELSE m - t * se END AS lower, CASE WHEN structural THEN 0 ELSE m + t * se END AS upper FROM gs JOIN cr USING (allocation_id)", ("mean", "lower", "upper"))
 def _(spark, d):
-    x = _um(spark, d).where("int(unit_id) < 8").withColumn("n", F.col("unit_id").cast("int"))
+    x, n = numbered_units(spark, d)
     zero = F.substring("model_a", 1, 7) == F.substring("model_b", 1, 7)
-    return rs.structural_zero_intervals(x, ["allocation_id"], ["model_a", "model_b"], "n", "margin", zero, 8, 0.95)
+    return rs.structural_zero_intervals(x, ["allocation_id"], ["model_a", "model_b"], "n", "margin", zero, n, 0.95)
 
 
 _AREA = "list_sum(list_transform(range(201), lambda k: (CASE WHEN k IN (0, 200) THEN 1.0 WHEN k % 2 = 1 THEN 4.0 ELSE 2.0 END) * pow(cos({top} * k / 200), n - 2))) * {top} / 600"
@@ -67,21 +77,30 @@ def _(spark, d):
     return rs.clopper_pearson(o, "events", "trials")
 
 
-@query("common_coverage", with_("util") + _UM + _PC + _TB + """, b AS (SELECT allocation_id, block, count(*) AS rows FROM tb GROUP BY ALL), c AS (SELECT allocation_id, (sum(rows) OVER (PARTITION BY allocation_id ORDER BY block ROWS UNBOUNDED PRECEDING))::BIGINT AS count FROM b),
-g AS (SELECT count, 10 AS total, count / 10 AS coverage FROM c GROUP BY count HAVING count(DISTINCT allocation_id) = 3) SELECT 'd1' AS dataset_id, *, coalesce(count = max(count) FILTER (coverage <= 0.5) OVER (), false) AS primary FROM g""", ("coverage",))
+@query("common_coverage", _PUB + _TB + """, b AS (SELECT rule, block, count(*) AS rows FROM tb GROUP BY ALL), c AS (SELECT rule, (sum(rows) OVER (PARTITION BY rule ORDER BY block ROWS UNBOUNDED PRECEDING))::BIGINT AS count FROM b),
+g AS (SELECT count, (SELECT count(*) FROM wh) AS total, count / (SELECT count(*) FROM wh) AS coverage FROM c GROUP BY count HAVING count(DISTINCT rule) = 5) SELECT 'd1' AS dataset_id, *, coalesce(count = max(count) FILTER (coverage <= 0.5) OVER (), false) AS primary FROM g""", ("coverage",))
 def _(spark, d):
-    b = rp.tie_blocks(_candidates(spark, d).withColumn("s", F.abs("estimate")), ["allocation_id"], "s", ["model_a", "model_b"], 0.3)
-    return rs.common_coverage(b.select(F.lit("d1").alias("dataset_id"), "allocation_id", "count", F.sum("rows").over(Window.partitionBy("allocation_id")).cast("int").alias("total")), ["dataset_id"], "allocation_id", "count", "total", 3)
+    return common_counts(spark, d)
 
 
-@query("paired_rule_bounds", with_("util") + _UM + _PC + _IV + """, x AS (SELECT p.model_a, p.model_b, p.direction AS d1, q.direction AS d2, unnest(CASE WHEN p.lower > 0 THEN ['a'] WHEN p.upper < 0 THEN ['b'] ELSE ['a', 'b'] END) AS sign FROM dj p JOIN dj q ON p.model_a = q.model_a AND p.model_b = q.model_b AND p.allocation_id = 'A' AND q.allocation_id = 'R'),
-k AS (SELECT count(*) FILTER (allocation_id = 'A' AND direction <> 'hold') AS n1, count(*) FILTER (allocation_id = 'R' AND direction <> 'hold') AS n2 FROM dj),
-e AS (SELECT model_a, model_b, (d1 <> 'hold' AND d1 <> sign)::INT::DOUBLE / n1 - (d2 <> 'hold' AND d2 <> sign)::INT::DOUBLE / n2 AS diff FROM x, k)
+def common_counts(spark, d):
+    """Counts that all five rules can attain at the ends of their tie blocks."""
+    pairs = _candidates(spark, d).where(F.col("rule") == pu.COMPANION).agg(F.count("*").alias("total"))
+    b = _blocks(spark, d).crossJoin(F.broadcast(pairs))  # one row
+    return rs.common_coverage(b.select(F.lit("d1").alias("dataset_id"), "rule", "count", "total"), ["dataset_id"], "rule", "count", "total", len(pu.RULES))
+
+
+_SIGNS = "list_filter([CASE WHEN coalesce(lower, '-inf'::DOUBLE) < 0 THEN -1 END, CASE WHEN coalesce(lower, '-inf'::DOUBLE) <= 0 AND coalesce(upper, 'inf'::DOUBLE) >= 0 THEN 0 END, CASE WHEN coalesce(upper, 'inf'::DOUBLE) > 0 THEN 1 END], lambda s: s IS NOT NULL)"
+
+
+@query("paired_rule_bounds", _DJ + f""", x AS (SELECT p.model_a, p.model_b, p.direction AS d1, q.direction AS d2, p.lower, p.upper FROM dj p JOIN dj q ON p.model_a = q.model_a AND p.model_b = q.model_b AND p.rule = 'score_margin' AND q.rule = 'calibrated_margin'),
+k AS (SELECT count(*) FILTER (d1 <> 'hold') AS n1, count(*) FILTER (d2 <> 'hold') AS n2 FROM x), y AS (SELECT *, unnest({_SIGNS}) AS sign FROM x),
+e AS (SELECT model_a, model_b, CASE WHEN (d1 = 'a' AND sign < 0) OR (d1 = 'b' AND sign > 0) THEN 1.0::DOUBLE / n1 ELSE 0 END - CASE WHEN (d2 = 'a' AND sign < 0) OR (d2 = 'b' AND sign > 0) THEN 1.0::DOUBLE / n2 ELSE 0 END AS diff FROM y, k)
 SELECT sum(lo) AS lower, sum(hi) AS upper, count(*) AS n FROM (SELECT min(diff) AS lo, max(diff) AS hi FROM e GROUP BY model_a, model_b)""", ("lower", "upper"))
 def _(spark, d):
     directions, iv = _directions(spark, d)
-    of = lambda a: directions.where(F.col("allocation_id") == a)
-    return rs.paired_rule_bounds(of("A"), of("R"), iv, ["model_a", "model_b"])
+    of = lambda rule: directions.where(F.col("rule") == rule)
+    return rs.paired_rule_bounds(of("score_margin"), of("calibrated_margin"), iv, ["model_a", "model_b"])
 
 
 @query("topk_priority_change", with_("util") + """, r AS (SELECT *, row_number() OVER (PARTITION BY allocation_id, unit_id ORDER BY utility DESC, method_id) AS r FROM util),
@@ -120,7 +139,7 @@ def _(spark, d):
     return rp.candidate_edges(s, ["wave", "batch"], "O", "F")
 
 
-@query("matching_rejection_class", U + ", f AS (SELECT source, target, min(p) AS best, max(p) AS worst, bool_or(adjusted <= 0.3) AS once FROM hm GROUP BY ALL) SELECT source, target, CASE WHEN worst * 20 <= 0.3 THEN 'invariant' WHEN best > 0.3 THEN 'impossible' WHEN once THEN 'possible_not_necessary' ELSE 'unresolved' END AS class FROM f")
+@query("matching_rejection_class", U + ", f AS (SELECT source, target, min(p) AS best, max(p) AS worst, bool_or(adjusted <= 0.3) AS once, max(m) AS size FROM hm GROUP BY ALL) SELECT source, target, CASE WHEN worst * size <= 0.3 THEN 'invariant' WHEN best > 0.3 THEN 'impossible' WHEN once THEN 'possible_not_necessary' ELSE 'unresolved' END AS class FROM f")
 def _(spark, d):
     return rp.rejection_class(_holm(spark, d), ["source", "target"], ["allocation_id"], 0.3)
 
@@ -141,35 +160,58 @@ def _(spark, d):
 
 
 def _contracts(spark, d, shift: int):
+    """Some are invalid: orders of status P have no known task, and there are null conditionings, empty and missing references, changes of kind."""
     o, k = table(spark, d, "orders"), F.col("o_orderkey")
-    ref = lambda c, m: F.when(k % m != 0, F.concat(F.lit("r"), ((k + shift * (k % 5 == c).cast("int")) % 11).cast("string")))
+    ref = lambda c, m: F.when(k % (m + 8) == 0, F.lit("")).when(k % m != 0, F.concat(F.lit("r"), ((k + shift * (k % 5 == c).cast("int")) % 11).cast("string")))
+    task = F.when((o["o_orderstatus"] == "P") | (k % 43 == 0), "other").when((o["o_orderstatus"] == "O") != ((k % 7 == 0) & F.lit(shift > 0)), "reference_effect").otherwise("treated_state")
     return o.select(
-        k.alias("contract_id"), F.when(F.col("o_orderstatus") == "O", "reference_effect").otherwise("treated_state").alias("task"), F.when(k % 3 == 0, "native_effect").otherwise("state").alias("output_kind"),
-        (k % 2 == 0).alias("input_conditioned"), F.when(k % 4 < 2, "state").otherwise("effect").alias("storage_encoding"),
+        k.alias("contract_id"), task.alias("task"), F.when((k + shift * (k % 29 == 0).cast("int")) % 3 == 0, "native_effect").otherwise("state").alias("output_kind"),
+        F.when(k % 31 != 0, k % 2 == 0).alias("input_conditioned"), F.when(k % 37 == 0, "none").when((k + shift * (k % 9 == 0).cast("int")) % 4 < 2, "state").otherwise("effect").alias("storage_encoding"),
         ref(0, 13).alias("model_input_id"), ref(1, 17).alias("prediction_reference_id"), ref(2, 19).alias("observation_reference_id"), ref(3, 23).alias("storage_baseline_id"), ref(4, 29).alias("native_state_baseline_id"),
     )
 
 
 def _sql_contracts(shift: int) -> str:
-    ref = lambda c, m: f"CASE WHEN k % {m} <> 0 THEN 'r' || ((k + {shift} * (k % 5 = {c})::INT) % 11) END"
-    return f"SELECT k AS contract_id, CASE WHEN o_orderstatus = 'O' THEN 'reference_effect' ELSE 'treated_state' END AS task, CASE WHEN k % 3 = 0 THEN 'native_effect' ELSE 'state' END AS output_kind, k % 2 = 0 AS input_conditioned, CASE WHEN k % 4 < 2 THEN 'state' ELSE 'effect' END AS storage_encoding, {ref(0, 13)} AS mi, {ref(1, 17)} AS pr, {ref(2, 19)} AS obr, {ref(3, 23)} AS sb, {ref(4, 29)} AS nb FROM (SELECT *, o_orderkey AS k FROM orders)"
+    ref = lambda c, m: f"CASE WHEN k % {m + 8} = 0 THEN '' WHEN k % {m} <> 0 THEN 'r' || ((k + {shift} * (k % 5 = {c})::INT) % 11) END"
+    return f"""SELECT k AS contract_id, CASE WHEN o_orderstatus = 'P' OR k % 43 = 0 THEN 'other' WHEN (o_orderstatus = 'O') <> (k % 7 = 0 AND {shift > 0}) THEN 'reference_effect' ELSE 'treated_state' END AS task,
+  CASE WHEN (k + {shift} * (k % 29 = 0)::INT) % 3 = 0 THEN 'native_effect' ELSE 'state' END AS output_kind, CASE WHEN k % 31 <> 0 THEN k % 2 = 0 END AS input_conditioned,
+  CASE WHEN k % 37 = 0 THEN 'none' WHEN (k + {shift} * (k % 9 = 0)::INT) % 4 < 2 THEN 'state' ELSE 'effect' END AS storage_encoding,
+  {ref(0, 13)} AS model_input_id, {ref(1, 17)} AS prediction_reference_id, {ref(2, 19)} AS observation_reference_id, {ref(3, 23)} AS storage_baseline_id, {ref(4, 29)} AS native_state_baseline_id FROM (SELECT *, o_orderkey AS k FROM orders)"""
 
 
-_CT = f"WITH b AS ({_sql_contracts(0)}), a AS ({_sql_contracts(1)})\n"
+#: The needs of each field, as SQL.
+_NEEDS = {
+    "model_input_id": "coalesce(input_conditioned, false)", "prediction_reference_id": "task = 'reference_effect' AND output_kind = 'state'", "observation_reference_id": "task = 'reference_effect'",
+    "storage_baseline_id": "storage_encoding <> (CASE WHEN output_kind = 'state' THEN 'state' ELSE 'effect' END)", "native_state_baseline_id": "task = 'treated_state' AND output_kind = 'native_effect'",
+}
+_joined = lambda items: f"array_to_string(list_filter([{', '.join(items)}], lambda x: x IS NOT NULL), ',')"
+_VALID = f"""SELECT *, {_joined([f"CASE WHEN {n} THEN '{c}' END" for c, n in _NEEDS.items()])} AS active, {_joined([f"CASE WHEN ({n}) AND coalesce({c}, '') = '' THEN '{c}' END" for c, n in _NEEDS.items()])} AS missing,
+{_joined(["CASE WHEN task NOT IN ('treated_state', 'reference_effect') THEN 'task' END", "CASE WHEN storage_encoding NOT IN ('state', 'effect') THEN 'storage_encoding' END", "CASE WHEN input_conditioned IS NULL THEN 'input_conditioned' END", *[f"CASE WHEN {c} = '' THEN 'empty:{c}' END" for c in _NEEDS], *[f"CASE WHEN ({n}) AND coalesce({c}, '') = '' THEN 'missing:{c}' END" for c, n in _NEEDS.items()]])} AS violations"""
+_CT = f"WITH b AS ({_VALID} FROM ({_sql_contracts(0)})), a AS ({_VALID} FROM ({_sql_contracts(1)}))\n"
 
 
-@query("contract_validation", _CT + """, n AS (SELECT contract_id, [CASE WHEN input_conditioned THEN {'f': 'model_input_id', 'v': mi} END, CASE WHEN task = 'reference_effect' AND output_kind = 'state' THEN {'f': 'prediction_reference_id', 'v': pr} END, CASE WHEN task = 'reference_effect' THEN {'f': 'observation_reference_id', 'v': obr} END,
-CASE WHEN storage_encoding <> (CASE WHEN output_kind = 'state' THEN 'state' ELSE 'effect' END) THEN {'f': 'storage_baseline_id', 'v': sb} END, CASE WHEN task <> 'reference_effect' AND output_kind <> 'state' THEN {'f': 'native_state_baseline_id', 'v': nb} END] AS x FROM b)
-SELECT contract_id, array_to_string([y.f FOR y IN x IF y IS NOT NULL], ',') AS active, array_to_string([y.f FOR y IN x IF y IS NOT NULL AND y.v IS NULL], ',') AS missing FROM n""")
+@query("contract_validation", _CT + "SELECT contract_id, active, missing, violations, violations = '' AS valid FROM b")
 def _(spark, d):
-    return ct.active_roles(_contracts(spark, d, 0)).select("contract_id", F.array_join("active", ",").alias("active"), F.array_join("missing", ",").alias("missing"))
-
-
-@query("reference_action_plan", _CT + """, x AS (SELECT a.*, a.task = 'reference_effect' AS eff, a.output_kind = 'state' AS st, a.input_conditioned AND a.mi IS DISTINCT FROM b.mi AS reload, a.task = 'reference_effect' AND a.output_kind = 'state' AND a.pr IS DISTINCT FROM b.pr AS cp, a.task = 'reference_effect' AND a.obr IS DISTINCT FROM b.obr AS co,
-a.task <> 'reference_effect' AND a.output_kind <> 'state' AND a.nb IS DISTINCT FROM b.nb AS lift, a.storage_encoding <> (CASE WHEN a.output_kind = 'state' THEN 'state' ELSE 'effect' END) AND a.sb IS DISTINCT FROM b.sb AS storage_baseline_changed FROM a JOIN b USING (contract_id))
-SELECT contract_id, true AS plannable, CASE WHEN reload THEN 'load_or_generate_for_new_input' ELSE 'reuse' END AS prediction_action, CASE WHEN NOT eff THEN 'unused' WHEN NOT st AND reload THEN 'select_new_native_effect_without_centring' WHEN st AND (cp OR reload) THEN 'recentre' ELSE 'preserve' END AS prediction_effect_action,
-CASE WHEN co THEN 'rebuild' ELSE 'preserve' END AS observed_target_action, CASE WHEN co THEN 'new_observed_realization' WHEN cp THEN 'new_prediction_effect' WHEN lift THEN 'new_prediction_state' ELSE 'same_declared_quantity' END AS comparison_scope,
-reload OR cp OR co OR lift AS score_recompute, cp OR lift AS prediction_definition_changed, false AS storage_encoding_changed, storage_baseline_changed FROM x""")
+    text = [F.array_join(c, ",").alias(c) for c in ("active", "missing", "violations")]
+    return ct.active_roles(_contracts(spark, d, 0)).select("contract_id", *text, "valid")
+
+
+_CHANGED = {c: f"a.{c} IS DISTINCT FROM b.{c}" for c in ct.FIELDS}
+_FLAGS = """task_type_changed AS requires_task_declaration, prediction_reference_changed OR observation_reference_changed AS requires_reference_record_update, definition AS requires_prediction_definition_update, model_input_changed OR definition OR observation_reference_changed AS requires_score_recompute,
+task_type_changed, model_input_changed, prediction_reference_changed, observation_reference_changed, native_state_baseline_changed, definition AS prediction_definition_changed, task_type_changed OR observation_reference_changed AS observed_realization_changed, storage_encoding_changed, storage_baseline_changed, changed_fields"""
+
+
+@query("reference_action_plan", _CT + f""", x AS (SELECT contract_id, CASE WHEN b.violations <> '' THEN 'invalid_contract_before' WHEN a.violations <> '' THEN 'invalid_contract_after' WHEN {_CHANGED['output_kind']} THEN 'output_kind_changed' WHEN {_CHANGED['input_conditioned']} THEN 'input_conditioned_changed' END AS reason,
+a.task = 'reference_effect' AS eff, a.output_kind = 'state' AS st, {_CHANGED['task']} AS task_type_changed, a.input_conditioned AND {_CHANGED['model_input_id']} AS model_input_changed, a.task = 'reference_effect' AND a.output_kind = 'state' AND {_CHANGED['prediction_reference_id']} AS prediction_reference_changed,
+a.task = 'reference_effect' AND {_CHANGED['observation_reference_id']} AS observation_reference_changed, a.task <> 'reference_effect' AND a.output_kind <> 'state' AND {_CHANGED['native_state_baseline_id']} AS native_state_baseline_changed, {_CHANGED['storage_encoding']} AS storage_encoding_changed,
+(a.storage_encoding <> (CASE WHEN a.output_kind = 'state' THEN 'state' ELSE 'effect' END) OR b.storage_encoding <> (CASE WHEN b.output_kind = 'state' THEN 'state' ELSE 'effect' END)) AND {_CHANGED['storage_baseline_id']} AS storage_baseline_changed,
+{_joined([f"CASE WHEN {x} THEN '{c}' END" for c, x in _CHANGED.items()])} AS changed_fields FROM a JOIN b USING (contract_id)),
+y AS (SELECT *, task_type_changed OR prediction_reference_changed OR native_state_baseline_changed AS definition FROM x),
+z AS (SELECT contract_id, CASE WHEN model_input_changed THEN 'load_or_generate_for_new_input' ELSE 'reuse' END AS prediction_action,
+CASE WHEN NOT eff THEN 'unused' WHEN NOT st AND model_input_changed THEN 'select_new_native_effect_without_centring' WHEN st AND (task_type_changed OR prediction_reference_changed OR model_input_changed) THEN 'recentre' ELSE 'preserve' END AS prediction_effect_action,
+CASE WHEN task_type_changed OR observation_reference_changed THEN 'rebuild' ELSE 'preserve' END AS observed_target_action,
+CASE WHEN task_type_changed THEN 'new_task' WHEN observation_reference_changed THEN 'new_observed_realization' WHEN prediction_reference_changed THEN 'new_prediction_effect' WHEN native_state_baseline_changed THEN 'new_prediction_state' ELSE 'same_declared_quantity' END AS comparison_scope, {_FLAGS} FROM y WHERE reason IS NULL)
+SELECT x.contract_id, reason IS NULL AS plannable, reason, z.* EXCLUDE (contract_id) FROM x LEFT JOIN z USING (contract_id)""")
 def _(spark, d):
     return ct.action_plan(_contracts(spark, d, 0), _contracts(spark, d, 1), "contract_id")
 

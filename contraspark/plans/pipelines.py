@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from contraspark.operators import comparison as cm
 from contraspark.operators import inference as inf
 from contraspark.operators import organizer as og
+from contraspark.operators import publication as pu
 from contraspark.operators import quality as dq
 from contraspark.operators import reporting as rp
 from contraspark.operators import scoring as sc
-from contraspark.plans import base, decisions, reports, role_scores
+from contraspark.operators.prefix import running
+from contraspark.plans import base, decisions, extended, reports, role_scores
 from contraspark.plans import domain as dm
 from contraspark.plans.domain import with_
 from contraspark.plans.registry import query
@@ -97,33 +99,40 @@ def organizer_check(spark, d):
 # ---- reporting rules, design audit, selection ----------------------------------------------------
 
 
-@query("pipeline_reporting_rules", with_("util_whole") + decisions._UM + reports._PC + reports._IV + f""", o AS (SELECT allocation_id, CASE WHEN direction = 'hold' THEN 'hold' ELSE {reports._OUT} END AS outcome FROM dj),
-c AS (SELECT allocation_id, count(*) FILTER (outcome = 'supported') AS supported, count(*) FILTER (outcome = 'reversed') AS reversed, count(*) FILTER (outcome = 'unresolved') AS unresolved FROM o GROUP BY ALL),
-b AS (SELECT allocation_id, count(*) FILTER ((direction = 'a' AND upper < 0) OR (direction = 'b' AND lower > 0)) AS least, count(*) FILTER ((direction = 'a' AND lower < 0) OR (direction = 'b' AND upper > 0)) AS most, count(*) AS n FROM dj GROUP BY ALL)
-SELECT * FROM c JOIN b USING (allocation_id)""")
-def reporting_rules(spark, d):
-    """Candidates of all pairs, their directions held against later intervals, and the bounds of the share of reversed ones."""
-    with dm.whole_tables():
-        directions, intervals = reports._directions(spark, d)
-    directions, intervals = dm.kept(directions, "directions"), dm.kept(intervals, "intervals")
-    outcome = rp.classify_directions(directions, intervals, ["model_a", "model_b"])
-    of = lambda x: F.count_if(F.col("outcome") == x).alias(x)
-    counts = outcome.groupBy("allocation_id").agg(of("supported"), of("reversed"), of("unresolved"))
-    return counts.join(rp.reversal_bounds(directions, intervals, ["model_a", "model_b"], ["allocation_id"]), "allocation_id")
-
-
-_AUDIT = decisions.U.replace(dm.SQL["util"], dm.SQL["util_whole"])
+_PLAN = """, b AS (SELECT rule, block, count(*) AS rows FROM tb GROUP BY ALL), c AS (SELECT rule, (sum(rows) OVER (PARTITION BY rule ORDER BY block ROWS UNBOUNDED PRECEDING))::BIGINT AS count FROM b),
+g AS (SELECT max(count) FILTER (count <= 0.5 * (SELECT count(*) FROM wh)) AS published FROM (SELECT count FROM c GROUP BY count HAVING count(DISTINCT rule) = 5)),
+o AS (SELECT rule, model_a, model_b, row_number() OVER (PARTITION BY rule ORDER BY score DESC, model_a, model_b) AS k FROM eg),
+dp AS (SELECT pd.rule, model_a, model_b, CASE WHEN k <= published THEN direction ELSE 'hold' END AS direction, lower, upper FROM pd LEFT JOIN o USING (rule, model_a, model_b) LEFT JOIN iv USING (model_a, model_b), g WHERE pd.rule <> 'cross_fitting_first_partition')
+"""
 
 
-@query("pipeline_design_audit", _AUDIT + """, m AS (SELECT DISTINCT method_id FROM util), a AS (SELECT DISTINCT allocation_id FROM util), u AS (SELECT allocation_id, method_id, count(DISTINCT unit_id) AS units FROM util GROUP BY ALL)
+@query("pipeline_reporting_rules", reports._PUB + ", " + reports._IV.rstrip() + reports._TB + _PLAN + f""", x AS (SELECT rule, direction, lower, upper, {reports._OUT} AS outcome FROM dp)
+SELECT rule, count(*) FILTER (outcome <> 'hold') AS published, count(*) FILTER (outcome <> 'hold') / count(*) AS coverage, count(*) FILTER (outcome = 'supported') AS supported, count(*) FILTER (outcome = 'reversed') AS reversed, count(*) FILTER (outcome = 'unresolved') AS unresolved,
+CASE WHEN count(*) FILTER (outcome <> 'hold') > 0 THEN count(*) FILTER (outcome = 'reversed') / count(*) FILTER (outcome <> 'hold') END AS reversal_share, {reports._BOUNDS} FROM x GROUP BY rule""", ("coverage", "reversal_share"))
+def reporting_rules(spark, d):
+    """Calibration, candidates of the five rules, the coverage that all can attain, and each rule's publications at it held against later intervals."""
+    models = ["model_a", "model_b"]
+    m = F.broadcast(extended.common_counts(spark, d).where("primary").agg(F.max("count").alias("m")))  # one row
+    ranked = running(reports._eligible(spark, d), ["rule"], [F.desc("score"), *models], rank="k").select("rule", *models, "k")
+    c = reports._candidates(spark, d).where(F.col("rule") != pu.COMPANION).join(ranked, ["rule", *models], "left").crossJoin(m)
+    directions = dm.kept(c.select("rule", *models, F.when(F.col("k") <= F.col("m"), F.col("direction")).otherwise("hold").alias("direction")), "directions")
+    intervals = dm.kept(reports._intervals(spark, d), "intervals")
+    of = lambda x: F.count_if(F.col("outcome") == x)
+    n = F.count_if(F.col("outcome") != "hold")
+    counts = rp.classify_directions(directions, intervals, models).groupBy("rule").agg(
+        n.alias("published"), (n / F.count("*")).alias("coverage"), of("supported").alias("supported"), of("reversed").alias("reversed"), of("unresolved").alias("unresolved"), F.when(n > 0, of("reversed") / n).alias("reversal_share"),
+    )
+    return counts.join(rp.reversal_bounds(directions, intervals, models, ["rule"]), "rule")
+
+
+@query("pipeline_design_audit", decisions.U + """, m AS (SELECT DISTINCT method_id FROM util), a AS (SELECT DISTINCT allocation_id FROM util), u AS (SELECT allocation_id, method_id, count(DISTINCT unit_id) AS units FROM util GROUP BY ALL)
 SELECT a.allocation_id, x.method_id AS source, y.method_id AS target, least(coalesce(ux.units, 0), coalesce(uy.units, 0)) AS units, coalesce(h.k, 0) AS k, round(h.adjusted, 6) AS adjusted,
 CASE WHEN h.k IS NULL OR h.k < ceil(log2(h.m / 0.05) - 1e-12) THEN 'WITHHELD' WHEN h.adjusted <= 0.05 THEN 'DIRECTION' ELSE 'NO_DIRECTION' END AS decision
 FROM a, m x, m y LEFT JOIN u ux ON ux.allocation_id = a.allocation_id AND ux.method_id = x.method_id LEFT JOIN u uy ON uy.allocation_id = a.allocation_id AND uy.method_id = y.method_id
 LEFT JOIN hm h ON h.allocation_id = a.allocation_id AND h.source = x.method_id AND h.target = y.method_id WHERE x.method_id <> y.method_id""", ("adjusted",))
 def design_audit(spark, d):
     """The plan of all ordered pairs, the units that bear on each, exact sign tails, Holm's adjustment and the decision; pairs without data are withheld."""
-    with dm.whole_tables():
-        u = dm.kept(dm.utilities(spark, d), "utilities")
+    u = dm.utilities(spark, d)
     tails = inf.sign_tails(inf.sign_counts(u)).withColumn("p", F.round("p", 10))
     decided = inf.directional(inf.holm(tails, ["allocation_id"], "p", ["source", "target"]), 0.05, ["allocation_id"])
     units = u.groupBy("allocation_id", "method_id").agg(F.count_distinct("unit_id").alias("units"))

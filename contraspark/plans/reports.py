@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from contraspark.operators import comparison as cm
 from contraspark.operators import inference as inf
 from contraspark.operators import organizer as og
+from contraspark.operators import publication as pu
 from contraspark.operators import quality
 from contraspark.operators import reporting as rp
 from contraspark.operators import scoring as sc
+from contraspark.operators.prefix import running
 from contraspark.plans import domain as dm
 from contraspark.plans.decisions import _BASE, _UM, _um
 from contraspark.plans.domain import with_
-from contraspark.plans.registry import query, table
+from contraspark.plans.registry import once, query, table
 from contraspark.sources.storage import work_path
 from contraspark.streaming import pseudobulk as pb
+from contraspark.streaming.windows import drain, read_stream, sessions, tumbling
 
 
 @query("calibration_penalty", _BASE + "SELECT budget, model_a, model_b, max(shift) AS penalty FROM sh WHERE unit::INT < 3 GROUP BY ALL", ("penalty",))
@@ -23,65 +27,125 @@ def _(spark, d):
     return og.shifts(dm.development(spark, d)).where("int(unit) < 3").groupBy(*og.PAIR).agg(F.max("shift").alias("penalty"))
 
 
-_PAIRS = ["allocation_id", "model_a", "model_b"]
-_PC = """, pc AS (SELECT allocation_id, model_a, model_b, avg(margin) AS estimate, CASE WHEN avg(margin) > 0 THEN 'a' WHEN avg(margin) < 0 THEN 'b' ELSE 'hold' END AS direction, list_sort(list(margin)) AS up, list_sort(list(-margin)) AS down, count(*) AS n FROM um GROUP BY ALL),
-pd AS (SELECT allocation_id, model_a, model_b, estimate, direction, CASE WHEN direction = 'a' THEN up[floor((n - 1) * 0.05)::INT + 1] ELSE down[floor((n - 1) * 0.05)::INT + 1] END AS lower FROM pc)\n"""
+#: The panel of the reporting rules: units are supplier nations, allocations line numbers modulo four (0 the anchor), methods brands.
+#: A brand's losses grow with its number, so that rules have something to find.
+#: Nations divisible by five calibrate, the others publish; the rules' companion of cross-fitting stands beside them.
+_PUB = """WITH pn AS (SELECT s_nationkey AS unit_id, l_linenumber % 4 AS allocation, p_brand AS method_id, avg(l_quantity::DOUBLE) * (1 + p_brand[7:]::INT / 20) AS utility
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2, 3),
+pm AS (SELECT a.unit_id, a.allocation, a.method_id AS model_a, b.method_id AS model_b, b.utility - a.utility AS margin FROM pn a JOIN pn b ON a.unit_id = b.unit_id AND a.allocation = b.allocation AND a.method_id < b.method_id),
+cu AS (SELECT unit_id, model_a, model_b, max(margin) FILTER (allocation = 0) AS a, max(margin) AS hi, min(margin) AS lo FROM pm WHERE unit_id % 5 = 0 GROUP BY ALL),
+pe AS (SELECT model_a, model_b, CASE WHEN NOT bool_or(a IS NULL) THEN max(greatest(hi - a, a - lo)) END AS penalty FROM cu GROUP BY ALL),
+pb AS (SELECT * FROM pm WHERE unit_id % 5 <> 0),
+pu AS (SELECT model_a, model_b, unit_id, count(*) AS n, count(DISTINCT allocation) AS na, avg(margin) AS mean, avg(margin) FILTER (allocation = 0) AS at0, avg(margin) FILTER (allocation < 2) AS first FROM pb GROUP BY ALL),
+sp AS (SELECT count(DISTINCT unit_id) AS nu, count(DISTINCT allocation) AS al FROM pb),
+w0 AS (SELECT model_a, model_b, count(*) = any_value(nu) AND sum(n) = any_value(nu * al) AND min(na) = any_value(al) AS ok, avg(mean) AS mean, avg(at0) AS at0, avg(first) AS first FROM pu, sp GROUP BY model_a, model_b),
+wh AS (SELECT model_a, model_b, CASE WHEN ok THEN mean END AS mean, CASE WHEN ok THEN at0 END AS at0, CASE WHEN ok THEN first END AS first FROM w0),
+po AS (SELECT model_a, model_b, allocation AS r, avg(margin) AS v FROM pb GROUP BY ALL),
+ur AS (SELECT unit_id, row_number() OVER (ORDER BY unit_id) - 1 AS u FROM (SELECT DISTINCT unit_id FROM pb)),
+dr AS (SELECT rep, (('0x' || md5('p1|' || rep || '|' || slot)[1:8])::BIGINT % (SELECT count(*) FROM ur)) AS u FROM (SELECT u AS slot FROM ur), (SELECT unnest(range(200)) AS rep)),
+bo AS (SELECT model_a, model_b, rep AS r, avg(mean) AS v FROM dr JOIN ur USING (u) JOIN pu USING (unit_id) GROUP BY ALL),
+sg AS (SELECT *, CASE WHEN mean > 1e-12 THEN 1 WHEN mean < -1e-12 THEN -1 ELSE 0 END AS d FROM wh WHERE mean IS NOT NULL),
+el AS (SELECT model_a, model_b, (SELECT min(d * v) FROM po WHERE po.model_a = sg.model_a AND po.model_b = sg.model_b) AS split FROM sg),
+eb AS (SELECT model_a, model_b, x AS boot FROM (SELECT model_a, model_b, d * v AS x, row_number() OVER (PARTITION BY model_a, model_b ORDER BY d * v, r) AS k FROM bo JOIN sg USING (model_a, model_b)) WHERE k = floor(199 * 0.05) + 1),
+rw AS (SELECT model_a, model_b, unnest(['score_margin', 'repeated_splitting', 'cross_fitting', 'unit_resampling', 'calibrated_margin', 'cross_fitting_first_partition']) AS rule, unnest([at0, mean, mean, mean, at0, first]) AS estimate,
+  unnest([abs(at0), split, abs(mean), boot, abs(at0) - penalty, abs(first)]) AS score0 FROM wh LEFT JOIN el USING (model_a, model_b) LEFT JOIN eb USING (model_a, model_b) LEFT JOIN pe USING (model_a, model_b)),
+rs AS (SELECT rule, model_a, model_b, estimate, CASE WHEN estimate IS NOT NULL THEN score0 END AS score, CASE WHEN estimate > 1e-12 THEN 'a' WHEN estimate < -1e-12 THEN 'b' WHEN estimate IS NOT NULL THEN 'hold' END AS direction FROM rw),
+pd AS (SELECT rule, model_a, model_b, estimate, direction, score, CASE WHEN estimate IS NULL THEN 'incomplete_panel' WHEN direction = 'hold' THEN 'direction_tie' WHEN score IS NULL THEN 'no_calibration'
+  WHEN rule = 'cross_fitting_first_partition' OR score > 1e-12 THEN 'eligible' ELSE 'score_below_floor' END AS reason FROM rs)
+"""
+_MODELS = ["model_a", "model_b"]
+#: Scores closer than this share a block.
+_TIE = 0.02
+
+
+def _panel(spark, d):
+    j = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber", "l_quantity").join(table(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    j = j.join(table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    u = j.groupBy(F.col("s_nationkey").alias("unit_id"), (F.col("l_linenumber") % 4).alias("allocation"), F.col("p_brand").alias("method_id")).agg(F.avg(F.col("l_quantity").cast("double")).alias("utility"))
+    u = u.withColumn("utility", F.col("utility") * (1 + F.substring("method_id", 7, 2).cast("int") / 20))
+    return dm.kept(cm.margins(u, ["unit_id", "allocation"], "method_id", "utility"), "panel")
 
 
 def _candidates(spark, d):
-    m = _um(spark, d).withColumn("down", -F.col("margin"))
-    g = m.groupBy(*_PAIRS).agg(F.avg("margin").alias("estimate"), rp.lower_quantile("margin", 0.05).alias("u"), rp.lower_quantile("down", 0.05).alias("w"))
-    direction = F.when(F.col("estimate") > 0, "a").when(F.col("estimate") < 0, "b").otherwise("hold")
-    return g.withColumn("direction", direction).select(*_PAIRS, "estimate", "direction", F.when(F.col("direction") == "a", F.col("u")).otherwise(F.col("w")).alias("lower"))
+    """All rules on the panel, made once for a query."""
 
+    def make():
+        m = _panel(spark, d)
+        penalty = pu.calibration_penalty(m.where("unit_id % 5 = 0"), _MODELS, "unit_id", "allocation", 0, "margin")
+        return dm.kept(pu.publication_candidates(m.where("unit_id % 5 <> 0"), penalty, _MODELS, "unit_id", "allocation", "margin"), "candidates")
 
-@query("publication_candidates", with_("util") + _UM + _PC + "SELECT * FROM pd", ("estimate", "lower"))
+    return once(("candidates", d), make)
+
+
+@query("publication_candidates", _PUB + "SELECT *, reason = 'eligible' AS eligible FROM pd", ("estimate", "score"))
 def _(spark, d):
     return _candidates(spark, d)
 
 
-_TB = ", tb AS (SELECT *, sum(new) OVER (PARTITION BY allocation_id ORDER BY s DESC, model_a, model_b ROWS UNBOUNDED PRECEDING) AS block FROM (SELECT allocation_id, model_a, model_b, abs(estimate) AS s, CASE WHEN lag(abs(estimate)) OVER w - abs(estimate) <= 0.3 THEN 0 ELSE 1 END AS new FROM pd WINDOW w AS (PARTITION BY allocation_id ORDER BY abs(estimate) DESC, model_a, model_b)))\n"
+_ELIGIBLE = ", eg AS (SELECT * FROM pd WHERE reason = 'eligible' AND rule <> 'cross_fitting_first_partition')\n"
+_TB = _ELIGIBLE[:-1] + """, tb AS (SELECT *, sum(new) OVER (PARTITION BY rule ORDER BY score DESC, model_a, model_b ROWS UNBOUNDED PRECEDING) AS block
+  FROM (SELECT rule, model_a, model_b, score, CASE WHEN lag(score) OVER w - score <= 0.02 THEN 0 ELSE 1 END AS new FROM eg WINDOW w AS (PARTITION BY rule ORDER BY score DESC, model_a, model_b)))
+"""
+
+
+def _eligible(spark, d):
+    return _candidates(spark, d).where(F.col("eligible") & (F.col("rule") != pu.COMPANION))
+
 
+def _blocks(spark, d):
+    return once(("blocks", d), lambda: dm.kept(rp.tie_blocks(_eligible(spark, d), ["rule"], "score", _MODELS, _TIE), "blocks"))
 
-@query("score_tie_blocks", with_("util") + _UM + _PC + _TB + """, b AS (SELECT allocation_id, block, count(*) AS rows, max(s) AS top, min(s) AS bottom FROM tb GROUP BY ALL) SELECT allocation_id, block::BIGINT AS block, rows, top, bottom, (sum(rows) OVER (PARTITION BY allocation_id ORDER BY block ROWS UNBOUNDED PRECEDING))::BIGINT AS count FROM b""", ("top", "bottom"))
+
+@query("score_tie_blocks", _PUB + _TB + ", b AS (SELECT rule, block, count(*) AS rows, max(score) AS top, min(score) AS bottom FROM tb GROUP BY ALL) SELECT rule, block::BIGINT AS block, rows, top, bottom, (sum(rows) OVER (PARTITION BY rule ORDER BY block ROWS UNBOUNDED PRECEDING))::BIGINT AS count FROM b", ("top", "bottom"))
 def _(spark, d):
-    return rp.tie_blocks(_candidates(spark, d).withColumn("s", F.abs("estimate")), ["allocation_id"], "s", ["model_a", "model_b"], 0.3)
+    return _blocks(spark, d)
 
 
-@query("threshold_intervals", with_("util") + _UM + _PC + "SELECT allocation_id, k, min(s) FILTER (r <= k) AS lower, max(s) FILTER (r > k) AS upper FROM (SELECT allocation_id, abs(estimate) AS s, row_number() OVER (PARTITION BY allocation_id ORDER BY abs(estimate) DESC, model_a, model_b) AS r FROM pd), (SELECT unnest([2, 5, 10]) AS k) GROUP BY ALL", ("lower", "upper"))
+@query("threshold_intervals", _PUB + _ELIGIBLE + "SELECT rule, k, min(score) FILTER (r <= k) AS lower, max(score) FILTER (r > k) AS upper FROM (SELECT rule, score, row_number() OVER (PARTITION BY rule ORDER BY score DESC, model_a, model_b) AS r FROM eg), (SELECT unnest([2, 5, 10, 100]) AS k) GROUP BY ALL", ("lower", "upper"))
 def _(spark, d):
-    c = _candidates(spark, d).withColumn("s", F.abs("estimate"))
-    r = F.row_number().over(Window.partitionBy("allocation_id").orderBy(F.desc("s"), "model_a", "model_b"))
-    x = c.withColumn("r", r).withColumn("k", F.explode(F.array(F.lit(2), F.lit(5), F.lit(10))))
-    return x.groupBy("allocation_id", "k").agg(F.min(F.when(F.col("r") <= F.col("k"), F.col("s"))).alias("lower"), F.max(F.when(F.col("r") > F.col("k"), F.col("s"))).alias("upper"))
+    x = running(_eligible(spark, d), ["rule"], [F.desc("score"), *_MODELS], rank="r").withColumn("k", F.explode(F.array(*[F.lit(i) for i in (2, 5, 10, 100)])))
+    return x.groupBy("rule", "k").agg(F.min(F.when(F.col("r") <= F.col("k"), F.col("score"))).alias("lower"), F.max(F.when(F.col("r") > F.col("k"), F.col("score"))).alias("upper"))
+
+
+#: Later intervals: one error around the mean on the lines that were not returned or sent back; directions that are not eligible are held.
+_IV = with_("util")[5:-1] + """, um AS (SELECT a.allocation_id, a.unit_id, a.method_id AS model_a, b.method_id AS model_b, b.utility - a.utility AS margin FROM util a JOIN util b ON a.allocation_id = b.allocation_id AND a.unit_id = b.unit_id AND a.method_id < b.method_id),
+iv AS (SELECT model_a, model_b, avg(margin) - 1.0 * stddev_samp(margin) / sqrt(count(*)) AS lower, avg(margin) + 1.0 * stddev_samp(margin) / sqrt(count(*)) AS upper FROM um WHERE allocation_id = 'N' GROUP BY ALL),
+dj AS (SELECT rule, model_a, model_b, CASE WHEN reason = 'eligible' THEN direction ELSE 'hold' END AS direction, lower, upper FROM pd LEFT JOIN iv USING (model_a, model_b) WHERE rule <> 'cross_fitting_first_partition')
+"""
+_DJ = _PUB + ", " + _IV
 
 
-_IV = ", iv AS (SELECT model_a, model_b, avg(margin) - 1.0 * stddev_samp(margin) / sqrt(count(*)) AS lower, avg(margin) + 1.0 * stddev_samp(margin) / sqrt(count(*)) AS upper FROM um WHERE allocation_id = 'N' GROUP BY ALL), dj AS (SELECT allocation_id, model_a, model_b, direction, lower, upper FROM (SELECT allocation_id, model_a, model_b, direction FROM pd) JOIN iv USING (model_a, model_b))\n"
+def _intervals(spark, d):
+    return inf.t_intervals(_um(spark, d).where("allocation_id = 'N'"), _MODELS, "margin", quantile=1.0).select(*_MODELS, "lower", "upper")
 
 
 def _directions(spark, d):
-    iv = inf.t_intervals(_um(spark, d).where("allocation_id = 'N'"), ["model_a", "model_b"], "margin", 1.0).select("model_a", "model_b", "lower", "upper")
-    return _candidates(spark, d).select(*_PAIRS, "direction"), iv
+    """Reported directions of all rules, and the intervals that judge them."""
+    c = _candidates(spark, d).where(F.col("rule") != pu.COMPANION)
+    return c.select("rule", *_MODELS, F.when(F.col("eligible"), F.col("direction")).otherwise("hold").alias("direction")), _intervals(spark, d)
 
 
-@query("classify_directions", with_("util") + _UM + _PC + _IV + "SELECT allocation_id, model_a, model_b, direction, CASE WHEN direction = 'hold' THEN 'hold' WHEN CASE WHEN direction = 'a' THEN lower ELSE -upper END > 0 THEN 'supported' WHEN CASE WHEN direction = 'a' THEN upper ELSE -lower END < 0 THEN 'reversed' ELSE 'unresolved' END AS outcome FROM dj")
-def _(spark, d):
-    return rp.classify_directions(*_directions(spark, d), ["model_a", "model_b"]).select(*_PAIRS, "direction", "outcome")
+_OUT = "CASE WHEN direction = 'hold' THEN 'hold' WHEN CASE WHEN direction = 'a' THEN lower ELSE -upper END > 0 THEN 'supported' WHEN CASE WHEN direction = 'a' THEN upper ELSE -lower END < 0 THEN 'reversed' ELSE 'unresolved' END"
 
 
-_OUT = "CASE WHEN CASE WHEN direction = 'a' THEN lower ELSE -upper END > 0 THEN 'supported' WHEN CASE WHEN direction = 'a' THEN upper ELSE -lower END < 0 THEN 'reversed' ELSE 'unresolved' END"
+@query("classify_directions", _DJ + f"SELECT rule, model_a, model_b, direction, {_OUT} AS outcome FROM dj")
+def _(spark, d):
+    return rp.classify_directions(*_directions(spark, d), _MODELS).select("rule", *_MODELS, "direction", "outcome")
 
 
-@query("rule_delta_counts", with_("util") + _UM + _PC + _IV + f", c AS (SELECT allocation_id, count(*) FILTER (o = 'reversed') AS rev, count(*) FILTER (o = 'unresolved') AS unr FROM (SELECT allocation_id, {_OUT} AS o FROM dj) GROUP BY ALL) SELECT x.allocation_id AS rule_a, y.allocation_id AS rule_b, y.rev - x.rev AS reversed, y.unr - x.unr AS unresolved FROM c x JOIN c y ON x.allocation_id < y.allocation_id")
+@query("rule_delta_counts", _DJ + f", c AS (SELECT rule, count(*) FILTER (o = 'reversed') AS rev, count(*) FILTER (o = 'unresolved') AS unr FROM (SELECT rule, {_OUT} AS o FROM dj) GROUP BY ALL) SELECT x.rule AS rule_a, y.rule AS rule_b, y.rev - x.rev AS reversed, y.unr - x.unr AS unresolved FROM c x JOIN c y ON x.rule < y.rule")
 def _(spark, d):
-    c = rp.classify_directions(*_directions(spark, d), ["model_a", "model_b"]).groupBy("allocation_id").agg(F.count_if(F.col("outcome") == "reversed").alias("rev"), F.count_if(F.col("outcome") == "unresolved").alias("unr"))
+    c = rp.classify_directions(*_directions(spark, d), _MODELS).groupBy("rule").agg(F.count_if(F.col("outcome") == "reversed").alias("rev"), F.count_if(F.col("outcome") == "unresolved").alias("unr"))
     x, y = c.alias("x"), c.alias("y")
-    return x.join(y, F.col("x.allocation_id") < F.col("y.allocation_id")).select(F.col("x.allocation_id").alias("rule_a"), F.col("y.allocation_id").alias("rule_b"), (F.col("y.rev") - F.col("x.rev")).alias("reversed"), (F.col("y.unr") - F.col("x.unr")).alias("unresolved"))
+    return x.join(y, F.col("x.rule") < F.col("y.rule")).select(F.col("x.rule").alias("rule_a"), F.col("y.rule").alias("rule_b"), (F.col("y.rev") - F.col("x.rev")).alias("reversed"), (F.col("y.unr") - F.col("x.unr")).alias("unresolved"))
 
 
-@query("panel_risk_bounds", with_("util") + _UM + _PC + _IV + "SELECT allocation_id, count(*) FILTER ((direction = 'a' AND upper < 0) OR (direction = 'b' AND lower > 0)) AS least, count(*) FILTER ((direction = 'a' AND lower < 0) OR (direction = 'b' AND upper > 0)) AS most, count(*) AS n FROM dj GROUP BY ALL")
+_BOUNDS = "count(*) FILTER ((direction = 'a' AND coalesce(upper, 'inf'::DOUBLE) < 0) OR (direction = 'b' AND coalesce(lower, '-inf'::DOUBLE) > 0)) AS least, count(*) FILTER ((direction = 'a' AND coalesce(lower, '-inf'::DOUBLE) < 0) OR (direction = 'b' AND coalesce(upper, 'inf'::DOUBLE) > 0)) AS most, count(*) AS n"
+
+
+@query("panel_risk_bounds", _DJ + f"SELECT rule, {_BOUNDS} FROM dj GROUP BY ALL")
 def _(spark, d):
-    return rp.reversal_bounds(*_directions(spark, d), ["model_a", "model_b"], ["allocation_id"])
+    return rp.reversal_bounds(*_directions(spark, d), _MODELS, ["rule"])
 
 
 @query("pool_exclusion_sensitivity", with_("util") + _UM + """, p AS (SELECT unnest(range(4))::INT AS pool), f AS (SELECT model_a, model_b, avg(margin) AS whole FROM um GROUP BY ALL)
@@ -229,12 +293,27 @@ def _(spark, d):
 
 @query("stream_pseudobulk", "SELECT user_id, event_type, sum(value) AS total, count(value) AS n FROM events GROUP BY ALL", ("total",))
 def _(spark, d):
-    events = table(spark, d, "events")
-    source = work_path(spark, "events")
-    events.write.parquet(source)
-    return pb.drain(spark, source, events.schema, pb.fold, work_path(spark, "stream-out"), work_path(spark, "stream-state"))
+    return pb.drain(spark, f"{d}/events.parquet", table(spark, d, "events").schema, pb.fold, work_path(spark, "stream-out"), work_path(spark, "stream-state"))
+
+
+_LATE = "(SELECT max(ts) - INTERVAL 1 DAY FROM events)"
+
+
+def _stream(spark, d, transform):
+    events = read_stream(spark, f"{d}/events.parquet", table(spark, d, "events").schema)
+    return drain(transform(events), work_path(spark, "stream-out"), work_path(spark, "stream-state")).table
+
+
+@query("stream_windows", f"""SELECT h AS start, h + INTERVAL 1 HOUR AS "end", event_type, sum(value) AS total, count(value) AS n, count(*) AS rows FROM (SELECT *, date_trunc('hour', ts) AS h FROM events WHERE ts IS NOT NULL) WHERE h + INTERVAL 1 HOUR <= {_LATE}
+GROUP BY h, event_type""", ("total",))
+def _(spark, d):
+    """Hourly sums by type from a stream with a watermark of a day: the windows that the watermark has closed."""
+    return _stream(spark, d, lambda events: tumbling(events, "event_type", "value"))
 
 
-@query("stream_windows", "SELECT date_trunc('hour', ts) AS start, event_type, sum(value) AS total, count(value) AS n FROM events GROUP BY ALL", ("total",))
+@query("stream_sessions", f"""WITH e AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM e)
+SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", user_id, sum(value) AS total, count(value) AS n, count(*) AS rows FROM s GROUP BY user_id, session HAVING max(ts) + INTERVAL 30 MINUTE <= {_LATE}""", ("total",))
 def _(spark, d):
-    return pb.windowed(table(spark, d, "events"))
+    """Sessions of users, half an hour apart, from the same stream."""
+    return _stream(spark, d, lambda events: sessions(events, "user_id", "value"))

@@ -24,6 +24,27 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders of the tables that ``keep`` wrote in this process.
+_kept: dict[str, SparkSession] = {}
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to shared storage and read back: what follows has no lineage to lose."""
+    path = work_path(df.sparkSession, name)
+    _kept[path] = df.sparkSession
+    return publish_once(df, path)
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Delete the tables that ``keep`` wrote, after the results that rest on them have been read. Returns their number."""
+    mine = [p for p, s in _kept.items() if s is spark]
+    for path in mine:
+        del _kept[path]
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(mine)
+
+
 def read_tsv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Rows of tab-separated files; a header or value that does not fit the schema fails."""
     return spark.read.csv(path, sep="\t", header=True, schema=schema, mode="FAILFAST", enforceSchema=False)

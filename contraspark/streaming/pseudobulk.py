@@ -5,23 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contraspark.streaming.windows import read_stream
+
 
 def fold(df: DataFrame, key: str = "user_id", gene: str = "event_type", value: str = "value") -> DataFrame:
     return df.groupBy(key, gene).agg(F.sum(value).alias("total"), F.count(value).alias("n"))
 
 
-def windowed(df: DataFrame, ts: str = "ts", gene: str = "event_type", value: str = "value", width: str = "1 hour", late: str = "1 day") -> DataFrame:
-    """Tumbling event-time windows; rows later than the watermark are dropped by a stream."""
-    w = df.withWatermark(ts, late) if df.isStreaming else df
-    return w.groupBy(F.window(ts, width).alias("w"), gene).agg(F.sum(value).alias("total"), F.count(value).alias("n")).select(F.col("w.start").alias("start"), gene, "total", "n")
-
-
 def drain(spark: SparkSession, source: str, schema, transform, sink: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over the files of ``source`` until all are read and return what it wrote to Parquet ``sink``."""
+    """Run a stream over the files at ``source`` until all are read and return what it wrote to Parquet ``sink``."""
 
     def put(batch: DataFrame, _: int) -> None:
         batch.write.mode("overwrite").parquet(sink)
 
-    stream = spark.readStream.schema(schema).parquet(source)
-    transform(stream).writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    transform(read_stream(spark, source, schema)).writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
     return spark.read.parquet(sink)

@@ -1,4 +1,11 @@
-"""From raw documents to packed training sequences: five stages, each on all that the one before kept."""
+"""From raw documents to packed training sequences: five stages, each on all that the one before kept.
+
+Defined cases: null texts count as empty; null ids are rows like others (of equal texts one with an id is
+kept before one without). Repeated rows are equal texts, so one stays. Ties: of equal texts the largest
+doc_id stays, of near copies the smallest, then the row that comes first by its other columns. Texts of
+any length are read as a whole. An empty table gives no sequences. Other columns, whatever their names, go
+through all stages but the last.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contraspark.llm import exact_dedup, jaccard_join, packing, substring_dedup, toxicity
-from contraspark.llm.common import free_name, materialise
+from contraspark.llm.common import clean_up, free_name, materialise, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,8 +68,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; each stage's result is written to shared storage and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages on ``documents``; each stage's result is written to shared storage and read again by the next.
+
+    Once a stage has been written, the tables that it and the stages before left are deleted.
+    """
+    docs, others = spark.read.parquet(f"{sf_dir}/documents.parquet"), written()
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        rows = stage(spark, docs, sf_dir)
+        before = written()
+        docs = materialise(rows, f"stage-{name}")
+        clean_up(spark, others | (written() - before))
     return STAGES[-1][1](spark, docs, sf_dir)
