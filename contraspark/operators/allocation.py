@@ -104,6 +104,19 @@ def rule_partitions(spark, budget: int) -> DataFrame:
     return df.select("rule", "direction", "role", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("row"))
 
 
+def partition_cells(cells: DataFrame, seed: str, share: float = 1.0) -> DataFrame:
+    """rule, direction, role, stratum, cell_id: the rules' plan over the cells of each stratum in hash order.
+
+    A stratum's budget is the largest multiple of four within ``share`` of its cells; the plan of four rows
+    stands for the budget's quarters, so it is the same at any budget.
+    """
+    placed = running(cells.select("cell_id", "stratum"), ["stratum"], [hash_rank(seed, F.lit("0"), "cell_id"), "cell_id"], rank="_r", total="_n")
+    quarter = F.floor(F.col("_n") * F.lit(share) / 4)
+    placed = placed.where(quarter > 0).withColumn("_q", F.floor((F.col("_r") - 1) / quarter)).where("_q < 4")
+    plan = F.broadcast(rule_partitions(cells.sparkSession, 4))  # some forty rows
+    return placed.join(plan, F.col("_q") == F.col("row")).select("rule", "direction", "role", "stratum", "cell_id")
+
+
 def rule_cost(partitions: DataFrame) -> DataFrame:
     """Input rows passed forward in all directions, unique ones (what a cache needs), all rows of the rule, and both ratios to these."""
     row = F.when(F.col("role") == "input", F.col("row"))
@@ -113,8 +126,16 @@ def rule_cost(partitions: DataFrame) -> DataFrame:
 
 
 def role_overlap(pools: DataFrame) -> DataFrame:
-    """Per scheme and rotation, whether two roles use the same blocks: 3 x 3."""
+    """Per scheme and rotation, whether two roles use the same blocks: 3 x 3, with the pattern of sharing.
+
+    Patterns: S all three roles share, M observation and prediction, P observation and input, O prediction
+    and input, D none.
+    """
     own = pools.groupBy("scheme", "rotation", "role").agg(F.array_join(F.array_sort(F.collect_set("block")), ",").alias("blocks"))
     a, b = own.alias("a"), own.alias("b")
     same = (F.col("a.blocks") == F.col("b.blocks")).alias("same")
-    return a.join(b, (F.col("a.scheme") == F.col("b.scheme")) & (F.col("a.rotation") == F.col("b.rotation"))).select("a.scheme", "a.rotation", F.col("a.role").alias("role_a"), F.col("b.role").alias("role_b"), same)
+    of = lambda role: F.max(F.when(F.col("role") == role, F.col("blocks")))
+    roles = own.groupBy("scheme", "rotation").agg(of("observation").alias("o"), of("prediction").alias("p"), of("input").alias("i"))
+    pattern = F.expr("CASE WHEN o = p AND p = i THEN 'S' WHEN o = p THEN 'M' WHEN o = i THEN 'P' WHEN p = i THEN 'O' ELSE 'D' END")
+    matrix = a.join(b, (F.col("a.scheme") == F.col("b.scheme")) & (F.col("a.rotation") == F.col("b.rotation"))).select("a.scheme", "a.rotation", F.col("a.role").alias("role_a"), F.col("b.role").alias("role_b"), same)
+    return matrix.join(roles.select("scheme", "rotation", pattern.alias("pattern")), ["scheme", "rotation"])

@@ -73,22 +73,45 @@ def directional(df: DataFrame, alpha: float, family: list[str]) -> DataFrame:
     return df.withColumn("least_k", least).withColumn("decision", decision).withColumn("reason", reason).drop("_m")
 
 
-def t_intervals(df: DataFrame, key: list[str], value: str, confidence: float = 0.95, family: list[str] | None = None, quantile: float | None = None) -> DataFrame:
+@lru_cache(256)
+def t_quantile(p: float, df: int) -> float:
+    """Student t quantile by bisection on the density's integral over the substituted angle (a scalar for the driver)."""
+    c = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi)
+
+    def cdf(t: float) -> float:
+        n, top = 2000, math.atan(t / math.sqrt(df))
+        h = top / n
+        f = lambda x: math.cos(x) ** (df - 1)
+        s = f(0) + f(top) + 4 * sum(f(h * i) for i in range(1, n, 2)) + 2 * sum(f(h * i) for i in range(2, n, 2))
+        return 0.5 + c * math.sqrt(df) * s * h / 3
+
+    lo, hi = 0.0, 1.0
+    while cdf(hi) < p:
+        hi *= 2
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if cdf(mid) < p else (lo, mid)
+    return (lo + hi) / 2
+
+
+def t_intervals(df: DataFrame, key: list[str], value: str, quantile: float | None = None, confidence: float = 0.95, family: list[str] | None = None) -> DataFrame:
     """mean +- t * sd / sqrt(n), with t of each row's n - 1 degrees; unassessable with a null value, one unit, or a zero error.
 
     With ``family`` the intervals of all keys that share these columns hold together (Bonferroni). ``quantile``
     takes the place of t.
     """
     g = df.groupBy(*key).agg(F.count("*").alias("n"), F.count(value).alias("filled"), F.avg(value).alias("mean"), (F.stddev_samp(value) / F.sqrt(F.count("*"))).alias("se"))
-    ok = (F.col("n") == F.col("filled")) & (F.col("n") > 1) & (F.col("se") > 0) & (F.col("se") < float("inf"))
     if quantile is not None:
         g = g.withColumn("_t", F.lit(quantile))
     else:
         members = F.lit(1) if family is None else F.count("*").over(Window.partitionBy(*family))
         g = with_t_quantile(g.withColumn("_d", F.col("n") - 1), 1 - (1 - confidence) / 2 / members, "_d", "_t")
-    half = F.col("_t") * F.col("se")
-    status = F.when(F.col("n") != F.col("filled"), "missing_unit").when(F.col("n") < 2, "insufficient_units").when(ok, "ok").otherwise("zero_or_nonfinite_error")
-    return g.select(*key, "n", F.when(F.col("n") == F.col("filled"), F.col("mean")).alias("mean"), F.when(F.col("n") == F.col("filled"), F.col("se")).alias("se"), F.when(ok, F.col("mean") - half).alias("lower"), F.when(ok, F.col("mean") + half).alias("upper"), status.alias("status"))
+    whole = F.col("n") == F.col("filled")
+    fine = F.coalesce((F.col("se") > 0) & (F.col("se") < float("inf")), F.lit(False))
+    reason = F.when(~whole, "missing_unit").when(F.col("n") < 2, "insufficient_units").when(~fine, "zero_or_nonfinite_error")
+    known = lambda c: F.when(whole, F.col(c)).alias(c)
+    bound = lambda sign: F.when(reason.isNull(), F.col("mean") + sign * F.col("_t") * F.col("se"))
+    return g.select(*key, "n", known("mean"), known("se"), bound(-1).alias("lower"), bound(1).alias("upper"), F.when(reason.isNull(), "ok").otherwise("unassessable").alias("status"), reason.alias("reason"))
 
 
 def hash_int(seed: str, *parts: Column) -> Column:

@@ -97,6 +97,18 @@ def policy_summary(assessed: DataFrame) -> DataFrame:
     return g.withColumn("coverage", F.col("n_released") / F.col("comparisons")).withColumn("unsupported_share", F.when(F.col("n_released") > 0, F.col("unsupported") / F.col("n_released")))
 
 
+def compare_policies(summary: DataFrame, policy: str = "geometry_scaled", base: str = "repeated_primary") -> DataFrame:
+    """budget, verdict: is a policy better than another, by unsupported releases (no more) and coverage (no less).
+
+    strict_gain: better in one of them; parity: equal in both; no_gain otherwise; insufficient_releases: the policy releases nothing.
+    """
+    of = lambda p, c: F.max(F.when(F.col("policy") == p, F.col(c)))
+    g = summary.groupBy("budget").agg(of(policy, "n_released").alias("n"), *[of(p, c).alias(f"{c}_{i}") for i, p in enumerate((policy, base)) for c in ("unsupported", "coverage")])
+    fewer, more = F.col("unsupported_0") < F.col("unsupported_1"), F.col("coverage_0") > F.col("coverage_1")
+    fine = (F.col("unsupported_0") <= F.col("unsupported_1")) & (F.col("coverage_0") >= F.col("coverage_1"))
+    return g.select("budget", F.when(F.col("n") == 0, "insufficient_releases").when(fine & (fewer | more), "strict_gain").when(fine, "parity").otherwise("no_gain").alias("verdict"))
+
+
 def budget_recommendation(decisions: DataFrame, models: int, order: list[str]) -> DataFrame:
     """Per case and policy: the first budget where one model is released as favoured against all others; held (nulls) without one."""
     won = decisions.where("released").groupBy("case_id", "policy", "budget", "favoured").agg(F.count("*").alias("wins")).where(F.col("wins") == models - 1)

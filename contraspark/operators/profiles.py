@@ -7,15 +7,21 @@ from pyspark.sql import functions as F
 
 
 def normalize_cp10k(counts: DataFrame) -> DataFrame:
-    """ln(1 + 10000 * count / total of the cell), the total over all genes of the cell; zero-total cells have no rows."""
+    """ln(1 + 10000 * count / total of the cell), the total over all genes of the cell. A cell whose counts are all zero is an error."""
     total = F.sum("cnt").over(Window.partitionBy("cell_id"))
-    return counts.withColumn("total", total).where("total > 0").select("cell_id", "gene", F.log1p(F.col("cnt") * 10000.0 / F.col("total")).alias("value"))
+    empty = F.raise_error(F.concat(F.lit("a cell without counts: "), F.col("cell_id").cast("string"))).cast("double")
+    value = F.when(F.col("total") > 0, F.log1p(F.col("cnt") * 10000.0 / F.col("total"))).otherwise(empty)
+    return counts.withColumn("total", total).select("cell_id", "gene", value.alias("value"))
 
 
 def gene_moments(values: DataFrame, n_cells: int) -> DataFrame:
-    """Mean and population variance of each gene over n_cells cells, implicit zeros included."""
-    m = values.groupBy("gene").agg((F.sum("value") / n_cells).alias("mean"), (F.sum(F.col("value") * F.col("value")) / n_cells).alias("m2"))
-    return m.select("gene", "mean", F.greatest(F.col("m2") - F.col("mean") * F.col("mean"), F.lit(0.0)).alias("variance"))
+    """Mean and population variance of each gene over n_cells cells, implicit zeros included.
+
+    The variance is put together from that of the values, and from the distances of their mean and of the zeros to the mean of all.
+    """
+    m = values.groupBy("gene").agg((F.sum("value") / n_cells).alias("mean"), F.avg("value").alias("own"), F.var_pop("value").alias("v"), F.count("value").alias("n"))
+    off, mean = F.col("own") - F.col("mean"), F.col("mean")
+    return m.select("gene", "mean", ((F.col("n") * (F.col("v") + off * off) + (n_cells - F.col("n")) * mean * mean) / n_cells).alias("variance"))
 
 
 def topk_variance(moments: DataFrame, k: int) -> DataFrame:

@@ -52,8 +52,12 @@ def anchor_equal(assessment: DataFrame, anchors: DataFrame, keys: list[str], val
     return anchors.join(a, keys, "left").where(~F.col(value).eqNullSafe(F.col("assessed"))).select(*keys, value, "assessed")
 
 
-def membership(members: DataFrame, cells: DataFrame) -> DataFrame:
-    """allocation, depth, block, stratum and reason: unknown cells, other strata, cells used twice, ranks with gaps."""
+def membership(members: DataFrame, cells: DataFrame, references: DataFrame | None = None, rtol: float = 1e-10) -> DataFrame:
+    """allocation, depth, block, stratum and reason: unknown cells, other strata, cells used twice, ranks with gaps.
+
+    With ``references`` (allocation, depth, block, profile) also blocks whose cells' mean profile is another, has another
+    length, or that one side alone has (reason means, without a stratum); ``cells`` then have profiles.
+    """
     key = ["allocation", "depth"]
     joined = members.join(cells.select("cell_id", F.col("stratum").alias("known")), "cell_id", "left")
     wrong = joined.where(~F.col("stratum").eqNullSafe(F.col("known"))).select(*key, "block", "stratum", F.lit("stratum").alias("reason"))
@@ -61,7 +65,16 @@ def membership(members: DataFrame, cells: DataFrame) -> DataFrame:
     twice = twice.where("n > 1").select(*key, "block", "stratum", F.lit("used twice").alias("reason"))
     ranks = members.groupBy(*key, "block", "stratum").agg(F.min("within_block_index").alias("lo"), F.max("within_block_index").alias("hi"), F.count_distinct("within_block_index").alias("n"))
     gaps = ranks.where((F.col("lo") != 0) | (F.col("hi") != F.col("depth") - 1) | (F.col("n") != F.col("depth"))).select(*key, "block", "stratum", F.lit("ranks").alias("reason"))
-    return wrong.union(twice).union(gaps)
+    out = wrong.union(twice).union(gaps)
+    if references is None:
+        return out
+    block = [*key, "block"]
+    long = members.join(cells.select("cell_id", "profile"), "cell_id").select(*block, F.posexplode("profile").alias("gene", "value"))
+    made = long.groupBy(*block, "gene").agg(F.avg("value").alias("made"))
+    given = references.select(*block, F.posexplode("profile").alias("gene", "given"))
+    far = F.coalesce(F.abs(F.col("made") - F.col("given")) > rtol * F.greatest(F.abs("made"), F.abs("given")), F.lit(True))
+    kind = members.schema["stratum"].dataType
+    return out.union(made.join(given, [*block, "gene"], "full").where(far).select(*block, F.lit(None).cast(kind).alias("stratum"), F.lit("means").alias("reason")).distinct())
 
 
 def role_pools(pools: DataFrame) -> DataFrame:
@@ -90,9 +103,20 @@ def constant_columns(df: DataFrame, required: dict[str, object]) -> DataFrame:
 
 
 def complement_folds(folds: DataFrame, cells: DataFrame) -> DataFrame:
-    """Per cell: in how many folds it is held out; it must be one."""
-    counted = cells.select("cell_id").join(folds.groupBy("cell_id").agg(F.count("*").alias("held_out")), "cell_id", "left")
-    return counted.where(F.coalesce("held_out", F.lit(0)) != 1)
+    """Cells that break the folds (fold, role, cell_id): each cell is observed in one fold and the input of all others.
+
+    cell_id, held_out, inputs, reason: unknown_cell, held_out (not in one fold), two_roles (in one fold), inputs (not
+    the complement of its observation).
+    """
+    n = F.broadcast(folds.agg(F.count_distinct("fold").alias("_folds")))  # one row
+    each = folds.groupBy("cell_id", "fold").agg(F.count_if(F.col("role") == "observation").alias("_o"), F.count_if(F.col("role") == "input").alias("_i"))
+    per = each.groupBy("cell_id").agg(F.sum("_o").alias("held_out"), F.sum("_i").alias("inputs"), F.bool_or(F.col("_o") + F.col("_i") > 1).alias("_two"))
+    j = per.join(cells.select("cell_id", F.lit(True).alias("_known")), "cell_id", "full").crossJoin(n)
+    j = j.withColumn("held_out", F.coalesce("held_out", F.lit(0))).withColumn("inputs", F.coalesce("inputs", F.lit(0)))
+    reason = (
+        F.when(F.col("_known").isNull(), "unknown_cell").when(F.col("held_out") != 1, "held_out").when(F.col("_two"), "two_roles").when(F.col("inputs") != F.col("_folds") - 1, "inputs")
+    )
+    return j.withColumn("reason", reason).where("reason is not null").select("cell_id", "held_out", "inputs", "reason")
 
 
 def pair_symmetry(counts: DataFrame, key: list[str]) -> DataFrame:

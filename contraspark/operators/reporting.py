@@ -52,20 +52,76 @@ def topk_overlap(a: DataFrame, b: DataFrame, key: list[str], k: int) -> DataFram
     return j.select(*key, (F.col("both") / F.col("either")).alias("jaccard"), F.when(F.col("both") > 0, F.col("same") / F.col("both")).alias("same_sign"))
 
 
-def matching_leaders(sums: DataFrame, key: list[str], item: str, value: str, tau: float = 1e-12) -> DataFrame:
-    """Leader flag of each item in each matching (ties share it)."""
-    return sums.withColumn("leads", F.max(value).over(Window.partitionBy(*key)) - F.col(value) <= tau)
+#: Integers and their exact sums and products.
+_WIDE = "decimal(38,0)"
 
 
-def leader_class(leaders: DataFrame, item: str) -> DataFrame:
-    g = leaders.groupBy(item).agg(F.bool_and("leads").alias("always"), F.bool_or("leads").alias("ever"), F.count_if("leads").alias("times"))
-    return g.select(item, "times", F.when(F.col("always"), "necessary").when(F.col("ever"), "possible").otherwise("impossible").alias("leader_class"))
+def matching_means(members: DataFrame, matching: list[str], item: str, numerator: str, denominator: str) -> DataFrame:
+    """Sums of fractions with one denominator in each matching, compared exactly: numerator, denominator, rank and leads of each item.
 
+    All fractions of a matching must share ``denominator`` (else an error), so sums and comparisons are those of
+    integers. rank is one more than the items with larger sums; equal sums share it.
+    """
+    n, d = F.col(numerator).cast(_WIDE), F.col(denominator).cast(_WIDE)
+    g = members.groupBy(*matching, item).agg(F.sum(n).cast(_WIDE).alias("numerator"), F.min(d).alias("denominator"), F.max(d).alias("_d"))
+    one = F.min("denominator").over(Window.partitionBy(*matching)) == F.max("_d").over(Window.partitionBy(*matching))  # the items of one matching
+    checked = F.when(one, F.col("numerator")).otherwise(F.raise_error(F.lit("the fractions of a matching have several denominators")).cast(_WIDE))
+    rank = F.rank().over(Window.partitionBy(*matching).orderBy(F.desc("numerator")))
+    return g.withColumn("numerator", checked).select(*matching, item, "numerator", "denominator", rank.alias("rank"), (rank == 1).alias("leads"))
 
-def candidate_edges(samples: DataFrame, key: list[str], first: str, last: str) -> DataFrame:
-    """Keys whose first-day and last-day samples both have the role EVAL; keys that training used are left out."""
-    at = lambda day: samples.where((F.col("day") == day) & (F.col("role") == "EVAL")).select(*key).distinct()
-    return at(first).join(at(last), key, "left_semi").join(samples.where("role = 'TRAIN'").select(*key).distinct(), key, "left_anti")
+
+def inclusion(members: DataFrame, graph: list[str], matching: str, edge: list[str]) -> DataFrame:
+    """How many of a graph's matchings hold an edge, and their share."""
+    all_of = members.groupBy(*graph).agg(F.count_distinct(matching).alias("matchings"))
+    held = members.groupBy(*graph, *edge).agg(F.count_distinct(matching).alias("held"))
+    return held.join(all_of, graph).withColumn("frequency", F.col("held") / F.col("matchings"))
+
+
+def leader_class(leaders: DataFrame, by: list[str]) -> DataFrame:
+    """How often an item leads over the enumerated matchings: necessary, possible or impossible leader."""
+    g = leaders.groupBy(*by).agg(F.bool_and("leads").alias("always"), F.bool_or("leads").alias("ever"), F.count_if("leads").alias("times"), F.count("*").alias("matchings"))
+    return g.select(*by, "times", "matchings", F.when(F.col("always"), "necessary").when(F.col("ever"), "possible").otherwise("impossible").alias("leader_class"))
+
+
+def matching_dependence(adjusted: DataFrame, pair: list[str], matching: str, alpha: float) -> DataFrame:
+    """Does the decision on a pair (adjusted p of Holm inside each matching) depend on the matching; with a witness of each kind (the first by name)."""
+    rejects = F.coalesce(F.col("adjusted") <= alpha, F.lit(False))
+    g = adjusted.groupBy(*pair).agg(
+        F.count("*").alias("matchings"), F.count_if(rejects).alias("rejecting"), F.min(F.when(rejects, F.col(matching))).alias("rejecting_matching"), F.min(F.when(~rejects, F.col(matching))).alias("other_matching"),
+    )
+    return g.withColumn("dependent", (F.col("rejecting") > 0) & (F.col("rejecting") < F.col("matchings")))
+
+
+def sign_bounds(tails: DataFrame, pair: list[str]) -> DataFrame:
+    """Least and most wins of a pair over matchings, its ties if all matchings have as many, and its smallest and largest raw p."""
+    g = tails.groupBy(*pair).agg(F.min("wins").alias("least_wins"), F.max("wins").alias("most_wins"), F.min("ties").alias("_t0"), F.max("ties").alias("_t1"), F.min("p").alias("best_p"), F.max("p").alias("worst_p"))
+    return g.select(*pair, "least_wins", "most_wins", F.when(F.col("_t0") == F.col("_t1"), F.col("_t0")).alias("constant_ties"), "best_p", "worst_p")
+
+
+def candidate_edges(samples: DataFrame, wave: str, batch: str, pool: str, first: str, last: str) -> DataFrame:
+    """(wave, batch): waves that have samples of the role EVAL on the first and on the last day in one batch and one pool; batches that training used are left out."""
+    at = lambda day: samples.where((F.col("day") == day) & (F.col("role") == "EVAL")).select(wave, batch, pool).distinct()
+    trained = samples.where("role = 'TRAIN'").select(batch).distinct()
+    return at(first).join(at(last), [wave, batch, pool], "left_semi").join(trained, batch, "left_anti").select(wave, batch).distinct()
+
+
+def work_accounting(usage: DataFrame, receipts: DataFrame) -> DataFrame:
+    """Work of each rule, of each rule and partition, and of all rules together (nulls), every receipt and control counted once in each.
+
+    ``usage`` (rule, partition, receipt, control, scored) has a row for each control that a rule's score used
+    through a receipt (one inference); ``receipts`` (receipt, forwards, cached, seconds) one for each inference.
+    controls: distinct ones; forwards and seconds: of distinct receipts; executed_forwards: of those not taken
+    from a cache; uncached_forwards: of all uses, as if nothing were kept; scored: distinct scored values.
+    """
+    sets = usage.select("*", F.explode(F.array(*[F.struct(F.lit(a).alias("r"), F.lit(b).alias("p")) for a, b in ((True, True), (True, False), (False, False))])).alias("_s"))
+    sets = sets.withColumn("rule", F.when(F.col("_s.r"), F.col("rule"))).withColumn("partition", F.when(F.col("_s.p"), F.col("partition"))).drop("_s")
+    key = ["rule", "partition"]
+    one = receipts.select("receipt", "forwards", "cached", "seconds")
+    uses = sets.join(one.select("receipt", "forwards"), "receipt", "left").groupBy(*key).agg(F.count_distinct("control").alias("controls"), F.count_distinct("scored").alias("scored"), F.sum("forwards").alias("uncached_forwards"))
+    each = sets.select(*key, "receipt").distinct().join(one, "receipt", "left").groupBy(*key)
+    work = each.agg(F.count("*").alias("receipts"), F.count_if("cached").alias("cached_receipts"), F.sum("forwards").alias("forwards"), F.sum(F.when(~F.col("cached"), F.col("forwards")).otherwise(0)).alias("executed_forwards"), F.sum("seconds").alias("seconds"))
+    own = work.select(*[F.col(c).alias(f"_j_{c}") for c in key], *[c for c in work.columns if c not in key])
+    return uses.join(own, [F.col(c).eqNullSafe(F.col(f"_j_{c}")) for c in key]).drop(*[f"_j_{c}" for c in key])
 
 
 def rejection_class(adjusted: DataFrame, pair: list[str], family: list[str], alpha: float) -> DataFrame:
@@ -74,18 +130,3 @@ def rejection_class(adjusted: DataFrame, pair: list[str], family: list[str], alp
     g = adjusted.withColumn("_m", F.count("*").over(Window.partitionBy(*family))).groupBy(*pair).agg(F.min("p").alias("best"), F.max("p").alias("worst"), F.bool_or(F.col("adjusted") <= alpha).alias("some"), F.max("_m").alias("size"))
     kind = F.when(F.col("worst") * F.col("size") <= alpha, "invariant").when(F.col("best") > alpha, "impossible").when(F.col("some"), "possible_not_necessary").otherwise("unresolved")
     return g.select(*pair, kind.alias("class"))
-
-
-def role_losses(pairs: DataFrame, treated: DataFrame, scales: DataFrame) -> DataFrame:
-    """task, i, o, loss: mean squared standardized error of the effect on input rows i against the target on observation rows o, which share no row."""
-    x = pairs.where("i <> o").join(F.broadcast(scales), "gene").join(treated, "gene")
-    e = (F.col("effect") - (F.col("y") - F.col("ref"))) / F.col("s")
-    return x.groupBy("task", "i", "o").agg(F.avg(e * e).alias("loss"))
-
-
-def displacement(states: DataFrame, key: list[str], block: str, scales: DataFrame) -> DataFrame:
-    """Root mean square standardized distance of a model's states over pairs of input blocks."""
-    a, b = states.alias("a"), states.alias("b")
-    j = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*key, "gene"]] + [F.col(f"a.{block}") < F.col(f"b.{block}")])
-    x = j.select(*[F.col(f"a.{c}").alias(c) for c in [*key, "gene"]], (F.col("a.v") - F.col("b.v")).alias("d")).join(F.broadcast(scales), "gene")
-    return x.groupBy(*key).agg(F.sqrt(F.avg(F.col("d") * F.col("d") / (F.col("s") * F.col("s")))).alias("displacement"))

@@ -191,12 +191,59 @@ def operation_scores(tuples: DataFrame) -> DataFrame:
     return got.join(anchor, key).select(*key, "operation", "mse", (F.col("mse") - F.col("anchor")).alias("change"))
 
 
-def pattern_identities(patterns: DataFrame, distance: DataFrame) -> DataFrame:
-    """Largest deviations from M = S and D = (P + O) / 2, and the mean shift of D, in losses; the first two hold for fixed predictions."""
+def states_by_input(blocks: DataFrame, predictions: DataFrame, conditioned: DataFrame | None = None) -> DataFrame:
+    """task, allocation, depth, model, conditioned, input, state: the state that a model gives for each input block (one and the same for fixed ones)."""
+    fixed = predictions.where("kind = 'state'").crossJoin(F.broadcast(blocks.select("allocation", "depth", F.col("block").alias("input"))))  # few blocks
+    cols = ["task", "allocation", "depth", "model", "conditioned", "input", "state"]
+    out = fixed.withColumn("conditioned", F.lit(False)).withColumnRenamed("prediction", "state").select(*cols)
+    if conditioned is not None:
+        out = out.union(conditioned.where("kind = 'state'").withColumn("conditioned", F.lit(True)).withColumnRenamed("prediction", "state").select(*cols))
+    return out
+
+
+def cross_moments(states: DataFrame, targets: DataFrame, blocks: DataFrame, scales: DataFrame) -> DataFrame:
+    """task, allocation, depth, model, conditioned, k, displacement, means over ordered pairs of blocks.
+
+    k: scaled product of a state's residual for an input block with the shift from another block to that one;
+    it is zero for fixed states, as the shift changes sign with the order. displacement: root mean square
+    scaled distance of the states for two input blocks.
+    """
+    key = ["task", "allocation", "depth", "model", "conditioned"]
+    b = blocks.select("allocation", "depth", "block", "profile")
+    own = states.join(targets, "task").join(b.withColumnRenamed("block", "input").withColumnRenamed("profile", "bi"), ["allocation", "depth", "input"])
+    pair = own.join(b.withColumnRenamed("profile", "bj"), ["allocation", "depth"]).where("block <> input").crossJoin(F.broadcast(scales))  # one row of scales
+    over = lambda x: F.zip_with(x, "scale", lambda v, s: v / s)
+    k = dot(over(minus("state", "treated")), over(minus("bi", "bj"))) / F.size("state")
+    moments = pair.groupBy(*key).agg(F.avg(k).alias("k"))
+    other = states.select(*[F.col(c).alias(f"_{c}") for c in (*key, "input", "state")])
+    apart = states.join(other, [F.col(c) == F.col(f"_{c}") for c in key]).where("input <> _input").crossJoin(F.broadcast(scales))
+    distance = apart.groupBy(*key).agg(F.sqrt(F.avg(mean_square(minus("state", "_state"), F.col("scale")))).alias("displacement"))
+    return moments.join(distance, key)
+
+
+def pattern_identities(patterns: DataFrame, distance: DataFrame, moments: DataFrame) -> DataFrame:
+    """Largest deviations of the patterns' losses from what the geometry of the blocks predicts, by kind of model.
+
+    For states M = S, D = S + v, P = S + v + 2k, O = S + v - 2k and D = (P + O) / 2, and all states of a task
+    move alike from S to D (pair_shift). A fixed effect has one loss in all patterns (spread). ``mean_shift`` is
+    the mean of D - S - v (states) or D - S. Identities that do not apply to a kind are null.
+    """
     wide = patterns.groupBy(*TUPLE).agg(*[F.max(F.when(F.col("pattern") == x, F.col("mse"))).alias(x) for x in "SMPOD"])
-    j = wide.join(distance, ["allocation", "depth"])
-    shift = F.when(F.col("kind") == "state", F.col("D") - F.col("S") - F.col("v")).otherwise(F.col("D") - F.col("S"))
-    return j.groupBy("kind", "conditioned").agg(F.count("*").alias("n"), F.max(F.abs(F.col("M") - F.col("S"))).alias("m_minus_s"), F.max(F.abs(F.col("D") - (F.col("P") + F.col("O")) / 2)).alias("d_minus_po"), F.avg(shift).alias("mean_shift"))
+    key = ["task", "allocation", "depth", "model", "conditioned"]
+    j = wide.join(distance, ["allocation", "depth"]).join(moments.select(*key, "k"), key, "left")
+    state = F.col("kind") == "state"
+    moved = F.when(state, F.col("D") - F.col("S"))
+    group = j.where(state).groupBy("task", "allocation", "depth").agg(F.max(F.col("D") - F.col("S")).alias("_top"), F.min(F.col("D") - F.col("S")).alias("_low"))
+    j = j.join(group, ["task", "allocation", "depth"], "left")
+    most = lambda c: F.max(F.abs(c))
+    spread = F.greatest(*"SMPOD") - F.least(*"SMPOD")
+    shifted = F.col("S") + F.col("v")
+    return j.groupBy("kind", "conditioned").agg(
+        F.count("*").alias("n"), most(F.when(state, F.col("M") - F.col("S"))).alias("m_minus_s"), most(moved - F.col("v")).alias("d_minus_s_v"),
+        most(F.when(state, F.col("P") - shifted - 2 * F.col("k"))).alias("p_minus_s_v_2k"), most(F.when(state, F.col("O") - shifted + 2 * F.col("k"))).alias("o_minus_s_v_2k"),
+        most(F.when(state, F.col("D") - (F.col("P") + F.col("O")) / 2)).alias("d_minus_po"), F.max(F.when(~state & ~F.col("conditioned"), spread)).alias("spread"),
+        F.max(F.when(state, F.col("_top") - F.col("_low"))).alias("pair_shift"), F.avg(F.when(state, moved - F.col("v")).otherwise(F.col("D") - F.col("S"))).alias("mean_shift"),
+    )
 
 
 def profile_metrics(observed: DataFrame, predicted: DataFrame) -> DataFrame:
@@ -205,8 +252,10 @@ def profile_metrics(observed: DataFrame, predicted: DataFrame) -> DataFrame:
     n = F.size("y")
     yy, ff, yf = dot(F.col("y"), F.col("y")), dot(F.col("f"), F.col("f")), dot(F.col("y"), F.col("f"))
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x)
-    my, mf, e = total("y") / n, total("f") / n, minus("f", "y")
-    vy, vf, cov = yy / n - my * my, ff / n - mf * mf, yf / n - my * mf
+    e = minus("f", "y")
+    j = j.withColumn("my", total("y") / n).withColumn("mf", total("f") / n)
+    j = j.withColumn("dy", F.transform("y", lambda x: x - F.col("my"))).withColumn("df", F.transform("f", lambda x: x - F.col("mf")))
+    vy, vf, cov = dot(F.col("dy"), F.col("dy")) / n, dot(F.col("df"), F.col("df")) / n, dot(F.col("dy"), F.col("df")) / n
     clip = lambda c: F.greatest(F.least(c, F.lit(1.0)), F.lit(-1.0))
     tiny = 1e-18
     return j.select(
@@ -226,11 +275,15 @@ def centroid_retrieval(observed: DataFrame, predicted: DataFrame) -> DataFrame:
     return j.groupBy("task", "model").agg(F.avg((F.col("d2") > F.col("own")).cast("double")).alias("retrieval"))
 
 
-def standardized_utility(observed: DataFrame, predicted: DataFrame, scales: DataFrame, floor: float = 0.1) -> DataFrame:
-    """Minus the sum, and minus the mean, of squared errors over scales of ``floor`` at least."""
+def standardized_utility(observed: DataFrame, predicted: DataFrame, scales: DataFrame, floor: float = 0.1, weights: DataFrame | None = None) -> DataFrame:
+    """Minus the sum, the mean and, with ``weights`` (one row, an array by gene), the weighted sum of squared errors over scales of ``floor`` at least."""
     j = observed.join(predicted, "task").crossJoin(F.broadcast(scales))  # one row of scales
+    if weights is not None:
+        j = j.crossJoin(F.broadcast(weights.select("weight")))  # one row
+        e = F.zip_with(minus("predicted", "observed"), F.transform("scale", lambda s: F.greatest(s, F.lit(floor))), lambda x, s: (x / s) * (x / s))
+        j = j.withColumn("utility_weighted", -dot(F.col("weight"), e))
     mse = mean_square(minus("predicted", "observed"), F.transform("scale", lambda s: F.greatest(s, F.lit(floor))))
-    return j.select("task", "model", (-mse * F.size("observed")).alias("utility_sum"), (-mse).alias("utility_mean"))
+    return j.select("task", "model", (-mse * F.size("observed")).alias("utility_sum"), (-mse).alias("utility_mean"), *(["utility_weighted"] if weights is not None else []))
 
 
 def complement_scores(targets: DataFrame, blocks: DataFrame, predictions: DataFrame, scales: DataFrame) -> DataFrame:
@@ -250,14 +303,16 @@ def refuse_overlap(cells: DataFrame) -> None:
         raise ValueError(f"input and observation rows overlap or repeat: {[tuple(r)[:3] for r in twice]}")
 
 
-def partition_losses(cells: DataFrame, controls: DataFrame, factor: float, targets: DataFrame, scales: DataFrame) -> DataFrame:
-    """task, rule, direction, loss of a model whose state is ``factor`` times a control's profile, weighted over genes.
+def partition_losses(cells: DataFrame, controls: DataFrame, families: DataFrame, targets: DataFrame, scales: DataFrame, key: tuple[str, ...] = ("rule", "direction")) -> DataFrame:
+    """task, key, family, loss of models whose state is ``factor`` times a control's profile, weighted over genes.
 
-    The effect is the mean state minus the mean of the input cells; the target is the treated mean minus
-    that of the observation cells. ``scales`` has gene, s and w (weights that sum to one).
+    ``families`` (family, factor) is a small roster. The effect is the mean state minus the mean of the
+    input cells; the target is the treated mean minus that of the observation cells. ``scales`` has gene, s
+    and w (weights that sum to one).
     """
-    long = cells.join(controls.select("cell_id", "profile"), "cell_id").select("rule", "direction", "role", F.posexplode("profile").alias("gene", "v"))
+    long = cells.join(controls.select("cell_id", "profile"), "cell_id").select(*key, "role", F.posexplode("profile").alias("gene", "v"))
     of = lambda role: F.avg(F.when(F.col("role") == role, F.col("v")))
-    means = long.groupBy("rule", "direction", "gene").agg(of("input").alias("given"), of("observation").alias("ref"))
-    e = ((factor - 1) * F.col("given") - (F.col("y") - F.col("ref"))) / F.col("s")
-    return means.join(scales, "gene").join(targets, "gene").groupBy("task", "rule", "direction").agg(F.sum(F.col("w") * e * e).alias("loss"))
+    means = long.groupBy(*key, "gene").agg(of("input").alias("given"), of("observation").alias("ref"))
+    x = means.join(scales, "gene").join(targets, "gene").crossJoin(F.broadcast(families))
+    e = ((F.col("factor") - 1) * F.col("given") - (F.col("y") - F.col("ref"))) / F.col("s")
+    return x.groupBy("task", *key, "family").agg(F.sum(F.col("w") * e * e).alias("loss"))

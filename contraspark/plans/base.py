@@ -22,12 +22,9 @@ def _(spark, d):
     return st.read_tsv(spark, path, st.SCORES)
 
 
-@query("read_cells_wide_to_long", w("cells", "lcells") + "SELECT cell_id, stratum, 'g' || gene AS gene, value FROM lcells WHERE gene < 16", ("value",))
+@query("read_cells_wide_to_long", w("cells", "lcells") + "SELECT cell_id, stratum, 'g' || gene AS gene, value FROM lcells", ("value",))
 def _(spark, d):
-    return _long_cells(spark, d, 16)
-
-
-def _long_cells(spark, d, width):
+    width = dm.cells(spark, d).agg(F.max(F.size("profile"))).first()[0] or 0
     wide = dm.cells(spark, d).select("cell_id", "stratum", *[F.get("profile", F.lit(i)).alias(f"g{i}") for i in range(width)])
     return st.wide_to_long(wide, ["cell_id", "stratum"])
 
@@ -129,9 +126,11 @@ def _(spark, d):
     return dq.anchor_equal(a, a.withColumn("score", F.when(F.col("model") == "BUILDING", F.col("score") + 1).otherwise(F.col("score"))), ["case_id", "unit", "budget", "model"], "score")
 
 
-@query("dq_membership", w("alloc") + "SELECT DISTINCT allocation, depth, block, stratum, 'ranks' AS reason FROM member WHERE depth = 12")
+@query("dq_membership", w("alloc") + "SELECT DISTINCT allocation, depth, block, stratum, 'ranks' AS reason FROM member WHERE depth = 12 UNION ALL SELECT DISTINCT allocation, depth, block, NULL, 'means' FROM member WHERE depth = 12 OR (depth = 8 AND block = 'B2')")
 def _(spark, d):
-    return dq.membership(dm.membership(spark, d).where("depth < 12 or within_block_index <> 3"), dm.controls(spark, d))
+    """Members of depth 12 are lost, and a block's reference is another at depth 8."""
+    references = dm.blocks(spark, d).withColumn("profile", F.when(F.expr("depth = 8 and block = 'B2'"), F.transform("profile", lambda x: x + 0.5)).otherwise(F.col("profile")))
+    return dq.membership(dm.membership(spark, d).where("depth < 12 or within_block_index <> 3"), dm.controls(spark, d), references)
 
 
 _POOLS = """, roles(scheme, rotation, role, block) AS (SELECT 'shared', 'SHARED', r, b FROM (VALUES ('observation'), ('prediction'), ('input')) x(r), (VALUES ('B1'), ('B2'), ('B3')) y(b)
@@ -152,10 +151,16 @@ def _(spark, d):
     return dq.constant_columns(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), {"o_orderstatus": "F"})
 
 
-@query("dq_complement_folds", "SELECT vec_id::VARCHAR AS cell_id, NULL::BIGINT AS held_out FROM embeddings WHERE label = 9")
+@query("dq_complement_folds", """WITH f AS (SELECT vec_id::VARCHAR AS cell_id, label, (row_number() OVER (ORDER BY sha256('s1|fold|' || vec_id), vec_id::VARCHAR) - 1) % 4 AS fold FROM embeddings WHERE label < 9)
+SELECT vec_id::VARCHAR AS cell_id, 0 AS held_out, 0 AS inputs, 'held_out' AS reason FROM embeddings WHERE label = 9 UNION ALL SELECT cell_id, 1, 2, 'inputs' FROM f WHERE label = 8 AND fold <> 0 UNION ALL SELECT 'x' || cell_id, 1, 3, 'unknown_cell' FROM f WHERE label = 7""")
 def _(spark, d):
+    """One stratum is in no fold, one lacks the input of fold 0, one is listed by unknown names too."""
     cells = dm.cells(spark, d)
-    return dq.complement_folds(al.hash_folds(cells.where("stratum < 9"), "cell_id", 4, dm.SEED), cells)
+    f = al.hash_folds(cells.where("stratum < 9").select("cell_id", "stratum"), "cell_id", 4, dm.SEED)
+    f = f.union(f.where("stratum = 7").select(F.concat(F.lit("x"), "cell_id"), "stratum", "fold"))
+    role = F.when(F.col("fold") == F.col("own"), "observation").otherwise("input")
+    folds = f.withColumnRenamed("fold", "own").withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("role", role)
+    return dq.complement_folds(folds.where("not (stratum = 8 and fold = 0 and role = 'input')"), cells)
 
 
 @query("dq_table_equivalence", w("scores", "dev") + "SELECT case_id, budget, realization, model, score, score + 0.5 AS other, 'value' AS reason FROM dev WHERE budget = 'A'", ("score", "other"))
@@ -279,12 +284,15 @@ _PLAN = """WITH plan(rule, direction, role, lo, hi) AS (VALUES ('shared_all_B',
  ('crossfit_4', 3, 'observation', 6, 8), ('crossfit_4', 3, 'input', 0, 6), ('overlap_half', 0, 'input', 0, 4), ('overlap_half', 0, 'observation', 0, 8),
  ('crossfit2_overlap_all', 0, 'input', 0, 4), ('crossfit2_overlap_all', 0, 'observation', 0, 8), ('crossfit2_overlap_all', 1, 'input', 4, 8), ('crossfit2_overlap_all', 1, 'observation', 0, 8)),
 parts AS (SELECT rule, direction, role, unnest(range(lo, hi)) AS row FROM plan)\n"""
-_RULE_CELLS = _PLAN + ", cells AS (SELECT vec_id::VARCHAR AS cell_id, label AS stratum FROM embeddings WHERE label < 4), rk AS (SELECT cell_id, stratum, row_number() OVER (PARTITION BY stratum ORDER BY sha256('s1|0|' || cell_id), cell_id) - 1 AS r FROM cells), rp AS (SELECT rule, direction, role, stratum, cell_id FROM rk JOIN parts ON r = row)\n"
+#: The plan over quarters of each stratum's budget, the largest multiple of four within a share of its cells.
+_RULE_CELLS = _PLAN.replace("parts AS (SELECT rule, direction, role, unnest(range(lo, hi)) AS row FROM plan)", "parts AS (SELECT rule, direction, role, unnest(range(lo // 2, hi // 2)) AS row FROM plan)") + """, cells AS (SELECT vec_id::VARCHAR AS cell_id, label AS stratum FROM embeddings WHERE label < 4),
+rk AS (SELECT cell_id, stratum, row_number() OVER (PARTITION BY stratum ORDER BY sha256('s1|0|' || cell_id), cell_id) - 1 AS r, count(*) OVER (PARTITION BY stratum) AS n FROM cells),
+rp AS (SELECT rule, direction, role, stratum, cell_id FROM (SELECT *, n // 4 AS q FROM rk) JOIN parts ON r // q = row WHERE q > 0)
+"""
 
 
-def _rule_cells(spark, d):
-    """The plan's rows taken as ranks of the control cells of each stratum."""
-    return al.ranked(dm.controls(spark, d), 1, dm.SEED).join(F.broadcast(al.rule_partitions(spark, 8)), F.col("r") == F.col("row")).select("rule", "direction", "role", "stratum", "cell_id")
+def _rule_cells(spark, d, share=1.0):
+    return al.partition_cells(dm.controls(spark, d), dm.SEED, share)
 
 
 @query("rule_partitions", _RULE_CELLS + "SELECT * FROM rp")
@@ -315,7 +323,8 @@ def _(spark, d):
 
 
 @query("role_overlap_matrix", w("alloc") + _POOLS + """, o AS (SELECT scheme, rotation, role, string_agg(DISTINCT block, ',' ORDER BY block) AS blocks FROM roles WHERE block IN (SELECT block FROM member) GROUP BY ALL)
-SELECT a.scheme, a.rotation, a.role AS role_a, b.role AS role_b, a.blocks = b.blocks AS same FROM o a JOIN o b ON a.scheme = b.scheme AND a.rotation = b.rotation""")
+SELECT a.scheme, a.rotation, a.role AS role_a, b.role AS role_b, a.blocks = b.blocks AS same, CASE WHEN x.o = x.p AND x.p = x.i THEN 'S' WHEN x.o = x.p THEN 'M' WHEN x.o = x.i THEN 'P' WHEN x.p = x.i THEN 'O' ELSE 'D' END AS pattern FROM o a JOIN o b ON a.scheme = b.scheme AND a.rotation = b.rotation
+JOIN (SELECT scheme, rotation, max(blocks) FILTER (role = 'observation') AS o, max(blocks) FILTER (role = 'prediction') AS p, max(blocks) FILTER (role = 'input') AS i FROM o GROUP BY ALL) x ON x.scheme = a.scheme AND x.rotation = a.rotation""")
 def _(spark, d):
     m = dm.membership(spark, d)
     pools = al.scheme_membership(m).join(m.select("allocation", "depth", "cell_id", "block"), ["allocation", "depth", "cell_id"])

@@ -122,21 +122,32 @@ def _(spark, d):
     return r.groupBy("case_id", "budget").agg(F.sqrt(F.avg(F.col("r") * F.col("r"))).alias("rms"))
 
 
-@query("metric_concordance", S + """, x AS (SELECT case_id, budget, model, avg(score) FILTER (realization::INT % 2 = 0) AS u, avg(score) FILTER (realization::INT % 2 = 1) AS v FROM scores GROUP BY ALL)
-SELECT a.case_id, a.budget, sum(sign(a.u - b.u) * sign(a.v - b.v)) / sqrt(sum(abs(sign(a.u - b.u))) * sum(abs(sign(a.v - b.v)))) AS tau_b FROM x a JOIN x b ON a.case_id = b.case_id AND a.budget = b.budget AND a.model < b.model GROUP BY ALL""", ("tau_b",))
+@query("metric_concordance", S + """, x AS (SELECT case_id, budget, model, avg(score) FILTER (realization::INT % 2 = 0) AS u, floor(avg(score) FILTER (realization::INT % 2 = 1)) AS v FROM scores GROUP BY ALL),
+k AS (SELECT *, rank() OVER (PARTITION BY case_id, budget ORDER BY u) AS ur, count(*) OVER (PARTITION BY case_id, budget, u) AS un, rank() OVER (PARTITION BY case_id, budget ORDER BY v) AS vr, count(*) OVER (PARTITION BY case_id, budget, v) AS vn FROM x),
+t AS (SELECT a.case_id, a.budget, sum(sign(a.u - b.u) * sign(a.v - b.v)) AS s, sum(abs(sign(a.u - b.u))) AS nu, sum(abs(sign(a.v - b.v))) AS nv FROM x a JOIN x b ON a.case_id = b.case_id AND a.budget = b.budget AND a.model < b.model GROUP BY ALL),
+g AS (SELECT case_id, budget, bool_and(ur = vr AND un = vn) AS ranks_identical, bool_and((ur = 1) = (vr = 1)) AS leader_sets_identical FROM k GROUP BY ALL)
+SELECT case_id, budget, CASE WHEN nu > 0 AND nv > 0 THEN s / sqrt(nu * nv) END AS tau_b, ranks_identical, leader_sets_identical, CASE WHEN nu > 0 AND nv > 0 THEN 'defined' ELSE 'constant_metric' END AS status FROM g JOIN t USING (case_id, budget)""", ("tau_b",))
 def _(spark, d):
+    """Mean losses of even realizations against those of odd ones in whole units, which tie."""
     odd = F.expr("int(realization) % 2")
-    x = dm.scores(spark, d).groupBy("case_id", "budget", "model").agg(F.avg(F.when(odd == 0, F.col("score"))).alias("u"), F.avg(F.when(odd == 1, F.col("score"))).alias("v"))
-    return cm.kendall_tau_b(x, ["case_id", "budget"], "model", "u", "v")
+    x = dm.scores(spark, d).groupBy("case_id", "budget", "model").agg(F.avg(F.when(odd == 0, F.col("score"))).alias("u"), F.floor(F.avg(F.when(odd == 1, F.col("score")))).cast("double").alias("v"))
+    return cm.metric_concordance(x, ["case_id", "budget"], "model", "u", "v")
 
 
-_WIN = """, b AS (SELECT *, score - min(score) OVER (PARTITION BY {k}) AS gap, row_number() OVER (PARTITION BY {k} ORDER BY score, model) AS nth FROM {t})
-SELECT {k}, min(model) FILTER (gap <= 1e-12) AS winner, count(*) FILTER (gap <= 1e-12) AS tied, min(gap) FILTER (nth = 2) AS second_gap, min(gap) FILTER (gap > 1e-12) AS outside_gap FROM b GROUP BY ALL"""
+#: The declared order of families.
+_ORDER = ["MACHINERY", "AUTOMOBILE", "HOUSEHOLD", "BUILDING", "FURNITURE"]
 
 
-@query("winner_selection", S + _WIN.format(k="case_id, budget, realization", t="scores"), ("second_gap", "outside_gap"))
+@query("winner_selection", S + """, p AS (SELECT budget, case_id AS held_out, model, avg(score) AS v FROM scores GROUP BY ALL), t AS (SELECT budget, model, sum(v) AS s, count(*) AS n FROM p GROUP BY ALL),
+m AS (SELECT budget, held_out, model, (s - v) / (n - 1) AS m FROM p JOIN t USING (budget, model) WHERE n > 1 UNION ALL SELECT budget, NULL, model, s / n FROM t),
+o(model, place) AS (VALUES ('MACHINERY', 1), ('AUTOMOBILE', 2), ('HOUSEHOLD', 3), ('BUILDING', 4), ('FURNITURE', 5)),
+b AS (SELECT *, m - min(m) OVER (PARTITION BY budget, held_out) AS gap FROM m LEFT JOIN o USING (model)), c AS (SELECT *, row_number() OVER (PARTITION BY budget, held_out ORDER BY gap, place) AS nth FROM b),
+w AS (SELECT budget, held_out, arg_min(model, place) FILTER (gap <= 1e-12) AS winner, count(*) FILTER (gap <= 1e-12) AS tied, min(gap) FILTER (nth = 2) AS second_gap, min(gap) FILTER (gap > 1e-12) AS outside_gap FROM c GROUP BY ALL),
+s AS (SELECT w.*, w.winner = a.winner AS same FROM w JOIN w a ON w.budget = a.budget AND a.held_out IS NULL)
+SELECT *, avg(same::INT) FILTER (held_out IS NOT NULL) OVER (PARTITION BY budget) AS stability FROM s""", ("second_gap", "outside_gap", "stability"))
 def _(spark, d):
-    return cm.winners(dm.scores(spark, d), ["case_id", "budget", "realization"], "model", "score")
+    """The family of least mean loss over all nations and without each of them."""
+    return cm.winner_stability(dm.scores(spark, d), ["budget"], "case_id", "model", "score", _ORDER)
 
 
 @query("grid_selection", S + """, g AS (SELECT budget, model, realization, avg(score) AS score FROM scores GROUP BY ALL), n AS (SELECT *, min(score) OVER (PARTITION BY budget) AS best FROM g)
@@ -183,18 +194,22 @@ def _(spark, d):
     return f.select("case_id", "model_a", "model_b", claim.alias("claim"))
 
 
-@query("family_eligibility", S + ", p AS (SELECT model, bool_and(abs(a - b) <= 3) AS agree, count(*) AS n FROM (SELECT case_id, budget, model, max(score) FILTER (realization = '1') AS a, max(score) FILTER (realization = '2') AS b FROM scores GROUP BY ALL) GROUP BY ALL) SELECT model, n, n = 75 AND agree AS go FROM p")
+@query("family_eligibility", S + ", p AS (SELECT model, bool_and(abs(a - b) <= 3) AS agree, count(*) AS n FROM (SELECT case_id, budget, model, max(score) FILTER (realization = '1') AS a, max(score) FILTER (realization = '2') AS b FROM scores GROUP BY ALL) GROUP BY ALL) SELECT model, n, n = (SELECT count(DISTINCT case_id) * count(DISTINCT budget) FROM scores) AND agree AS go FROM p")
 def _(spark, d):
     at = lambda r: F.max(F.when(F.col("realization") == r, F.col("score")))
     x = dm.scores(spark, d).groupBy("case_id", "budget", "model").agg(at("1").alias("a"), at("2").alias("b"))
     p = x.groupBy("model").agg(F.bool_and(F.abs(F.col("a") - F.col("b")) <= 3).alias("agree"), F.count("*").alias("n"))
-    return p.select("model", "n", ((F.col("n") == 75) & F.col("agree")).alias("go"))
+    axes = F.broadcast(dm.scores(spark, d).agg((F.count_distinct("case_id") * F.count_distinct("budget")).alias("_cells")))  # one row
+    return p.crossJoin(axes).select("model", "n", ((F.col("n") == F.col("_cells")) & F.col("agree")).alias("go"))
 
 
-@query("paired_difference_summary", S + _M + "SELECT model_a, model_b, avg(margin) AS mean, count(*) FILTER (margin > 0) AS higher, count(*) FILTER (margin < 0) AS lower FROM mg WHERE model_a = 'AUTOMOBILE' GROUP BY ALL", ("mean",))
+@query("paired_difference_summary", S + _M + """, e AS (SELECT model_a AS reference, model_b AS other, margin FROM mg UNION ALL SELECT model_b, model_a, -margin FROM mg)
+SELECT reference, other, avg(margin) AS mean, count(*) FILTER (margin > 0) AS higher, count(*) FILTER (margin < 0) AS lower FROM e GROUP BY ALL""", ("mean",))
 def _(spark, d):
-    m = F.col("margin")
-    return _margins(spark, d).where("model_a = 'AUTOMOBILE'").groupBy("model_a", "model_b").agg(F.avg(m).alias("mean"), F.count_if(m > 0).alias("higher"), F.count_if(m < 0).alias("lower"))
+    """Every model as the reference of every other."""
+    m = _margins(spark, d)
+    e = m.select(F.col("model_a").alias("reference"), F.col("model_b").alias("other"), "margin").union(m.select("model_b", "model_a", -F.col("margin")))
+    return e.groupBy("reference", "other").agg(F.avg("margin").alias("mean"), F.count_if(F.col("margin") > 0).alias("higher"), F.count_if(F.col("margin") < 0).alias("lower"))
 
 
 @query("quantile_summary_check", S + "SELECT budget, model, avg(score) AS mean, quantile_cont(score, 0.05) AS q05, quantile_cont(score, 0.5) AS q50, quantile_cont(score, 0.95) AS q95, -quantile_cont(score, 0.95) AS oriented_q05 FROM scores GROUP BY ALL", ("mean", "q05", "q50", "q95", "oriented_q05"))

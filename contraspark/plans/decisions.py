@@ -75,12 +75,12 @@ def _(spark, d):
     return og.policy_summary(_assessed(spark, d))
 
 
-@query("policy_compare", _BASE + _PS + """SELECT g.budget, CASE WHEN g.n_released = 0 OR r.n_released = 0 THEN 'insufficient' WHEN g.n_released > r.n_released AND g.unsupported <= r.unsupported THEN 'strict_gain' WHEN g.n_released = r.n_released AND g.unsupported = r.unsupported THEN 'parity' ELSE 'no_gain' END AS verdict
-FROM ps2 g JOIN ps2 r USING (budget) WHERE g.policy = 'geometry_scaled' AND r.policy = 'repeated_primary'""")
+_VERDICT = "CASE WHEN g.n_released = 0 THEN 'insufficient_releases' WHEN g.unsupported <= r.unsupported AND g.coverage >= r.coverage THEN CASE WHEN g.unsupported < r.unsupported OR g.coverage > r.coverage THEN 'strict_gain' ELSE 'parity' END ELSE 'no_gain' END AS verdict"
+
+
+@query("policy_compare", _BASE + _PS + f"SELECT g.budget, {_VERDICT} FROM ps2 g JOIN ps2 r USING (budget) WHERE g.policy = 'geometry_scaled' AND r.policy = 'repeated_primary'")
 def _(spark, d):
-    s = og.policy_summary(_assessed(spark, d))
-    g, r = s.where("policy = 'geometry_scaled'").alias("g"), s.where("policy = 'repeated_primary'").alias("r")
-    return g.join(r, F.col("g.budget") == F.col("r.budget")).select("g.budget", F.expr("case when g.n_released = 0 or r.n_released = 0 then 'insufficient' when g.n_released > r.n_released and g.unsupported <= r.unsupported then 'strict_gain' when g.n_released = r.n_released and g.unsupported = r.unsupported then 'parity' else 'no_gain' end").alias("verdict"))
+    return og.compare_policies(og.policy_summary(_assessed(spark, d)))
 
 
 _REC = ", won AS (SELECT case_id, policy, budget, favoured, count(*) AS wins FROM dec WHERE released GROUP BY ALL HAVING count(*) = 4), rec AS (SELECT c.case_id, c.policy, min(budget) AS budget, arg_min(favoured, budget) AS winner FROM (SELECT DISTINCT case_id, policy FROM dec) c LEFT JOIN won w ON c.case_id = w.case_id AND c.policy = w.policy GROUP BY ALL)\n"
@@ -246,7 +246,7 @@ def _(spark, d):
 
 
 @query("unit_audit_geometry", "SELECT s_nationkey AS unit, count(*) AS objects, min(s_suppkey) AS first_object, (SELECT count(DISTINCT t.s_nationkey) FROM supplier s JOIN supplier t ON round(s.s_acctbal / 100) = round(t.s_acctbal / 100) AND s.s_nationkey <> t.s_nationkey WHERE s.s_nationkey = u.s_nationkey) AS neighbours FROM supplier u GROUP BY s_nationkey")
-def _(spark, d):
+def unit_geometry(spark, d):
     s = table(spark, d, "supplier").select("s_nationkey", "s_suppkey", F.round(F.col("s_acctbal") / 100).alias("v"))
     v = s.select("s_nationkey", "v").distinct()  # a value that many objects share has one row for each unit
     e = v.alias("s").join(v.alias("t"), (F.col("s.v") == F.col("t.v")) & (F.col("s.s_nationkey") != F.col("t.s_nationkey"))).groupBy(F.col("s.s_nationkey").alias("unit")).agg(F.count_distinct("t.s_nationkey").alias("neighbours"))
@@ -263,10 +263,10 @@ def _um(spark, d):
 
 def sql_t(pairs: str) -> str:
     """CTE tq(p, df, t) of Student's t for the pairs (p, df) that a query selects: bisection over the substituted angle."""
-    area = "list_sum(list_transform(range(1001), lambda k: (CASE WHEN k IN (0, 1000) THEN 1.0 WHEN k % 2 = 1 THEN 4.0 ELSE 2.0 END) * pow(cos((lo + hi) / 2 * k / 1000), df - 1))) * (lo + hi) / 2 / 3000"
+    area = "list_sum(list_transform(range(1001), lambda k: (CASE WHEN k IN (0, 1000) THEN 1.0 WHEN k % 2 = 1 THEN 4.0 ELSE 2.0 END) * pow(cos((lo + hi) / 2 + (pi() - lo - hi) / 2 * k / 1000), df - 1))) * (pi() - lo - hi) / 2 / 3000"
     return f"""tq AS (WITH RECURSIVE b AS (SELECT p, df, 0.0::DOUBLE AS lo, pi() / 2 AS hi, 0 AS i FROM ({pairs}) WHERE df >= 1 UNION ALL
   SELECT p, df, CASE WHEN below THEN (lo + hi) / 2 ELSE lo END, CASE WHEN below THEN hi ELSE (lo + hi) / 2 END, i + 1
-  FROM (SELECT *, 0.5 + exp(lgamma((df + 1) / 2.0) - lgamma(df / 2.0)) / sqrt(pi()) * {area} < p AS below FROM b WHERE i < 55))
+  FROM (SELECT *, exp(lgamma((df + 1) / 2.0) - lgamma(df / 2.0)) / sqrt(pi()) * {area} > 1 - p AS below FROM b WHERE i < 55))
   SELECT p, df, sqrt(df) * tan((lo + hi) / 2) AS t FROM b WHERE i = 55)"""
 
 
@@ -276,8 +276,8 @@ tm AS (SELECT *, count(*) OVER (PARTITION BY allocation_id) AS members FROM ti)
 
 
 @query("t_intervals", with_("util") + _UM + _TI + ", " + sql_t("SELECT DISTINCT 0.975::DOUBLE AS p, n - 1 AS df FROM ti UNION SELECT DISTINCT 1 - 0.025::DOUBLE / members, n - 1 FROM tm") + """
-SELECT allocation_id, model_a, model_b, n, mean, se, mean - a.t * se AS lower, mean + a.t * se AS upper, mean - b.t * se AS joint_lower, mean + b.t * se AS joint_upper, 'ok' AS status
-FROM tm JOIN tq a ON a.df = n - 1 AND a.p = 0.975 JOIN tq b ON b.df = n - 1 AND b.p = 1 - 0.025::DOUBLE / members""", ("mean", "se", "lower", "upper", "joint_lower", "joint_upper"))
+SELECT allocation_id, model_a, model_b, n, mean, se, mean - a.t * se AS lower, mean + a.t * se AS upper, mean - b.t * se AS joint_lower, mean + b.t * se AS joint_upper, 'ok' AS status, NULL::VARCHAR AS reason
+FROM tm JOIN tq a ON a.df = n - 1 AND a.p = 0.975 JOIN tq b ON b.df = n - 1 AND b.p = 1 - 0.025::DOUBLE / members""", ("mean", "se", "lower", "upper", "joint_lower", "joint_upper"), 6)
 def _(spark, d):
     m, key = _um(spark, d), ["allocation_id", "model_a", "model_b"]
     joint = inf.t_intervals(m, key, "margin", family=["allocation_id"]).select(*key, F.col("lower").alias("joint_lower"), F.col("upper").alias("joint_upper"))
@@ -418,7 +418,7 @@ def _pairs(spark, d):
 CASE WHEN fs = 'finite' THEN (-b - sqrt(b * b - 4 * a * c)) / (2 * a) END AS fieller_lower, CASE WHEN fs = 'finite' THEN (-b + sqrt(b * b - 4 * a * c)) / (2 * a) END AS fieller_upper, fs AS fieller_status,
 pc AS practical_contrast, pc - ph AS practical_lower, pc + ph AS practical_upper, pb AS practical_benefit, md - zh AS zero_lower, md + zh AS zero_upper, ze AS zero_effect, cost AS cost_ratio, cc AS cost_condition,
 CASE WHEN pb = 'supported' AND cc = 'satisfied' THEN 'supported' WHEN pb = 'insufficient' OR cc = 'exceeded' THEN 'not_supported' ELSE 'inconclusive' END AS adoption, effective_units, largest_share,
-array_to_string(list_filter([CASE WHEN units < 10 THEN 'few_units' END, CASE WHEN ms = 0 THEN 'no_shared_loss' END, CASE WHEN largest_share > 0.25 THEN 'one_unit_dominates' END], lambda x: x IS NOT NULL), ',') AS warnings FROM ps""", _PDD)
+array_to_string(list_filter([CASE WHEN units < 10 THEN 'few_units' END, CASE WHEN ms = 0 THEN 'no_shared_loss' END, CASE WHEN largest_share > 0.25 THEN 'one_unit_dominates' END], lambda x: x IS NOT NULL), ',') AS warnings FROM ps""", _PDD, 6)
 def _(spark, d):
     return pr.paired_summary(_pairs(spark, d), ["model", "realization"], "sl", "rl", "wt", "unit", shared_calls="shared_calls", rule_calls="rule_calls")
 

@@ -31,7 +31,7 @@ cr AS (SELECT allocation_id, critical FROM (SELECT *, row_number() OVER (PARTITI
 @query("max_t_bootstrap", with_("util") + _UM + _DR + sql_t("SELECT DISTINCT 1 - 0.025::DOUBLE / m AS p, units - 1 AS df FROM bs") + """,
 x AS (SELECT bs.*, CASE WHEN whole THEN mean - t * se END AS tl, CASE WHEN whole THEN mean + t * se END AS th, CASE WHEN whole THEN mean - critical * se END AS bl, CASE WHEN whole THEN mean + critical * se END AS bh FROM bs JOIN cr USING (allocation_id) JOIN tq ON tq.df = units - 1 AND tq.p = 1 - 0.025::DOUBLE / m)
 SELECT allocation_id, model_a, model_b, units, CASE WHEN whole THEN mean END AS mean, CASE WHEN whole THEN se END AS se, tl AS t_lower, th AS t_upper, bl AS boot_lower, bh AS boot_upper, CASE WHEN whole THEN least(tl, bl) END AS lower, CASE WHEN whole THEN greatest(th, bh) END AS upper,
-CASE WHEN whole THEN 'assessable' ELSE 'unassessable' END AS status, CASE WHEN NOT whole THEN 'missing_unit_margin' END AS reason FROM x""", ("mean", "se", "t_lower", "t_upper", "boot_lower", "boot_upper", "lower", "upper"))
+CASE WHEN whole THEN 'assessable' ELSE 'unassessable' END AS status, CASE WHEN NOT whole THEN 'missing_unit_margin' END AS reason FROM x""", ("mean", "se", "t_lower", "t_upper", "boot_lower", "boot_upper", "lower", "upper"), 6)
 def _(spark, d):
     return rs.paired_intervals(_um(spark, d), ["allocation_id"], ["model_a", "model_b"], "unit_id", "margin", 200, "m1")
 
@@ -51,7 +51,7 @@ dj AS (SELECT *, CASE WHEN ms > 0 AND bl > 0 THEN 'supported' WHEN ms > 0 AND bh
 
 @query("studentized_bootstrap", with_("scores") + _WP + _PD + _SB + """SELECT model, realization, units, pc AS practical_contrast, md AS improvement, pc - ph AS practical_lower, pc + ph AS practical_upper, pb AS practical_benefit, bl AS boot_lower, bh AS boot_upper, bb AS boot_benefit, zl AS zero_boot_lower, zu AS zero_boot_upper,
 CASE WHEN zl > 0 THEN 'beneficial' WHEN zu < 0 THEN 'harmful' ELSE 'inconclusive' END AS zero_boot_effect, CASE WHEN bb = pb THEN bb ELSE 'inconclusive' END AS joint_benefit,
-CASE WHEN bb = pb AND bb = 'supported' AND cc = 'satisfied' THEN 'supported' WHEN (bb = pb AND bb = 'insufficient') OR cc = 'exceeded' THEN 'not_supported' ELSE 'inconclusive' END AS joint_adoption FROM dj""", ("practical_contrast", "improvement", "practical_lower", "practical_upper", "boot_lower", "boot_upper", "zero_boot_lower", "zero_boot_upper"))
+CASE WHEN bb = pb AND bb = 'supported' AND cc = 'satisfied' THEN 'supported' WHEN (bb = pb AND bb = 'insufficient') OR cc = 'exceeded' THEN 'not_supported' ELSE 'inconclusive' END AS joint_adoption FROM dj""", ("practical_contrast", "improvement", "practical_lower", "practical_upper", "boot_lower", "boot_upper", "zero_boot_lower", "zero_boot_upper"), 6)
 def _(spark, d):
     return pr.bootstrap_summary(_pairs(spark, d), ["model", "realization"], "sl", "rl", "wt", "unit", 400, "s1", shared_calls="shared_calls", rule_calls="rule_calls")
 
@@ -132,11 +132,14 @@ def _(spark, d):
     return e.withColumn("order_changed", rank("error_a") != rank("error_b"))
 
 
-@query("candidate_edges", """WITH s AS (SELECT o_custkey AS wave, o_orderpriority AS batch, o_orderstatus AS day, CASE WHEN o_orderkey % 7 = 0 THEN 'TRAIN' ELSE 'EVAL' END AS role FROM orders), t AS (SELECT DISTINCT batch, wave FROM s WHERE role = 'TRAIN')
-SELECT DISTINCT a.wave, a.batch FROM s a JOIN s b USING (wave, batch) WHERE a.day = 'O' AND b.day = 'F' AND a.role = 'EVAL' AND b.role = 'EVAL' AND NOT EXISTS (FROM t WHERE t.batch = a.batch AND t.wave = a.wave)""")
+#: Waves are customers, batches priorities in groups of customers, pools years; some batches have trained.
+@query("candidate_edges", """WITH s AS (SELECT o_custkey AS wave, o_orderpriority || '/' || (o_custkey % 40) AS batch, year(o_orderdate) AS pool, o_orderstatus AS day, CASE WHEN o_orderkey % 97 = 0 THEN 'TRAIN' ELSE 'EVAL' END AS role FROM orders), t AS (SELECT DISTINCT batch FROM s WHERE role = 'TRAIN')
+SELECT DISTINCT a.wave, a.batch FROM s a JOIN s b USING (wave, batch, pool) WHERE a.day = 'O' AND b.day = 'F' AND a.role = 'EVAL' AND b.role = 'EVAL' AND a.batch NOT IN (SELECT batch FROM t)""")
 def _(spark, d):
-    s = table(spark, d, "orders").select(F.col("o_custkey").alias("wave"), F.col("o_orderpriority").alias("batch"), F.col("o_orderstatus").alias("day"), F.when(F.col("o_orderkey") % 7 == 0, "TRAIN").otherwise("EVAL").alias("role"))
-    return rp.candidate_edges(s, ["wave", "batch"], "O", "F")
+    s = table(spark, d, "orders").select(
+        F.col("o_custkey").alias("wave"), F.concat_ws("/", "o_orderpriority", (F.col("o_custkey") % 40).cast("string")).alias("batch"), F.year("o_orderdate").alias("pool"), F.col("o_orderstatus").alias("day"), F.when(F.col("o_orderkey") % 97 == 0, "TRAIN").otherwise("EVAL").alias("role"),
+    )
+    return rp.candidate_edges(s, "wave", "batch", "pool", "O", "F")
 
 
 @query("matching_rejection_class", U + ", f AS (SELECT source, target, min(p) AS best, max(p) AS worst, bool_or(adjusted <= 0.3) AS once, max(m) AS size FROM hm GROUP BY ALL) SELECT source, target, CASE WHEN worst * size <= 0.3 THEN 'invariant' WHEN best > 0.3 THEN 'impossible' WHEN once THEN 'possible_not_necessary' ELSE 'unresolved' END AS class FROM f")
@@ -218,41 +221,6 @@ def _(spark, d):
 
 # ---- scores of fixed roles, baselines ----------------------------------------------------------------
 
-_FB = """WITH e AS (SELECT vec_id AS cell, label, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS gene FROM embeddings), c AS (SELECT *, cell % 4 AS quarter FROM e WHERE label < 4), y AS (SELECT label AS task, gene, avg(v) AS y FROM e WHERE label >= 4 GROUP BY ALL), m AS (SELECT quarter, gene, avg(v) AS m FROM c GROUP BY ALL), s AS (SELECT gene, greatest(stddev_samp(v), 0.1) AS s FROM c GROUP BY gene),
-r AS (SELECT a.gene, a.quarter AS i, b.quarter AS o, 0.5 * a.m AS effect, b.m AS ref FROM m a JOIN m b ON a.gene = b.gene AND a.quarter <> b.quarter)
-"""
-
-
-def _roles(spark, d):
-    c = dm.controls(spark, d).withColumn("quarter", F.col("cell_id").cast("long") % 4)
-    m = c.select("quarter", F.posexplode("profile").alias("gene", "v")).groupBy("quarter", "gene").agg(F.avg("v").alias("m"))
-    # The state of a control is 1.5 times its profile, so its effect on the input block is half the block's mean.
-    pairs = m.alias("a").join(m.alias("b"), (F.col("a.gene") == F.col("b.gene")) & (F.col("a.quarter") != F.col("b.quarter")))
-    pairs = pairs.select(F.col("a.gene").alias("gene"), F.col("a.quarter").alias("i"), F.col("b.quarter").alias("o"), (F.col("a.m") * 1.5 - F.col("a.m")).alias("effect"), F.col("b.m").alias("ref"))
-    y = dm.cells(spark, d).where("stratum >= 4").select(F.col("stratum").alias("task"), F.posexplode("profile").alias("gene", "v")).groupBy("task", "gene").agg(F.avg("v").alias("y"))
-    s = dm.scales(spark, d).select(F.posexplode("scale").alias("gene", "s"))
-    return rp.role_losses(pairs, y, s)
-
-
-@query("fixed_budget_score", _FB + "SELECT task, avg(loss) AS loss FROM (SELECT task, i, o, avg(pow((effect - (y - ref)) / s, 2)) AS loss FROM r JOIN y USING (gene) JOIN s USING (gene) GROUP BY ALL) GROUP BY task", ("loss",))
-def _(spark, d):
-    return _roles(spark, d).groupBy("task").agg(F.avg("loss").alias("loss"))
-
-
-@query("independent_effect_score", _FB + "SELECT task, avg(pow((effect - (y - ref)) / s, 2)) AS loss FROM r JOIN y USING (gene) JOIN s USING (gene) WHERE i = 0 AND o = 3 GROUP BY task", ("loss",))
-def _(spark, d):
-    return _roles(spark, d).where("i = 0 AND o = 3").select("task", "loss")
-
-
-@query("conditioning_displacement", _FB + ", b AS (SELECT task, quarter, gene, y + 0.5 * m AS v FROM m JOIN y USING (gene)) SELECT a.task, sqrt(avg(pow((a.v - b.v) / s, 2))) AS displacement FROM b a JOIN b ON a.task = b.task AND a.gene = b.gene AND a.quarter < b.quarter JOIN s ON s.gene = a.gene GROUP BY a.task", ("displacement",))
-def _(spark, d):
-    c = dm.controls(spark, d).withColumn("quarter", F.col("cell_id").cast("long") % 4)
-    m = c.select("quarter", F.posexplode("profile").alias("gene", "v")).groupBy("quarter", "gene").agg(F.avg("v").alias("m"))
-    y = dm.cells(spark, d).where("stratum >= 4").select(F.col("stratum").alias("task"), F.posexplode("profile").alias("gene", "v")).groupBy("task", "gene").agg(F.avg("v").alias("y"))
-    states = m.join(y, "gene").select("task", "quarter", "gene", (F.col("y") + 0.5 * F.col("m")).alias("v"))
-    return rp.displacement(states, ["task"], "quarter", dm.scales(spark, d).select(F.posexplode("scale").alias("gene", "s")))
-
-
 def _design(spark, d):
     li = table(spark, d, "lineitem")
     num = lambda c: F.col(c).cast("double")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from contraspark.operators import allocation as al
 from contraspark.operators import comparison as cm
 from contraspark.operators import inference as inf
 from contraspark.operators import organizer as og
@@ -84,16 +87,23 @@ def organizer_design(spark, d):
     return decided.join(advice, ["case_id", "policy"]).select("case_id", "unit", "budget", "model_a", "model_b", "policy", "margin", "limit", "released", "favoured", "reason", "recommended_budget", "winner")
 
 
-@query("pipeline_organizer_check", B + decisions._PS + """, g AS (SELECT budget, max(n_released) FILTER (policy = 'geometry_scaled') AS gr, max(unsupported) FILTER (policy = 'geometry_scaled') AS gu, max(n_released) FILTER (policy = 'repeated_primary') AS rr, max(unsupported) FILTER (policy = 'repeated_primary') AS ru FROM ps2 GROUP BY budget)
-SELECT ps2.*, CASE WHEN gr = 0 OR rr = 0 THEN 'insufficient' WHEN gr > rr AND gu <= ru THEN 'strict_gain' WHEN gr = rr AND gu = ru THEN 'parity' ELSE 'no_gain' END AS verdict FROM ps2 JOIN g USING (budget)""", ("coverage", "unsupported_share"))
+@query("pipeline_organizer_check", B + decisions._PS + decisions._REC + f""", g AS (SELECT g.budget, {decisions._VERDICT} FROM ps2 g JOIN ps2 r USING (budget) WHERE g.policy = 'geometry_scaled' AND r.policy = 'repeated_primary'),
+ba AS (SELECT r.case_id, r.policy, r.budget, bool_and(a.supported) AS supported FROM rec r JOIN ass a ON a.case_id = r.case_id AND a.policy = r.policy AND a.budget = r.budget AND (a.model_a = r.winner OR a.model_b = r.winner) GROUP BY ALL),
+bb AS (SELECT budget, policy, count(*) AS recommended, count(*) FILTER (supported) AS supported_recommendations FROM ba GROUP BY ALL)
+SELECT ps2.*, verdict, coalesce(recommended, 0) AS recommended, coalesce(supported_recommendations, 0) AS supported_recommendations, 0::BIGINT AS frozen_differences FROM ps2 JOIN g USING (budget) LEFT JOIN bb USING (budget, policy)""", ("coverage", "unsupported_share"))
 def organizer_check(spark, d):
-    """The frozen design against all realizations of the assessment: support of each policy and the verdict of the two adaptive ones."""
-    s = dm.kept(og.policy_summary(decisions._assessed(spark, d)), "summary")
-    of = lambda policy, c: F.max(F.when(F.col("policy") == policy, F.col(c)))
-    g = s.groupBy("budget").agg(*[of(p, c).alias(f"{p[0]}_{c}") for p in ("geometry_scaled", "repeated_primary") for c in ("n_released", "unsupported")])
-    verdict = F.expr("""case when g_n_released = 0 or r_n_released = 0 then 'insufficient' when g_n_released > r_n_released and g_unsupported <= r_unsupported then 'strict_gain'
-        when g_n_released = r_n_released and g_unsupported = r_unsupported then 'parity' else 'no_gain' end""")
-    return s.join(g, "budget").select(*s.columns, verdict.alias("verdict"))
+    """A frozen design against its recomputation, then against all realizations of the assessment: support of each policy, the
+    verdict of the adaptive one, and how many recommended budgets hold against all opponents."""
+    frozen = st.publish_once(decisions._decided(spark, d), st.work_path(spark, "design"))
+    differences = F.broadcast(st.frozen_check(decisions._decided(spark, d), frozen).agg(F.count("*").alias("frozen_differences")))  # one row
+    assessed = dm.kept(og.assess(frozen, dm.assessment(spark, d), decisions.GAP), "assessed")
+    summary = dm.kept(og.policy_summary(assessed), "summary")
+    advice = og.budget_recommendation(frozen, 5, ["A", "N", "R"]).where("winner is not null")
+    own = advice.join(assessed, ["case_id", "policy", "budget"]).where("model_a = winner or model_b = winner").groupBy("case_id", "policy", "budget").agg(F.bool_and("supported").alias("ok"))
+    own = own.groupBy("budget", "policy").agg(F.count("*").alias("recommended"), F.count_if("ok").alias("supported_recommendations"))
+    j = summary.join(og.compare_policies(summary), "budget").join(own, ["budget", "policy"], "left").crossJoin(differences)
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return j.select(*summary.columns, "verdict", none("recommended"), none("supported_recommendations"), "frozen_differences")
 
 
 # ---- reporting rules, design audit, selection ----------------------------------------------------
@@ -126,12 +136,13 @@ def reporting_rules(spark, d):
 
 
 @query("pipeline_design_audit", decisions.U + """, m AS (SELECT DISTINCT method_id FROM util), a AS (SELECT DISTINCT allocation_id FROM util), u AS (SELECT allocation_id, method_id, count(DISTINCT unit_id) AS units FROM util GROUP BY ALL)
-SELECT a.allocation_id, x.method_id AS source, y.method_id AS target, least(coalesce(ux.units, 0), coalesce(uy.units, 0)) AS units, coalesce(h.k, 0) AS k, round(h.adjusted, 6) AS adjusted,
+SELECT a.allocation_id, x.method_id AS source, y.method_id AS target, least(coalesce(ux.units, 0), coalesce(uy.units, 0)) AS units,
+(SELECT count(DISTINCT s.s_nationkey) FROM supplier s JOIN supplier t ON round(s.s_acctbal / 100) = round(t.s_acctbal / 100) AND s.s_nationkey <> t.s_nationkey WHERE s.s_nationkey::VARCHAR IN (SELECT unit_id FROM util v WHERE v.allocation_id = a.allocation_id)) AS linked_units, coalesce(h.k, 0) AS k, round(h.adjusted, 6) AS adjusted,
 CASE WHEN h.k IS NULL OR h.k < ceil(log2(h.m / 0.05) - 1e-12) THEN 'WITHHELD' WHEN h.adjusted <= 0.05 THEN 'DIRECTION' ELSE 'NO_DIRECTION' END AS decision
 FROM a, m x, m y LEFT JOIN u ux ON ux.allocation_id = a.allocation_id AND ux.method_id = x.method_id LEFT JOIN u uy ON uy.allocation_id = a.allocation_id AND uy.method_id = y.method_id
 LEFT JOIN hm h ON h.allocation_id = a.allocation_id AND h.source = x.method_id AND h.target = y.method_id WHERE x.method_id <> y.method_id""", ("adjusted",))
 def design_audit(spark, d):
-    """The plan of all ordered pairs, the units that bear on each, exact sign tails, Holm's adjustment and the decision; pairs without data are withheld."""
+    """The units' audit (how many share an acquisition group with another), the plan of all ordered pairs, the units that bear on each, exact sign tails, Holm's adjustment and the decision; pairs without data are withheld."""
     u = dm.utilities(spark, d)
     tails = inf.sign_tails(inf.sign_counts(u)).withColumn("p", F.round("p", 10))
     decided = inf.directional(inf.holm(tails, ["allocation_id"], "p", ["source", "target"]), 0.05, ["allocation_id"])
@@ -143,56 +154,79 @@ def design_audit(spark, d):
         plan = plan.join(units.select("allocation_id", F.col("method_id").alias(side), F.col("units").alias(f"units_{side}")), ["allocation_id", side], "left")
     out = plan.join(decided.select(*key, "k", "adjusted", "decision"), key, "left")
     least = F.least(F.coalesce("units_source", F.lit(0)), F.coalesce("units_target", F.lit(0)))
-    return out.select(*key, least.alias("units"), F.coalesce("k", F.lit(0)).alias("k"), F.round("adjusted", 6).alias("adjusted"), F.coalesce("decision", F.lit("WITHHELD")).alias("decision"))
-
-
-@query("pipeline_fixed_budget_selection", with_("scores", "dev", "asm") + """, s AS (SELECT budget, realization AS rule, model, avg(score) AS loss FROM dev GROUP BY ALL), e AS (SELECT budget, realization AS rule, model, avg(score) AS loss FROM asm GROUP BY ALL),
-c AS (SELECT budget, rule, min(model) AS family FROM (SELECT *, min(loss) OVER (PARTITION BY budget, rule) AS best FROM s) WHERE loss <= best + 1e-12 GROUP BY ALL), b AS (SELECT budget, rule, min(loss) AS best_loss FROM e GROUP BY ALL)
-SELECT budget, rule, family, s.loss AS selection_loss, e.loss AS evaluation_loss, best_loss, e.loss - best_loss AS regret FROM c JOIN s USING (budget, rule) JOIN e USING (budget, rule) JOIN b USING (budget, rule) WHERE s.model = family AND e.model = family""", ("selection_loss", "evaluation_loss", "best_loss", "regret"))
-def fixed_budget_selection(spark, d):
-    """For each budget and rule the family of least mean loss on selection cases, and its loss and regret on cases of the other half."""
-    all_scores = dm.scores(spark, d).withColumn("rule", F.col("realization"))
-    part = F.when(F.col("case_id").cast("int") % 2 == 0, "selection").otherwise("evaluation")
-    loss = dm.kept(all_scores.groupBy("budget", "rule", "model", part.alias("part")).agg(F.avg("score").alias("loss")), "losses")
-    key = ["budget", "rule"]
-    chosen = cm.fixed_argmin(loss.where("part = 'selection'"), key, "model", "loss")
-    evaluated = loss.where("part = 'evaluation'")
-    best = evaluated.groupBy(*key).agg(F.min("loss").alias("best_loss"))
-    own = chosen.join(evaluated.select(*key, F.col("model").alias("family"), F.col("loss").alias("evaluation_loss")), [*key, "family"])
-    return own.join(best, key).select(*key, "family", F.col("loss").alias("selection_loss"), "evaluation_loss", "best_loss", (F.col("evaluation_loss") - F.col("best_loss")).alias("regret"))
+    linked = decisions.unit_geometry(spark, d).where("neighbours > 0").select(F.col("unit").cast("string").alias("unit_id"))
+    linked = u.select("allocation_id", "unit_id").distinct().join(linked, "unit_id", "left_semi").groupBy("allocation_id").agg(F.count("*").alias("linked_units"))
+    out = out.join(linked, "allocation_id", "left")
+    return out.select(*key, least.alias("units"), F.coalesce("linked_units", F.lit(0)).alias("linked_units"), F.coalesce("k", F.lit(0)).alias("k"), F.round("adjusted", 6).alias("adjusted"), F.coalesce("decision", F.lit("WITHHELD")).alias("decision"))
 
 
 # ---- fixed-budget scores over the rules' partitions ------------------------------------------------
 
-#: Weights of genes, growing with their place and summing to one; states are 1.5 times a control's profile.
-_RULE_LOSS = base._RULE_CELLS + """, e AS (SELECT vec_id::VARCHAR AS cell_id, label, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS gene FROM embeddings), y AS (SELECT label AS task, gene, avg(v) AS y FROM e WHERE label >= 4 GROUP BY ALL),
+#: Weights of genes, growing with their place and summing to one; a family's states are a multiple of a control's profile.
+FAMILIES = (("no_change", 1.0), ("mild", 1.25), ("strong", 1.5), ("double", 2.0))
+_SCALED = """, e AS (SELECT vec_id::VARCHAR AS cell_id, label, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS gene FROM embeddings), y AS (SELECT label AS task, gene, avg(v) AS y FROM e WHERE label >= 4 GROUP BY ALL),
 s AS (SELECT gene, greatest(stddev_samp(v), 0.1) AS s, (gene + 1.0::DOUBLE) / (SELECT sum(gene + 1.0::DOUBLE) FROM (SELECT DISTINCT gene FROM e)) AS w FROM e WHERE label < 4 GROUP BY gene),
-m AS (SELECT rule, direction, gene, avg(1.5 * v) FILTER (role = 'input') - avg(v) FILTER (role = 'input') AS effect, avg(v) FILTER (role = 'observation') AS ref FROM rp JOIN e USING (cell_id) GROUP BY ALL),
-l AS (SELECT task, rule, direction, sum(w * pow((effect - (y - ref)) / s, 2)) AS loss FROM m JOIN y USING (gene) JOIN s USING (gene) GROUP BY ALL)
+fam(family, factor) AS (VALUES ('no_change', 1.0::DOUBLE), ('mild', 1.25), ('strong', 1.5), ('double', 2.0))"""
+_RULE_LOSS = base._RULE_CELLS + _SCALED + """, m AS (SELECT rule, direction, gene, avg(v) FILTER (role = 'input') AS given, avg(v) FILTER (role = 'observation') AS ref FROM rp JOIN e USING (cell_id) GROUP BY ALL),
+l AS (SELECT task, rule, direction, family, sum(w * pow(((factor - 1) * given - (y - ref)) / s, 2)) AS loss FROM m JOIN y USING (gene) JOIN s USING (gene), fam GROUP BY ALL)
 """
 
 
-@query("fixed_budget_score_rules", _RULE_LOSS + "SELECT task, rule, avg(loss) AS loss, count(*) AS directions FROM l GROUP BY ALL", ("loss",))
-def fixed_budget_rules(spark, d):
-    """Weighted loss of a state model under every rule: squared in each direction, then averaged."""
-    losses = sc.partition_losses(base._rule_cells(spark, d), dm.controls(spark, d), 1.5, dm.targets_of_all(spark, d), _weighted_scales(spark, d))
-    return losses.groupBy("task", "rule").agg(F.avg("loss").alias("loss"), F.count("*").alias("directions"))
+def _families(spark):
+    return spark.createDataFrame(FAMILIES, "family string, factor double")
 
 
 def _weighted_scales(spark, d):
     s = dm.scales(spark, d).select(F.posexplode("scale").alias("gene", "s"))
     place = F.col("gene") + F.lit(1.0)
-    return dm.kept(s.withColumn("w", place / F.sum(place).over(Window.partitionBy(F.lit(1)))), "scales")  # one row for each gene
+    total = F.broadcast(s.agg(F.sum(place).alias("_t")))  # one row
+    return dm.kept(s.crossJoin(total).select("gene", "s", (place / F.col("_t")).alias("w")), "scales")
+
+
+def _partition_losses(spark, d, share=1.0):
+    return sc.partition_losses(base._rule_cells(spark, d, share), dm.controls(spark, d), _families(spark), dm.targets_of_all(spark, d), _weighted_scales(spark, d))
+
 
+@query("fixed_budget_score", _RULE_LOSS + "SELECT task, rule, family, avg(loss) AS loss, count(*) AS directions FROM l GROUP BY ALL", ("loss",))
+def fixed_budget_score(spark, d):
+    """Weighted loss of each family under every rule, over the whole budget: squared in each direction, then averaged."""
+    return _partition_losses(spark, d).groupBy("task", "rule", "family").agg(F.avg("loss").alias("loss"), F.count("*").alias("directions"))
 
-@query("independent_effect_score_rows", _RULE_LOSS.split(",\nm AS (SELECT rule")[0] + """, q AS (SELECT cell_id, CASE WHEN r % 3 = 0 THEN 'input' ELSE 'observation' END AS role FROM rk WHERE r % 3 < 2),
-m AS (SELECT gene, avg(1.5 * v) FILTER (role = 'input') - avg(v) FILTER (role = 'input') AS effect, avg(v) FILTER (role = 'observation') AS ref FROM q JOIN e USING (cell_id) GROUP BY ALL)
-SELECT task, sum(w * pow((effect - (y - ref)) / s, 2)) AS loss FROM m JOIN y USING (gene) JOIN s USING (gene) GROUP BY task""", ("loss",))
-def independent_rows(spark, d):
-    """The same loss on rows that the user names for each role; a row in both roles, or twice in one, is an error."""
-    from contraspark.operators import allocation as al
 
-    r = al.ranked(dm.controls(spark, d), 1, dm.SEED).where("r % 3 < 2")
-    cells = r.select(F.lit("own").alias("rule"), F.lit(0).alias("direction"), F.when(F.col("r") % 3 == 0, "input").otherwise("observation").alias("role"), "cell_id")
+@query("independent_effect_score", base._RULE_CELLS + _SCALED + """, q AS (SELECT cell_id, CASE WHEN r % 3 = 0 THEN 'input' ELSE 'observation' END AS role FROM rk WHERE r % 3 < 2),
+m AS (SELECT gene, avg(v) FILTER (role = 'input') AS given, avg(v) FILTER (role = 'observation') AS ref FROM q JOIN e USING (cell_id) GROUP BY ALL)
+SELECT task, family, sum(w * pow(((factor - 1) * given - (y - ref)) / s, 2)) AS loss FROM m JOIN y USING (gene) JOIN s USING (gene), fam GROUP BY ALL""", ("loss",))
+def independent_effect_score(spark, d):
+    """The same loss on rows that the user names for each role (thirds of each stratum; the last third has none); a row in both roles, or twice in one, is an error."""
+    r = running(dm.controls(spark, d).select("cell_id", "stratum"), ["stratum"], [al.hash_rank(dm.SEED, F.lit("0"), "cell_id"), "cell_id"], rank="r").where("(r - 1) % 3 < 2")
+    cells = r.select(F.lit("own").alias("rule"), F.lit(0).alias("direction"), F.when((F.col("r") - 1) % 3 == 0, "input").otherwise("observation").alias("role"), "cell_id")
     sc.refuse_overlap(cells)
-    return sc.partition_losses(cells, dm.controls(spark, d), 1.5, dm.targets_of_all(spark, d), _weighted_scales(spark, d)).select("task", "loss")
+    return sc.partition_losses(cells, dm.controls(spark, d), _families(spark), dm.targets_of_all(spark, d), _weighted_scales(spark, d)).select("task", "family", "loss")
+
+
+_SHARES = (("whole", 1.0), ("half", 0.5))
+
+
+@query("pipeline_fixed_budget_selection", _RULE_LOSS.replace("rp AS (SELECT rule, direction, role, stratum, cell_id FROM (SELECT *, n // 4 AS q FROM rk) JOIN parts", "sh(budget, share) AS (VALUES ('whole', 1.0::DOUBLE), ('half', 0.5::DOUBLE)),\nrp AS (SELECT budget, rule, direction, role, stratum, cell_id FROM (SELECT *, floor(n * share / 4)::BIGINT AS q FROM rk, sh) JOIN parts")
+       .replace("m AS (SELECT rule,", "m AS (SELECT budget, rule,").replace("l AS (SELECT task, rule,", "l AS (SELECT task, budget, rule,") + """, t AS (SELECT budget, rule, family, task, avg(loss) AS loss FROM l GROUP BY ALL),
+p AS (SELECT budget, rule, family, CASE WHEN task % 2 = 0 THEN 'selection' ELSE 'evaluation' END AS part, avg(loss) AS loss FROM t GROUP BY ALL),
+o(family, place) AS (VALUES ('no_change', 1), ('mild', 2), ('strong', 3), ('double', 4)),
+c AS (SELECT budget, rule, arg_min(family, place) AS family FROM (SELECT *, min(loss) OVER (PARTITION BY budget, rule) AS best FROM p JOIN o USING (family) WHERE part = 'selection') WHERE loss <= best + 1e-12 GROUP BY ALL),
+b AS (SELECT budget, rule, min(loss) AS best_loss FROM p WHERE part = 'evaluation' GROUP BY ALL)
+SELECT budget, rule, family, x.loss AS selection_loss, z.loss AS evaluation_loss, best_loss, z.loss - best_loss AS regret FROM c JOIN p x USING (budget, rule, family) JOIN p z USING (budget, rule, family) JOIN b USING (budget, rule) WHERE x.part = 'selection' AND z.part = 'evaluation'""", ("selection_loss", "evaluation_loss", "best_loss", "regret"))
+def fixed_budget_selection(spark, d):
+    """For each budget and rule the family of least mean loss on selection tasks, and its loss and regret on the other tasks.
+
+    Budgets are shares of each stratum's controls, rounded down to multiples of four; the rules' partitions
+    give the losses. Tasks are disjoint between the stages; ties go to the family declared first.
+    """
+    losses = reduce(DataFrame.union, [_partition_losses(spark, d, share).select(F.lit(name).alias("budget"), "rule", "direction", "family", "task", "loss") for name, share in _SHARES])
+    part = F.when(F.col("task") % 2 == 0, "selection").otherwise("evaluation")
+    means = cm.chained_mean(losses.withColumn("part", part), ["direction", "task"], ["budget", "rule", "family", "part"], "loss")
+    means = dm.kept(means, "losses")
+    key = ["budget", "rule"]
+    chosen = cm.fixed_argmin(means.where("part = 'selection'"), key, "family", "loss", order=[f for f, _ in FAMILIES])
+    evaluated = means.where("part = 'evaluation'")
+    best = evaluated.groupBy(*key).agg(F.min("loss").alias("best_loss"))
+    own = chosen.join(evaluated.select(*key, "family", F.col("loss").alias("evaluation_loss")), [*key, "family"])
+    return own.join(best, key).select(*key, "family", F.col("loss").alias("selection_loss"), "evaluation_loss", "best_loss", (F.col("evaluation_loss") - F.col("best_loss")).alias("regret"))

@@ -33,20 +33,20 @@ def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
     return df.select(*[(F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
-def query(name: str, sql: str | None = None, doubles: tuple[str, ...] = ()):
-    """Register a query; ``doubles`` are the columns of the SQL that are rounded like the query's."""
+def query(name: str, sql: str | None = None, doubles: tuple[str, ...] = (), digits: int = 9):
+    """Register a query; ``doubles`` are the columns of the SQL that are rounded like the query's, to fewer ``digits`` where the two solve an equation."""
 
     def put(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             token = _MADE.set({})
             try:
-                return rounded(fn(spark, sf_dir))
+                return rounded(fn(spark, sf_dir), digits)
             finally:
                 _MADE.reset(token)
 
         QUERIES[name] = run
         if sql is not None:
-            cols = ", ".join(f"round({c}, 9) + 0.0 AS {c}" for c in doubles)
+            cols = ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in doubles)
             ORACLE_SQL[name] = sql if not doubles else f"SELECT * REPLACE ({cols}) FROM ({sql})"
         return fn
 

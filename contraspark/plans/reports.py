@@ -13,8 +13,9 @@ from contraspark.operators import quality
 from contraspark.operators import reporting as rp
 from contraspark.operators import scoring as sc
 from contraspark.operators.prefix import running
+from contraspark.plans import base
 from contraspark.plans import domain as dm
-from contraspark.plans.decisions import _BASE, _UM, _um
+from contraspark.plans.decisions import _BASE, _UM, U, _holm, _um
 from contraspark.plans.domain import with_
 from contraspark.plans.registry import once, query, table
 from contraspark.sources.storage import work_path
@@ -157,9 +158,18 @@ def _(spark, d):
     return x.join(f, ["model_a", "model_b"]).select("pool", "model_a", "model_b", "mean", (F.signum("mean") != F.signum("whole")).alias("changed"))
 
 
-@query("work_accounting", with_("alloc") + "SELECT depth, block, count(*) AS forwards, count(DISTINCT cell_id) AS unique_cells, count(*) FILTER (allocation = '0') AS first_allocation FROM member GROUP BY ALL")
+#: A receipt is one inference on a control cell of a stratum; strata 0 and 1 calibrate. Later rules take from the cache what an earlier one (by name) has run.
+@query("work_accounting", base._RULE_CELLS + """, us AS (SELECT rule, CASE WHEN stratum < 2 THEN 'calibration' ELSE 'publication' END AS part, cell_id AS receipt, cell_id AS control, rule || '/' || direction || '/' || stratum AS scored FROM rp WHERE role = 'input'),
+rc AS (SELECT cell_id AS receipt, 1 + length(cell_id) AS forwards, cell_id::INT % 3 = 0 AS cached, 0.25::DOUBLE AS seconds FROM cells),
+x AS (SELECT CASE WHEN a THEN rule END AS rule, CASE WHEN b THEN part END AS partition, receipt, control, scored FROM us, (VALUES (true, true), (true, false), (false, false)) v(a, b)),
+u AS (SELECT rule, partition, count(DISTINCT control) AS controls, count(DISTINCT scored) AS scored, sum(forwards)::BIGINT AS uncached_forwards FROM x JOIN rc USING (receipt) GROUP BY ALL),
+w AS (SELECT rule, partition, count(*) AS receipts, count(*) FILTER (cached) AS cached_receipts, sum(forwards)::BIGINT AS forwards, (sum(forwards) FILTER (NOT cached))::BIGINT AS executed_forwards, sum(seconds) AS seconds FROM (SELECT DISTINCT rule, partition, receipt FROM x) JOIN rc USING (receipt) GROUP BY ALL)
+SELECT u.*, receipts, cached_receipts, forwards, executed_forwards, seconds FROM u JOIN w ON u.rule IS NOT DISTINCT FROM w.rule AND u.partition IS NOT DISTINCT FROM w.partition""", ("seconds",))
 def _(spark, d):
-    return dm.membership(spark, d).groupBy("depth", "block").agg(F.count("*").alias("forwards"), F.count_distinct("cell_id").alias("unique_cells"), F.count_if(F.col("allocation") == "0").alias("first_allocation"))
+    part = F.when(F.col("stratum") < 2, "calibration").otherwise("publication")
+    used = base._rule_cells(spark, d).where("role = 'input'").select("rule", part.alias("partition"), F.col("cell_id").alias("receipt"), F.col("cell_id").alias("control"), F.concat_ws("/", "rule", "direction", "stratum").alias("scored"))
+    receipts = dm.controls(spark, d).select(F.col("cell_id").alias("receipt"), (1 + F.length("cell_id")).alias("forwards"), (F.col("cell_id").cast("int") % 3 == 0).alias("cached"), F.lit(0.25).alias("seconds"))
+    return rp.work_accounting(used, receipts)
 
 
 # ---- programs and baselines ----------------------------------------------------------------------
@@ -245,41 +255,59 @@ def _(spark, d):
 
 # ---- matchings: allocation = matching, unit = matched unit ----------------------------------------
 
-_MS = ", ms AS (SELECT allocation_id AS matching, unit_id::INT % 5 AS graph, method_id, sum(utility) AS total FROM util GROUP BY ALL), ml AS (SELECT *, max(total) OVER (PARTITION BY matching, graph) - total <= 1e-12 AS leads FROM ms)\n"
+#: A matching is an allocation, a graph the residue of a nation modulo five, an edge a nation and method; utilities are exact fractions over the largest number of lines of a cell.
+_MS = """WITH mm AS (SELECT l_returnflag AS matching, s_nationkey % 5 AS graph, s_nationkey AS edge, p_brand AS method_id, sum(l_quantity)::DECIMAL(38,0) AS q, 1000::DECIMAL(38,0) AS d FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
+ms AS (SELECT matching, graph, method_id, sum(q)::DECIMAL(38,0) AS numerator, max(d) AS denominator FROM mm GROUP BY ALL),
+ml AS (SELECT *, rank() OVER (PARTITION BY matching, graph ORDER BY numerator DESC) AS rank FROM ms)
+"""
+
+
+def _members(spark, d):
+    j = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag", "l_quantity").join(table(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    j = j.join(table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    key = [F.col("l_returnflag").alias("matching"), (F.col("s_nationkey") % 5).alias("graph"), F.col("s_nationkey").alias("edge"), F.col("p_brand").alias("method_id")]
+    g = j.groupBy(*key).agg(F.sum(F.col("l_quantity").cast("decimal(20,0)")).alias("q"))
+    return once(("members", d), lambda: dm.kept(g.withColumn("d", F.lit(1000)), "members"))
 
 
 def _leaders(spark, d):
-    s = dm.utilities(spark, d).groupBy(F.col("allocation_id").alias("matching"), F.expr("int(unit_id) % 5").alias("graph"), "method_id").agg(F.sum("utility").alias("total"))
-    return rp.matching_leaders(s, ["matching", "graph"], "method_id", "total")
+    return rp.matching_means(_members(spark, d), ["matching", "graph"], "method_id", "q", "d")
 
 
-@query("matching_summaries", with_("util") + _MS + "SELECT * FROM ml", ("total",))
+@query("matching_summaries", _MS + """, mt AS (SELECT graph, count(DISTINCT matching) AS matchings FROM mm GROUP BY graph), ic AS (SELECT graph, method_id, count(DISTINCT matching) / any_value(matchings) AS frequency FROM mm JOIN mt USING (graph) GROUP BY ALL),
+lc AS (SELECT graph, method_id, count(*) FILTER (rank = 1) AS times FROM ml GROUP BY ALL)
+SELECT matching, graph, method_id, numerator::VARCHAR AS numerator, denominator::VARCHAR AS denominator, rank, rank = 1 AS leads, times AS leader_count, frequency FROM ml JOIN lc USING (graph, method_id) JOIN ic USING (graph, method_id)""", ("frequency",))
 def _(spark, d):
-    return _leaders(spark, d)
+    """Exact utility sums, ranks and leaders of each matching, how often a method leads its graph, and how often the graph's matchings hold it."""
+    leaders = dm.kept(_leaders(spark, d), "leaders")
+    count = rp.leader_class(leaders, ["graph", "method_id"]).select("graph", "method_id", F.col("times").alias("leader_count"))
+    held = rp.inclusion(_members(spark, d), ["graph"], "matching", ["method_id"]).select("graph", "method_id", "frequency")
+    text = [F.col(c).cast("string").alias(c) for c in ("numerator", "denominator")]
+    return leaders.join(count, ["graph", "method_id"]).join(held, ["graph", "method_id"]).select("matching", "graph", "method_id", *text, "rank", "leads", "leader_count", "frequency")
 
 
-@query("matching_leader_class", with_("util") + _MS + "SELECT method_id, count(*) FILTER (leads) AS times, CASE WHEN bool_and(leads) THEN 'necessary' WHEN bool_or(leads) THEN 'possible' ELSE 'impossible' END AS leader_class FROM ml GROUP BY method_id")
+@query("matching_leader_class", _MS + "SELECT method_id, count(*) FILTER (rank = 1) AS times, count(*) AS matchings, CASE WHEN bool_and(rank = 1) THEN 'necessary' WHEN bool_or(rank = 1) THEN 'possible' ELSE 'impossible' END AS leader_class FROM ml GROUP BY method_id")
 def _(spark, d):
-    return rp.leader_class(_leaders(spark, d), "method_id")
+    return rp.leader_class(_leaders(spark, d), ["method_id"])
 
 
-@query("additive_extrema_over_matchings", with_("util") + _MS + "SELECT graph, method_id, min(total) AS least, max(total) AS most FROM ms GROUP BY ALL", ("least", "most"))
+@query("additive_extrema_over_matchings", _MS + "SELECT graph, method_id, min(numerator)::VARCHAR AS least, max(numerator)::VARCHAR AS most FROM ms GROUP BY ALL")
 def _(spark, d):
-    return _leaders(spark, d).groupBy("graph", "method_id").agg(F.min("total").alias("least"), F.max("total").alias("most"))
+    return _leaders(spark, d).groupBy("graph", "method_id").agg(F.min("numerator").cast("string").alias("least"), F.max("numerator").cast("string").alias("most"))
 
 
-_SB = with_("util") + ", sc AS (SELECT a.allocation_id, a.method_id AS source, b.method_id AS target, count(*) FILTER (a.utility > b.utility) AS wins, count(*) FILTER (a.utility < b.utility) AS losses FROM util a JOIN util b ON a.allocation_id = b.allocation_id AND a.unit_id = b.unit_id AND a.method_id <> b.method_id GROUP BY ALL)\n"
+@query("matching_sign_bounds", U + "SELECT source, target, min(wins) AS least_wins, max(wins) AS most_wins, CASE WHEN min(ties) = max(ties) THEN min(ties) END AS constant_ties, min(p) AS best_p, max(p) AS worst_p FROM tl GROUP BY ALL", ("best_p", "worst_p"))
+def _(spark, d):
+    return rp.sign_bounds(inf.sign_tails(inf.sign_counts(dm.utilities(spark, d))), ["source", "target"])
 
 
-@query("matching_sign_bounds", _SB + "SELECT source, target, min(wins) AS least_wins, max(wins) AS most_wins, max(wins) - min(wins) AS width FROM sc GROUP BY ALL")
+@query("matching_dependence", U + """SELECT source, target, count(*) AS matchings, count(*) FILTER (adjusted <= 0.3) AS rejecting, min(allocation_id) FILTER (adjusted <= 0.3) AS rejecting_matching, min(allocation_id) FILTER (coalesce(adjusted > 0.3, true)) AS other_matching,
+count(*) FILTER (adjusted <= 0.3) BETWEEN 1 AND count(*) - 1 AS dependent FROM hm GROUP BY ALL""")
 def _(spark, d):
-    return inf.sign_counts(dm.utilities(spark, d)).groupBy("source", "target").agg(F.min("wins").alias("least_wins"), F.max("wins").alias("most_wins"), (F.max("wins") - F.min("wins")).alias("width"))
+    return rp.matching_dependence(_holm(spark, d), ["source", "target"], "allocation_id", 0.3)
 
 
-@query("matching_dependence", _SB + "SELECT source, target, bool_or(wins >= 15) AND NOT bool_and(wins >= 15) AS dependent FROM sc GROUP BY ALL")
-def _(spark, d):
-    w = F.col("wins") >= 15
-    return inf.sign_counts(dm.utilities(spark, d)).groupBy("source", "target").agg((F.bool_or(w) & ~F.bool_and(w)).alias("dependent"))
+_SB = with_("util") + ", sc AS (SELECT a.allocation_id, a.method_id AS source, b.method_id AS target, count(*) FILTER (a.utility > b.utility) AS wins, count(*) FILTER (a.utility < b.utility) AS losses FROM util a JOIN util b ON a.allocation_id = b.allocation_id AND a.unit_id = b.unit_id AND a.method_id <> b.method_id GROUP BY ALL)\n"
 
 
 @query("dq_pair_symmetry", _SB + "SELECT source, target, wins + 1 AS wins, losses FROM sc WHERE source < target UNION ALL SELECT source, target, wins, losses FROM sc WHERE source > target")

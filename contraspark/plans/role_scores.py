@@ -92,9 +92,12 @@ _OBS = """, obs AS (SELECT task, gene, y - c AS y FROM ltargets JOIN lcontrol US
 bth AS (SELECT task, model, gene, y, f, s FROM obs JOIN prd USING (task, gene) JOIN lcontrol USING (gene))\n"""
 
 
-@query("standardized_utility", R + _OBS + "SELECT task, model, -sum(pow((f - y) / s, 2)) AS utility_sum FROM bth GROUP BY ALL", ("utility_sum",))
+@query("standardized_utility", R + _OBS + "SELECT task, model, -sum(pow((f - y) / s, 2)) AS utility_sum, -sum((gene + 1) / (SELECT sum(gene + 1.0::DOUBLE) FROM lcontrol) * pow((f - y) / s, 2)) AS utility_weighted FROM bth GROUP BY ALL", ("utility_sum", "utility_weighted"))
 def _(spark, d):
-    return sc.standardized_utility(*_observed(spark, d), dm.scales(spark, d)).select("task", "model", "utility_sum")
+    """Weights grow with a gene's place and sum to one."""
+    scales = dm.scales(spark, d)
+    place = F.transform(F.sequence(F.lit(1), F.size("scale")), lambda i: i / (F.size("scale") * (F.size("scale") + 1) / 2))
+    return sc.standardized_utility(*_observed(spark, d), scales, weights=scales.select(place.alias("weight"))).select("task", "model", "utility_sum", "utility_weighted")
 
 
 @query("negative_mse_scale_floor", R + _OBS + "SELECT task, model, -avg(pow((f - y) / greatest(s, 0.15), 2)) AS utility_mean FROM bth GROUP BY ALL", ("utility_mean",))
@@ -150,10 +153,33 @@ def _(spark, d):
     return sc.role_interactions(dm.tuple_scores(spark, d))
 
 
+#: States of each model by input block, and the cross moments of residuals and block shifts.
+_MOMENTS = """, st AS (SELECT task, gene, b.allocation, b.depth, b.block AS input, model, false AS conditioned, p FROM lpred JOIN lblocks b USING (gene) WHERE kind = 'state' UNION ALL SELECT task, gene, allocation, depth, input, model, true, p FROM lcond WHERE kind = 'state'),
+km AS (SELECT task, allocation, depth, model, conditioned, avg(x) AS k FROM (SELECT st.task, st.allocation, st.depth, st.model, st.conditioned, st.input, bj.block, avg((st.p - y) * (bi.value - bj.value) / (s * s)) AS x FROM st JOIN ltargets USING (task, gene) JOIN lcontrol USING (gene)
+  JOIN lblocks bi ON bi.gene = st.gene AND bi.allocation = st.allocation AND bi.depth = st.depth AND bi.block = st.input JOIN lblocks bj ON bj.gene = st.gene AND bj.allocation = st.allocation AND bj.depth = st.depth AND bj.block <> st.input GROUP BY ALL) GROUP BY ALL)
+"""
+
+
 @query("pattern_identities", R + """, wide AS (SELECT task, allocation, depth, model, kind, conditioned, max(mse) FILTER (pattern = 'S') AS s, max(mse) FILTER (pattern = 'M') AS m, max(mse) FILTER (pattern = 'P') AS p, max(mse) FILTER (pattern = 'O') AS o, max(mse) FILTER (pattern = 'D') AS d FROM patterns GROUP BY ALL)
-SELECT kind, conditioned, count(*) AS n, max(abs(m - s)) AS m_minus_s, max(abs(d - (p + o) / 2)) AS d_minus_po, avg(CASE WHEN kind = 'state' THEN d - s - v ELSE d - s END) AS mean_shift FROM wide JOIN vdist USING (allocation, depth) GROUP BY ALL""", ("m_minus_s", "d_minus_po", "mean_shift"))
+""" + _MOMENTS + """, x AS (SELECT wide.*, v, k, max(d - s) FILTER (kind = 'state') OVER g - min(d - s) FILTER (kind = 'state') OVER g AS pair FROM wide JOIN vdist USING (allocation, depth) LEFT JOIN km USING (task, allocation, depth, model, conditioned) WINDOW g AS (PARTITION BY task, allocation, depth))
+SELECT kind, conditioned, count(*) AS n, max(abs(m - s)) FILTER (kind = 'state') AS m_minus_s, max(abs(d - s - v)) FILTER (kind = 'state') AS d_minus_s_v, max(abs(p - s - v - 2 * k)) FILTER (kind = 'state') AS p_minus_s_v_2k, max(abs(o - s - v + 2 * k)) FILTER (kind = 'state') AS o_minus_s_v_2k,
+max(abs(d - (p + o) / 2)) FILTER (kind = 'state') AS d_minus_po, max(greatest(s, m, p, o, d) - least(s, m, p, o, d)) FILTER (kind = 'effect' AND NOT conditioned) AS spread, max(pair) FILTER (kind = 'state') AS pair_shift, avg(CASE WHEN kind = 'state' THEN d - s - v ELSE d - s END) AS mean_shift FROM x GROUP BY ALL""",
+       ("m_minus_s", "d_minus_s_v", "p_minus_s_v_2k", "o_minus_s_v_2k", "d_minus_po", "spread", "pair_shift", "mean_shift"))
+def _(spark, d):
+    return sc.pattern_identities(_patterns(spark, d), _distance(spark, d), _moments(spark, d))
+
+
+def _moments(spark, d):
+    blocks, predictions = dm.kept(dm.blocks(spark, d), "blocks"), dm.kept(dm.predictions(spark, d), "predictions")
+    train = predictions.where("model = 'train_state'").select("task", F.col("prediction").alias("t"))
+    states = sc.states_by_input(blocks, predictions, dm.conditioned(train, blocks))
+    return sc.cross_moments(states, dm.targets(spark, d), blocks, dm.scales(spark, d))
+
+
+@query("conditioning_displacement", R + _MOMENTS + """, dp AS (SELECT a.task, a.allocation, a.depth, a.model, a.conditioned, a.input, b.input AS other, avg(pow((a.p - b.p) / s, 2)) AS x FROM st a JOIN st b USING (task, allocation, depth, model, conditioned, gene) JOIN lcontrol USING (gene) WHERE a.input <> b.input GROUP BY ALL)
+SELECT task, allocation, depth, model, conditioned, k, sqrt(avg(x)) AS displacement FROM dp JOIN km USING (task, allocation, depth, model, conditioned) GROUP BY ALL""", ("k", "displacement"))
 def _(spark, d):
-    return sc.pattern_identities(_patterns(spark, d), _distance(spark, d))
+    return _moments(spark, d)
 
 
 @query("operation_scores", R + """, ops(operation, input, prediction, observation) AS (VALUES ('anchor_O', 'B1', 'B1', 'B2'), ('input_only', 'B3', 'B1', 'B2'), ('rescore_only', 'B1', 'B1', 'B3'), ('matched_O_new_input', 'B3', 'B3', 'B2'), ('shared_S', 'B1', 'B1', 'B1')),

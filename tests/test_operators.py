@@ -4,6 +4,7 @@ import math
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ def test_query_matches_sql(spark, name):
     got = registry.QUERIES[name](spark, SF)
     want = con.execute(registry.ORACLE_SQL[name]).fetchdf()
     want = want[sorted(want.columns)].astype(object)
-    fix = lambda v: "None" if v is None or v != v else str(round(float(v), 9)) if isinstance(v, float) else str(v)
+    fix = lambda v: "None" if v is None or v is pd.NA or v != v else str(round(float(v), 9)) if isinstance(v, float) else str(v)
     assert rows(got) == sorted(tuple(fix(v) for v in r) for r in want.itertuples(index=False))
 
 
