@@ -5,7 +5,6 @@ Profiles are arrays on one gene axis, and residuals are array expressions, so no
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import permutations, product
 
 from pyspark.sql import Column, DataFrame
@@ -137,46 +136,53 @@ def primary_scores(tuples: DataFrame) -> DataFrame:
 ROLES, BLOCKS = ("observation", "prediction", "input"), ("B1", "B2", "B3")
 
 
-def _wide(tuples: DataFrame) -> tuple[DataFrame, object]:
-    """One row per task, allocation, depth and model with the 27 scores, and the column of a tuple given as {role: block}."""
-    cell = lambda at: "x" + "".join(at[r] for r in ROLES)
-    every = [dict(zip(ROLES, x, strict=True)) for x in product(BLOCKS, repeat=3)]
-    of = lambda at: F.max(F.when(reduce(lambda p, q: p & q, [F.col(r) == b for r, b in at.items()]), F.col("mse"))).alias(cell(at))
-    return tuples.groupBy("task", "allocation", "depth", "model").agg(*[of(at) for at in every]), lambda at: F.col(cell(at))
+def _number(at: dict[str, str]) -> int:
+    """A role tuple as a number below 27."""
+    return sum(BLOCKS.index(at[role]) * 3**i for i, role in enumerate(ROLES))
+
+
+def _contrasts(tuples: DataFrame, name: str, rows: dict[str, list[tuple[int, ...]]], signs: tuple[int, ...]) -> DataFrame:
+    """task, allocation, depth, model, ``name`` and x, the array of signed sums of scores that can be made, for each row of the plan.
+
+    ``rows`` lists the tuples' numbers of every sum. The plan is data, so the plan's length does not grow the code.
+    """
+    place = sum((F.array_position(F.array(*map(F.lit, BLOCKS)), F.col(role)) - 1) * 3**i for i, role in enumerate(ROLES))
+    scores = tuples.groupBy("task", "allocation", "depth", "model").agg(F.map_from_entries(F.collect_list(F.struct(place.cast("int").alias("at"), "mse"))).alias("_s"))  # 27 entries
+    plan = tuples.sparkSession.createDataFrame([(k, [list(v) for v in each]) for k, each in rows.items()], f"{name} string, _plan array<array<int>>")
+    terms = lambda each: sum((F.try_element_at("_s", each[i]) * sign for i, sign in enumerate(signs)), F.lit(0.0))
+    j = scores.crossJoin(F.broadcast(plan))  # three rows
+    x = F.filter(F.transform("_plan", terms), lambda v: v.isNotNull())
+    return j.select("task", "allocation", "depth", "model", name, x.alias("x")).where(F.size("x") > 0)
+
+
+def _mean_abs() -> Column:
+    return F.aggregate("x", F.lit(0.0), lambda acc, v: acc + F.abs(v)) / F.size("x")
 
 
 def single_role_contrasts(tuples: DataFrame) -> DataFrame:
     """Per changed role: mean absolute and extreme differences over all directed changes with the other two roles fixed."""
-    wide, at = _wide(tuples)
-    rows = []
+    rows = {}
     for role in ROLES:
         other = [r for r in ROLES if r != role]
-        changes = [
-            at(dict(zip(other, fixed, strict=True)) | {role: to}) - at(dict(zip(other, fixed, strict=True)) | {role: start})
+        rows[role] = [
+            (_number(dict(zip(other, fixed, strict=True)) | {role: to}), _number(dict(zip(other, fixed, strict=True)) | {role: start}))
             for fixed in product(BLOCKS, repeat=2) for start, to in permutations(BLOCKS, 2)
         ]
-        rows.append(F.struct(F.lit(role).alias("role"), F.array(*changes).alias("x")))
-    x = F.filter("r.x", lambda v: v.isNotNull())
-    total = F.aggregate(x, F.lit(0.0), lambda acc, v: acc + F.abs(v))
-    long = wide.select("task", "allocation", "depth", "model", F.explode(F.array(*rows)).alias("r"))
-    return long.where(F.size(x) > 0).select("task", "allocation", "depth", "model", "r.role", F.size(x).cast("long").alias("n"), (total / F.size(x)).alias("mean_abs"), F.array_min(x).alias("least"), F.array_max(x).alias("most"))
+    out = _contrasts(tuples, "role", rows, (1, -1))
+    return out.select("task", "allocation", "depth", "model", "role", F.size("x").cast("long").alias("n"), _mean_abs().alias("mean_abs"), F.array_min("x").alias("least"), F.array_max("x").alias("most"))
 
 
 def role_interactions(tuples: DataFrame) -> DataFrame:
     """S11 - S10 - S01 + S00 over two roles, the third fixed: count and mean absolute value of the 108."""
-    wide, at = _wide(tuples)
-    rows = []
+    rows = {}
     for first, second, fixed in (("observation", "prediction", "input"), ("observation", "input", "prediction"), ("prediction", "input", "observation")):
-        corner = lambda x, y, z, n=(first, second, fixed): at(dict(zip(n, (x, y, z), strict=True)))
-        values = [
-            (corner(x, y, z) - corner(x, v, z)) - (corner(u, y, z) - corner(u, v, z))
+        corner = lambda x, y, z, n=(first, second, fixed): _number(dict(zip(n, (x, y, z), strict=True)))
+        rows[f"{first}*{second}"] = [
+            (corner(x, y, z), corner(x, v, z), corner(u, y, z), corner(u, v, z))
             for z in BLOCKS for x, u in permutations(BLOCKS, 2) for y, v in permutations(BLOCKS, 2)
         ]
-        rows.append(F.struct(F.lit(f"{first}*{second}").alias("roles"), F.array(*values).alias("x")))
-    x = F.filter("r.x", lambda v: v.isNotNull())
-    total = F.aggregate(x, F.lit(0.0), lambda acc, v: acc + F.abs(v))
-    long = wide.select("task", "allocation", "depth", "model", F.explode(F.array(*rows)).alias("r"))
-    return long.where(F.size(x) > 0).select("task", "allocation", "depth", "model", "r.roles", F.size(x).cast("long").alias("n"), (total / F.size(x)).alias("mean_abs"))
+    out = _contrasts(tuples, "roles", rows, (1, -1, -1, 1))
+    return out.select("task", "allocation", "depth", "model", "roles", F.size("x").cast("long").alias("n"), _mean_abs().alias("mean_abs"))
 
 
 OPERATIONS = [("anchor_O", "B1", "B1", "B2"), ("input_only", "B3", "B1", "B2"), ("rescore_only", "B1", "B1", "B3"), ("matched_O_new_input", "B3", "B3", "B2"), ("shared_S", "B1", "B1", "B1")]

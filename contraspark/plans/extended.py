@@ -71,7 +71,13 @@ def _(spark, d):
     return rs.root_t(_um(spark, d), _PAIRS, "margin")
 
 
-@query("clopper_pearson")
+_BINOMIAL = "(SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(m) + (n - i) * ln(1 - m))) FROM (SELECT unnest(range({lo}, {hi})) AS i))"
+
+
+@query("clopper_pearson", f"""WITH RECURSIVE o AS (SELECT o_orderpriority, o_orderstatus, count(*) FILTER (o_totalprice > 200000) AS events, count(*) AS trials FROM orders GROUP BY ALL),
+b AS (SELECT DISTINCT events AS x, trials AS n, side, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, 0 AS k FROM o, (VALUES ('lower'), ('upper')) s(side)
+  UNION ALL SELECT x, n, side, CASE WHEN up THEN m ELSE lo END, CASE WHEN up THEN hi ELSE m END, k + 1 FROM (SELECT *, CASE side WHEN 'lower' THEN {_BINOMIAL.format(lo='x', hi='n + 1')} < 0.025 ELSE {_BINOMIAL.format(lo='0', hi='x + 1')} > 0.025 END AS up FROM (SELECT *, (lo + hi) / 2 AS m FROM b WHERE k < 45)))
+SELECT o.*, CASE WHEN events > 0 THEN l.lo ELSE 0 END AS lower, CASE WHEN events < trials THEN u.lo ELSE 1 END AS upper FROM o JOIN b l ON l.x = events AND l.n = trials AND l.side = 'lower' AND l.k = 45 JOIN b u ON u.x = events AND u.n = trials AND u.side = 'upper' AND u.k = 45""", ("lower", "upper"), 6)
 def _(spark, d):
     o = table(spark, d, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.count_if(F.col("o_totalprice") > 200000).alias("events"), F.count("*").alias("trials"))
     return rs.clopper_pearson(o, "events", "trials")
@@ -230,7 +236,18 @@ def _design(spark, d):
     )
 
 
-@query("baseline_additive_ridge")
+_RIDGE = """WITH x AS (SELECT l_orderkey AS id, l_linenumber AS line, l_quantity::DOUBLE / 50 AS x1, l_discount::DOUBLE * 10 AS x2, l_tax::DOUBLE * 10 AS x3, l_extendedprice::DOUBLE / 1e4 AS y1, l_extendedprice::DOUBLE * (1 - l_discount::DOUBLE) / 1e4 AS y2 FROM lineitem),
+m AS (SELECT avg(x1) AS a1, avg(x2) AS a2, avg(x3) AS a3, avg(y1) AS b1, avg(y2) AS b2, count(*) * var_pop(x1) + 1 AS c11, count(*) * var_pop(x2) + 1 AS c22, count(*) * var_pop(x3) + 1 AS c33, count(*) * covar_pop(x1, x2) AS c12, count(*) * covar_pop(x1, x3) AS c13, count(*) * covar_pop(x2, x3) AS c23,
+  [count(*) * covar_pop(x1, y1), count(*) * covar_pop(x1, y2)] AS d1, [count(*) * covar_pop(x2, y1), count(*) * covar_pop(x2, y2)] AS d2, [count(*) * covar_pop(x3, y1), count(*) * covar_pop(x3, y2)] AS d3 FROM x),
+-- Three equations by determinants, for each of the two outputs.
+e AS (SELECT k, a1, a2, a3, CASE k WHEN 1 THEN b1 ELSE b2 END AS b, c11, c12, c13, c22, c23, c33, d1[k] AS d1, d2[k] AS d2, d3[k] AS d3, c11 * (c22 * c33 - c23 * c23) - c12 * (c12 * c33 - c13 * c23) + c13 * (c12 * c23 - c13 * c22) AS det FROM m, (SELECT unnest([1, 2]) AS k)),
+f AS (SELECT k, a1, a2, a3, b, (d1 * (c22 * c33 - c23 * c23) - c12 * (d2 * c33 - c23 * d3) + c13 * (d2 * c23 - c22 * d3)) / det AS w1, (c11 * (d2 * c33 - c23 * d3) - d1 * (c12 * c33 - c13 * c23) + c13 * (c12 * d3 - c13 * d2)) / det AS w2,
+  (c11 * (c22 * d3 - c23 * d2) - c12 * (c12 * d3 - c13 * d2) + d1 * (c12 * c23 - c13 * c22)) / det AS w3 FROM e)
+"""
+_HAT = "{f}.b + {f}.w1 * (x1 - {f}.a1) + {f}.w2 * (x2 - {f}.a2) + {f}.w3 * (x3 - {f}.a3)"
+
+
+@query("baseline_additive_ridge", _RIDGE + f"SELECT id, line, {_HAT.format(f='p')} AS y1_hat, {_HAT.format(f='q')} AS y2_hat FROM x, f p, f q WHERE p.k = 1 AND q.k = 2", ("y1_hat", "y2_hat"), 6)
 def _(spark, d):
     x = _design(spark, d)
     return rg.ridge_predict(x, ["x1", "x2", "x3"], rg.ridge_fit(x, ["x1", "x2", "x3"], ["y1", "y2"], 1.0)).select("id", "line", "y1_hat", "y2_hat")
