@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 from functools import lru_cache, reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from contraspark.operators.prefix import numbered
 from contraspark.operators.student import binomial_tail, with_t_quantile
@@ -166,23 +171,53 @@ def sign_flips(df: DataFrame, key: list[str], unit_no: str, value: str, n: int,
     all 2**11 combinations, so no two vectors are equal or opposite, and the others' signs are hash bits.
     A vector and its negative have the same |T|, which is computed once for both.
     """
-    drawn = n > ALL_FLIPS
-    own = df.withColumn("_dev", F.col(value) - F.avg(value).over(Window.partitionBy(*key)))
-    own = own.groupBy(*key).agg(F.collect_list(F.struct(F.col(unit_no).cast("int").alias("u"), "_dev")).alias("_x"), F.count("_dev").alias("_n"), F.sum(F.col("_dev") * F.col("_dev")).alias("_q"))  # the units of one key
-    base = df.sparkSession.range(flip_count(n) // 2 if drawn else 1 << n).select(F.col("id").cast("int").alias("flip"))
-    if drawn:
-        bit = lambda u: F.when(u == 0, 0).when(u < ALL_FLIPS, F.call_function("shiftright", F.col("flip"), u - 1).bitwiseAND(F.lit(1))).otherwise(hash_int(seed, F.col("flip").cast("string"), u.cast("string")) % 2)
-    else:
-        bit = lambda u: F.call_function("shiftright", F.col("flip"), u).bitwiseAND(F.lit(1))
-    signs = base.select("flip", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda u: F.when(bit(u) == 1, -1.0).otherwise(1.0)).alias("_signs"))  # 4096 arrays of n at most
-    j = own.crossJoin(F.broadcast(signs) if n <= 4096 else signs)
-    total = F.aggregate("_x", F.lit(0.0), lambda s, e: s + F.coalesce(e["_dev"] * F.get("_signs", e["u"]), F.lit(0.0)))
-    m = total / F.col("_n")
-    # Signs do not change squares, so each vector's spread follows from its mean.
-    t = j.select(*key, "flip", "_n", "_q", m.alias("_m")).withColumn("_v", (F.col("_q") - F.col("_n") * F.col("_m") * F.col("_m")) / (F.col("_n") - 1))
-    spread = F.col("_v") > 1e-14 * F.col("_q")
-    t = t.select(*key, "flip", F.when(spread, F.abs("_m") / F.sqrt(F.col("_v") / F.col("_n"))).when(F.abs("_m") <= 1e-15, 0.0).otherwise(float("inf")).alias("t"))
-    return t.withColumn("flip", F.explode(F.array(F.col("flip"), DRAWN_FLIPS - 1 - F.col("flip")))) if drawn else t
+    own = df.withColumn("_dev", F.col(value) - F.avg(value).over(Window.partitionBy(*key))).where(F.col("_dev").isNotNull())
+    own = own.groupBy(*key).agg(F.collect_list(F.struct(F.col(unit_no).cast("int").alias("u"), "_dev")).alias("_x"))  # the units of one key
+    schema = T.StructType([df.schema[c] for c in key]).add("flip", T.IntegerType()).add("t", T.DoubleType())
+    return own.select(*key, F.col("_x.u").alias("_u"), F.col("_x._dev").alias("_d")).mapInArrow(_flipped(len(key), n, seed), schema)
+
+
+def sign_vectors(n: int, seed: str) -> np.ndarray:
+    """[unit, flip] of 1 and -1 (see ``sign_flips``); of antithetic vectors the first half, flip f being opposite to flip DRAWN_FLIPS - 1 - f."""
+    flips = np.arange(flip_count(n) // 2 if n > ALL_FLIPS else 1 << n)
+    minus = np.zeros((n, len(flips)), bool)
+    for u in range(n):
+        if n <= ALL_FLIPS:
+            minus[u] = flips >> u & 1
+        elif 0 < u < ALL_FLIPS:
+            minus[u] = flips >> (u - 1) & 1
+        elif u:
+            minus[u] = [int(hashlib.md5(f"{seed}|{f}|{u}".encode()).hexdigest()[:8], 16) & 1 for f in flips.tolist()]
+    return np.where(minus, -1.0, 1.0)
+
+
+def _flipped(keys: int, n: int, seed: str):
+    """|T| of every key of a batch under every sign vector: one matrix product. Signs do not change squares, so each vector's spread follows from its mean."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signs = sign_vectors(n, seed)
+        flips = np.arange(signs.shape[1], dtype=np.int32)
+        if n > ALL_FLIPS:
+            flips = np.concatenate([flips, DRAWN_FLIPS - 1 - flips])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                dev = np.zeros((batch.num_rows, n))
+                for row, (u, d) in enumerate(zip(batch.column(keys).to_pylist(), batch.column(keys + 1).to_pylist(), strict=True)):
+                    dev[row, u] = d
+                count = np.array([len(u) for u in batch.column(keys).to_pylist()], float)[:, None]
+                square = (dev * dev).sum(1, keepdims=True)
+                m = dev @ signs / count
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    v = (square - count * m * m) / (count - 1)
+                    t = np.where((count > 1) & (v > 1e-14 * square), np.abs(m) / np.sqrt(v / count), np.where(np.abs(m) <= 1e-15, 0.0, np.inf))
+                if n > ALL_FLIPS:
+                    t = np.concatenate([t, t], axis=1)
+                which = pa.array(np.repeat(np.arange(batch.num_rows), len(flips)))
+                names = [*batch.schema.names[:keys], "flip", "t"]
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).take(which) for i in range(keys)], pa.array(np.tile(flips, batch.num_rows)), pa.array(t.ravel())], names)
+
+    return run
 
 
 def closure(edges: DataFrame, key: list[str]) -> DataFrame:

@@ -14,10 +14,6 @@ ORACLE_SQL: dict[str, str] = {}
 _MADE: ContextVar[dict[tuple, DataFrame] | None] = ContextVar("made", default=None)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def once(key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
     """The table ``make`` returns, made at most once while a registered query is built."""
     made = _MADE.get()
@@ -28,6 +24,11 @@ def once(key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
     return made[key]
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table; its schema is read once for a query."""
+    return once(("table", sf_dir, name), lambda: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
 def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
     """Doubles rounded, and -0.0 made 0.0: sums of a distributed table are not made in a fixed order."""
     return df.select(*[(F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
