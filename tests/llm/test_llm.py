@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
-from contraspark.llm import ann, exact_dedup, jaccard_join, license_scan, packing, substring_dedup, toxicity, url_filter, warc
+from contraspark.llm import ann, common, exact_dedup, jaccard_join, license_scan, packing, substring_dedup, toxicity, url_filter, warc
 from contraspark.llm import sentencepiece_codec as spc
 from contraspark.llm.common import shared_path
 
@@ -328,6 +329,58 @@ def test_url_rules_and_templates(spark):
     assert url_filter.url_verdicts(df.limit(0)).count() == 0
 
 
+def merged_by_hand(counts):
+    """Final template of each template {tuple: (n, b)} of one host, node by node from the last segment to the first."""
+    final = {t: t for t in counts}
+    for level in reversed(range(max(map(len, counts)))):
+        own, node = collections.defaultdict(lambda: [0, 0]), collections.defaultdict(lambda: [0, 0])
+        for t, now in final.items():
+            groups = [own[now]] + ([node[now[:level], now[level + 1 :]]] if len(now) > level and now[level] != "*" else [])
+            for g in groups:
+                g[0] += counts[t][0]
+                g[1] += counts[t][1]
+        for t, now in final.items():
+            if len(now) > level and now[level] != "*":
+                (n, b), (nn, bb) = own[now], node[now[:level], now[level + 1 :]]
+                if n * bb * (nn - bb) == 0 and b * nn == bb * n or (b * nn - bb * n) ** 2 <= 3.841 * n * bb * (nn - bb):
+                    final[t] = (*now[:level], "?", *now[level + 1 :])
+    return final
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_url_branches_merge_at_every_level(spark, monkeypatch, hot):
+    if hot:  # every key is spread
+        monkeypatch.setattr(common, "HOT_ROWS", 3)
+        monkeypatch.setattr(common, "HOT_KEYS", 10**9)
+        monkeypatch.setattr(url_filter, "HOT_ROWS", 3)
+    share = {"news": 10, "blog": 10, "bad": 95, "worse": 90}
+    paths = [f"/{a}/{b}/{c}/n{i}" for a, b, c in itertools.product(share, ("x", "y", "z"), ("p", "q", "7")) for i in range(3 + len(a) * len(b + c) % 11 * 4)]
+    paths += ["/" + "w" * 100_000 + "/" + "v/" * 50_000] * 2
+
+    def label(path):  # as the Spark expression below
+        c = zlib.crc32(path.encode())
+        return None if c % 5 == 0 else c // 5 % 100 < (97 if path.startswith("/news/z/") else share.get(path.split("/")[1], 50))
+
+    crc, first = F.crc32("path"), F.split_part("path", F.lit("/"), F.lit(2))
+    least = F.when(F.col("path").startswith("/news/z/"), 97).otherwise(F.coalesce(*[F.when(first == k, v) for k, v in share.items()], F.lit(50)))
+    verdict = F.when(crc % 5 != 0, F.when(F.floor(crc / 5) % 100 < least, "block").otherwise("allow"))
+    monkeypatch.setattr(url_filter, "rule_for", lambda host, path, rules: (F.lit(None).cast("string"), F.when(host == "h.com", verdict)))
+    counts, of = collections.defaultdict(lambda: [0, 0]), {}
+    for path in paths:
+        of[path] = tuple("*" if re.search("[0-9]", x) else x for x in path[1:].split("/", 4))
+        counts[of[path]][0] += label(path) is not None
+        counts[of[path]][1] += label(path) is True
+    final = merged_by_hand(dict(counts))
+    rows = [(i, f"http://{h}{path}") for i, (h, path) in enumerate(itertools.product(("h.com", "free.net"), paths))]
+    got = url_filter.url_verdicts(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert sorted(r["page_id"] for r in got) == list(range(len(rows)))
+    for r in got:
+        want = final[of[r["path"]]] if r["host"] == "h.com" else tuple(x if x == "*" else "?" for x in of[r["path"]])  # without labels all merge
+        assert (r["template"], r["merged_template"]) == ("/" + "/".join(of[r["path"]]), "/" + "/".join(want))
+    merged = {m for t, m in final.items()}
+    assert any(m[0] == "?" for m in merged) and any(m[0] != "?" and m[1] == "?" for m in merged)
+
+
 # ---- 7 -------------------------------------------------------------------------------------------
 
 
