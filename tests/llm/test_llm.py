@@ -522,6 +522,71 @@ def test_toxicity(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in out.limit(200).collect())
 
 
+def stated_risk(w, x, positive, prior, decay):
+    """The clipped risk of a dense table and its gradient; the bias is the last weight and is not decayed."""
+    out = x @ w[:-1] + w[-1]
+    prob = 1 / (1 + np.exp(-out))
+    p, u = positive, ~positive
+    as_negative = np.log1p(np.exp(out))
+    negative = as_negative[u].mean() - prior * as_negative[p].mean()
+    one = np.column_stack([x, np.ones(len(x))])
+    grad = -prior * ((1 - prob[p])[:, None] * one[p]).mean(0) + np.append(decay * w[:-1], 0)
+    if negative >= 0:
+        grad = grad + (prob[u][:, None] * one[u]).mean(0) - prior * (prob[p][:, None] * one[p]).mean(0)
+    return prior * np.log1p(np.exp(-out[p])).mean() + max(0.0, negative) + decay / 2 * (w[:-1] ** 2).sum(), grad, negative
+
+
+@pytest.mark.parametrize("prior", [0.1, 0.7])
+def test_fit_follows_the_stated_risk(prior):
+    rng = np.random.default_rng(3)
+    x = rng.random((60, 7)) * (rng.random((60, 7)) < 0.5)
+    positive = np.arange(60) < 20
+    x[positive, 0] += 1
+    x[:3] = 0  # texts without any known word
+    row, place = np.nonzero(x)
+    data = toxicity.Features(place, x[row, place], np.searchsorted(row, np.arange(61)))
+    epochs, rate, decay = 40, 0.3, 1e-3
+    got, bias = toxicity.fit_nnpu(data, positive, prior, 7, epochs=epochs, batch=64, rate=rate, decay=decay)
+    w = np.append(np.zeros(7), np.log(prior / (1 - prior)))
+    first = second = total = 0
+    clipped = []
+    for step in range(1, epochs + 1):  # all rows are one batch
+        _, grad, negative = stated_risk(w, x, positive, prior, decay)
+        if abs(negative) > 1e-3:
+            slope = [(stated_risk(w + e, x, positive, prior, decay)[0] - stated_risk(w - e, x, positive, prior, decay)[0]) / 2e-6 for e in 1e-6 * np.eye(8)]
+            assert np.allclose(grad, slope, atol=1e-7)
+        clipped.append(negative < 0)
+        first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
+        w = w - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+        total = total + (w if step > epochs // 2 else 0)
+    mean = total / (epochs - epochs // 2)
+    # The first gradient of the bias is zero but for rounding, which Adam's quotient raises to 1e-9.
+    assert np.allclose(got, mean[:-1], rtol=0, atol=1e-6)
+    assert abs(bias + toxicity._least_risk(x @ mean[:-1] + mean[-1], positive, prior) - mean[-1]) < 1e-6
+    assert any(clipped) and not all(clipped)  # both branches of the risk were met
+
+
+def test_telling_places_by_hand(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, i < 15, sorted(rng.choice(30, rng.integers(0, 9), replace=False).tolist())) for i in range(60)]
+    sample = spark.createDataFrame(rows, "doc_id long, positive boolean, place array<int>")
+    n, m = 15, 45
+    found = {k: (sum(k in r[2] for r in rows if r[1]), sum(k in r[2] for r in rows if not r[1])) for k in range(30)}
+    z = {k: abs(p / n - u / m) / (max((p + u) / 60 * (1 - (p + u) / 60), 1e-12)) ** 0.5 for k, (p, u) in found.items() if p + u > 1}
+    for most in (5, 12, 99):
+        want = sorted(sorted(z, key=lambda k: (-round(z[k], 12), k))[:most])
+        place, scale = toxicity._telling_places(sample, {True: n, False: m}, most)
+        assert place.tolist() == want and np.allclose(scale, [np.log(61 / (sum(found[k]) + 1)) for k in want])
+
+
+def test_toxicity_of_positive_rows_only(spark):
+    """Nothing contrasts with them: every text gets the prior as its score's place, no crash, one score for all."""
+    docs = spark.createDataFrame([(i, f"word{i} bad") for i in range(6)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(6)], "doc_id long, toxic int")
+    out = toxicity.toxicity(docs, labels).collect()
+    assert len(out) == 6 and all(0 <= r["score"] <= 1 for r in out)
+
+
 def test_toxicity_odd_rows(spark, odd):
     none = toxicity.toxicity(odd, spark.createDataFrame([(1, 0)], "doc_id long, toxic int"))
     assert {r["score"] for r in none.collect()} == {0.0} and none.count() == odd.count()
