@@ -11,10 +11,18 @@ multiplicity in the template, an upper bound of coverage; the count slides along
 is missed, every text is read as a whole, and texts without license words cost one lookup per word.
 Several licenses and repeated ones in a text are all returned.
 
+Interruptions of any length: the words that stand in runs of at least ``RUN`` words as the
+template has them are then searched alone, closed up as if nothing stood between, by the same windows and
+alignment. A license cut into pieces of at least that many words is thus found however far apart the pieces
+are; other pieces count within ``reach`` only. Such a hit claims the words of its pieces, not what lies between,
+and is weighed with 2 * ``RUN`` words less for each piece after the first, so that chance runs do not pay; pieces of ``RUN`` words are left out where the coverage of the others suffices.
+Where another license stands between the pieces and has such runs in common with this one, equal words may be
+matched in either place, and the one with fewer words, or an edition with more clauses, may be told wrongly.
+
 Words are ASCII-lower-cased and cut at ASCII characters that are no letters or digits.
 
 Defined cases: null and empty texts have no licenses. Texts of any length are scanned as a whole. Of hits that share words, the one with more
-matched words is kept (of equals the one of larger coverage, then the first template by name). Repeated rows and null ids are kept as
+matched words is kept (of equals the one of larger coverage, then the first template by name, then the one without interruptions). Repeated rows and null ids are kept as
 they are. Other columns, whatever their names, are not read. An empty table gives an empty one.
 """
 
@@ -34,8 +42,9 @@ from contraspark.llm.common import slices
 from contraspark.llm.words import PUNCTUATION, split_words
 
 LEAST_COVERAGE = 0.8
-#: A hit is at most so many template lengths long.
+#: A hit is at most so many template lengths long, interruptions between runs of RUN template words not counted.
 REACH = 2
+RUN = 4
 
 _BSD = (
     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
@@ -192,31 +201,60 @@ class Scanner:
         self.counts = np.zeros((len(self.names), len(self.vocabulary)), np.int64)
         for k, words in enumerate(self.words):
             np.add.at(self.counts[k], words, 1)
+        self.runs = [np.unique(self._runs(np.array(words, np.int64))) for words in self.words]
+
+    def _runs(self, kinds: np.ndarray) -> np.ndarray:
+        """A number for each RUN consecutive kinds."""
+        n = max(0, len(kinds) - RUN + 1)
+        return sum((kinds[j : j + n].astype(np.int64) * len(self.vocabulary) ** j for j in range(RUN)), np.zeros(n, np.int64))
+
+    def _search(self, k: int, at: np.ndarray, kinds: np.ndarray) -> list[np.ndarray]:
+        """The matched indices of each hit of template k among words of these places and kinds."""
+        words, counts = self.words[k], self.counts[k]
+        kind, need, out = kinds.tolist(), self.least * len(words), []
+        search, to = windows(at.tolist(), kind, counts.tolist(), self.reach * len(words), need), None
+        while True:
+            try:
+                lo, hi = search.send(to)
+            except StopIteration:
+                return out
+            # The first window that can do it starts at its first possible word; later starts may match as much.
+            matched, to = align(kind[lo:hi], words), None
+            if len(matched) >= need:
+                out.append(lo + np.array([m[0] for m in matched]))
+                to = int(out[-1][-1]) + 1
 
     def hits(self, places: np.ndarray, kinds: np.ndarray) -> list[tuple[str, float, int, int, int]]:
         """(name, coverage, first word, end, matched) in one text, given the places and kinds of its template words."""
         bound = np.minimum(np.bincount(kinds, minlength=len(self.vocabulary)), self.counts).sum(1)
-        found = []
+        found, runs = [], None
         for k in np.flatnonzero(bound >= self.least * self.counts.sum(1)).tolist():
-            words, counts = self.words[k], self.counts[k]
-            own = counts[kinds] > 0
-            at, kind, need = places[own].tolist(), kinds[own].tolist(), self.least * len(words)
-            search, to = windows(at, kind, counts.tolist(), self.reach * len(words), need), None
-            while True:
-                try:
-                    lo, hi = search.send(to)
-                except StopIteration:
-                    break
-                # The first window that can do it starts at its first possible word; later starts may match as much.
-                matched, to = align(kind[lo:hi], words), None
-                if len(matched) >= need:
-                    found.append((self.names[k], len(matched) / len(words), at[lo + matched[0][0]], at[lo + matched[-1][0]] + 1, len(matched)))
-                    to = lo + matched[-1][0] + 1
+            own = np.flatnonzero(self.counts[k][kinds] > 0)
+            for hit in self._search(k, places[own], kinds[own]):
+                span = (int(places[own[hit[0]]]), int(places[own[hit[-1]]]) + 1)
+                found.append((self.names[k], len(hit) / len(self.words[k]), *span, len(hit), [span]))
+            if runs is None:
+                runs = self._runs(kinds)
+                runs[places[RUN - 1 :][: len(runs)] - places[: len(runs)] != RUN - 1] = -1
+            inside = np.zeros(len(kinds), bool)
+            starts = np.flatnonzero(np.isin(runs, self.runs[k]))
+            for j in range(RUN):
+                inside[starts + j] = True
+            rest = np.flatnonzero(inside)
+            for hit in self._search(k, np.arange(len(rest)), kinds[rest]):
+                at = places[rest[hit]]
+                groups = np.split(at, np.flatnonzero(np.diff(at) > RUN) + 1)
+                longer = [g for g in groups if len(g) > RUN]  # one run alone may stand there by chance
+                n = sum(map(len, longer))
+                if n < self.least * len(self.words[k]):
+                    longer, n = groups, len(hit)
+                pieces = [(int(g[0]), int(g[-1]) + 1) for g in longer]
+                found.append((self.names[k], n / len(self.words[k]), pieces[0][0], pieces[-1][1], n, pieces))
         taken, kept = [], []
-        for hit in sorted(found, key=lambda h: (-h[4], -h[1], h[0], h[2])):
-            if all(hit[3] <= a or hit[2] >= b for a, b in taken):
-                taken.append(hit[2:4])
-                kept.append(hit)
+        for hit in sorted(found, key=lambda h: (2 * RUN * (len(h[5]) - 1) - h[4], -h[1], h[0], len(h[5]), h[2])):
+            if all(end <= a or first >= b for first, end in hit[5] for a, b in taken):
+                taken += hit[5]
+                kept.append(hit[:5])
         return sorted(kept, key=lambda h: h[2])
 
 

@@ -82,3 +82,27 @@ def test_ties_repeated_rows_and_an_interruption_longer_than_the_template(spark):
     rows = [(1, other), (1, other), (None, f"x {line}"), (2, "Released under " + "filler " * 9 + "the MIT License.")]
     got = sorted((str(r["doc_id"]), [x["license"] for x in r["licenses"]]) for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string"), templates=templates, reach=4).collect())
     assert got == [("1", ["a"]), ("1", ["a"]), ("2", ["c"]), ("None", ["c"])]
+
+
+@pytest.mark.parametrize("pieces", [2, 5])
+def test_interruptions_of_any_length(spark, pieces):
+    """Each template in pieces with thousands of foreign words, or another license, in between; half a license is none."""
+    random.seed(17)
+    t = license_scan.TEMPLATES
+    names = [n for n in sorted(t) if len(t[n].split()) >= 8 * pieces]
+    foreign = lambda n: " ".join(f"foreign{random.randrange(999)} the of and" for _ in range(n))
+    rows, want = [], {}
+    for i, name in enumerate(names):
+        words = t[name].split()
+        cuts = [len(words) * j // pieces for j in range(pieces + 1)]
+        parts = [" ".join(words[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        rows.append((4 * i, foreign(9) + " " + f" {foreign(1500)} ".join(parts) + " " + foreign(2000)))
+        want[4 * i] = [name]
+        inner = "MPL-2.0-notice"  # it shares no runs with the others
+        if inner != name:
+            rows.append((4 * i + 1, parts[0] + f" {foreign(900)} {t[inner]} {foreign(900)} " + " ".join(parts[1:])))
+            want[4 * i + 1] = sorted([name, inner])
+        rows.append((4 * i + 2, f" {foreign(1500)} ".join(reversed(parts)) if pieces == 5 else parts[0] + " " + foreign(1500)))
+    out = {r["doc_id"]: [x["license"] for x in r["licenses"]] for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert names and {i: sorted(out[i]) for i in want} == want
+    assert all(names[i // 4] not in found for i, found in out.items() if i % 4 == 2)
